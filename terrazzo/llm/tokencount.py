@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from terrazzo.llm.common import tokenizer_file
 
 CACHE_WORDS = 500_000
-LONG_WORD = 64
 
 
 class PieceCounter:
@@ -56,13 +54,10 @@ class PieceCounter:
                 z = fail[z]
             if z >= 0:
                 fail[v], popped[v] = child[z << 8 | last[v]], count
-        self.child, self.fail_list, self.popped_list = child, fail, popped
-        self.key = np.array(sorted(child), np.int64)
-        self.to = np.array([child[k] for k in self.key.tolist()], np.int64)
-        self.fail, self.popped = np.array(fail), np.array(popped)
+        self.child, self.fail, self.popped = child, fail, popped
 
-    def one(self, word: bytes) -> int:
-        child, fail, popped = self.child, self.fail_list, self.popped_list
+    def count(self, word: bytes) -> int:
+        child, fail, popped = self.child, self.fail, self.popped
         node = total = 0
         for c in word:
             while (step := child.get(node << 8 | c)) is None:
@@ -74,27 +69,6 @@ class PieceCounter:
             node = fail[node]
         return total
 
-    def many(self, words: list[bytes]) -> np.ndarray:
-        """Counts of many words, a column of bytes at a time."""
-        size = np.array([len(w) for w in words])
-        width = int(size.max(initial=0))
-        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        node, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for i in range(width):
-            todo = np.flatnonzero(size > i)
-            while len(todo):
-                key = node[todo] << 8 | text[todo, i]
-                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                hit = self.key[at] == key
-                node[todo[hit]] = self.to[at[hit]]
-                todo = todo[~hit]
-                total[todo] += self.popped[node[todo]]
-                node[todo] = self.fail[node[todo]]
-        while (todo := np.flatnonzero(node)).size:
-            total[todo] += self.popped[node[todo]]
-            node[todo] = self.fail[node[todo]]
-        return total
-
 
 def byte_vocabulary(directory: str | None = None) -> list[bytes]:
     with open(tokenizer_file("byte_bpe_50k.tiktoken", directory), "rb") as lines:
@@ -114,11 +88,7 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", to
             n_words, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 words = split(text) if text else []
-                fresh = list(set(words) - cache.keys())
-                if fresh:
-                    short = [w for w in fresh if len(w) <= LONG_WORD]
-                    cache.update(zip(short, pieces.many([w.encode() for w in short]).tolist() if len(short) > 24 else [pieces.one(w.encode()) for w in short]))
-                    cache.update((w, pieces.one(w.encode())) for w in fresh if len(w) > LONG_WORD)
+                cache.update((w, pieces.count(w.encode())) for w in set(words) - cache.keys())
                 n_words.append(len(words))
                 n_tokens.append(sum(map(cache.__getitem__, words)))
                 if len(cache) > CACHE_WORDS:
