@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrazzo.llm import langid, neardup, packing, tokencount, topk, toxicity
+from terrazzo.llm import decontaminate, langid, neardup, packing, substring, tokencount, topk, toxicity
 from terrazzo.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -30,6 +35,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,5 +57,17 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+DECONTAMINATION_SQL = r"""
+WITH item AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE regexp_matches(text, '[\p{L}\p{N}]')),
+doc AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]')),
+grams AS (SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle FROM item),
+sized AS (SELECT item_id, shingle, count(*) OVER (PARTITION BY item_id) AS n_shingles FROM grams),
+widths AS (SELECT DISTINCT width FROM grams),
+held AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - width + 1, 0) + 1), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS shingle FROM doc, widths)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment FROM held JOIN sized USING (shingle)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 100 >= n_shingles * 80
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": TOP_K_SQL}
+    return {"op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
