@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import decontaminate, langid, neardup, packing, substring, tokencount, topk, toxicity
+from terrazzo.llm import decontaminate, htmltext, langid, neardup, packing, substring, tokencount, topk, toxicity
 from terrazzo.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text"))
 
