@@ -26,7 +26,7 @@ class WordIds(dict):
     """Word bytes -> 64-bit id; emptied when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x

@@ -21,10 +21,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrazzo.llm.common import slices
+
 SENTENCES = 3
 MIN_WORDS = 12
 LONG_WORDS = 50
@@ -67,20 +70,22 @@ def spans(words: list[list[str]]) -> list[tuple[int, int]]:
 def _hashed(batches):
     """(h1, h2, at, th, start, stop) of every span; at and th name the document."""
     for batch in batches:
-        at, th, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-        rows, digests, sizes = [], [], []
-        for i, text in enumerate(texts):
-            words = [p.lower().split() for p in pieces(text.as_py() or "")]
-            lines = [" ".join(w) for w in words]
-            own = spans(words)
-            digests += [xxhash.xxh3_128_digest("\n".join(lines[a:b])) for a, b in own]
-            rows += own
-            sizes.append(len(own))
-        marks = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-        ends = np.array(rows, np.int32).reshape(-1, 2)
-        columns = [marks[:, 0], marks[:, 1], np.repeat(at, sizes), np.repeat(th, sizes), ends[:, 0], ends[:, 1]]
-        for start in range(0, len(rows), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[start : start + 200_000])) for c in columns], names=["h1", "h2", "at", "th", "start", "stop"])
+        lengths = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
+        for first, last in slices(lengths, 2_000_000):
+            part = batch.slice(first, last - first)
+            at, th = part.column(0).to_numpy(), part.column(1).to_numpy()
+            rows, digests, sizes = [], [], []
+            for text in part.column(2):
+                words = [p.lower().split() for p in pieces(text.as_py() or "")]
+                lines = [" ".join(w) for w in words]
+                own = spans(words)
+                digests += [xxhash.xxh3_128_digest("\n".join(lines[a:b])) for a, b in own]
+                rows += own
+                sizes.append(len(own))
+            marks = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            ends = np.array(rows, np.int32).reshape(-1, 2)
+            columns = [marks[:, 0], marks[:, 1], np.repeat(at, sizes), np.repeat(th, sizes), ends[:, 0], ends[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["h1", "h2", "at", "th", "start", "stop"])
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
