@@ -1 +1 @@
-
+"""Operators on relations: DataFrames in, lazy DataFrames out."""
