@@ -45,6 +45,7 @@ def nearest_container(nodes: DataFrame) -> DataFrame:
 
 def collapse_chains(nodes: DataFrame, ratio: float = 0.95) -> DataFrame:
     """id, rep: nodes joined with their nearest container of nearly their size; the largest stays."""
+    nodes = nodes.select("id", "lo", "hi", "size")
     links = nearest_container(nodes).where(F.col("size") >= ratio * F.col("size2"))
     joined = components(links.select(F.col("id").alias("a"), F.col("up").alias("b")))
     sized = nodes.join(joined, F.col("id") == F.col("node"), "left").select("id", "size", F.coalesce("component", "id").alias("component"), (F.col("hi") - F.col("lo")).alias("width"))
