@@ -93,7 +93,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra)
     found = named.select("at", "th", "text").mapInArrow(_hashed, "h1 long, h2 long, at long, th long, start int, stop int")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "th", "start")).alias("first"), F.max(F.struct("at", "th", "start")).alias("last")).where("first != last").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where(F.struct("at", "th", "start") != F.col("first"))
+    # a join key of its own: the join shuffles both sides by it, so a hot span is split at run time
+    key = F.xxhash64("h1", "h2").alias("key")
+    later = found.select(key, "*").join(first.select(key, "*"), ["key", "h1", "h2"]).where(F.struct("at", "th", "start") != F.col("first"))
     gone = later.groupBy("at", "th").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     both = named.join(gone.select(F.col("at").alias("at2"), F.col("th").alias("th2"), "gone"), (F.col("at") == F.col("at2")) & (F.col("th") == F.col("th2")), "left")
     kept = both.select("doc_id", "text", "gone", *extra)
