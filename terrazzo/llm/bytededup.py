@@ -276,6 +276,7 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     parts = max(n_partitions(docs), shards)
     induced = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_induced, "doc long, start long, stop long")
     gone = met.where("gram is null").select("doc", "start", "stop").union(induced).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return named.join(gone, "doc", "left").select("doc_id", "text", "gone").mapInArrow(lambda batches: _cut(batches, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    # the same two columns by the same key as in the join above, so the texts are shuffled once for both
+    rows = slim.join(gone, "doc", "left").select(F.when(F.col("doc") != _LAST, F.col("doc")).cast(kind).alias("doc_id"), "text", "gone")
+    return rows.mapInArrow(lambda batches: _cut(batches, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
