@@ -37,8 +37,8 @@ SPAN = 100
 GRAM = 40
 #: Bytes of text whose anchors share a shard, on average, and bytes of contexts in one suffix array.
 SHARD_BYTES = 24_000_000
-BLOCK_BYTES = 1_500_000
-CHUNK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
+CHUNK_BYTES = 1_000_000
 _LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}

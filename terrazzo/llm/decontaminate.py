@@ -91,6 +91,9 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pipeline form: the rows of `docs` that contain no item; columns stay as they are."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    """Pipeline form: the rows of `docs` that contain no item; columns stay as they are.
+
+    A row without an id can't be named by a match and stays.
+    """
+    bad = contaminated(docs, items).select(F.col("doc_id").alias("__bad_id")).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti")

@@ -59,14 +59,17 @@ SKELETONS = (
     "<body><div class='{0}'><ul>{li}</ul></div><div class='{1}'>{h}{p}</div><div class='{0}'><ul>{li}</ul></div><div class='{0}'>{b}</div></body>",
     "<body><nav class='{0}'><ul>{li}</ul></nav><article class='{1}'>{h}{p}<div class='share {0}'>{li}</div><aside class='{0}'>{b}</aside>{p}<div class='newsletter-signup {0}'><form>{b}</form></div></article><div id='comments' class='{0}'>{c}</div><footer class='{0}'>{b}</footer></body>",
     "<body><table><tr><td class='{0}'>{li}</td><td class='{1}'>{h}{p}</td></tr></table><div class='{0}'>{b}</div></body>",
+    "<body><div class='topbar {0}'>{b}</div><div id='sidebar' class='{0}'><h3>{t2}</h3><ul>{li}</ul><h3>{t2}</h3>{b}</div><div class='entry {1}'>{h}{p}</div><div class='comments {0}'><h2>{t2}</h2>{c}</div></body>",
     "<body><article class='{1}'><header>{h}</header>{p}<section>{p}</section><footer class='{0}'>{b}</footer></article><section class='{0} comments'>{c}</section><div class='popup {0}'>{b}</div></body>",
 )
+#: Pages that are nothing but main text.
+BARE = ("<html><body>{h}{p}</body></html>", "{p}", "<div>{p}</div>", "{t}", "<body>{t}</body>")
 #: Tokens that no feature looks at; they carry the labels of the skeletons.
 DROP, KEEP = "zzdrop", "zzkeep"
 
 
-def known_label(run: Node) -> int | None:
-    """1 or 0 where the page itself says what a text run is, else None."""
+def known_label(run: Node, otherwise: int | None = None) -> int | None:
+    """1 or 0 where the page itself says what a text run is, else `otherwise`."""
     main = False
     node = run.parent
     while node is not None:
@@ -79,7 +82,7 @@ def known_label(run: Node) -> int | None:
             return 0
         main = main or node.tag in MAIN_TAGS
         node = node.parent
-    return 1 if main else None
+    return 1 if main else otherwise
 
 
 def _above(node: Node, tags):
@@ -137,13 +140,13 @@ def features(nodes: list[Node]) -> np.ndarray:
     return out
 
 
-def labels(nodes: list[Node]) -> np.ndarray:
+def labels(nodes: list[Node], otherwise: int | None = None) -> np.ndarray:
     """1, 0 or -1 (unknown) for every node: a block holds main text if any run below it does."""
     at = {id(v): i for i, v in enumerate(nodes)}
     out = np.full(len(nodes), -1)
     for i in range(len(nodes) - 1, -1, -1):
         if nodes[i].tag == "#text":
-            known = known_label(nodes[i])
+            known = known_label(nodes[i], otherwise)
             out[i] = -1 if known is None else known
         if i and out[i] >= 0:
             up = at[id(nodes[i].parent)]
@@ -151,7 +154,7 @@ def labels(nodes: list[Node]) -> np.ndarray:
     return out
 
 
-def _laid_out(pages: list[list[Node]], seed: int) -> list[str]:
+def _laid_out(pages: list[list[Node]], seed: int, skeletons: tuple[str, ...] = SKELETONS) -> list[str]:
     """The known parts of the pages in other skeletons."""
     rng = random.Random(seed)
     main, rest = [], []
@@ -170,13 +173,13 @@ def _laid_out(pages: list[list[Node]], seed: int) -> list[str]:
 
     made, brief = [], short(rng.sample(main, min(len(main), 400)))
     for _ in range(len(pages)):
-        skeleton = rng.choice(SKELETONS)
+        skeleton = rng.choice(skeletons)
         while "{" in skeleton:
             for key, text in (("{0}", DROP), ("{1}", KEEP)):
                 skeleton = skeleton.replace(key, text)
-            for key in ("{h}", "{p}", "{b}", "{li}", "{c}"):
+            for key in ("{h}", "{p}", "{b}", "{li}", "{c}", "{t}", "{t2}"):
                 if key in skeleton:
-                    part = {"{h}": lambda: some(brief, 1, 1, "<h1>{}</h1>"), "{p}": lambda: some(main, 1, 9, "<p>{}</p>"), "{b}": lambda: some(rest + brief[:40], 1, 3, rng.choice(["<p>{}</p>", "<div>{}</div>", "{} "])), "{li}": lambda: some(short(rest[:200]), 3, 9, "<li><a href='#'>{}</a></li>"), "{c}": lambda: some(brief, 1, 6, rng.choice(["<div class='comment'><p>{}</p></div>", "<p>{}</p>", "<li>{}</li>"]))}[key]()
+                    part = {"{t}": lambda: rng.choice(main), "{t2}": lambda: " ".join(rng.choice(rest).split()[:3]), "{h}": lambda: some(brief, 1, 1, "<h1>{}</h1>"), "{p}": lambda: some(main, 1, 9, "<p>{}</p>"), "{b}": lambda: some(rest + brief[:40], 1, 3, rng.choice(["<p>{}</p>", "<div>{}</div>", "{} "])), "{li}": lambda: some(short(rest[:200]), 3, 9, "<li><a href='#'>{}</a></li>"), "{c}": lambda: some(brief, 1, 6, rng.choice(["<div class='comment'><p>{}</p></div>", "<p>{}</p>", "<li>{}</li>"]))}[key]()
                     skeleton = skeleton.replace(key, part.replace("{", "(").replace("}", ")"), 1)
         made.append(skeleton)
     return made
@@ -189,10 +192,11 @@ def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Boo
     share = min(1.0, 1.3 * TRAIN_PAGES / max(1, total))
     sample = usable.where((F.pmod(F.xxhash64("i", F.lit(8)), F.lit(1_000_000)) < share * 1e6) & (F.length("h") <= TRAIN_CHARS)).orderBy(F.xxhash64("i", F.lit(8)), "i", "h").limit(TRAIN_PAGES)
     trees = [walk(parse(r["h"])) for r in sample.select("h", "i").toLocalIterator()]
-    trees += [walk(parse(h)) for h in _laid_out(trees, 8)]
+    pages_known = [(t, None) for t in trees] + [(walk(parse(h)), None) for h in _laid_out(trees, 8)]
+    pages_known += [(walk(parse(h)), 1) for h in _laid_out(trees[: len(trees) // 5 + 1], 9, BARE)]
     x, y = [], []
-    for nodes in trees:
-        known = labels(nodes)
+    for nodes, otherwise in pages_known:
+        known = labels(nodes, otherwise)
         if (known >= 0).any():
             x.append(features(nodes)[known >= 0])
             y.append(known[known >= 0])

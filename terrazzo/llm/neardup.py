@@ -159,6 +159,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """Pipeline form: the rows of `docs`, one document of each group (the least id); columns stay."""
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
     return rows.unionByName(docs.where("doc_id is null"))

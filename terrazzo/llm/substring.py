@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrazzo.llm.common import slices
 
@@ -88,9 +89,12 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["h1", "h2", "at", "th", "start", "stop"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (what is left), n_sentences, n_removed and the columns named in `extra`, of every row."""
-    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra)
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: bool = False) -> DataFrame:
+    """doc_id, text (what is left), n_sentences, n_removed of every row and, if `carry`, row: a
+    struct of the other columns, whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)] if carry else []
+    row = [F.struct(*others).alias("row")] if others else []
+    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
     found = named.select("at", "th", "text").mapInArrow(_hashed, "h1 long, h2 long, at long, th long, start int, stop int")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "th", "start")).alias("first"), F.max(F.struct("at", "th", "start")).alias("last")).where("first != last").select("h1", "h2", "first")
     # a join key of its own: the join shuffles both sides by it, so a hot span is split at run time
@@ -98,8 +102,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     later = found.select(key, "*").join(first.select(key, "*"), ["key", "h1", "h2"]).where(F.struct("at", "th", "start") != F.col("first"))
     gone = later.groupBy("at", "th").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     both = named.join(gone.select(F.col("at").alias("at2"), F.col("th").alias("th2"), "gone"), (F.col("at") == F.col("at2")) & (F.col("th") == F.col("th2")), "left")
-    kept = both.select("doc_id", "text", "gone", *extra)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("gone").schema)
+    kept = both.select("doc_id", "text", "gone", *["row"] * len(row))
 
     def cut(batches):
         for batch in batches:
@@ -110,16 +113,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 drop = {i for r in ranges or () for i in range(r["start"], r["stop"])}
                 removed.append(len(drop))
                 texts.append("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text)
-            columns = [batch.column(0), pa.array(texts, pa.string()), *[batch.column(3 + i) for i in range(len(extra))], pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", *extra, "n_sentences", "n_removed"])
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *[batch.column(3)] * len(row)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_sentences", "n_removed"] + ["row"] * len(row))
 
-    return kept.mapInArrow(cut, f"{schema}, n_sentences long, n_removed long")
+    schema = T.StructType([kept.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())] + [kept.schema["row"]] * len(row))
+    return kept.mapInArrow(cut, schema)
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline form: `docs` with repeated sentences gone and n_chars made to fit; no row goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = remove_repeats(docs, extra=others)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    out = remove_repeats(docs, carry=True)
+    columns = []
+    for field in docs.schema:
+        if field.name in ("doc_id", "text"):
+            column = F.col(field.name)
+        elif field.name == "n_chars":
+            column = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row").getField("n_chars")).cast(field.dataType)
+        else:
+            column = F.col("row").getField(field.name)
+        columns.append(column.alias(field.name))
+    return out.select(columns)

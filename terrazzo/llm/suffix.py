@@ -102,6 +102,7 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     stop[lms] = np.concatenate([lms[1:], [n - 1]]) + 1
     length = stop[ordered] - ordered
     mark = (total[stop[ordered]] - total[ordered]) * back[ordered]
+    del power, back, total, sa, is_lms
     fresh = np.concatenate([[True], (mark[1:] != mark[:-1]) | (length[1:] != length[:-1])])
     names = np.cumsum(fresh) - 1
     if names[-1] + 1 < len(lms):
