@@ -199,7 +199,7 @@ def repeated_starts(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     t[begin[1:] - 1] = 1
     sa = suffix_array(t, SPAN)
-    lcp = permuted_lcp(t, sa, 2 * SPAN + 2 * (SPAN - GRAM) + 8)
+    lcp = permuted_lcp(t, sa, 2 * SPAN + 2 * (SPAN - GRAM) + 8, begin)
     owned = np.zeros(len(t), bool)
     context = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([begin, [len(t) + 1]])))[: len(t)]
     inside = np.arange(len(t)) - begin[context]

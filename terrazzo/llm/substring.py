@@ -94,6 +94,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     struct of the other columns, whatever their names."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)] if carry else []
     row = [F.struct(*others).alias("row")] if others else []
+    carried = len(row)  # functions for executors can't hold columns
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
     found = named.select("at", "th", "text").mapInArrow(_hashed, "h1 long, h2 long, at long, th long, start int, stop int")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "th", "start")).alias("first"), F.max(F.struct("at", "th", "start")).alias("last")).where("first != last").select("h1", "h2", "first")
@@ -102,7 +103,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     later = found.select(key, "*").join(first.select(key, "*"), ["key", "h1", "h2"]).where(F.struct("at", "th", "start") != F.col("first"))
     gone = later.groupBy("at", "th").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     both = named.join(gone.select(F.col("at").alias("at2"), F.col("th").alias("th2"), "gone"), (F.col("at") == F.col("at2")) & (F.col("th") == F.col("th2")), "left")
-    kept = both.select("doc_id", "text", "gone", *["row"] * len(row))
+    kept = both.select("doc_id", "text", "gone", *["row"] * carried)
 
     def cut(batches):
         for batch in batches:
@@ -113,10 +114,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 drop = {i for r in ranges or () for i in range(r["start"], r["stop"])}
                 removed.append(len(drop))
                 texts.append("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text)
-            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *[batch.column(3)] * len(row)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_sentences", "n_removed"] + ["row"] * len(row))
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *([batch.column(3)] if carried else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_sentences", "n_removed"] + ["row"] * carried)
 
-    schema = T.StructType([kept.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())] + [kept.schema["row"]] * len(row))
+    schema = T.StructType([kept.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())] + ([kept.schema["row"]] if carried else []))
     return kept.mapInArrow(cut, schema)
 
 

@@ -142,11 +142,12 @@ def _doubled(rank: np.ndarray, depth: int | None) -> np.ndarray:
         h *= 2
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, fresh: np.ndarray | None = None) -> np.ndarray:
     """For each text position, the common prefix of its suffix and the one before it in the array.
 
     Values below `cap` are exact; others are `cap` at least, less what a position lies behind the
-    irreducible one that it is reduced to. Only irreducible values are compared symbol by symbol.
+    irreducible one that it is reduced to. Only irreducible values are compared symbol by symbol;
+    `fresh` names positions that are compared in any case, so none lies far behind.
     """
     n = len(t)
     before = np.full(n, -1, np.int64)
@@ -159,6 +160,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     irreducible |= (i == 0) | (before == 0)
     inner = ~irreducible
     irreducible[inner] = t[i[inner] - 1] != t[before[inner] - 1]
+    if fresh is not None:
+        irreducible[fresh] = True
     at = np.flatnonzero(irreducible)
     value = np.zeros(len(at), np.int64)
     live = np.flatnonzero(before[at] >= 0)
