@@ -88,7 +88,7 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", to
             n_words, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 words = split(text) if text else []
-                cache.update((w, pieces.count(w.encode())) for w in set(words) - cache.keys())
+                cache.update([(w, pieces.count(w.encode())) for w in set(words) if w not in cache])
                 n_words.append(len(words))
                 n_tokens.append(sum(map(cache.__getitem__, words)))
                 if len(cache) > CACHE_WORDS:
