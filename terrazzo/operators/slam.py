@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,6 +95,32 @@ def damped(a: DataFrame, ep: float, lam: float) -> DataFrame:
     return a.withColumn("value", F.when(F.col("i") == F.col("j"), F.col("value") * (1 + lam) + ep).otherwise(F.col("value")))
 
 
+def damped_by(a: DataFrame, ep: float, damping: DataFrame) -> DataFrame:
+    """ep + each variable's own damping (i, damping) added to the diagonal."""
+    own = damping.select("i", "damping")
+    joined = a.join(own, "i", "left")
+    return joined.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("value") + ep + F.coalesce("damping", F.lit(0.0))).otherwise(F.col("value")).alias("value"))
+
+
+def raveled(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """i, j, value with scalar numbers: blocks(gi, gj, bi, bj, rows array<array<double>>) of groups
+    that lie one after the other; sizes(grp, rows_per_block, blocks), a row a group."""
+    offset = F.coalesce(F.sum(F.col("rows_per_block") * F.col("blocks")).over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sizes.withColumn("offset", offset).select("grp", "offset", "rows_per_block")
+    one = at.select(F.col("grp").alias("gi"), F.col("offset").alias("oi"), F.col("rows_per_block").alias("ri"))
+    two = at.select(F.col("grp").alias("gj"), F.col("offset").alias("oj"), F.col("rows_per_block").alias("rj"))
+    cells = blocks.select("gi", "gj", "bi", "bj", F.posexplode("rows").alias("r", "line")).select("gi", "gj", "bi", "bj", "r", F.posexplode("line").alias("c", "value"))
+    placed = cells.join(F.broadcast(one), "gi").join(F.broadcast(two), "gj")  # a row a group
+    return placed.select((F.col("oi") + F.col("bi") * F.col("ri") + F.col("r")).alias("i"), (F.col("oj") + F.col("bj") * F.col("rj") + F.col("c")).alias("j"), "value")
+
+
+def symmetric_lookup(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """a, b, value of wanted group pairs, from (a, b) or, transposed, from (b, a)."""
+    straight = blocks.select("a", "b", F.col("value").alias("v1"))
+    turned = blocks.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("value").alias("v2"))
+    return wanted.join(straight, ["a", "b"], "left").join(turned, ["a", "b"], "left").select("a", "b", F.coalesce("v1", "v2").alias("value"))
+
+
 def inverse_diagonal(a: DataFrame) -> DataFrame:
     return a.where("i = j").select("i", "j", (1 / F.when(F.col("value") != 0, F.col("value"))).alias("value"))
 

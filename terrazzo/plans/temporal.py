@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as geo
-from terrazzo.operators import metrics, slam, temporal
+from terrazzo.operators import metrics, poses, slam, temporal
 from terrazzo.operators.selection import per_scene
 from terrazzo.operators.spatial import distance2
 from terrazzo.plans import proxies as px
@@ -172,6 +172,23 @@ def factor_edges(spark, d):
     return per_scene(pairs, lambda p: slam.proximity_edges(p, int(max(p.i.max(), p.j.max())) + 1, 2, 20.0, 1, 200), "i long, j long")
 
 
+def merge_last_wins(spark, d):
+    """The last payload of each user and type."""
+    rows = px.stream(spark, d).withColumn("k", F.concat_ws("/", F.col("u").cast("string"), "event_type"))
+    return poses.merge_last(rows, "k", "t").select("k", "id", r("v", 6))
+
+
+def contiguous_frames(spark, d):
+    return poses.reindexed(px.stream(spark, d).where("event_type <> 'error'").withColumn("o", F.struct("t", "id")), "u", "o").select("u", "id", "index")
+
+
+def reprojection(spark, d):
+    """Pixels and disparities from values, seen from half a unit to the left and a little ahead."""
+    pose = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0.5, 0, 1, 0, 0, 0, 0, 1, -0.1, 0, 0, 0, 1)])
+    rows = px.stream(spark, d).select("id", (F.col("id") % 64).cast("double").alias("u"), (F.col("u") % 48).cast("double").alias("v"), (F.abs("v") / 10 + 0.01).alias("disparity"), pose.alias("relative"))
+    return poses.reproject(rows, (60.0, 60.0, 32.0, 24.0)).select("id", F.round("u2", 6).alias("u2"), F.round("v2", 6).alias("v2"), F.round("d2", 6).alias("d2"), "valid")
+
+
 def frame_distance(spark, d):
     rows = px.stream(spark, d).select((F.col("u") % 20).alias("i"), ((F.col("u") / 20).cast("long") % 20).alias("j"), F.col("v").alias("full"), (F.col("v") / 2).alias("shift"), (F.col("event_type") != "error").alias("valid"))
     return slam.frame_distances(rows).select("i", "j", r("dist", 6))
@@ -222,6 +239,10 @@ n(op) AS (VALUES ('union'), ('intersect'), ('minus'), ('reverse')) SELECT n.op,
     "neighbourhood_edges": f"WITH {ORDERED} SELECT a.u, a.n - 1 AS i, b.n - 1 AS j FROM o a JOIN o b ON a.u = b.u AND b.n - a.n BETWEEN -2 AND 2 AND a.n <> b.n",
     "proximity_order": f"""WITH {px.POINTS}, e AS (SELECT p.id AS i, q.id AS j, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS dist FROM points p JOIN points q ON q.id - p.id BETWEEN 1 AND 3)
 SELECT i, j, CAST(row_number() OVER (PARTITION BY i % 16 ORDER BY round_even(dist / 1e-3::DOUBLE, 0), i * 1000000 + j) AS INTEGER) AS place FROM e""",
+    "merge_last_wins": f"WITH {px.STREAM} SELECT concat_ws('/', CAST(u AS VARCHAR), event_type) AS k, arg_max(id, (t, id)) AS id, round(arg_max(v, (t, id)), 6) AS v FROM stream GROUP BY 1",
+    "contiguous_frames": f"WITH {px.STREAM} SELECT u, id, row_number() OVER (PARTITION BY u ORDER BY t, id) - 1 AS index FROM stream WHERE event_type <> 'error'",
+    "reprojection": f"""WITH {px.STREAM}, p AS (SELECT id, (CAST(id % 64 AS DOUBLE) - 32) / 60 AS x, (CAST(u % 48 AS DOUBLE) - 24) / 60 AS y, abs(v) / 10 + 0.01 AS d FROM stream), m AS (SELECT id, x + 0.5 * d AS x, y, 1 - 0.1 * d AS z, d FROM p), s AS (SELECT *, CASE WHEN z < 0.1 THEN 1.0::DOUBLE ELSE z END AS q FROM m)
+SELECT id, round(60 * (x / q) + 32, 6) AS u2, round(60 * (y / q) + 24, 6) AS v2, round(d / q, 6) AS d2, z > 0.1 AS valid FROM s""",
     "frame_distance": f"""WITH {px.STREAM}, f AS (SELECT u % 20 AS i, (u // 20) % 20 AS j, event_type <> 'error' AS ok, 0.3::DOUBLE * v + 0.7::DOUBLE * (v / 2) AS flow FROM stream),
 g AS (SELECT i, j, CASE WHEN avg(CAST(ok AS DOUBLE)) < 0.75 THEN 1000.0 ELSE avg(CASE WHEN ok THEN flow END) END AS d FROM f GROUP BY 1, 2) SELECT g.i, g.j, round((g.d + coalesce(h.d, g.d)) / 2, 6) AS dist FROM g LEFT JOIN g h ON h.i = g.j AND h.j = g.i""",
 }
