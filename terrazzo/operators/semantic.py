@@ -63,7 +63,8 @@ def principal_colors(field: DataFrame, vector: str = "e", most: int = 100_000, s
 
     rows = field.where(observed(F.col(vector)))
     share = min(1.0, most / max(1, rows.count()))
-    sample = np.array([r[0] for r in rows.where(F.rand(seed) < share).select(vector).toLocalIterator()], float) if share < 1 else np.array([r[0] for r in rows.select(vector).toLocalIterator()], float)
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    sample = np.array([r[0] for r in chosen.orderBy("id").select(vector).toLocalIterator()], float)
     mean = sample.mean(axis=0)
     _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
     axes = axes[:3] * np.sign(axes[:3][np.arange(len(axes[:3])), np.abs(axes[:3]).argmax(axis=1)])[:, None]

@@ -53,6 +53,21 @@ def frame_chunks(frames: DataFrame, size: int = 8) -> DataFrame:
     return frames.select("scene", "frame", "last").groupBy("scene").applyInPandasWithState(collect, "scene long, chunk long, frames array<long>, first_id long", "held array<long>, chunk long, given long", "append", GroupStateTimeout.NoTimeout)
 
 
+def aged_edges(updates: DataFrame, most: int = 25) -> DataFrame:
+    """scene, edges after each batch of updates(scene, edge): an edge's age grows by one with every
+    batch of its scene that doesn't name it, and edges older than `most` go."""
+
+    def age(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ages = dict(zip(*state.get)) if state.exists else {}
+        named = set(pd.concat(list(batches)).edge.tolist())
+        ages = {e: 0 if e in named else a + 1 for e, a in ages.items()} | {e: 0 for e in named}
+        ages = {e: a for e, a in sorted(ages.items()) if a <= most}
+        state.update((list(ages), list(ages.values())))
+        yield pd.DataFrame({"scene": [key[0]], "edges": [list(ages)]})
+
+    return updates.select("scene", "edge").groupBy("scene").applyInPandasWithState(age, "scene long, edges array<long>", "edge array<long>, age array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
 def running_means(samples: DataFrame, *keys: str, value: str = "v") -> DataFrame:
     """Sum, weight and mean of each key so far (for update or complete mode)."""
     return samples.groupBy(*keys).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("weight"), F.avg(value).alias("mean"))

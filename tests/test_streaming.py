@@ -39,6 +39,11 @@ def test_chunks_flush_at_the_end(spark, tmp_path):
     assert [(r["chunk"], r["frames"], r["first_id"]) for r in sorted(got, key=lambda r: r["chunk"])] == [(0, [0, 1, 2, 3], 0), (1, [4, 5, 6, 7], 4), (2, [8, 9, 10], 8)]
 
 
+def test_edges_age_and_go(spark, tmp_path):
+    got = play(spark, tmp_path, [[(0, 1), (0, 2)], [(0, 2)], [(0, 3)]], "scene long, edge long", lambda df: stateful.aged_edges(df, 1), "update")
+    assert [sorted(r["edges"]) for r in got] == [[1, 2], [1, 2], [2, 3]]
+
+
 def test_running_means(spark, tmp_path):
     got = play(spark, tmp_path, [[(1, 2.0), (2, 4.0)], [(1, 4.0)]], "g long, v double", lambda df: stateful.running_means(df, "g"), "complete")
     assert {(r["g"], r["mean"], r["weight"]) for r in got} >= {(1, 3.0, 2), (2, 4.0, 1)}
