@@ -27,7 +27,7 @@ from terrazzo.llm.langid import words_of
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
 MAX_WORDS = 20_000
-MIN_Z = 4.0
+MIN_Z = 5.0
 THRESHOLD = 0.7
 
 
@@ -36,7 +36,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(crc_mod(doc_id, 3) == 1, F.lit(False))
 
 
-def fit_nnpu(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: float, steps: int = 1000, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier, by Adam on the non-negative risk.
 
     p, u: for each text the numbers of the features that it has.
