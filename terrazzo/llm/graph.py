@@ -12,6 +12,13 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with their node's least neighbour. The key of its own makes the join shuffle both
+    sides, so adaptive execution can split a node with very many edges."""
+    key = F.xxhash64("u").alias("key")
+    return edges.select(key, "u", "v").join(least.select(key, "u", "m"), ["key", "u"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, component (the least node reachable) of every node that has an edge.
 
@@ -28,9 +35,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = _with_least(both.where("v > u"), least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _with_least(edges, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _fingerprint(edges)
         if after == before:
