@@ -38,8 +38,10 @@ def duck():
 
 def rows_of(df) -> list[tuple]:
     """Rows as comparable tuples, columns by name, floats rounded, nulls and NaN alike."""
+    import pandas as pd
+
     def plain(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return (0, "")
         if isinstance(v, bool):
             return (1, float(v))
