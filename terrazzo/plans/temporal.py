@@ -99,10 +99,10 @@ def voxel_running_mean(spark, d):
 
 
 def scatter_reductions(spark, d):
-    """Sum, mean, floor mean of integers, min, max and their arguments by index; ties to the lowest id."""
+    """Sum, product, mean, floor mean of integers, min, max and their arguments by index; ties to the lowest id."""
     rows = px.stream(spark, d)
     key = F.struct(F.col("v"), -F.col("id"))
-    return rows.groupBy("u").agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.floor(F.sum("id") / F.count("id")).alias("id_mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.min(F.struct("v", "id"))["id"].alias("argmin"), (-F.max(key)["col2"]).alias("argmax"))
+    return rows.groupBy("u").agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.product(1 + F.col("v") / 1e6), 6).alias("product"), F.round(F.avg("v"), 6).alias("mean"), F.floor(F.sum("id") / F.count("id")).alias("id_mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.min(F.struct("v", "id"))["id"].alias("argmin"), (-F.max(key)["col2"]).alias("argmax"))
 
 
 def _errors(spark, d) -> DataFrame:
@@ -222,7 +222,7 @@ SELECT u, n_gaps, round(threshold, 6) AS threshold, CAST(sum(CAST(gap > threshol
 SELECT *, CAST(coalesce(sum(seeds) OVER (PARTITION BY u ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_id FROM c""",
     "factor_age_budget": f"WITH {px.STREAM}, a AS (SELECT u, id, row_number() OVER (PARTITION BY u, event_type ORDER BY t DESC, id DESC) - 1 AS age FROM stream) SELECT id FROM a QUALIFY row_number() OVER (PARTITION BY u ORDER BY age, id) <= 6",
     "voxel_running_mean": f"WITH {px.STREAM} SELECT CAST(floor(t / {HOURS}) AS BIGINT) AS hour, round(avg(v), 6) AS tsdf, CAST(count(*) AS BIGINT) AS weight FROM stream GROUP BY 1",
-    "scatter_reductions": f"WITH {px.STREAM} SELECT u, round(sum(v), 6) AS total, round(avg(v), 6) AS mean, CAST(floor(sum(id) / count(id)) AS BIGINT) AS id_mean, min(v) AS low, max(v) AS high, arg_min(id, (v, id)) AS argmin, arg_max(id, (v, -id)) AS argmax FROM stream GROUP BY 1",
+    "scatter_reductions": f"WITH {px.STREAM} SELECT u, round(sum(v), 6) AS total, round(product(1 + v / 1e6), 6) AS product, round(avg(v), 6) AS mean, CAST(floor(sum(id) / count(id)) AS BIGINT) AS id_mean, min(v) AS low, max(v) AS high, arg_min(id, (v, id)) AS argmin, arg_max(id, (v, -id)) AS argmax FROM stream GROUP BY 1",
     "pose_auc_hist": f"""WITH {px.STREAM}, e AS (SELECT abs(a.v - b.v) AS e FROM stream a JOIN stream b ON a.u = b.u AND a.id < b.id), t(threshold) AS (VALUES (30), (15), (5), (3)),
 h AS (SELECT threshold, least(CAST(floor(e) AS INTEGER), threshold - 1) AS slot, count(*) AS c FROM e, t WHERE e <= threshold GROUP BY 1, 2), s AS (SELECT threshold, slot FROM t, range(0, 30) r(slot) WHERE slot < threshold),
 c AS (SELECT s.threshold, sum(coalesce(c, 0)) OVER (PARTITION BY s.threshold ORDER BY s.slot) AS cum FROM s LEFT JOIN h ON h.threshold = s.threshold AND h.slot = s.slot)
