@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import materialise, mix64, n_partitions, slices
+from terrazzo.llm.common import materialise, mix64, n_partitions, slices, small_batches
 from terrazzo.llm.suffix import permuted_lcp, suffix_array
 
 SPAN = 100
@@ -266,7 +266,7 @@ def _cut(batches, keep_text: bool):
 
 def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes left, of every row."""
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
+    slim = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(n_partitions(docs), -(-total // SHARD_BYTES))
     packed = slim.mapInArrow(lambda batches: _anchored(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in PACKED))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm.boost import BoostedTrees
+from terrazzo.llm.common import small_batches
 from terrazzo.llm.dom import Node, parse, render, walk
 
 TRAIN_PAGES = 300
@@ -264,4 +265,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return small_batches(pages).select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import crc_mod
+from terrazzo.llm.common import crc_mod, small_batches
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
@@ -67,7 +67,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     The model holds at most `model_units` units over all languages and orders, so what is sent to
     the executors has a bound that doesn't grow with the corpus.
     """
-    labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    labelled = small_batches(docs).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     per_lang = {r["l"]: r["c"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("c")).collect()}
     langs = sorted(per_lang)
     if not langs:
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -186,4 +186,4 @@ def reject_unknown(docs: DataFrame, at_least: float = 0.0) -> DataFrame:
             found, sure = scorer.scores(batch.column(at).to_pylist())
             yield batch.filter(pa.array([f != UNKNOWN and s >= at_least for f, s in zip(found, sure)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

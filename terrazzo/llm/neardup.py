@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import materialise, n_partitions, slices
+from terrazzo.llm.common import materialise, n_partitions, slices, small_batches
 from terrazzo.llm.graph import components
 from terrazzo.llm.sketch import WordIds, bands, joint_estimate, shingles, sketch
 
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     Two documents are linked when 100 * shared shingles >= percent * all shingles of both.
     """
     m = N_BANDS * rows_per_band(percent)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = materialise(slim.mapInArrow(lambda batches: _sketched(batches, width, m), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
     sets = known.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     keyed = sets.select("rep", "n_shingles", F.explode("bands").alias("key"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import n_partitions, tokenizer_file
+from terrazzo.llm.common import n_partitions, small_batches, tokenizer_file
 
 SEQUENCE = 2048
 END_ID = 1
@@ -157,6 +157,6 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if tokens:
             yield flush()
 
-    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(6)))
+    dealt = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(6)))
     dealt = dealt.repartition(partitions or n_partitions(docs), "h").sortWithinPartitions("h", "doc_id").select("doc_id", "text")
     return dealt.mapInArrow(pack, f"doc_id {kind.simpleString()}, {SCHEMA}" + ", ids array<int>" * with_ids)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrazzo.llm.common import slices
+from terrazzo.llm.common import slices, small_batches
 
 SENTENCES = 3
 MIN_WORDS = 12
@@ -95,7 +95,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)] if carry else []
     row = [F.struct(*others).alias("row")] if others else []
     carried = len(row)  # functions for executors can't hold columns
-    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
+    named = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
     found = named.select("at", "th", "text").mapInArrow(_hashed, "h1 long, h2 long, at long, th long, start int, stop int")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "th", "start")).alias("first"), F.max(F.struct("at", "th", "start")).alias("last")).where("first != last").select("h1", "h2", "first")
     # a join key of its own: the join shuffles both sides by it, so a hot span is split at run time

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import tokenizer_file
+from terrazzo.llm.common import small_batches, tokenizer_file
 
 CACHE_WORDS = 500_000
 
@@ -96,4 +96,4 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", to
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import crc_mod, materialise
+from terrazzo.llm.common import crc_mod, materialise, small_batches
 from terrazzo.llm.langid import words_of
 
 MAX_POSITIVE = 4000
@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         return {"weights": {}, "bias": -40.0}
     prior = min(0.5, max(0.001, counts["p"] / counts["n"]))
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("id", F.lit(4)), "id").limit(MAX_POSITIVE).select("id")
-    slim = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    slim = small_batches(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
     free = slim.where(crc_mod("id", 3) != 1)
     share = min(1.0, MAX_UNLABELLED / max(1, free.count()))
     # at most MAX_POSITIVE ids are broadcast
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -40, 40))), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
