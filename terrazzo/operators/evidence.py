@@ -113,7 +113,9 @@ def client_means(phis: DataFrame, tracks: DataFrame, eligible: DataFrame) -> Dat
     A mask without endorsement adds 0 above and 1 below; two masks in one frame count twice below.
     """
     top = phis.join(tracks, ["f", *MASK]).groupBy(*NODE, "track").agg(F.sum("phi").alias("total"))
-    seen = eligible.select(*NODE, "f").distinct().join(tracks.select("f", "track"), "f").groupBy(*NODE, "track").agg(F.count(F.lit(1)).alias("den"))
+    # only pairs that some mask endorses are looked up, frame by frame of their track
+    asked = top.select(*NODE, "track").join(tracks.select("track", "f"), "track")
+    seen = asked.join(eligible.select(*NODE, "f").distinct(), [*NODE, "f"]).groupBy(*NODE, "track").agg(F.count(F.lit(1)).alias("den"))
     return top.join(seen, [*NODE, "track"], "left").select(*NODE, "track", (F.col("total") / F.greatest(F.coalesce("den", F.lit(0)), F.lit(1))).alias("value"))
 
 
