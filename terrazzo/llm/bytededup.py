@@ -14,8 +14,10 @@ id, or further up in the same one. Matches never cross documents; strings are ju
    class the earliest start stays and every other start removes its string.
 4. Removed ranges meet their documents once more, and are cut.
 
-Nothing is capped: a gram that very many documents share takes 20 bytes a context in step 2, and a
-block of step 3 ends only between grams.
+A block of step 3 ends only between grams. A gram with more than HOT_CONTEXTS different contexts
+(the border of a passage that very many documents share) would make a block without bound, so its
+strings take an exact way of their own: each is hashed where its text is, repeats within a batch
+are settled there, and the firsts of the batches meet in shards by hash.
 
 Defined cases: a null text is empty; empty texts and those under SPAN bytes lose nothing. Rows of equal id and equal text are one document,
 each row with its result; an id with two different texts isn't supported. Null ids come last.
@@ -39,6 +41,8 @@ GRAM = 40
 SHARD_BYTES = 24_000_000
 BLOCK_BYTES = 1_000_000
 CHUNK_BYTES = 1_000_000
+#: More different contexts than this don't go into one suffix array.
+HOT_CONTEXTS = 4096
 _LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -124,9 +128,9 @@ def _anchored(batches, shards: int):
             yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int64())] + [pa.array([a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()) for a in arrays.values()], names=["shard", *PACKED])
 
 
-def _met(batches):
-    """Rows sorted by shard. Yields (doc, start, stop, place, gram): a removed range where gram is
-    null, else a context whose text is wanted in step 3."""
+def _met(batches, hot_contexts: int):
+    """Rows sorted by shard. Yields (doc, start, stop, gram, hot): a removed range where gram is
+    null, else a context whose text is wanted in step 3; hot if its gram has too many."""
     held, here = {k: [] for k in PACKED}, None
 
     def settled():
@@ -153,14 +157,15 @@ def _met(batches):
         stop = start + field["after"].astype(np.int64) + SPAN
         # a gram with one context is settled; one with several goes on with the first of each
         number = np.cumsum(new_gram) - 1
-        several = np.bincount(number, new) > 1
-        wanted = new & several[number]
+        contexts = np.bincount(number, new)
+        wanted = new & (contexts > 1)[number]
+        hot = (contexts > hot_contexts)[number]
         gone = ~new & ~twin
         for mask, with_gram in ((gone, False), (wanted, True)):
             at = np.flatnonzero(mask)
             for i in range(0, len(at), 100_000):
                 k = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(field["doc"][k]), pa.array(start[k]), pa.array(stop[k]), pa.array(field["place"][k]), pa.array(field["gram"][k].view(np.int64), mask=None if with_gram else np.ones(len(k), bool))], names=["doc", "start", "stop", "place", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(field["doc"][k]), pa.array(start[k]), pa.array(stop[k]), pa.array(field["gram"][k].view(np.int64), mask=None if with_gram else np.ones(len(k), bool)), pa.array(hot[k])], names=["doc", "start", "stop", "gram", "hot"])
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(len(PACKED) + 1)]
@@ -189,6 +194,81 @@ def _contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], names=["gram", "doc", "start", "text"])
 
 
+HASHED = {"key": "<u8", "gram": "<i8", "doc": "<i8", "start": "<i8"}
+
+
+def _firsts(field: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash and place, and in it which strings are the first of their kind and which repeat."""
+    order = np.lexsort((field["start"], field["doc"], field["gram"], field["key"]))
+    f = {k: v[order] for k, v in field.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (f["key"][1:] != f["key"][:-1]) | (f["gram"][1:] != f["gram"][:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+    again = ~new & ((f["doc"] != f["doc"][head]) | (f["start"] != f["start"][head]))
+    return order, new, again
+
+
+def _hot_hashed(batches, shards: int):
+    """(doc, text, wanted contexts) of hot grams -> (shard, HASHED as bytes) of each batch's first
+    strings, and with a null shard the removed ranges of the others."""
+
+    def packed(shard, fields):
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64())] + [pa.array(v, pa.binary()) for v in fields], names=["shard", *HASHED])
+
+    for batch in batches:
+        parts: dict[str, list] = {k: [] for k in HASHED}
+        for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            for w in wanted:
+                part = raw[w["start"] : w["stop"]].astype(np.uint64) + np.uint64(1)
+                up, down = _powers(len(part) + 1)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(part * up[:-1])])
+                n = len(part) - SPAN + 1
+                parts["key"].append(mix64((total[SPAN:] - total[:-SPAN]) * down[:n]))
+                parts["gram"].append(np.full(n, w["gram"], np.int64))
+                parts["doc"].append(np.full(n, doc, np.int64))
+                parts["start"].append(w["start"] + np.arange(n))
+        if not parts["key"]:
+            continue
+        field = {k: np.concatenate(v) for k, v in parts.items()}
+        order, new, again = _firsts(field)
+        doc, start, stop = _joined(field["doc"][order][again], field["start"][order][again])
+        yield packed([None], [[b""], [stop.astype("<i8").tobytes()], [doc.astype("<i8").tobytes()], [start.astype("<i8").tobytes()]])
+        first = order[new]
+        shard = (field["key"][first] % np.uint64(shards)).astype(np.int64)
+        first, shard = first[np.argsort(shard, kind="stable")], np.sort(shard)
+        cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+        arrays = [field[k][first].astype(t) for k, t in HASHED.items()]
+        yield packed(shard[cut[:-1]], [[a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for a in arrays])
+
+
+def _hot_met(batches):
+    """Rows sorted by shard -> removed ranges (doc, start, stop)."""
+    held, here = {k: [] for k in HASHED}, None
+
+    def ranges(doc, start, stop):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop)], names=["doc", "start", "stop"])
+
+    def settled():
+        field = {k: np.concatenate([np.frombuffer(b, t) for b in held[k]]) for k, t in HASHED.items()}
+        order, _, again = _firsts(field)
+        return ranges(*_joined(field["doc"][order][again], field["start"][order][again]))
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(len(HASHED) + 1))):
+            if row[0] is None:
+                yield ranges(*(np.frombuffer(row[i], "<i8") for i in (3, 4, 2)))
+                continue
+            if row[0] != here:
+                if here is not None:
+                    yield settled()
+                held, here = {k: [] for k in HASHED}, row[0]
+            for k, value in zip(HASHED, row[1:]):
+                held[k].append(value)
+    if here is not None:
+        yield settled()
+
+
 def repeated_starts(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of every string of SPAN bytes in these contexts that starts earlier in another.
 
@@ -264,18 +344,24 @@ def _cut(batches, keep_text: bool):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
 
-def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes left, of every row."""
     slim = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(n_partitions(docs), -(-total // SHARD_BYTES))
     packed = slim.mapInArrow(lambda batches: _anchored(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in PACKED))
-    met = materialise(packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_met, "doc long, start long, stop long, place long, gram long"))
-    wanted = met.where("gram is not null").groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "gram")).alias("wanted"))
-    contexts = slim.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_contexts, "gram long, doc long, start long, text binary")
+    met = materialise(packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _met(batches, hot_contexts), "doc long, start long, stop long, gram long, hot boolean"))
+    listed = F.collect_set(F.struct("start", "stop", "gram")).alias("wanted")
+    texts = lambda which: slim.join(met.where(which).groupBy("doc").agg(listed), "doc").select("doc", "text", "wanted")
     parts = max(n_partitions(docs), shards)
+    contexts = texts("gram is not null and not hot").mapInArrow(_contexts, "gram long, doc long, start long, text binary")
     induced = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_induced, "doc long, start long, stop long")
-    gone = met.where("gram is null").select("doc", "start", "stop").union(induced).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    removed = met.where("gram is null").select("doc", "start", "stop").union(induced)
+    if not met.where("hot and gram is not null").isEmpty():
+        hashed = texts("gram is not null and hot").mapInArrow(lambda batches: _hot_hashed(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in HASHED))
+        spread = F.coalesce("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)))
+        removed = removed.union(hashed.repartition(parts, spread).sortWithinPartitions("shard").mapInArrow(_hot_met, "doc long, start long, stop long"))
+    gone = removed.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     kind = docs.schema[doc_id].dataType.simpleString()
     # the same two columns by the same key as in the join above, so the texts are shuffled once for both
     rows = slim.join(gone, "doc", "left").select(F.when(F.col("doc") != _LAST, F.col("doc")).cast(kind).alias("doc_id"), "text", "gone")

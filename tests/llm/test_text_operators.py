@@ -138,6 +138,13 @@ def test_byte_dedup_by_definition(docs, rows):
     assert got == covered(rows)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_byte_dedup_of_hot_grams(docs, rows, most):
+    """Grams with many contexts are hashed string by string, with the same result."""
+    got = {r["doc_id"]: tuple(r)[1:5] for r in bytededup.remove_repeated_bytes(docs, hot_contexts=most).collect()}
+    assert got == covered(rows)
+
+
 def test_byte_dedup_over_chunks_and_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(bytededup, "CHUNK_BYTES", 700)
     monkeypatch.setattr(bytededup, "BLOCK_BYTES", 500)
