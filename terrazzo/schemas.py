@@ -26,9 +26,9 @@ MEMBERSHIP = _of(hyp_id=L, point_id=L)
 TSDF_VOXEL = _of(gx=L, gy=L, gz=L, tsdf=D, weight=D, r=D, g=D, b=D)
 METRIC = _of(scene=S, name=S, value=D)
 
-#: Format tags and JSON layouts of a scene's files (fixed values).
-SCENE_FORMAT = "vipe_rgbd_v1"
-INTRINSICS_FORMAT = "vipe_pinhole_intrinsics_v1"
+#: Format tags (fixed values after the writer's own name) and JSON layouts of a scene's files.
+SCENE_FORMAT = r"^\w+_rgbd_v1$"
+INTRINSICS_FORMAT = r"^\w+_pinhole_intrinsics_v1$"
 SCENE_JSON = _of(format=S, name=S, width=I, height=I, fps=D, frames=T.ArrayType(T.MapType(S, S)), source=T.MapType(S, S))
 INTRINSICS_JSON = _of(format=S, camera_model=S, width=I, height=I, fx=D, fy=D, cx=D, cy=D)
 SEGMENTS_JSON = _of(segIndices=T.ArrayType(L))

@@ -39,13 +39,13 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row a scene: its metadata and number of frames."""
     rows = spark.read.schema(schemas.SCENE_JSON).option("multiLine", "true").json(path)
-    rows = checked(rows, unknown_scene_format=F.col("format") == schemas.SCENE_FORMAT, fps_must_be_positive=F.col("fps") > 0, a_scene_needs_frames=F.size("frames") > 0)
+    rows = checked(rows, unknown_scene_format=F.col("format").rlike(schemas.SCENE_FORMAT), fps_must_be_positive=F.col("fps") > 0, a_scene_needs_frames=F.size("frames") > 0)
     return rows.withColumn("n_frames", F.size("frames"))
 
 
 def intrinsics(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schemas.INTRINSICS_JSON).option("multiLine", "true").json(path)
-    return checked(rows, unknown_intrinsics_format=F.col("format") == schemas.INTRINSICS_FORMAT, unknown_camera_model=F.col("camera_model") == "pinhole")
+    return checked(rows, unknown_intrinsics_format=F.col("format").rlike(schemas.INTRINSICS_FORMAT), unknown_camera_model=F.col("camera_model") == "pinhole")
 
 
 def frames(meta: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def test_pose_files_are_contiguous():
 
 
 def test_scene_folder(spark, tmp_path):
-    meta = {"format": "vipe_rgbd_v1", "name": "a", "width": 2, "height": 1, "fps": 5.0, "frames": [{"k": "0"}, {"k": "1"}]}
+    meta = {"format": "any_rgbd_v1", "name": "a", "width": 2, "height": 1, "fps": 5.0, "frames": [{"k": "0"}, {"k": "1"}]}
     (tmp_path / "metadata.json").write_text(json.dumps(meta, indent=1))
     rows = scenes.metadata(spark, str(tmp_path / "metadata.json"))
     frames = scenes.frames(rows)
