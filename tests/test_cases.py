@@ -269,6 +269,7 @@ def test_exchange_is_free_of_loss():
 def test_mixture_of_two_rates(spark):
     rows = [(9.0, 10.0)] * 30 + [(0.0, 10.0)] * 70
     same, other, share = ev.mixture(frame(spark, rows, "k double, n double"))
+    assert ev.mixture(frame(spark, rows, "k double, n double"), 5, in_driver=0) == pytest.approx(ev.mixture(frame(spark, rows, "k double, n double"), 5))
     assert same == pytest.approx(0.9, abs=0.02) and other < 0.01 and share == pytest.approx(0.3, abs=0.02)
 
 
