@@ -73,8 +73,7 @@ def node_evidence(members: DataFrame, leaf_i: DataFrame, leaf_n: DataFrame, leas
     ancestor of an atom, so sums up the tree are group-bys.
     """
     n = members.join(leaf_n, "atom").groupBy(*NODE, "f").agg(F.sum("n").alias("n"))
-    size = n.groupBy(*NODE).agg(F.sum("n").alias("size"))
-    seen = n.join(size, NODE).where(F.col("n") >= F.greatest(F.lit(float(least)), F.col("size") * share))
+    seen = n.withColumn("size", F.sum("n").over(Window.partitionBy(*NODE))).where(F.col("n") >= F.greatest(F.lit(float(least)), F.col("size") * share))
     i = members.join(leaf_i, "atom").groupBy(*NODE, "f", *MASK).agg(F.sum("cnt").alias("i"))
     q = leaf_i.groupBy("f", *MASK).agg(F.sum("cnt").alias("q"))
     return i.join(seen, [*NODE, "f"]).join(q, ["f", *MASK])
