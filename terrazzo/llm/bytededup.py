@@ -7,7 +7,7 @@ id, or further up in the same one. Matches never cross documents; strings are ju
    tied), so equal strings own equal grams at equal places. The strings of consecutive starts that
    own one gram make a context. Anchors go to shards by the gram's hash, packed into arrays.
 2. In its shard, a gram that occurs once is dropped: no string over it repeats. Contexts that are
-   equal as a whole are one: all but the first are removed at once. What is left are grams with
+   equal as a whole (by 128 bits of two hashes) are one: all but the first are removed at once. What is left are grams with
    several different contexts, at the borders of what repeats.
 3. The texts of those contexts meet by gram, in blocks of bounded size. Each block's suffix array is
    induced, and permuted common prefixes of SPAN or more join its suffixes into classes; in each
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +103,9 @@ def _chunks(raw: bytes):
         start += CHUNK_BYTES - SPAN + 1
 
 
-PACKED = ("doc", "place", "before", "after", "gram", "whole")
-_TYPES = {"doc": "<i8", "place": "<i8", "before": "u1", "after": "u1", "gram": "<u8", "whole": "<u4"}
+PACKED = ("doc", "place", "before", "after", "gram", "whole", "digest")
+#: A text has under 2^31 bytes.
+_TYPES = {"doc": "<i8", "place": "<u4", "before": "u1", "after": "u1", "gram": "<u8", "whole": "<u8", "digest": "<u8"}
 
 
 def _anchored(batches, shards: int):
@@ -113,13 +115,15 @@ def _anchored(batches, shards: int):
         parts = [(int(d), at, b) for d, t in zip(docs, texts) if t for raw in [t.encode()] if len(raw) >= SPAN for at, b in _chunks(raw)]
         for start, stop in slices([len(p[2]) for p in parts], CHUNK_BYTES):
             some = parts[start:stop]
-            data = np.frombuffer(b"".join(p[2] for p in some), np.uint8)
+            raw = b"".join(p[2] for p in some)
+            data = np.frombuffer(raw, np.uint8)
             size = np.array([len(p[2]) for p in some])
             ends = np.cumsum(size)
             place, first, last, gram, whole = anchors(data, ends)
+            digest = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), (last + SPAN).tolist())], np.uint64)
             part = np.searchsorted(ends, place, side="right")
             shift = np.array([p[1] for p in some]) - (ends - size)
-            fields = {"doc": np.array([p[0] for p in some])[part], "place": place + shift[part], "before": place - first, "after": last - first, "gram": gram, "whole": whole}
+            fields = {"doc": np.array([p[0] for p in some])[part], "place": place + shift[part], "before": place - first, "after": last - first, "gram": gram, "whole": whole, "digest": digest}
             shard = (gram % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             shard = shard[order]
@@ -142,18 +146,18 @@ def _met(batches, hot_contexts: int):
         multiple[1:] |= same
         multiple[:-1] |= same
         field = {k: v[order[multiple]] for k, v in field.items()}
-        order = np.lexsort((field["place"], field["doc"], field["whole"], field["after"], field["before"], field["gram"]))
+        order = np.lexsort((field["place"], field["doc"], field["digest"], field["whole"], field["after"], field["before"], field["gram"]))
         field = {k: v[order] for k, v in field.items()}
         n = len(order)
         if not n:
             return
         new_gram = np.concatenate([[True], field["gram"][1:] != field["gram"][:-1]])
         new = new_gram.copy()
-        for k in ("before", "after", "whole"):
+        for k in ("before", "after", "whole", "digest"):
             new[1:] |= field[k][1:] != field[k][:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         twin = ~new & (field["doc"] == field["doc"][head]) & (field["place"] == field["place"][head])
-        start = field["place"] - field["before"].astype(np.int64)
+        start = field["place"].astype(np.int64) - field["before"].astype(np.int64)
         stop = start + field["after"].astype(np.int64) + SPAN
         # a gram with one context is settled; one with several goes on with the first of each
         number = np.cumsum(new_gram) - 1

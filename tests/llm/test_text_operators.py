@@ -166,6 +166,16 @@ def test_byte_dedup_of_odd_tables(spark, none):
     assert got == {(4, 180, alone), (None, 180, 180), (2, 0, 0)}
 
 
+def test_byte_dedup_tells_contexts_of_near_hashes_apart(spark):
+    """Two contexts of one gram whose hashes agree in 32 bits, and no string of 100 bytes that repeats."""
+    part = lambda s, n: hashlib.sha256(s.encode()).hexdigest()[:n]
+    rows = [(i, part(f"a{i}", 60) + part("g775", 40) + part(f"b{i}", 60), None, None, 160) for i in (18986, 42903)]
+    hashes = [bytededup.anchors(np.frombuffer(r[1].encode(), np.uint8), np.array([160]))[4] for r in rows]
+    assert hashes[0] != hashes[1] and hashes[0].astype("<u4") == hashes[1].astype("<u4")
+    found = bytededup.remove_repeated_bytes(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in found} == covered(rows)
+
+
 def test_substring_removal_keeps_the_first(spark, docs, rows):
     got = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
     first, want = {}, {}
