@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings with suffix arrays.
 
 A byte goes if it lies in a string of SPAN bytes that also starts earlier: in a document of smaller
-id, or further up in the same one. Matches never cross documents; strings are judged on the input.
+id (of smaller text hash, where ids are equal), or further up in the same one. Matches never cross documents; strings are judged on the input.
 
 1. Anchors. Each string of SPAN bytes owns the least of its GRAM-byte hashes (the leftmost, if
    tied), so equal strings own equal grams at equal places. The strings of consecutive starts that
@@ -19,8 +19,9 @@ A block of step 3 ends only between grams. A gram with more than HOT_CONTEXTS di
 strings take an exact way of their own: each is hashed where its text is, repeats within a batch
 are settled there, and the firsts of the batches meet in shards by hash.
 
-Defined cases: a null text is empty; empty texts and those under SPAN bytes lose nothing. Rows of equal id and equal text are one document,
-each row with its result; an id with two different texts isn't supported. Null ids come last.
+Defined cases: a null text is empty; empty texts and those under SPAN bytes lose nothing. Rows of
+equal id and equal text are one document, each row with its result; rows of equal id and different
+texts are different documents. Null ids are equal ids and come last.
 """
 
 from __future__ import annotations
@@ -103,16 +104,16 @@ def _chunks(raw: bytes):
         start += CHUNK_BYTES - SPAN + 1
 
 
-PACKED = ("doc", "place", "before", "after", "gram", "whole", "digest")
+PACKED = ("doc", "th", "place", "before", "after", "gram", "whole", "digest")
 #: A text has under 2^31 bytes.
-_TYPES = {"doc": "<i8", "place": "<u4", "before": "u1", "after": "u1", "gram": "<u8", "whole": "<u8", "digest": "<u8"}
+_TYPES = {"doc": "<i8", "th": "<i8", "place": "<u4", "before": "u1", "after": "u1", "gram": "<u8", "whole": "<u8", "digest": "<u8"}
 
 
 def _anchored(batches, shards: int):
     """One row per batch and shard: the shard and an array per field of PACKED, as bytes."""
     for batch in batches:
-        docs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        parts = [(int(d), at, b) for d, t in zip(docs, texts) if t for raw in [t.encode()] if len(raw) >= SPAN for at, b in _chunks(raw)]
+        docs, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        parts = [(d, at, b, th) for d, th, t in zip(docs, hashes, texts) if t for raw in [t.encode()] if len(raw) >= SPAN for at, b in _chunks(raw)]
         for start, stop in slices([len(p[2]) for p in parts], CHUNK_BYTES):
             some = parts[start:stop]
             raw = b"".join(p[2] for p in some)
@@ -123,7 +124,7 @@ def _anchored(batches, shards: int):
             digest = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), (last + SPAN).tolist())], np.uint64)
             part = np.searchsorted(ends, place, side="right")
             shift = np.array([p[1] for p in some]) - (ends - size)
-            fields = {"doc": np.array([p[0] for p in some])[part], "place": place + shift[part], "before": place - first, "after": last - first, "gram": gram, "whole": whole, "digest": digest}
+            fields = {"doc": np.array([p[0] for p in some])[part], "th": np.array([p[3] for p in some])[part], "place": place + shift[part], "before": place - first, "after": last - first, "gram": gram, "whole": whole, "digest": digest}
             shard = (gram % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             shard = shard[order]
@@ -133,7 +134,7 @@ def _anchored(batches, shards: int):
 
 
 def _met(batches, hot_contexts: int):
-    """Rows sorted by shard. Yields (doc, start, stop, gram, hot): a removed range where gram is
+    """Rows sorted by shard. Yields (doc, th, start, stop, gram, hot): a removed range where gram is
     null, else a context whose text is wanted in step 3; hot if its gram has too many."""
     held, here = {k: [] for k in PACKED}, None
 
@@ -146,7 +147,7 @@ def _met(batches, hot_contexts: int):
         multiple[1:] |= same
         multiple[:-1] |= same
         field = {k: v[order[multiple]] for k, v in field.items()}
-        order = np.lexsort((field["place"], field["doc"], field["digest"], field["whole"], field["after"], field["before"], field["gram"]))
+        order = np.lexsort((field["place"], field["th"], field["doc"], field["digest"], field["whole"], field["after"], field["before"], field["gram"]))
         field = {k: v[order] for k, v in field.items()}
         n = len(order)
         if not n:
@@ -156,7 +157,7 @@ def _met(batches, hot_contexts: int):
         for k in ("before", "after", "whole", "digest"):
             new[1:] |= field[k][1:] != field[k][:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        twin = ~new & (field["doc"] == field["doc"][head]) & (field["place"] == field["place"][head])
+        twin = ~new & (field["doc"] == field["doc"][head]) & (field["th"] == field["th"][head]) & (field["place"] == field["place"][head])
         start = field["place"].astype(np.int64) - field["before"].astype(np.int64)
         stop = start + field["after"].astype(np.int64) + SPAN
         # a gram with one context is settled; one with several goes on with the first of each
@@ -169,7 +170,7 @@ def _met(batches, hot_contexts: int):
             at = np.flatnonzero(mask)
             for i in range(0, len(at), 100_000):
                 k = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(field["doc"][k]), pa.array(start[k]), pa.array(stop[k]), pa.array(field["gram"][k].view(np.int64), mask=None if with_gram else np.ones(len(k), bool)), pa.array(hot[k])], names=["doc", "start", "stop", "gram", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(field["doc"][k]), pa.array(field["th"][k]), pa.array(start[k]), pa.array(stop[k]), pa.array(field["gram"][k].view(np.int64), mask=None if with_gram else np.ones(len(k), bool)), pa.array(hot[k])], names=["doc", "th", "start", "stop", "gram", "hot"])
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(len(PACKED) + 1)]
@@ -185,35 +186,36 @@ def _met(batches, hot_contexts: int):
 
 
 def _contexts(batches):
-    """(doc, text, wanted contexts) -> (gram, doc, start, bytes)."""
+    """(doc, th, text, wanted contexts) -> (gram, doc, th, start, bytes)."""
     for batch in batches:
-        grams, docs, starts, texts = [], [], [], []
-        for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        grams, docs, hashes, starts, texts = [], [], [], [], []
+        for doc, th, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = (text or "").encode()
             for w in wanted:
                 grams.append(w["gram"])
                 docs.append(doc)
+                hashes.append(th)
                 starts.append(w["start"])
                 texts.append(raw[w["start"] : w["stop"]])
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], names=["gram", "doc", "start", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], names=["gram", "doc", "th", "start", "text"])
 
 
-HASHED = {"key": "<u8", "gram": "<i8", "doc": "<i8", "start": "<i8"}
+HASHED = {"key": "<u8", "gram": "<i8", "doc": "<i8", "th": "<i8", "start": "<i8"}
 
 
 def _firsts(field: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by hash and place, and in it which strings are the first of their kind and which repeat."""
-    order = np.lexsort((field["start"], field["doc"], field["gram"], field["key"]))
+    order = np.lexsort((field["start"], field["th"], field["doc"], field["gram"], field["key"]))
     f = {k: v[order] for k, v in field.items()}
     new = np.ones(len(order), bool)
     new[1:] = (f["key"][1:] != f["key"][:-1]) | (f["gram"][1:] != f["gram"][:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
-    again = ~new & ((f["doc"] != f["doc"][head]) | (f["start"] != f["start"][head]))
+    again = ~new & ((f["doc"] != f["doc"][head]) | (f["th"] != f["th"][head]) | (f["start"] != f["start"][head]))
     return order, new, again
 
 
 def _hot_hashed(batches, shards: int):
-    """(doc, text, wanted contexts) of hot grams -> (shard, HASHED as bytes) of each batch's first
+    """(doc, th, text, wanted contexts) of hot grams -> (shard, HASHED as bytes) of each batch's first
     strings, and with a null shard the removed ranges of the others."""
 
     def packed(shard, fields):
@@ -221,7 +223,7 @@ def _hot_hashed(batches, shards: int):
 
     for batch in batches:
         parts: dict[str, list] = {k: [] for k in HASHED}
-        for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for doc, th, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             for w in wanted:
                 part = raw[w["start"] : w["stop"]].astype(np.uint64) + np.uint64(1)
@@ -231,13 +233,14 @@ def _hot_hashed(batches, shards: int):
                 parts["key"].append(mix64((total[SPAN:] - total[:-SPAN]) * down[:n]))
                 parts["gram"].append(np.full(n, w["gram"], np.int64))
                 parts["doc"].append(np.full(n, doc, np.int64))
+                parts["th"].append(np.full(n, th, np.int64))
                 parts["start"].append(w["start"] + np.arange(n))
         if not parts["key"]:
             continue
         field = {k: np.concatenate(v) for k, v in parts.items()}
         order, new, again = _firsts(field)
-        doc, start, stop = _joined(field["doc"][order][again], field["start"][order][again])
-        yield packed([None], [[b""], [stop.astype("<i8").tobytes()], [doc.astype("<i8").tobytes()], [start.astype("<i8").tobytes()]])
+        doc, th, start, stop = _ranges(*(field[k][order][again] for k in ("doc", "th", "start")))
+        yield packed([None], [[b""], *([x.astype("<i8").tobytes()] for x in (stop, doc, th, start))])
         first = order[new]
         shard = (field["key"][first] % np.uint64(shards)).astype(np.int64)
         first, shard = first[np.argsort(shard, kind="stable")], np.sort(shard)
@@ -247,21 +250,21 @@ def _hot_hashed(batches, shards: int):
 
 
 def _hot_met(batches):
-    """Rows sorted by shard -> removed ranges (doc, start, stop)."""
+    """Rows sorted by shard -> removed ranges (doc, th, start, stop)."""
     held, here = {k: [] for k in HASHED}, None
 
-    def ranges(doc, start, stop):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop)], names=["doc", "start", "stop"])
+    def ranges(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "th", "start", "stop"])
 
     def settled():
         field = {k: np.concatenate([np.frombuffer(b, t) for b in held[k]]) for k, t in HASHED.items()}
         order, _, again = _firsts(field)
-        return ranges(*_joined(field["doc"][order][again], field["start"][order][again]))
+        return ranges(*_ranges(*(field[k][order][again] for k in ("doc", "th", "start"))))
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(len(HASHED) + 1))):
             if row[0] is None:
-                yield ranges(*(np.frombuffer(row[i], "<i8") for i in (3, 4, 2)))
+                yield ranges(*(np.frombuffer(row[i], "<i8") for i in (3, 4, 5, 2)))
                 continue
             if row[0] != here:
                 if here is not None:
@@ -309,22 +312,40 @@ def _joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], start[first], start[last] + SPAN
 
 
+def _numbered(doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each row's document in the order of (doc, th), and doc and th of every number."""
+    order = np.lexsort((th, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (th[order][1:] != th[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, doc[order][new], th[order][new]
+
+
+def _ranges(doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_joined, of documents by two columns."""
+    number, docs, hashes = _numbered(doc, th)
+    at, start, stop = _joined(number, start)
+    return docs[at], hashes[at], start, stop
+
+
 def _induced(batches):
-    """Rows sorted by gram -> removed ranges (doc, start, stop)."""
+    """Rows sorted by gram -> removed ranges (doc, th, start, stop)."""
     held, total, here = [], 0, None
 
     def ranges():
-        doc, start, stop = _joined(*repeated_starts([r[3] for r in held], np.array([r[1] for r in held]), np.array([r[2] for r in held])))
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(stop)], names=["doc", "start", "stop"])
+        number, docs, hashes = _numbered(np.array([r[1] for r in held]), np.array([r[2] for r in held]))
+        at, start, stop = _joined(*repeated_starts([r[4] for r in held], number, np.array([r[3] for r in held])))
+        return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(hashes[at]), pa.array(start), pa.array(stop)], names=["doc", "th", "start", "stop"])
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if row[0] != here and total >= BLOCK_BYTES:
                 yield ranges()
                 held, total = [], 0
             here = row[0]
             held.append(row)
-            total += len(row[3]) + 1
+            total += len(row[4]) + 1
     if held:
         yield ranges()
 
@@ -350,23 +371,23 @@ def _cut(batches, keep_text: bool):
 
 def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes left, of every row."""
-    slim = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
+    slim = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(n_partitions(docs), -(-total // SHARD_BYTES))
     packed = slim.mapInArrow(lambda batches: _anchored(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in PACKED))
-    met = materialise(packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _met(batches, hot_contexts), "doc long, start long, stop long, gram long, hot boolean"))
+    met = materialise(packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _met(batches, hot_contexts), "doc long, th long, start long, stop long, gram long, hot boolean"))
     listed = F.collect_set(F.struct("start", "stop", "gram")).alias("wanted")
-    texts = lambda which: slim.join(met.where(which).groupBy("doc").agg(listed), "doc").select("doc", "text", "wanted")
+    texts = lambda which: slim.join(met.where(which).groupBy("doc", "th").agg(listed), ["doc", "th"]).select("doc", "th", "text", "wanted")
     parts = max(n_partitions(docs), shards)
-    contexts = texts("gram is not null and not hot").mapInArrow(_contexts, "gram long, doc long, start long, text binary")
-    induced = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_induced, "doc long, start long, stop long")
-    removed = met.where("gram is null").select("doc", "start", "stop").union(induced)
+    contexts = texts("gram is not null and not hot").mapInArrow(_contexts, "gram long, doc long, th long, start long, text binary")
+    induced = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_induced, "doc long, th long, start long, stop long")
+    removed = met.where("gram is null").select("doc", "th", "start", "stop").union(induced)
     if not met.where("hot and gram is not null").isEmpty():
         hashed = texts("gram is not null and hot").mapInArrow(lambda batches: _hot_hashed(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in HASHED))
-        spread = F.coalesce("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)))
-        removed = removed.union(hashed.repartition(parts, spread).sortWithinPartitions("shard").mapInArrow(_hot_met, "doc long, start long, stop long"))
-    gone = removed.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+        spread = F.coalesce("shard", F.pmod(F.xxhash64("doc", "th"), F.lit(shards)))
+        removed = removed.union(hashed.repartition(parts, spread).sortWithinPartitions("shard").mapInArrow(_hot_met, "doc long, th long, start long, stop long"))
+    gone = removed.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    # the same two columns by the same key as in the join above, so the texts are shuffled once for both
-    rows = slim.join(gone, "doc", "left").select(F.when(F.col("doc") != _LAST, F.col("doc")).cast(kind).alias("doc_id"), "text", "gone")
+    # the same columns by the same key as in the join above, so the texts are shuffled once for both
+    rows = slim.join(gone, ["doc", "th"], "left").select(F.when(F.col("doc") != _LAST, F.col("doc")).cast(kind).alias("doc_id"), "text", "gone")
     return rows.mapInArrow(lambda batches: _cut(batches, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)

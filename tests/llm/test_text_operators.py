@@ -176,6 +176,21 @@ def test_byte_dedup_tells_contexts_of_near_hashes_apart(spark):
     assert {r["doc_id"]: tuple(r)[1:5] for r in found} == covered(rows)
 
 
+@pytest.mark.parametrize("most", [1, 4096])
+def test_byte_dedup_of_ids_with_several_texts(spark, most):
+    """Rows of a null id, or of one id, that differ in their texts are documents of their own."""
+    rng = random.Random(11)
+    shared = [prose(rng, 40) for _ in range(3)]
+    texts = [shared[0] + prose(rng, 90), shared[0] + prose(rng, 20) + shared[1], prose(rng, 15), prose(rng, 70) + shared[2] + shared[1], shared[2] + prose(rng, 60)]
+    rows = [(1, texts[0]), (7, texts[3]), (7, texts[4]), *((None, t) for t in texts[1:4])]
+    table = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)
+    hashes = dict(map(tuple, table.selectExpr("text", "xxhash64(text)").distinct().collect()))
+    key = lambda k, t: (2**63 - 1 if k is None else k, hashes[t])
+    want = covered([(key(k, t), t) for k, t in rows])
+    found = bytededup.remove_repeated_bytes(table.repartition(3), hot_contexts=most).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=str) == sorted(((k, *want[key(k, t)]) for k, t in rows), key=str)
+
+
 def test_substring_removal_keeps_the_first(spark, docs, rows):
     got = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
     first, want = {}, {}
