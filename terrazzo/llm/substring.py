@@ -1,8 +1,9 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A span is a run of consecutive sentences: three of them (more, where three hold fewer than
-MIN_WORDS words), and any one or two that hold LONG_WORDS words or more, so that each passage of
-LONG_WORDS words made of whole sentences is made of whole spans. Every span is hashed (128 bits
+A span is a run of consecutive sentences that holds MIN_WORDS words: at each sentence the shortest
+that ends there and the shortest that starts there. Each run of MIN_WORDS words or more made of
+whole sentences is made of such spans, so a repeated passage loses all its whole sentences if they
+hold MIN_WORDS words, wherever its ends fall; sentences that it holds in part stay. Every span is hashed (128 bits
 of its words in lower case) and joined over all documents; a sentence goes if any span over it
 also occurs earlier, that is in a document of smaller id or further up in the same one. The first
 occurrence stays.
@@ -29,9 +30,7 @@ from pyspark.sql import types as T
 
 from terrazzo.llm.common import slices, small_batches
 
-SENTENCES = 3
 MIN_WORDS = 12
-LONG_WORDS = 50
 _END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n\s*")
 _LAST = 2**63 - 1
 
@@ -54,18 +53,23 @@ def pieces(text: str) -> list[str]:
 
 def spans(words: list[list[str]]) -> list[tuple[int, int]]:
     """(first sentence, sentence after the last) of every span of a text."""
-    count = [len(w) for w in words]
-    found = []
-    for stop in range(1, len(words) + 1):
-        start, total = stop, 0
-        while start and (stop - start < SENTENCES or total < MIN_WORDS):
-            start -= 1
-            total += count[start]
-            if total >= LONG_WORDS and stop - start < SENTENCES:
-                found.append((start, stop))
-        if stop - start >= SENTENCES and total >= MIN_WORDS:
-            found.append((start, stop))
-    return found
+    total = [0]
+    for w in words:
+        total.append(total[-1] + len(w))
+    found, n = set(), len(words)
+    start = 0
+    for stop in range(1, n + 1):
+        while total[stop] - total[start + 1] >= MIN_WORDS:
+            start += 1
+        if total[stop] - total[start] >= MIN_WORDS:
+            found.add((start, stop))
+    stop = 0
+    for start in range(n):
+        while stop < n and total[stop] - total[start] < MIN_WORDS:
+            stop += 1
+        if total[stop] - total[start] >= MIN_WORDS:
+            found.add((start, stop))
+    return sorted(found)
 
 
 def _hashed(batches):
@@ -97,10 +101,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     carried = len(row)  # functions for executors can't hold columns
     named = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("at"), F.xxhash64(F.col(text)).alias("th"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
     found = named.select("at", "th", "text").mapInArrow(_hashed, "h1 long, h2 long, at long, th long, start int, stop int")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "th", "start")).alias("first"), F.max(F.struct("at", "th", "start")).alias("last")).where("first != last").select("h1", "h2", "first")
-    # a join key of its own: the join shuffles both sides by it, so a hot span is split at run time
-    key = F.xxhash64("h1", "h2").alias("key")
-    later = found.select(key, "*").join(first.select(key, "*"), ["key", "h1", "h2"]).where(F.struct("at", "th", "start") != F.col("first"))
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("at", "th", "start")).alias("first"), F.max(F.struct("at", "th", "start")).alias("last")).where("first != last").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+    # a join key of its own: the join shuffles both sides by h1 alone, so a hot span is split at run
+    # time; h2 is compared by a form that isn't taken for a key
+    later = found.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2").bitwiseXOR(F.col("k2")) == 0)).where(F.struct("at", "th", "start") != F.col("first"))
     gone = later.groupBy("at", "th").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     both = named.join(gone.select(F.col("at").alias("at2"), F.col("th").alias("th2"), "gone"), (F.col("at") == F.col("at2")) & (F.col("th") == F.col("th2")), "left")
     kept = both.select("doc_id", "text", "gone", *["row"] * carried)

@@ -216,6 +216,31 @@ def test_passages_of_whole_sentences_are_whole_spans():
             assert {i for a, b in substring.spans(sentences) for i in range(a, b)} == set(range(len(sentences)))
 
 
+def test_passages_with_ragged_ends_lose_their_whole_sentences(spark):
+    """A passage of over 50 words that begins and ends within sentences, with one or two whole ones inside."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(n))
+    for inner in ([14], [13, 16], [5, 9]):
+        sentences = [words(n) + ". " for n in inner]
+        passage = words(25) + ". " + "".join(sentences) + words(25)
+        rows = [(i, f"{words(8)} {passage} {words(7)}.", None, None, 0) for i in (1, 2)]
+        got = {r["doc_id"]: r["text"] for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+        assert got == {1: rows[0][1], 2: rows[1][1].replace("".join(sentences), "")}
+
+
+def test_spans_make_up_every_run_of_enough_words():
+    rng = random.Random(7)
+    for _ in range(300):
+        words = [["w"] * rng.choice((0, 1, 3, 6, 11, 12, 30)) for _ in range(rng.randint(0, 9))]
+        found = substring.spans(words)
+        assert len(found) <= 2 * len(words) and all(sum(map(len, words[a:b])) >= 12 for a, b in found)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                if sum(map(len, words[a:b])) >= 12:
+                    inside = {i for c, d in found if a <= c and d <= b for i in range(c, d)}
+                    assert {i for i in range(a, b) if words[i]} <= inside
+
+
 def test_pieces_are_the_text():
     for text in ("", "a", "a. b\n\nc!? d", "\n\n x", "。一。二", "a.b c"):
         assert "".join(substring.pieces(text)) == text
