@@ -3,14 +3,17 @@
 A span is a run of consecutive sentences that holds MIN_WORDS words: at each sentence the shortest
 that ends there and the shortest that starts there. Each run of MIN_WORDS words or more made of
 whole sentences is made of such spans, so a repeated passage loses all its whole sentences if they
-hold MIN_WORDS words, wherever its ends fall; sentences that it holds in part stay. Every span is hashed (128 bits
-of its words in lower case) and joined over all documents; a sentence goes if any span over it
-also occurs earlier, that is in a document of smaller id or further up in the same one. The first
-occurrence stays.
+hold MIN_WORDS words, wherever its ends fall; sentences that it holds in part stay. Every span is
+hashed (128 bits of its words in lower case) and joined over all documents; a sentence goes if any
+span over it also occurs earlier, that is in a document of smaller id or further up in the same
+one. The first occurrence stays.
 
 The first occurrence is a partial aggregate, and joins back to the spans by hash, so a span that
 millions of documents share is pre-aggregated in one step and split by adaptive execution in the other.
 
+Words are cut at white space. In scripts without it, each Chinese character, kana or bopomofo
+letter counts as a word, and so do four characters of Thai, Lao, Tibetan, Burmese or Khmer.
+
 Defined cases: null and empty texts have no sentences and come back as they were. Rows of equal id
 and text are one document and are treated alike. Null ids come last in the order. Without a
 repeated span a text comes back byte for byte. An empty table gives no rows.
@@ -31,7 +34,10 @@ from pyspark.sql import types as T
 from terrazzo.llm.common import slices, small_batches
 
 MIN_WORDS = 12
-_END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n\s*")
+#: Stops that need white space after them, and those that don't: of Chinese and Japanese, Indic
+#: scripts, Arabic and Urdu, Armenian, Ethiopic, Tibetan, Burmese and Khmer.
+_END = re.compile(r"[.!?]+\s+|[。！？｡।॥؟۔։።፧།༎။។៕]+\s*|\n\s*")
+_DENSE = re.compile(r"[\u3005-\u3007\u3041-\u30ff\u3105-\u312f\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]|[\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u1049\u1050-\u109f\u1780-\u17d3]{1,4}")
 _LAST = 2**63 - 1
 
 
@@ -51,6 +57,12 @@ def pieces(text: str) -> list[str]:
     return found
 
 
+def words_of(part: str) -> list[str]:
+    """Words in lower case."""
+    part = part.lower()
+    return (part if part.isascii() else _DENSE.sub(r" \g<0> ", part)).split()
+
+
 def spans(words: list[list[str]]) -> list[tuple[int, int]]:
     """(first sentence, sentence after the last) of every span of a text."""
     total = [0]
@@ -81,7 +93,7 @@ def _hashed(batches):
             at, th = part.column(0).to_numpy(), part.column(1).to_numpy()
             rows, digests, sizes = [], [], []
             for text in part.column(2):
-                words = [p.lower().split() for p in pieces(text.as_py() or "")]
+                words = [words_of(p) for p in pieces(text.as_py() or "")]
                 lines = [" ".join(w) for w in words]
                 own = spans(words)
                 digests += [xxhash.xxh3_128_digest("\n".join(lines[a:b])) for a, b in own]

@@ -241,6 +241,17 @@ def test_spans_make_up_every_run_of_enough_words():
                     assert {i for i in range(a, b) if words[i]} <= inside
 
 
+@pytest.mark.parametrize(("letters", "stop", "length"), [("天地玄黃宇宙洪荒日月盈昃辰宿列張", "。", 18), ("あいうえおかきくけこさしすせそ", "！", 20), ("กขคงจฉชซญดตถทธนบ", "\n", 60), ("क ख ग घ च छ ज झ ट ठ ड ढ ", "।", 36), ("ا ب ت ث ج ح خ د ذ ر ", "۔", 40)])
+def test_passages_in_other_scripts_are_found(spark, letters, stop, length):
+    """Two sentences of a script without white space, or with stops of its own, repeat amid others."""
+    rng = random.Random(8)
+    sentence = lambda: "".join(rng.choice(letters) + rng.choice(letters) for _ in range(length // 2)).strip() + stop
+    shared = sentence() + sentence()
+    rows = [(i, sentence() + shared + sentence(), None, None, 0) for i in (1, 2)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (rows[1][1].replace(shared, ""), 2)}
+
+
 def test_pieces_are_the_text():
     for text in ("", "a", "a. b\n\nc!? d", "\n\n x", "。一。二", "a.b c"):
         assert "".join(substring.pieces(text)) == text
