@@ -32,6 +32,8 @@ GROUP_DOCS = 4096
 GROUP_TOKENS = 8_000_000
 #: A bin with no more free tokens than this stays as it is.
 SLACK = 8
+#: Tokens that the vocabulary adds to its merges.
+ADDED = {"<|endoftext|>": 50256}
 
 
 class CapacityTree:
@@ -101,7 +103,7 @@ def pack_lengths(lengths: list[int], capacity: int = SEQUENCE, slack: int = SLAC
 
 
 def byte_bpe_encoder(directory: str | None = None):
-    """text -> ids of the byte-level vocabulary of 50k; special tokens are ordinary text."""
+    """text -> ids of the byte-level vocabulary of 50k, in which an added token has its own id."""
     import public_tokenizers
     import tiktoken
 
@@ -110,7 +112,8 @@ def byte_bpe_encoder(directory: str | None = None):
         for line in lines:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+    return lambda text: encoding.encode(text, allowed_special="all") if any(t in text for t in ADDED) else encoding.encode_ordinary(text)
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

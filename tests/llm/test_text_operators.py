@@ -406,6 +406,16 @@ def test_packing_holds_every_token_once(docs, rows):
     assert sum(2048 - s for b in bins.values() if (s := sum(b.values())) & (s - 1)) <= 0.02 * total
 
 
+def test_added_tokens_are_those_of_the_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.byte_bpe_encoder()
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "a<|endoftext|", "é <|endoftext|>é", "", "<|endofText|>"):
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("x<|endoftext|>")
+
+
 def test_first_fit_decreasing_by_tree():
     rng = random.Random(1)
     sizes = sorted((rng.randint(1, 100) for _ in range(300)), reverse=True)
