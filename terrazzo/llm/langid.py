@@ -61,6 +61,11 @@ def _count_units(batches):
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.string()), pa.array(part[3], pa.int64())], names=["lang", "n", "unit", "count"])
 
 
+def _dealt(doc_id: str, seed: int):
+    """A number from 0 to 1 by a hash of the id."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1_000_000)) / 1e6
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_per_lang: int = SAMPLE_PER_LANG, model_units: int = MODEL_UNITS) -> dict:
     """Learn from at most about `sample_per_lang` texts a language, chosen by a hash of the id.
 
@@ -71,9 +76,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     per_lang = {r["l"]: r["c"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("c")).collect()}
     langs = sorted(per_lang)
     if not langs:
-        return {"langs": [], "words": {}, "grams": [{} for _ in range(MAX_GRAM + 1)], "rows": np.zeros((0, 0))}
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_per_lang / per_lang[k]))])
-    chosen = labelled.where((F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1_000_000)) / 1e6) < share[F.col("l")])
+        return {"langs": [], "share": {}, "words": {}, "grams": [{} for _ in range(MAX_GRAM + 1)], "rows": np.zeros((0, 0))}
+    share = {k: min(1.0, sample_per_lang / per_lang[k]) for k in langs}
+    chosen = labelled.where(_dealt("i", 17) < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("l")])
     counts = chosen.select("t", "l").mapInArrow(_count_units, "lang string, n int, unit string, count long").groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
     top = max(50, model_units // (len(langs) * (MAX_GRAM + 1)))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
@@ -86,7 +91,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     for (n, unit), by_lang in kept.items():
         (words if n == 0 else grams[n])[unit] = len(rows)
         rows.append([np.log10(by_lang[k] / totals[k, n]) if k in by_lang else -PENALTY for k in langs])
-    return {"langs": langs, "words": words, "grams": grams, "rows": np.array(rows, np.float32).reshape(-1, len(langs))}
+    return {"langs": langs, "share": share, "words": words, "grams": grams, "rows": np.array(rows, np.float32).reshape(-1, len(langs))}
 
 
 class Scorer(dict):
@@ -170,13 +175,28 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, at_least: float = 0.0) -> DataFrame:
-    """Pipeline form: rows of `docs`, without those whose language can't be told.
+def least_score(docs: DataFrame, model: dict) -> float:
+    """Half-way from an even score to the least one of labelled rows told right, over a sample as
+    large as the one learned from; 0 where there is nothing to tell apart."""
+    if len(model["langs"]) < 2:
+        return 0.0
+    share = F.create_map(*[F.lit(x) for kv in model["share"].items() for x in kv])
+    chosen = docs.where("text is not null and lang is not null").where(_dealt("doc_id", 18) < share[F.col("lang")])
+    told = predict(chosen.select(F.col("lang").alias("doc_id"), "text"), model).where("lang_pred = doc_id")
+    least, even = told.agg(F.min("score")).first()[0], 1 / len(model["langs"])
+    return (even + max(even, least)) / 2 if least is not None else 0.0
+
+
+def reject_unknown(docs: DataFrame, at_least: float | None = None) -> DataFrame:
+    """Pipeline form: rows of `docs`, without those whose language can't be told: texts without a
+    letter, and those that score under `at_least`, or else under least_score() of the learnable rows.
 
     The decision is taken in the same pass as the score, so no join is needed and repeated ids
     are judged row by row. Columns stay as they are.
     """
     model = train(learnable(docs))
+    if at_least is None:
+        at_least = least_score(learnable(docs), model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -327,6 +327,13 @@ def test_language_backs_off_and_rejects(spark, docs, none):
     assert kept.count() == len(rows) + 1 and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    rows = [(i, t, k, "s", 0) for i, (t, k) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 40)]
+    junk = [(900, "кошка и собака", None, None, 0), (901, "αβγ", None, None, 0), (902, "the", None, None, 0)]
+    kept = langid.reject_unknown(spark.createDataFrame(rows + junk, DOCS)).collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in rows} | {902}
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(2)
     rows, labels = [], []
