@@ -125,22 +125,23 @@ def translation_degrees(ax, ay, az, bx, by, bz, default: float = 1e6) -> Column:
 
 
 def quaternion(m: list[Column]) -> Column:
-    """wxyz of a row-major 3x3 matrix: of four candidates the one with the largest pivot, w >= 0."""
-    m00, m01, m02, m10, m11, m12, m20, m21, m22 = m
-    absolute = [F.sqrt(F.greatest(F.lit(0.0), x)) for x in (1 + m00 + m11 + m22, 1 + m00 - m11 - m22, 1 - m00 + m11 - m22, 1 - m00 - m11 + m22)]
-    rows = [
-        [absolute[0] ** 2, m21 - m12, m02 - m20, m10 - m01],
-        [m21 - m12, absolute[1] ** 2, m10 + m01, m02 + m20],
-        [m02 - m20, m10 + m01, absolute[2] ** 2, m12 + m21],
-        [m10 - m01, m20 + m02, m21 + m12, absolute[3] ** 2],
-    ]
-    best = F.greatest(*absolute)
-    found = None
-    for pivot, row in zip(absolute, rows):
-        q = F.array(*[x / (2 * F.greatest(pivot, F.lit(0.1))) for x in row])
-        found = F.when(pivot == best, q) if found is None else found.when(pivot == best, q)
-    sign = F.when(found[0] < 0, -1.0).otherwise(1.0)
-    return F.transform(found, lambda x: x * sign)
+    """wxyz of a row-major 3x3 matrix with w >= 0, by Shepperd's method.
+
+    The trace and the diagonal tell which part of the quaternion is largest; that one comes from a
+    root, which is then at least 1, and the others from sums or differences across the diagonal.
+    """
+    at = lambda row, column: m[3 * (row % 3) + column % 3]
+    trace = at(0, 0) + at(1, 1) + at(2, 2)
+    across = lambda k, sign: at(k + 2, k + 1) + sign * at(k + 1, k + 2)
+    # the real part is the largest: the axis is the skew part
+    root = F.sqrt(1 + trace)
+    found = F.when(trace >= F.greatest(*[at(k, k) for k in range(3)]), F.array(root / 2, *[across(k, -1) / (2 * root) for k in range(3)]))
+    for k in range(3):  # the part along axis k is the largest
+        root = F.sqrt(1 + 2 * at(k, k) - trace)
+        along = {k: root / 2, (k + 1) % 3: across(k + 2, 1) / (2 * root), (k + 2) % 3: across(k + 1, 1) / (2 * root)}
+        q = F.array(across(k, -1) / (2 * root), *[along[j] for j in range(3)])
+        found = found.when(at(k, k) >= F.greatest(at(k + 1, k + 1), at(k + 2, k + 2)), q)
+    return F.transform(found, lambda x: F.when(found[0] < 0, -x).otherwise(x))
 
 
 def quaternion_matrix(w, x, y, z) -> list[Column]:

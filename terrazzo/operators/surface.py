@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 from terrazzo.functions.geometry import sdf_along_ray, voxel
 
 EDGE = 1e-4
-#: A cell's eight corners, and the six tetrahedra around its diagonal 0-7 (corner numbers are bits zyx).
+#: A cell's eight corners (corner numbers are bits zyx).
 CORNERS = [(k & 1, k >> 1 & 1, k >> 2) for k in range(8)]
-TETRAHEDRA = ((0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7))
+#: The six tetrahedra around the diagonal: each walks from corner 0 to 7 along the axes in one order.
+TETRAHEDRA = [(0, 1 << a, 1 << a | 1 << b, 7) for a, b, _ in itertools.permutations(range(3))]
 
 
 def samples(seen: DataFrame, size: float, truncation: float, fx: float, fy: float, cx: float, cy: float, width: int = 32, height: int = 32) -> DataFrame:
