@@ -1,18 +1,15 @@
 """Suffix arrays by induced sorting and permuted longest common prefixes, in numpy.
 
-The induced-sorting scans go bucket by bucket and take all suffixes that are known in a bucket in
-one step; suffixes that they induce in the same bucket are the next step, so each suffix is
-handled once, in the order of the sequential algorithm. The reduced text, whose alphabet is
-large, is sorted by doubling its ranks.
+Suffixes are classed as L or S, leftmost-S substrings are sorted by induction, named and, while
+names repeat, sorted by recursion on the text of names; the sorted leftmost-S suffixes induce the
+rest. The scans take many buckets in one step where none of them induces into another, and a run
+of one symbol at once, so each suffix is handled once, in the order of the sequential algorithm.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True for S-type suffixes (smaller than their right neighbour); the last one is S-type."""
@@ -37,109 +34,143 @@ def _dealt(keys: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     return places
 
 
+def _run_lengths(t: np.ndarray) -> np.ndarray:
+    """How many symbols directly left of each one are the same."""
+    at = np.arange(len(t))
+    fresh = np.ones(len(t), bool)
+    fresh[1:] = t[1:] != t[:-1]
+    return at - np.maximum.accumulate(np.where(fresh, at, 0))
+
+
+def _steps(lands: np.ndarray, symbols: list[int], rising: bool) -> list[tuple[int, int]]:
+    """Consecutive buckets that may be scanned in one step: none induces into another of its step.
+
+    lands[c] is the nearest other bucket that a suffix of bucket c induces into, in scan order.
+    """
+    found, first, limit = [], 0, None
+    for at, c in enumerate(symbols):
+        if limit is not None and (c >= limit if rising else c <= limit):
+            found.append((first, at))
+            first, limit = at, None
+        reach = int(lands[c])
+        limit = reach if limit is None else min(limit, reach) if rising else max(limit, reach)
+    return found + [(first, len(symbols))] if symbols else []
+
+
+def _with_runs(t: np.ndarray, seeds: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Seeds of some buckets and the suffixes of their runs of one symbol, in the order of induction:
+    first all seeds of a bucket, then those one further left, and so on."""
+    more = left[seeds]
+    if not more.any():
+        return seeds
+    order = np.repeat(np.arange(len(seeds)), more + 1)
+    back = np.arange(len(order)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    at = seeds[order] - back
+    return at[np.lexsort((order, back, t[at]))]
+
+
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The suffix array that sorted leftmost-S suffixes induce."""
     n = len(t)
     sa = np.full(n, -1, np.int64)
     ends = np.cumsum(sizes)
-    heads, symbols = ends - sizes, np.flatnonzero(sizes)
-    tail = ends.copy()
-    sa[_dealt(t[lms[::-1]], tail - 1, -1)] = lms[::-1]
-    lms_from = ends - np.bincount(t[lms], minlength=len(sizes))
+    heads, symbols = ends - sizes, np.flatnonzero(sizes).tolist()
+    left = _run_lengths(t)
+    sa[_dealt(t[lms[::-1]], ends - 1, -1)] = lms[::-1]
+    # L-type suffixes, from the least bucket up; a suffix that starts a run brings the run along
+    other = np.flatnonzero(t[:-1] != t[1:])
+    l_other, s_other = other[~s[other]], other[s[other]]
+    lands = np.full(len(sizes), n + 1, np.int64)
+    np.minimum.at(lands, t[l_other + 1], t[l_other])
     at = heads.copy()
-    for c in symbols.tolist():
-        done, stop = heads[c], at[c]
-        while done < stop:
-            j = sa[done:stop] - 1
-            j = j[j >= 0]
-            j = j[~s[j]]
-            if len(j):
-                sa[_dealt(t[j], at, 1)] = j
-            done, stop = stop, at[c]
-        j = sa[lms_from[c] : ends[c]] - 1
-        j = j[j >= 0]
+    for a, b in _steps(lands, symbols, True):
+        low, high = heads[symbols[a]], ends[symbols[b - 1]]
+        held = sa[low:high]
+        held = held[held >= 0]
+        seeds = held[~s[held]]
+        grown = _with_runs(t, seeds, left)
+        if len(grown) > len(seeds):
+            first = symbols[a]
+            free = heads[first : symbols[b - 1] + 1].copy()
+            sa[_dealt(t[grown] - first, free, 1)] = grown
+            held = sa[low:high]
+            held = held[held >= 0]
+        j = held[held > 0] - 1
+        j = j[~s[j] & (t[j] != t[j + 1])]
         if len(j):
             sa[_dealt(t[j], at, 1)] = j
-    l_end, at = at, ends - 1
-    for c in reversed(symbols.tolist()):
-        done, stop = ends[c] - 1, at[c]
-        while done > stop:
-            j = sa[stop + 1 : done + 1][::-1] - 1
-            j = j[j >= 0]
-            j = j[s[j]]
-            if len(j):
-                sa[_dealt(t[j], at, -1)] = j
-            done, stop = stop, at[c]
-        j = sa[heads[c] : l_end[c]][::-1] - 1
-        j = j[j >= 0]
-        j = j[s[j]]
+    # S-type suffixes, from the greatest bucket down; the leftmost-S ones have done their work
+    sa[sa >= 0] = np.where(s[sa[sa >= 0]], -1, sa[sa >= 0])
+    lands = np.full(len(sizes), -1, np.int64)
+    np.maximum.at(lands, t[s_other + 1], t[s_other])
+    at = ends - 1
+    for b, a in _steps(lands, symbols[::-1], False):
+        highest, lowest = symbols[::-1][b], symbols[::-1][a - 1]
+        low, high = heads[lowest], ends[highest]
+        held = sa[low:high][::-1]
+        held = held[held >= 0]
+        seeds = held[s[held]]
+        grown = _with_runs(t, seeds, left)
+        if len(grown) > len(seeds):
+            free = ends[lowest : highest + 1] - 1
+            sa[_dealt(t[grown] - lowest, free, -1)] = grown
+            held = sa[low:high][::-1]
+            held = held[held >= 0]
+        j = held[held > 0] - 1
+        j = j[s[j] & (t[j] != t[j + 1])]
         if len(j):
             sa[_dealt(t[j], at, -1)] = j
+    sa[0] = n - 1
     return sa
 
 
+def _named(t: np.ndarray, ordered: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Names of sorted leftmost-S substrings: equal ones, compared symbol by symbol, share one."""
+    length = stop[ordered] - ordered
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = length[1:] != length[:-1]
+    ties = np.flatnonzero(~fresh)
+    if len(ties):
+        size = length[ties]
+        begin = np.cumsum(size) - size
+        inside = np.arange(size.sum()) - np.repeat(begin, size)
+        differ = t[np.repeat(ordered[ties], size) + inside] != t[np.repeat(ordered[ties - 1], size) + inside]
+        fresh[ties] = np.logical_or.reduceat(differ, begin)
+    return np.cumsum(fresh) - 1
+
+
 def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Suffix array of small integers above 0; sorted by at least the first `depth` symbols if given.
 
     Works on the text with a sentinel 0 at its end; the sentinel's suffix isn't returned.
     """
-    t = np.concatenate([t.astype(np.int64), [0]])
+    return _sorted(np.concatenate([t.astype(np.int64), [0]]), len(t) if depth is None else depth)[1:]
+
+
+def _sorted(t: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix array, to this depth, of a text that ends in its only 0, the least symbol."""
     n = len(t)
     if n == 1:
-        return np.zeros(0, np.int64)
+        return np.zeros(1, np.int64)
     s = _types(t)
     sizes = np.bincount(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    # leftmost-S substrings are sorted by inducing from unsorted ones
     sa = _induce(t, s, lms, sizes)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
-    # names of leftmost-S substrings: equal length and equal hash are equal
-    power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
-    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BACK))])
-    total = np.concatenate([[np.uint64(0)], np.cumsum((t.astype(np.uint64) + np.uint64(1)) * power[:n])])
+    del sa
     stop = np.empty(n, np.int64)
-    stop[lms] = np.concatenate([lms[1:], [n - 1]]) + 1
-    length = stop[ordered] - ordered
-    mark = (total[stop[ordered]] - total[ordered]) * back[ordered]
-    del power, back, total, sa, is_lms
-    fresh = np.concatenate([[True], (mark[1:] != mark[:-1]) | (length[1:] != length[:-1])])
-    names = np.cumsum(fresh) - 1
-    if names[-1] + 1 < len(lms):
-        rank = np.empty(n, np.int64)
-        rank[ordered] = names
-        ordered = lms[_doubled(rank[lms], depth)]
-    return _induce(t, s, ordered, sizes)[1:]
-
-
-def _doubled(rank: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes of a text of ranks, by doubling; the shorter suffix comes first."""
-    n, h = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        ordered = rank[order]
-        tied = np.zeros(n, bool)
-        same = ordered[1:] == ordered[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        # a leftmost-S substring has two symbols at least
-        if not same.any() or (depth is not None and 2 * h >= depth + 2) or h > n:
-            return order
-        # ranks with gaps: each group holds the place of its first member
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(n), 0))
-        rank = np.empty(n, np.int64)
-        rank[order] = first
-        at = np.flatnonzero(tied)
-        who = order[at]
-        after = np.where(who + h < n, rank[np.minimum(who + h, n - 1)] + 1, 0)
-        group = first[at]
-        finer = np.lexsort((after, group))
-        order[at] = who[finer]
-        key = group[finer] * (n + 2) + after[finer]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        place = np.maximum.accumulate(np.where(new, at, 0))
-        rank[order[at]] = place
-        h *= 2
+    stop[lms] = np.minimum(np.append(lms[1:], n - 1) + 1, n)
+    names = _named(t, ordered, stop)
+    # a leftmost-S substring has three symbols at least, and each further one two new ones;
+    # the text of names ends in the sentinel's, its only 0
+    if names[-1] + 1 < len(lms) and depth > 3:
+        name = np.empty(n, np.int64)
+        name[ordered] = names
+        ordered = lms[_sorted(name[lms], depth // 2)]
+    return _induce(t, s, ordered, sizes)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int, fresh: np.ndarray | None = None) -> np.ndarray:
