@@ -208,6 +208,20 @@ def test_substring_removal_keeps_the_first(spark, docs, rows):
     assert sum(r["n_removed"] for r in got.values())
 
 
+def test_substring_removal_of_odd_tables(spark, none):
+    assert substring.remove_repeats(none).count() == 0
+    text = prose(random.Random(4), 40)
+    rows = [(5, text)] * 2 + [(5, "x " + text), (None, text), (None, None), (7, "")]
+    got = sorted(map(tuple, substring.remove_repeats(spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)).select("doc_id", "text", "n_removed").collect()), key=str)
+    gone = len(substring.pieces(text))
+    hashes = [r[0] for r in spark.createDataFrame([(text,), ("x " + text,)], "text string").selectExpr("xxhash64(text)").collect()]
+    if hashes[0] < hashes[1]:  # of one id, the text of the smaller hash is first
+        fives = [(5, text, 0)] * 2 + [(5, "x " + text[: len(substring.pieces(text)[0])], gone - 1)]
+    else:
+        fives = [(5, substring.pieces(text)[0], gone - 1)] * 2 + [(5, "x " + text, 0)]
+    assert got == sorted([*fives, (None, "", gone), (None, None, 0), (7, "", 0)], key=str)
+
+
 def test_passages_of_whole_sentences_are_whole_spans():
     rng = random.Random(5)
     for _ in range(200):
@@ -216,32 +230,76 @@ def test_passages_of_whole_sentences_are_whole_spans():
             assert {i for a, b in substring.spans(sentences) for i in range(a, b)} == set(range(len(sentences)))
 
 
-def test_passages_with_ragged_ends_lose_their_whole_sentences(spark):
-    """A passage of over 50 words that begins and ends within sentences, with one or two whole ones inside."""
+def test_passages_with_ragged_ends_lose_their_whole_units(spark):
+    """A passage of over 50 words that begins and ends within units, with some whole ones inside,
+    which are sentences, or clauses of one sentence that is never whole."""
     rng = random.Random(6)
     words = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(n))
-    for inner in ([14], [13, 16], [5, 9]):
-        sentences = [words(n) + ". " for n in inner]
-        passage = words(25) + ". " + "".join(sentences) + words(25)
+    for inner, stop in (([24], ". "), ([13, 16], ". "), ([9, 6, 8], ". "), ([7, 5, 11], ", "), ([4, 8, 9, 12], "; "), ([21], ": ")):
+        units = [words(n) + stop for n in inner]
+        passage = words(15) + stop + "".join(units) + words(16)
         rows = [(i, f"{words(8)} {passage} {words(7)}.", None, None, 0) for i in (1, 2)]
         got = {r["doc_id"]: r["text"] for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
-        assert got == {1: rows[0][1], 2: rows[1][1].replace("".join(sentences), "")}
+        assert got == {1: rows[0][1], 2: rows[1][1].replace("".join(units), "")}
 
 
 def test_spans_make_up_every_run_of_enough_words():
     rng = random.Random(7)
+    most = substring.MIN_WORDS
     for _ in range(300):
-        words = [["w"] * rng.choice((0, 1, 3, 6, 11, 12, 30)) for _ in range(rng.randint(0, 9))]
+        words = [["w"] * rng.choice((0, 1, 3, 6, 11, most - 1, most, 30)) for _ in range(rng.randint(0, 9))]
         found = substring.spans(words)
-        assert len(found) <= 2 * len(words) and all(sum(map(len, words[a:b])) >= 12 for a, b in found)
+        assert len(found) <= 2 * len(words) and all(sum(map(len, words[a:b])) >= most for a, b in found)
         for a in range(len(words)):
             for b in range(a + 1, len(words) + 1):
-                if sum(map(len, words[a:b])) >= 12:
+                if sum(map(len, words[a:b])) >= most:
                     inside = {i for c, d in found if a <= c and d <= b for i in range(c, d)}
                     assert {i for i in range(a, b) if words[i]} <= inside
 
 
-@pytest.mark.parametrize(("letters", "stop", "length"), [("天地玄黃宇宙洪荒日月盈昃辰宿列張", "。", 18), ("あいうえおかきくけこさしすせそ", "！", 20), ("กขคงจฉชซญดตถทธนบ", "\n", 60), ("क ख ग घ च छ ज झ ट ठ ड ढ ", "।", 36), ("ا ب ت ث ج ح خ د ذ ر ", "۔", 40)])
+def without_repeats(rows):
+    """(text left, units, units removed) of every (id, text) by the definition."""
+    first, spans_of, out = {}, {}, {}
+    for key, text in sorted(set(rows)):
+        parts = substring.pieces(text or "")
+        words = [substring.words_of(p) for p in parts]
+        spans_of[key, text] = parts, [(a, b, tuple(map(tuple, words[a:b]))) for a, b in substring.spans(words)]
+        for a, b, h in spans_of[key, text][1]:
+            first.setdefault(h, (key, text, a))
+    for (key, text), (parts, spans) in spans_of.items():
+        drop = {i for a, b, h in spans if first[h] != (key, text, a) for i in range(a, b)}
+        out[key, text] = "".join(p for i, p in enumerate(parts) if i not in drop) if drop else text, len(parts), len(drop)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 50, 10**6])
+def test_chunks_of_spans_do_not_matter(spark, docs, rows, monkeypatch, chunk):
+    monkeypatch.setattr(substring, "CHUNK_SPANS", chunk)
+    want = without_repeats([(r[0], r[1] or "") for r in rows])
+    got = {(r["doc_id"], rows[r["doc_id"]][1] or ""): (r["text"] or "", r["n_units"], r["n_removed"]) for r in substring.remove_repeats(docs).collect()}
+    assert got == want and sum(n for _, _, n in want.values())
+
+
+def test_pipeline_form_of_substring_removal(spark):
+    """Texts and sizes by the definition; repeated rows, null ids and other columns, clashing names too."""
+    rng = random.Random(12)
+    shared = [prose(rng, 30) for _ in range(3)]
+    texts = [prose(rng, 12) + " " + x + " " + prose(rng, 9) for x in shared for _ in range(4)] + [None, ""]
+    rows = [(i, t, "xx", None if t is None else len(t), i * 7, f"g{i}") for i, t in enumerate(texts)]
+    rows += [rows[3], (None, texts[1] + " " + shared[2], None, 5, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, th long, gone string")
+    want = without_repeats([(2**63 - 1 if r[0] is None else r[0], r[1] or "") for r in rows])
+    expected = []
+    for key, text, lang, size, th, gone in rows:
+        left, _, cut = want[2**63 - 1 if key is None else key, text or ""]
+        expected.append((key, left if cut else text, lang, len(left) if cut else size, th, gone))
+    found = substring.strip_repeats(table.repartition(3))
+    assert found.columns == table.columns and found.dtypes == table.dtypes
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    assert sum(r[1] != e[1] for r, e in zip(rows, expected)) > 5
+
+
+@pytest.mark.parametrize(("letters", "stop", "length"), [("天地玄黃宇宙洪荒日月盈昃辰宿列張", "。", 18), ("あいうえおかきくけこさしすせそ", "！", 20), ("กขคงจฉชซญดตถทธนบ", "\n", 60), ("क ख ग घ च छ ज झ ट ठ ड ढ ", "।", 72), ("ا ب ت ث ج ح خ د ذ ر ", "۔", 72)])
 def test_passages_in_other_scripts_are_found(spark, letters, stop, length):
     """Two sentences of a script without white space, or with stops of its own, repeat amid others."""
     rng = random.Random(8)
