@@ -6,12 +6,16 @@ give each node the log-odds that its subtree holds main text. Decoding maximises
 nodes under two constraints, so choices can't contradict each other: below a dropped node all is
 dropped, and a kept block keeps something below it.
 
-Training is on a bounded sample: about TRAIN_PAGES pages, the least hashes of their ids. Labels
-come from pages that say themselves what their parts are (article, nav, ...), and from the same
-texts laid out anew in the skeletons below, so that parts are also known by their place and shape.
-
-Defined cases: null and empty pages give an empty text, as do pages without any table to train
-from. Repeated rows give repeated results. Pages are read whole.
+Training is on a bounded sample: about TRAIN_PAGES pages, the least hashes of their ids. No list
+of words labels a text. A text is main text if its page puts it into an <article> or <main>, and
+isn't if it lies in an element for navigation, forms, asides and the like, is hidden, or recurs on
+REPEATED_PAGES pages of the sample outside of any main part. Attribute tokens that mark such texts,
+and hardly ever main text, are marks of what isn't main text inside an article too. The texts so
+known are laid out anew in the skeletons below, so that parts are also known by place and shape.
+
+Defined cases: null and empty pages give an empty text. A table that says nothing of its pages is
+read by what the skeletons teach, filled with the pages' texts or, without any, with made-up words.
+Repeated rows give repeated results. Pages are read whole.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,11 @@ from terrazzo.llm.dom import Node, parse, render, walk
 
 TRAIN_PAGES = 300
 TRAIN_CHARS = 200_000
+#: A text on so many pages of the sample recurs; a token on so many of them can be a mark.
+REPEATED_PAGES = 3
+MARK_PAGES = 5
+#: Pages laid out anew, where the sample has fewer.
+LEAST_LAID_OUT = 100
 
 #: Attribute tokens by what they usually mark.
 TOKENS = {
@@ -45,9 +55,9 @@ TOKENS = {
     "social": "share sharing social follow",
     "good": "article content post entry story main body text",
 }
+#: Groups of tokens are features; they label nothing.
 GROUP_OF = {t: i for i, words in enumerate(TOKENS.values()) for t in words.split()}
 N_GROUPS = len(TOKENS)
-GOOD = list(TOKENS).index("good")
 BOILER_TAGS = frozenset("nav aside footer form menu dialog button fieldset label".split())
 MAIN_TAGS = frozenset(("article", "main"))
 TAG_KIND = {t: i for i, tags in enumerate(("#text", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol li dl dt dd", "div section span figure figcaption center", "table tbody thead tr td th", "article main", "nav aside footer header form menu dialog button fieldset")) for t in tags.split()}
@@ -62,6 +72,7 @@ SKELETONS = (
     "<body><table><tr><td class='{0}'>{li}</td><td class='{1}'>{h}{p}</td></tr></table><div class='{0}'>{b}</div></body>",
     "<body><div class='topbar {0}'>{b}</div><div id='sidebar' class='{0}'><h3>{t2}</h3><ul>{li}</ul><h3>{t2}</h3>{b}</div><div class='entry {1}'>{h}{p}</div><div class='comments {0}'><h2>{t2}</h2>{c}</div></body>",
     "<body><article class='{1}'><header>{h}</header>{p}<section>{p}</section><footer class='{0}'>{b}</footer></article><section class='{0} comments'>{c}</section><div class='popup {0}'>{b}</div></body>",
+    "<body><article class='{1}'>{h}{p}<div class='ad {0}'>{b}</div>{p}<div class='promo {0}'>{b}</div></article><footer class='{0}'>{b}</footer></body>",
 )
 #: Pages that are nothing but main text.
 BARE = ("<html><body>{h}{p}</body></html>", "{p}", "<div>{p}</div>", "{t}", "<body>{t}</body>")
@@ -69,27 +80,47 @@ BARE = ("<html><body>{h}{p}</body></html>", "{p}", "<div>{p}</div>", "{t}", "<bo
 DROP, KEEP = "zzdrop", "zzkeep"
 
 
-def known_label(run: Node, otherwise: int | None = None) -> int | None:
-    """1 or 0 where the page itself says what a text run is, else `otherwise`."""
-    main = False
-    node = run.parent
-    while node is not None:
-        if KEEP in node.tokens or DROP in node.tokens:
-            return int(KEEP in node.tokens)
-        groups = {GROUP_OF[t] for t in node.tokens if t in GROUP_OF} - {GOOD}
-        if node.tag in BOILER_TAGS or groups or node.hidden:
-            return 0
-        if node.tag == "header" and not any(_above(node, MAIN_TAGS)):
-            return 0
-        main = main or node.tag in MAIN_TAGS
-        node = node.parent
-    return 1 if main else otherwise
-
-
-def _above(node: Node, tags):
-    while node is not None:
-        yield node.tag in tags
-        node = node.parent
+class Known:
+    """What a sample of pages tells about its texts: which recur, and which tokens mark them."""
+
+    def __init__(self, pages: list[list[Node]]):
+        self.repeated: set[str] = set()
+        self.marks: set[str] = set()
+        seen, kept, lost = Counter(), Counter(), Counter()
+        for nodes in pages:
+            texts = {_plain(v) for v in nodes if v.tag == "#text"}
+            if sum(len(t) for t in texts if seen[t]) * 2 < sum(map(len, texts)):  # copies of a page count once
+                seen.update(texts)
+        self.repeated = {t for t, n in seen.items() if n >= REPEATED_PAGES}
+        for nodes in pages:
+            tokens: tuple[set, set] = set(), set()
+            for v in nodes:
+                if v.tag == "#text" and (y := self.label(v)) is not None:
+                    tokens[y].update(*(u.tokens for u in _above(v)))
+            lost.update(tokens[0])
+            kept.update(tokens[1])
+        self.marks = {t for t, n in lost.items() if n >= MARK_PAGES and kept[t] * 10 <= n}
+
+    def label(self, run: Node, otherwise: int | None = None) -> int | None:
+        """1 or 0 where it is known whether a text run is main text, else `otherwise`."""
+        above = list(_above(run))
+        main = [v.tag in MAIN_TAGS for v in above]
+        for i, v in enumerate(above):
+            if KEEP in v.tokens or DROP in v.tokens:
+                return int(KEEP in v.tokens)
+            if v.tag in BOILER_TAGS or v.hidden or not self.marks.isdisjoint(v.tokens) or v.tag == "header" and not any(main[i:]):
+                return 0
+        return 1 if any(main) else 0 if _plain(run) in self.repeated else otherwise
+
+
+def _plain(run: Node) -> str:
+    return " ".join(run.text.split())
+
+
+def _above(node: Node):
+    """The elements around a node, the innermost first."""
+    while (node := node.parent) is not None:
+        yield node
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -141,30 +172,34 @@ def features(nodes: list[Node]) -> np.ndarray:
     return out
 
 
-def labels(nodes: list[Node], otherwise: int | None = None) -> np.ndarray:
+def labels(nodes: list[Node], known: Known, otherwise: int | None = None) -> np.ndarray:
     """1, 0 or -1 (unknown) for every node: a block holds main text if any run below it does."""
     at = {id(v): i for i, v in enumerate(nodes)}
     out = np.full(len(nodes), -1)
     for i in range(len(nodes) - 1, -1, -1):
         if nodes[i].tag == "#text":
-            known = known_label(nodes[i], otherwise)
-            out[i] = -1 if known is None else known
+            label = known.label(nodes[i], otherwise)
+            out[i] = -1 if label is None else label
         if i and out[i] >= 0:
             up = at[id(nodes[i].parent)]
             out[up] = max(out[up], out[i])
     return out
 
 
-def _laid_out(pages: list[list[Node]], seed: int, skeletons: tuple[str, ...] = SKELETONS) -> list[str]:
-    """The known parts of the pages in other skeletons."""
+def _made_up(rng: random.Random, words: int) -> str:
+    text = " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(words))
+    return f"{text.capitalize()}."
+
+
+def _laid_out(pages: list[list[Node]], known: Known, count: int, seed: int, skeletons: tuple[str, ...] = SKELETONS) -> list[str]:
+    """`count` pages with the parts of the given ones in other skeletons: their known main and other
+    texts; without any, their longer and shorter texts; without any, made-up words."""
     rng = random.Random(seed)
-    main, rest = [], []
-    for nodes in pages:
-        for v in nodes:
-            if v.tag == "#text" and (y := known_label(v)) is not None:
-                (main if y else rest).append(entities.escape(" ".join(v.text.split()), quote=False)[:2000])
-    if not main or not rest:
-        return []
+    runs = [(_plain(v), known.label(v)) for nodes in pages for v in nodes if v.tag == "#text"]
+    main, rest = ([t for t, y in runs if y == want] for want in (1, 0))
+    main = main or [t for t, _ in runs if len(t) >= 80] or [" ".join(_made_up(rng, rng.randint(4, 25)) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    rest = rest or [t for t, _ in runs if len(t) < 80] or [_made_up(rng, rng.randint(1, 8)) for _ in range(60)]
+    main, rest = ([entities.escape(t, quote=False)[:2000] for t in side] for side in (main, rest))
 
     def some(source, low, high, wrap):
         return "".join(wrap.format(rng.choice(source)) for _ in range(rng.randint(low, high)))
@@ -173,7 +208,7 @@ def _laid_out(pages: list[list[Node]], seed: int, skeletons: tuple[str, ...] = S
         return [" ".join(x.split()[: rng.randint(2, 25)]) for x in source]
 
     made, brief = [], short(rng.sample(main, min(len(main), 400)))
-    for _ in range(len(pages)):
+    for _ in range(count):
         skeleton = rng.choice(skeletons)
         while "{" in skeleton:
             for key, text in (("{0}", DROP), ("{1}", KEEP)):
@@ -186,23 +221,27 @@ def _laid_out(pages: list[list[Node]], seed: int, skeletons: tuple[str, ...] = S
     return made
 
 
-def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> BoostedTrees | None:
+def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> BoostedTrees:
     """Boosted trees from about TRAIN_PAGES pages of at most TRAIN_CHARS characters each."""
     usable = pages.select(F.col(page_id).alias("i"), F.col(html).alias("h")).where(F.length("h") > 0)
     total = usable.count()
     share = min(1.0, 1.3 * TRAIN_PAGES / max(1, total))
     sample = usable.where((F.pmod(F.xxhash64("i", F.lit(8)), F.lit(1_000_000)) < share * 1e6) & (F.length("h") <= TRAIN_CHARS)).orderBy(F.xxhash64("i", F.lit(8)), "i", "h").limit(TRAIN_PAGES)
-    trees = [walk(parse(r["h"])) for r in sample.select("h", "i").toLocalIterator()]
-    pages_known = [(t, None) for t in trees] + [(walk(parse(h)), None) for h in _laid_out(trees, 8)]
-    pages_known += [(walk(parse(h)), 1) for h in _laid_out(trees[: len(trees) // 5 + 1], 9, BARE)]
+    return fit([r["h"] for r in sample.select("h", "i").toLocalIterator()])
+
+
+def fit(pages: list[str]) -> BoostedTrees:
+    """Boosted trees from these pages and their parts in other layouts."""
+    trees = [walk(parse(h)) for h in pages]
+    known, count = Known(trees), max(len(trees), LEAST_LAID_OUT)
+    learned = [(t, None) for t in trees] + [(walk(parse(h)), None) for h in _laid_out(trees, known, count, 8)]
+    learned += [(walk(parse(h)), 1) for h in _laid_out(trees, known, count // 3 + 1, 9, BARE)]
     x, y = [], []
-    for nodes, otherwise in pages_known:
-        known = labels(nodes, otherwise)
-        if (known >= 0).any():
-            x.append(features(nodes)[known >= 0])
-            y.append(known[known >= 0])
-    if not x or len(set(np.concatenate(y).tolist())) < 2:
-        return None
+    for nodes, otherwise in learned:
+        label = labels(nodes, known, otherwise)
+        if (label >= 0).any():
+            x.append(features(nodes)[label >= 0])
+            y.append(label[label >= 0])
     return BoostedTrees().fit(np.concatenate(x).astype(np.float64), np.concatenate(y).astype(np.float64))
 
 
@@ -261,7 +300,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts: list[str] = []
             for start in range(0, batch.num_rows, 64):
                 part = batch.column(2).slice(start, 64).to_pylist()
-                texts += main_texts(part, model) if model else [""] * len(part)
+                texts += main_texts(part, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()

@@ -135,28 +135,74 @@ def test_given_pages_are_extracted_whole(spark, data, model):
         assert found.text[i] == text and found.n_chars[i] == len(text)
 
 
-def test_decoding_is_consistent():
-    nodes = dom.walk(dom.parse("<div><p>a</p><div><p>b</p><p>c</p></div></div>"))
+def test_decoding_equals_the_best_of_all_choices():
+    """Against every choice of nodes in which no kept node lies in a dropped one and no kept block is empty."""
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        logit = rng.normal(size=len(nodes)) * 3
-        kept = htmltext.decode(nodes, logit)
-
-        def best(v):
-            own = logit[nodes.index(v)]
-            if v.tag == "#text":
-                return own
-            options = [best(c) for c in v.children]
-            return own + (sum(x for x in options if x > 0) or max(options))
-
-        assert bool(kept) == (best(nodes[0]) > 0)
+    for page in ("<div><p>a</p><div><p>b</p><p>c</p></div></div>", "a<p>b</p>c", "<p>a</p><ul><li>b<li>c</ul>"):
+        nodes = dom.walk(dom.parse(page))
+        up = {i: nodes.index(v.parent) for i, v in enumerate(nodes) if v.parent is not None}
+        for _ in range(40):
+            logit = rng.normal(size=len(nodes)) * 3
+            best, runs = 0.0, set()
+            for bits in range(1, 2 ** len(nodes)):
+                kept = {i for i in range(len(nodes)) if bits >> i & 1}
+                blocks = {i for i in kept if nodes[i].tag != "#text"}
+                if all(up[i] in kept for i in kept if i) and blocks <= {up[i] for i in kept if i} and logit[list(kept)].sum() > best:
+                    best, runs = logit[list(kept)].sum(), {id(nodes[i]) for i in kept - blocks}
+            assert htmltext.decode(nodes, logit) == runs
+
+
+def test_formulas_and_plain_text_elements_are_kept():
+    text = lambda page: dom.render(dom.parse(page), lambda v: True)
+    assert text("<p>Energy is <math><mi>E</mi></math> and <svg><desc>no</desc><text>label</text></svg> done</p>") == "Energy is E and label done"
+    assert text("a<xmp><b>&amp;</b></xmp>c <object data=x>d</object>") == "a <b>&amp;</b> c d"
+    assert text("<p><math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math>.</p>") == "E=m."
+
+
+def test_reading_time_grows_with_the_page():
+    """Pages of stray and unclosed tags: ten times the page takes far less than a hundred times the time."""
+    import time
+
+    def seconds(n):
+        pages = ["<div>" * n + "</p>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<div>" * n + "<p></p>" * n, '<a "' * n, "<li>" * n + "</ul>" * n, "<a '\">" * n]
+        began = time.process_time()
+        for page in pages:
+            dom.parse(page)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(20_000) < 40 * seconds(2000) + 0.5
+
+
+def test_labels_come_from_elements_and_recurrence():
+    """A token that no list knows becomes a mark, as its texts recur; in an article it then marks others."""
+    own = lambda i: f"<article><p>Text number {i} of its own.</p><div class=qqx>Offer {i}.</div></article>"
+    pages = [f"<body><div class=qqx>Buy our things now.</div><div>Site {i}</div>{own(i)}<nav>Menu {i}</nav></body>" for i in range(60)]
+    nodes = [dom.walk(dom.parse(p)) for p in pages]
+    known = htmltext.Known(nodes)
+    assert known.marks == set() and known.repeated == {"Buy our things now."}  # it marks as many main texts
+    nodes = [dom.walk(dom.parse(p if i < 3 else p.replace(f"<div class=qqx>Offer {i}.</div>", ""))) for i, p in enumerate(pages)]
+    known = htmltext.Known(nodes)
+    assert known.marks == {"qqx"}
+    assert [known.label(v) for v in nodes[0] if v.tag == "#text"] == [0, None, 1, 0, 0]
+
+
+def test_tables_without_any_known_part(spark):
+    """Pages that say nothing of their parts, and none at all, still give a model."""
+    words = TEXT.split()
+    texts = [" ".join(words[(7 * i + j * (i + 2)) % len(words)] for j in range(60)) for i in range(3)]
+    rows = [(i, "u", f"<html><body><p>{t}</p><p>{i} {t}</p></body></html>") for i, t in enumerate(texts)]
+    rows += [(10 + i, "u", rows[0][2]) for i in range(5)]  # copies of a page say nothing
+    found = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {i: f"{t} {i} {t}" for i, t in enumerate(texts)} | {10 + i: f"{texts[0]} 0 {texts[0]}" for i in range(5)}
+    model = htmltext.fit([])
+    assert htmltext.main_texts([rows[0][2], f"<nav><a href=x>Home</a></nav><article><p>{TEXT}</p></article><footer>Imprint</footer>"], model) == [f"{texts[0]} 0 {texts[0]}", TEXT]
 
 
 def test_extraction_of_odd_tables(spark, model):
     rows = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<p></p>")], "page_id long, url string, html string")
     assert {(r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(rows, model=model).collect()} == {(1, "", 0), (2, "", 0), (None, "", 0)}
     assert htmltext.extract(rows.limit(0)).count() == 0
-    assert htmltext.train(rows) is None
 
 
 def test_queries_and_pipeline_are_registered():
