@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import crc_mod, small_batches
+from terrazzo.llm.common import crc_mod, slices, small_batches
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
@@ -30,6 +30,8 @@ MAX_GRAM = 5
 SAMPLE_PER_LANG = 1000
 MODEL_UNITS = 600_000
 CACHE_WORDS = 400_000
+#: Characters whose words are looked up together.
+SLICE_CHARS = 2_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -70,7 +72,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """Learn from at most about `sample_per_lang` texts a language, chosen by a hash of the id.
 
     The model holds at most `model_units` units over all languages and orders, so what is sent to
-    the executors has a bound that doesn't grow with the corpus.
+    the executors has a bound that doesn't grow with the corpus. What one language keeps is scored
+    by its counts in all: only a unit that a language never showed has the penalty there.
     """
     labelled = small_batches(docs).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     per_lang = {r["l"]: r["c"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -81,67 +84,79 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     chosen = labelled.where(_dealt("i", 17) < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("l")])
     counts = chosen.select("t", "l").mapInArrow(_count_units, "lang string, n int, unit string, count long").groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
     top = max(50, model_units // (len(langs) * (MAX_GRAM + 1)))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
-    totals: Counter = Counter()
-    kept: dict[tuple[int, str], dict[str, int]] = {}
-    for r in counts.withColumn("total", F.sum("count").over(Window.partitionBy("lang", "n"))).withColumn("r", rank).where(F.col("r") <= top).toLocalIterator(prefetchPartitions=True):
-        totals[r["lang"], r["n"]] = r["total"]
-        kept.setdefault((r["n"], r["unit"]), {})[r["lang"]] = r["count"]
-    rows, words, grams = [], {}, [{} for _ in range(MAX_GRAM + 1)]
-    for (n, unit), by_lang in kept.items():
-        (words if n == 0 else grams[n])[unit] = len(rows)
-        rows.append([np.log10(by_lang[k] / totals[k, n]) if k in by_lang else -PENALTY for k in langs])
-    return {"langs": langs, "share": share, "words": words, "grams": grams, "rows": np.array(rows, np.float32).reshape(-1, len(langs))}
-
-
-class Scorer(dict):
-    """Word -> its row in a table of scores by language; a new word is scored when it is first met."""
+    group = Window.partitionBy("lang", "n")
+    ranked = counts.withColumns({"total": F.sum("count").over(group), "r": F.row_number().over(group.orderBy(F.desc("count"), "unit"))})
+    # a unit that one language keeps comes with its counts in all of them
+    share_of = F.struct(F.col("lang"), F.log10(F.col("count") / F.col("total")).cast("float").alias("score"))
+    kept = ranked.groupBy("n", "unit").agg(F.min("r").alias("r"), F.collect_list(share_of).alias("scores")).where(F.col("r") <= top)
+    at, scores = {k: i for i, k in enumerate(langs)}, np.full((0, len(langs)), -PENALTY, np.float32)
+    words, grams, used = {}, [{} for _ in range(MAX_GRAM + 1)], 0
+    for r in kept.select("n", "unit", "scores").toLocalIterator(prefetchPartitions=True):
+        (words if r["n"] == 0 else grams[r["n"]])[r["unit"]] = used
+        if used == len(scores):
+            scores = np.concatenate([scores, np.full((max(1024, used // 2), len(langs)), -PENALTY, np.float32)])
+        for lang, score in r["scores"]:
+            scores[used, at[lang]] = score
+        used += 1
+    return {"langs": langs, "share": share, "words": words, "grams": grams, "rows": scores[:used]}
+
+
+class Scorer:
+    """Scores of words by language: rows of a table that new words join when they are first met."""
 
     def __init__(self, model: dict):
-        super().__init__(model["words"])
-        self.model, self.fixed = model, len(model["rows"])
-        self.table, self.used = model["rows"], self.fixed
-
-    def __missing__(self, word: str) -> int:
-        score = np.full(self.table.shape[1], -PENALTY, np.float32)
-        for n in range(min(MAX_GRAM, len(word) + 2), 0, -1):
-            known = self.model["grams"][n]
-            found = [known[g] for g in _grams(word, n) if g in known]
-            if found:
-                score = self.model["rows"][found].mean(axis=0)
-                break
-        if self.used == len(self.table):
-            grown = np.empty((max(1024, len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
-            grown[: self.used] = self.table
+        self.model = model
+        self._start()
+
+    def _start(self) -> None:
+        self.at, self.table, self.used = dict(self.model["words"]), self.model["rows"], len(self.model["rows"])
+
+    def learn(self, words: list[str]) -> None:
+        """Score words that the model doesn't hold: each has the mean of its longest known n-grams."""
+        if not words:
+            return
+        grams, found, sizes = self.model["grams"], [], []
+        for word in words:
+            known = []
+            for n in range(min(MAX_GRAM, len(word) + 2), 0, -1):
+                order = grams[n]
+                known = [order[g] for g in _grams(word, n) if g in order]
+                if known:
+                    break
+            found += known
+            sizes.append(len(known))
+        size = np.array(sizes)
+        scores = np.full((len(words), self.table.shape[1]), -PENALTY, np.float32)
+        starts = (np.cumsum(size) - size)[size > 0]
+        if len(starts):
+            scores[size > 0] = np.add.reduceat(self.model["rows"][found], starts, axis=0) / size[size > 0, None]
+        if self.used + len(words) > len(self.table):
+            grown = np.empty((max(self.used + len(words), len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
+            grown[: self.used] = self.table[: self.used]
             self.table = grown
-        self.table[self.used] = score
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def trim(self) -> None:
-        """Forget words met in texts when there are too many, so memory stays bounded."""
-        if self.used - self.fixed > CACHE_WORDS:
-            self.clear()
-            self.update(self.model["words"])
-            self.table, self.used = self.model["rows"], self.fixed
+        self.table[self.used : self.used + len(words)] = scores
+        self.at.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, found, score = self.model["langs"], [], []
-        for text in texts:
-            words = words_of(text) if text and langs else []
-            if not words:
-                found.append(UNKNOWN)
-                score.append(0.0)
-                continue
-            rows = list(map(self.__getitem__, words))
-            mean = self.table[rows].mean(axis=0, dtype=np.float64)
-            best = int(mean.argmax())
-            # posterior of a text of at most 20 such words, so that long texts are not all at 1
-            odds = np.power(10.0, (mean - mean[best]) * min(len(words), 20))
-            found.append(langs[best])
-            score.append(float(1.0 / odds.sum()))
-            self.trim()
+        for start, stop in slices([len(t or "") for t in texts], SLICE_CHARS):
+            listed = [words_of(t) if t and langs else [] for t in texts[start:stop]]
+            if self.used - len(self.model["rows"]) > CACHE_WORDS:  # words met in texts are forgotten, so memory stays bounded
+                self._start()
+            self.learn(list(set().union(*listed).difference(self.at)))
+            for words in listed:
+                if not words:
+                    found.append(UNKNOWN)
+                    score.append(0.0)
+                    continue
+                rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                mean = self.table[rows].mean(axis=0, dtype=np.float64)
+                best = int(mean.argmax())
+                # posterior of a text of at most 20 such words, so that long texts are not all at 1
+                odds = np.power(10.0, (mean - mean[best]) * min(len(words), 20))
+                found.append(langs[best])
+                score.append(float(1.0 / odds.sum()))
         return found, score
 
 
