@@ -27,6 +27,7 @@ texts are different documents. Null ids are equal ids and come last.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -104,13 +105,27 @@ def _chunks(raw: bytes):
         start += CHUNK_BYTES - SPAN + 1
 
 
-PACKED = ("doc", "th", "place", "before", "after", "gram", "whole", "digest")
-#: A text has under 2^31 bytes.
-_TYPES = {"doc": "<i8", "th": "<i8", "place": "<u4", "before": "u1", "after": "u1", "gram": "<u8", "whole": "<u8", "digest": "<u8"}
+#: A record an anchor; a text has under 2^31 bytes. Records of one batch and shard travel as one value.
+PACKED = np.dtype([("doc", "<i8"), ("th", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1"), ("gram", "<u8"), ("whole", "<u8"), ("digest", "<u8")])
+
+
+def _records(kind: np.dtype, **fields) -> np.ndarray:
+    out = np.empty(len(next(iter(fields.values()))), kind)
+    for name, values in fields.items():
+        out[name] = values
+    return out
+
+
+def _by_shard(records: np.ndarray, shard: np.ndarray):
+    """(shard, bytes of its records) of every shard that has any."""
+    order = np.argsort(shard, kind="stable")
+    shard, records = shard[order], records[order]
+    start = np.flatnonzero(np.diff(shard, prepend=-1))
+    return shard[start], [records[i:j].tobytes() for i, j in zip(start, [*start[1:], len(shard)])]
 
 
 def _anchored(batches, shards: int):
-    """One row per batch and shard: the shard and an array per field of PACKED, as bytes."""
+    """One row per batch and shard: the shard and its records of PACKED, as bytes."""
     for batch in batches:
         docs, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         parts = [(d, at, b, th) for d, th, t in zip(docs, hashes, texts) if t for raw in [t.encode()] if len(raw) >= SPAN for at, b in _chunks(raw)]
@@ -124,29 +139,25 @@ def _anchored(batches, shards: int):
             digest = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), (last + SPAN).tolist())], np.uint64)
             part = np.searchsorted(ends, place, side="right")
             shift = np.array([p[1] for p in some]) - (ends - size)
-            fields = {"doc": np.array([p[0] for p in some])[part], "th": np.array([p[3] for p in some])[part], "place": place + shift[part], "before": place - first, "after": last - first, "gram": gram, "whole": whole, "digest": digest}
-            shard = (gram % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            shard = shard[order]
-            cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
-            arrays = {k: v[order].astype(_TYPES[k]) for k, v in fields.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int64())] + [pa.array([a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()) for a in arrays.values()], names=["shard", *PACKED])
+            records = _records(PACKED, doc=np.array([p[0] for p in some])[part], th=np.array([p[3] for p in some])[part], place=place + shift[part], before=place - first, after=last - first, gram=gram, whole=whole, digest=digest)
+            shard, packed = _by_shard(records, (gram % np.uint64(shards)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "records"])
 
 
 def _met(batches, hot_contexts: int):
     """Rows sorted by shard. Yields (doc, th, start, stop, gram, hot): a removed range where gram is
     null, else a context whose text is wanted in step 3; hot if its gram has too many."""
-    held, here = {k: [] for k in PACKED}, None
 
-    def settled():
-        field = {k: np.concatenate([np.frombuffer(b, _TYPES[k]) for b in v]) for k, v in held.items()}
-        gram = field["gram"]
-        order = np.argsort(gram, kind="stable")
-        same = gram[order][1:] == gram[order][:-1]
+    def settled(packed):
+        records = np.frombuffer(b"".join(packed), PACKED)
+        order = np.argsort(records["gram"])
+        gram = records["gram"][order]
+        same = gram[1:] == gram[:-1]
         multiple = np.zeros(len(order), bool)
         multiple[1:] |= same
         multiple[:-1] |= same
-        field = {k: v[order[multiple]] for k, v in field.items()}
+        records = records[order[multiple]]
+        field = {k: records[k].copy() for k in PACKED.names}
         order = np.lexsort((field["place"], field["th"], field["doc"], field["digest"], field["whole"], field["after"], field["before"], field["gram"]))
         field = {k: v[order] for k, v in field.items()}
         n = len(order)
@@ -172,17 +183,15 @@ def _met(batches, hot_contexts: int):
                 k = at[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(field["doc"][k]), pa.array(field["th"][k]), pa.array(start[k]), pa.array(stop[k]), pa.array(field["gram"][k].view(np.int64), mask=None if with_gram else np.ones(len(k), bool)), pa.array(hot[k])], names=["doc", "th", "start", "stop", "gram", "hot"])
 
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(len(PACKED) + 1)]
-        for row in zip(*columns):
-            if row[0] != here:
-                if here is not None:
-                    yield from settled()
-                held, here = {k: [] for k in PACKED}, row[0]
-            for k, value in zip(PACKED, row[1:]):
-                held[k].append(value)
-    if here is not None:
-        yield from settled()
+    for _, packed in _shards(batches):
+        yield from settled(packed)
+
+
+def _shards(batches):
+    """(shard, values of its rows) of rows sorted by shard."""
+    rows = ((shard, value) for batch in batches for shard, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for shard, group in itertools.groupby(rows, key=lambda row: row[0]):
+        yield shard, [value for _, value in group]
 
 
 def _contexts(batches):
@@ -200,29 +209,32 @@ def _contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary())], names=["gram", "doc", "th", "start", "text"])
 
 
-HASHED = {"key": "<u8", "gram": "<i8", "doc": "<i8", "th": "<i8", "start": "<i8"}
+#: A string of a hot gram.
+HASHED = np.dtype([("key", "<u8"), ("gram", "<i8"), ("doc", "<i8"), ("th", "<i8"), ("start", "<i8")])
+RANGES = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 
 
-def _firsts(field: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash and place, and in it which strings are the first of their kind and which repeat."""
-    order = np.lexsort((field["start"], field["th"], field["doc"], field["gram"], field["key"]))
-    f = {k: v[order] for k, v in field.items()}
-    new = np.ones(len(order), bool)
+def _firsts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first string of each hash and gram, and the other strings with that hash (repeated rows left out)."""
+    f = records[np.lexsort((records["start"], records["th"], records["doc"], records["gram"], records["key"]))]
+    new = np.ones(len(f), bool)
     new[1:] = (f["key"][1:] != f["key"][:-1]) | (f["gram"][1:] != f["gram"][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
-    again = ~new & ((f["doc"] != f["doc"][head]) | (f["th"] != f["th"][head]) | (f["start"] != f["start"][head]))
-    return order, new, again
+    head = f[np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))] if len(f) else f
+    again = ~new & ((f["doc"] != head["doc"]) | (f["th"] != head["th"]) | (f["start"] != head["start"]))
+    return f[new], f[again]
 
 
-def _hot_hashed(batches, shards: int):
-    """(doc, th, text, wanted contexts) of hot grams -> (shard, HASHED as bytes) of each batch's first
-    strings, and with a null shard the removed ranges of the others."""
+def _covered(strings: np.ndarray) -> np.ndarray:
+    """RANGES that strings cover."""
+    doc, th, start, stop = _ranges(strings["doc"], strings["th"], strings["start"])
+    return _records(RANGES, doc=doc, th=th, start=start, stop=stop)
 
-    def packed(shard, fields):
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64())] + [pa.array(v, pa.binary()) for v in fields], names=["shard", *HASHED])
 
+def _hot_hashed(batches, shards: int):
+    """(doc, th, text, wanted contexts) of hot grams -> (shard, HASHED as bytes) of each batch's first
+    strings, and with a shard below 0 the removed RANGES of the others."""
     for batch in batches:
-        parts: dict[str, list] = {k: [] for k in HASHED}
+        parts = []
         for doc, th, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             for w in wanted:
@@ -230,50 +242,26 @@ def _hot_hashed(batches, shards: int):
                 up, down = _powers(len(part) + 1)
                 total = np.concatenate([[np.uint64(0)], np.cumsum(part * up[:-1])])
                 n = len(part) - SPAN + 1
-                parts["key"].append(mix64((total[SPAN:] - total[:-SPAN]) * down[:n]))
-                parts["gram"].append(np.full(n, w["gram"], np.int64))
-                parts["doc"].append(np.full(n, doc, np.int64))
-                parts["th"].append(np.full(n, th, np.int64))
-                parts["start"].append(w["start"] + np.arange(n))
-        if not parts["key"]:
-            continue
-        field = {k: np.concatenate(v) for k, v in parts.items()}
-        order, new, again = _firsts(field)
-        doc, th, start, stop = _ranges(*(field[k][order][again] for k in ("doc", "th", "start")))
-        yield packed([None], [[b""], *([x.astype("<i8").tobytes()] for x in (stop, doc, th, start))])
-        first = order[new]
-        shard = (field["key"][first] % np.uint64(shards)).astype(np.int64)
-        first, shard = first[np.argsort(shard, kind="stable")], np.sort(shard)
-        cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        arrays = [field[k][first].astype(t) for k, t in HASHED.items()]
-        yield packed(shard[cut[:-1]], [[a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for a in arrays])
+                key = mix64((total[SPAN:] - total[:-SPAN]) * down[:n])
+                parts.append(_records(HASHED, key=key, gram=w["gram"], doc=doc, th=th, start=w["start"] + np.arange(n)))
+        if parts:
+            first, again = _firsts(np.concatenate(parts))
+            shard, packed = _by_shard(first, (first["key"] % np.uint64(shards)).astype(np.int64))
+            shard = shard.tolist()
+            if len(again):
+                shard.append(-1 - int(again["th"][0]) % shards)
+                packed.append(_covered(again).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "records"])
 
 
 def _hot_met(batches):
     """Rows sorted by shard -> removed ranges (doc, th, start, stop)."""
-    held, here = {k: [] for k in HASHED}, None
-
-    def ranges(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "th", "start", "stop"])
-
-    def settled():
-        field = {k: np.concatenate([np.frombuffer(b, t) for b in held[k]]) for k, t in HASHED.items()}
-        order, _, again = _firsts(field)
-        return ranges(*_ranges(*(field[k][order][again] for k in ("doc", "th", "start"))))
-
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(len(HASHED) + 1))):
-            if row[0] is None:
-                yield ranges(*(np.frombuffer(row[i], "<i8") for i in (3, 4, 5, 2)))
-                continue
-            if row[0] != here:
-                if here is not None:
-                    yield settled()
-                held, here = {k: [] for k in HASHED}, row[0]
-            for k, value in zip(HASHED, row[1:]):
-                held[k].append(value)
-    if here is not None:
-        yield settled()
+    for shard, packed in _shards(batches):
+        if shard < 0:
+            found = np.frombuffer(b"".join(packed), RANGES)
+        else:
+            found = _covered(_firsts(np.frombuffer(b"".join(packed), HASHED))[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in RANGES.names], names=list(RANGES.names))
 
 
 def repeated_starts(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,7 +362,7 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     slim = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(n_partitions(docs), -(-total // SHARD_BYTES))
-    packed = slim.mapInArrow(lambda batches: _anchored(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in PACKED))
+    packed = slim.mapInArrow(lambda batches: _anchored(batches, shards), "shard long, records binary")
     met = materialise(packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _met(batches, hot_contexts), "doc long, th long, start long, stop long, gram long, hot boolean"))
     listed = F.collect_set(F.struct("start", "stop", "gram")).alias("wanted")
     texts = lambda which: slim.join(met.where(which).groupBy("doc", "th").agg(listed), ["doc", "th"]).select("doc", "th", "text", "wanted")
@@ -383,9 +371,8 @@ def remove_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "do
     induced = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_induced, "doc long, th long, start long, stop long")
     removed = met.where("gram is null").select("doc", "th", "start", "stop").union(induced)
     if not met.where("hot and gram is not null").isEmpty():
-        hashed = texts("gram is not null and hot").mapInArrow(lambda batches: _hot_hashed(batches, shards), "shard long, " + ", ".join(f"{k} binary" for k in HASHED))
-        spread = F.coalesce("shard", F.pmod(F.xxhash64("doc", "th"), F.lit(shards)))
-        removed = removed.union(hashed.repartition(parts, spread).sortWithinPartitions("shard").mapInArrow(_hot_met, "doc long, th long, start long, stop long"))
+        hashed = texts("gram is not null and hot").mapInArrow(lambda batches: _hot_hashed(batches, shards), "shard long, records binary")
+        removed = removed.union(hashed.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_hot_met, "doc long, th long, start long, stop long"))
     gone = removed.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     kind = docs.schema[doc_id].dataType.simpleString()
     # the same columns by the same key as in the join above, so the texts are shuffled once for both

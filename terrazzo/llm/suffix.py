@@ -21,16 +21,23 @@ def _types(t: np.ndarray) -> np.ndarray:
     return s
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0, by 16 bits at a time (numpy sorts those by radix)."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    high = keys >> 16
+    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
+
+
 def _dealt(keys: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     """Places for items with these bucket numbers, in order, moving the buckets' ends `at`."""
-    order = np.argsort(keys, kind="stable")
+    order = _order(keys)
     ordered = keys[order]
     start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    size = np.diff(np.concatenate([start, [len(keys)]]))
-    rank = np.arange(len(keys)) - np.repeat(start, size)
-    places = np.empty(len(keys), np.int64)
-    places[order] = at[ordered] + step * rank
-    at[ordered[start]] += step * size
+    size = np.diff(np.append(start, len(keys)))
+    first = ordered[start]
+    places = np.empty(len(keys), at.dtype)
+    places[order] = np.repeat(at[first] - step * start, size) + step * np.arange(len(keys))
+    at[first] += step * size
     return places
 
 
@@ -42,19 +49,23 @@ def _run_lengths(t: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(fresh, at, 0))
 
 
-def _steps(lands: np.ndarray, symbols: list[int], rising: bool) -> list[tuple[int, int]]:
+def _steps(lands: np.ndarray, symbols: np.ndarray) -> list[tuple[int, int]]:
     """Consecutive buckets that may be scanned in one step: none induces into another of its step.
 
-    lands[c] is the nearest other bucket that a suffix of bucket c induces into, in scan order.
+    symbols: the buckets in scan order, rising or falling; lands: for each, the nearest other
+    bucket that one of its suffixes induces into.
     """
-    found, first, limit = [], 0, None
-    for at, c in enumerate(symbols):
-        if limit is not None and (c >= limit if rising else c <= limit):
+    sign = 1 if len(symbols) < 2 or symbols[0] < symbols[1] else -1
+    found, first, limit = [], 0, 0
+    for at, (c, reach) in enumerate(zip((sign * symbols).tolist(), (sign * lands).tolist())):
+        if at == first:
+            limit = reach
+        elif c >= limit:
             found.append((first, at))
-            first, limit = at, None
-        reach = int(lands[c])
-        limit = reach if limit is None else min(limit, reach) if rising else max(limit, reach)
-    return found + [(first, len(symbols))] if symbols else []
+            first, limit = at, reach
+        elif reach < limit:
+            limit = reach
+    return [*found, (first, len(symbols))]
 
 
 def _with_runs(t: np.ndarray, seeds: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -66,60 +77,47 @@ def _with_runs(t: np.ndarray, seeds: np.ndarray, left: np.ndarray) -> np.ndarray
     order = np.repeat(np.arange(len(seeds)), more + 1)
     back = np.arange(len(order)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
     at = seeds[order] - back
-    return at[np.lexsort((order, back, t[at]))]
+    return at[np.lexsort((back, t[at]))]
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The suffix array that sorted leftmost-S suffixes induce."""
     n = len(t)
-    sa = np.full(n, -1, np.int64)
-    ends = np.cumsum(sizes)
-    heads, symbols = ends - sizes, np.flatnonzero(sizes).tolist()
+    sa = np.full(n, -1, np.int32)
+    ends = np.cumsum(sizes).astype(np.int32)
+    heads, symbols = (ends - sizes).astype(np.int32), np.flatnonzero(sizes)
     left = _run_lengths(t)
+    runs = np.zeros(len(sizes), bool)
+    runs[t[left > 0]] = True
     sa[_dealt(t[lms[::-1]], ends - 1, -1)] = lms[::-1]
-    # L-type suffixes, from the least bucket up; a suffix that starts a run brings the run along
-    other = np.flatnonzero(t[:-1] != t[1:])
-    l_other, s_other = other[~s[other]], other[s[other]]
-    lands = np.full(len(sizes), n + 1, np.int64)
-    np.minimum.at(lands, t[l_other + 1], t[l_other])
-    at = heads.copy()
-    for a, b in _steps(lands, symbols, True):
-        low, high = heads[symbols[a]], ends[symbols[b - 1]]
-        held = sa[low:high]
-        held = held[held >= 0]
-        seeds = held[~s[held]]
-        grown = _with_runs(t, seeds, left)
-        if len(grown) > len(seeds):
-            first = symbols[a]
-            free = heads[first : symbols[b - 1] + 1].copy()
-            sa[_dealt(t[grown] - first, free, 1)] = grown
-            held = sa[low:high]
-            held = held[held >= 0]
-        j = held[held > 0] - 1
-        j = j[~s[j] & (t[j] != t[j + 1])]
-        if len(j):
-            sa[_dealt(t[j], at, 1)] = j
-    # S-type suffixes, from the greatest bucket down; the leftmost-S ones have done their work
-    sa[sa >= 0] = np.where(s[sa[sa >= 0]], -1, sa[sa >= 0])
-    lands = np.full(len(sizes), -1, np.int64)
-    np.maximum.at(lands, t[s_other + 1], t[s_other])
-    at = ends - 1
-    for b, a in _steps(lands, symbols[::-1], False):
-        highest, lowest = symbols[::-1][b], symbols[::-1][a - 1]
-        low, high = heads[lowest], ends[highest]
-        held = sa[low:high][::-1]
-        held = held[held >= 0]
-        seeds = held[s[held]]
-        grown = _with_runs(t, seeds, left)
-        if len(grown) > len(seeds):
-            free = ends[lowest : highest + 1] - 1
-            sa[_dealt(t[grown] - lowest, free, -1)] = grown
-            held = sa[low:high][::-1]
+    # where the suffix to the left goes to another bucket: when L-type ones are scanned, or S-type ones
+    other = np.flatnonzero(t[:-1] != t[1:]) + 1
+    rising, falling = other[~s[other - 1]], other[s[other - 1]]
+    for step, source in ((1, rising), (-1, falling)):
+        goes, kind = np.zeros(n, bool), ~s if step > 0 else s
+        goes[source] = True
+        lands = np.full(len(sizes), n + len(sizes) if step > 0 else -1, np.int64)
+        (np.minimum if step > 0 else np.maximum).at(lands, t[source], t[source - 1])
+        scan, at = symbols[::step], heads.copy() if step > 0 else ends - 1
+        for a, b in _steps(lands[scan], scan):
+            lowest, highest = (scan[a], scan[b - 1])[::step]
+            part = slice(heads[lowest], ends[highest])
+            held = sa[part][::step]
             held = held[held >= 0]
-        j = held[held > 0] - 1
-        j = j[s[j] & (t[j] != t[j + 1])]
-        if len(j):
-            sa[_dealt(t[j], at, -1)] = j
+            if runs[lowest : highest + 1].any():
+                # a suffix that starts a run of one symbol brings the run along
+                seeds = held[kind[held]]
+                grown = _with_runs(t, seeds, left)
+                if len(grown) > len(seeds):
+                    free = heads[lowest : highest + 1].copy() if step > 0 else ends[lowest : highest + 1] - 1
+                    sa[_dealt(t[grown] - lowest, free, step)] = grown
+                    held = sa[part][::step]
+                    held = held[held >= 0]
+            j = held[goes[held]] - 1
+            if len(j):
+                sa[_dealt(t[j], at, step)] = j
+        if step > 0:  # the leftmost-S suffixes have done their work
+            sa[s[sa] & (sa >= 0)] = -1
     sa[0] = n - 1
     return sa
 
@@ -144,14 +142,14 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
 
     Works on the text with a sentinel 0 at its end; the sentinel's suffix isn't returned.
     """
-    return _sorted(np.concatenate([t.astype(np.int64), [0]]), len(t) if depth is None else depth)[1:]
+    return _sorted(np.append(t, 0).astype(np.int32), len(t) if depth is None else depth)[1:].astype(np.int64)
 
 
 def _sorted(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array, to this depth, of a text that ends in its only 0, the least symbol."""
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     s = _types(t)
     sizes = np.bincount(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
@@ -167,7 +165,7 @@ def _sorted(t: np.ndarray, depth: int) -> np.ndarray:
     # a leftmost-S substring has three symbols at least, and each further one two new ones;
     # the text of names ends in the sentinel's, its only 0
     if names[-1] + 1 < len(lms) and depth > 3:
-        name = np.empty(n, np.int64)
+        name = np.empty(n, np.int32)
         name[ordered] = names
         ordered = lms[_sorted(name[lms], depth // 2)]
     return _induce(t, s, ordered, sizes)
