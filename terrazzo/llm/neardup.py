@@ -6,14 +6,18 @@
 2. Representatives that share a band key are joined to the least of them; connected components of
    these stars are candidate clusters. With the banding chosen below, two documents at the
    threshold share no band once in about 10^5 pairs, and more similar ones far less often.
-3. Each cluster is verified inside tasks of bounded size: a cluster larger than a block is split
-   into blocks, and each pair of blocks is one task. In a task, register agreement gives each
-   pair's similarity of greatest likelihood; pairs that could reach the threshold (five standard
-   deviations of slack) and aren't yet connected are confirmed on their full shingle sets.
-4. Components of the confirmed links give each document the least id that it can reach.
+3. Each cluster is dealt into blocks of bounded size, and a block is one task. In a task, register
+   agreement gives each pair's similarity of greatest likelihood; pairs that could reach the
+   threshold (five standard deviations of slack) and aren't yet connected are confirmed on their
+   full shingle sets. About PIVOTS members of a cluster go to all its blocks, so the blocks of one
+   family of near copies link up through them and are never compared with each other.
+4. What a cluster of several blocks still holds apart from its largest group, the leftovers, is
+   compared with all members that share a band key with a leftover, block by block. A cluster of
+   one block is settled by step 3, and so is one that it has linked up.
+5. Components of the confirmed links give each document the least id that it can reach.
 
 Defined cases: a document without words is linked with nothing and keeps itself. Repeated rows are
-equal sets. Rows with a null id keep themselves and take no part. An empty table gives no rows.
+equal sets; rows of one id and different texts are one document that has the links of both. Rows with a null id keep themselves and take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ from terrazzo.llm.sketch import WordIds, bands, joint_estimate, shingles, sketch
 
 N_BANDS = 40
 MISSED = 1e-5
-#: A verification task holds two blocks of at most so many documents and shingles.
-BLOCK_DOCS = 1000
+#: A verification task holds one or two blocks of about so many documents and shingles.
+BLOCK_DOCS = 256
+PIVOTS = 16
 BLOCK_SHINGLES = 2_000_000
 
 
@@ -63,19 +68,22 @@ def _sketched(batches, width: int, m: int):
             )
 
 
-def _linked(sets: list[np.ndarray], side: list[int], percent: int, m: int):
-    """Index pairs that connect all documents linked within a task; side tells the two blocks apart."""
+def _linked(sets: list[np.ndarray], side: list[int], group: list[int], percent: int, m: int):
+    """Index pairs that connect all documents linked within a task.
+
+    Sides 1 and 2 are compared with each other, side 0 with itself; documents of one group are
+    linked already.
+    """
     count = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     registers = sketch(sets, m)
-    side_of = np.array(side)
+    side_of, label = np.array(side), np.array(group, np.int64)
     slack = 5 * math.sqrt(percent * (100 - percent)) / 100 / math.sqrt(m)
     least = percent / 100 - slack
     first, second, likely = [], [], []
     for i in range(count - 1):
         rest = np.arange(i + 1, count)
-        if side_of.any():
-            rest = rest[side_of[i + 1 :] != side_of[i]]
+        rest = rest[(label[rest] != label[i]) & ((side_of[rest] != side_of[i]) | (side_of[i] == 0))]
         rest = rest[np.minimum(size[rest], size[i]) * 100 >= percent * np.maximum(size[rest], size[i])]
         if not len(rest):
             continue
@@ -93,7 +101,6 @@ def _linked(sets: list[np.ndarray], side: list[int], percent: int, m: int):
     first, second, likely = np.concatenate(first), np.concatenate(second), np.concatenate(likely)
     order = np.argsort(-likely, kind="stable")
     first, second = first[order], second[order]
-    label = np.arange(count)
     for start in range(0, len(first), 512):
         a, b = first[start : start + 512], second[start : start + 512]
         apart = label[a] != label[b]
@@ -107,12 +114,12 @@ def _linked(sets: list[np.ndarray], side: list[int], percent: int, m: int):
 
 
 def _verified(batches, width: int, percent: int, m: int):
-    """Rows sorted by task: (cluster, lo, hi, block, doc_id, text). Yields confirmed links."""
+    """Rows sorted by task: (cluster, lo, hi, side, group, doc_id, text). Yields confirmed links."""
     ids = WordIds()
-    task, keys, sets, side = None, [], [], []
+    task, keys, sets, side, group = None, [], [], [], []
 
     def links():
-        pairs = [(keys[x], keys[y]) for x, y in _linked(sets, side, percent, m)] if len(sets) > 1 else []
+        pairs = [(keys[x], keys[y]) for x, y in _linked(sets, side, group, percent, m)] if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
@@ -120,10 +127,11 @@ def _verified(batches, width: int, percent: int, m: int):
             if (row["cluster"], row["lo"], row["hi"]) != task:
                 if len(sets) > 1:
                     yield links()
-                task, keys, sets, side = (row["cluster"], row["lo"], row["hi"]), [], [], []
+                task, keys, sets, side, group = (row["cluster"], row["lo"], row["hi"]), [], [], [], []
             keys.append(row["doc_id"])
             sets.append(shingles(row["text"], width, ids))
-            side.append(int(row["lo"] != row["hi"] and row["block"] == row["hi"]))
+            side.append(row["side"])
+            group.append(row["group"])
     if len(sets) > 1:
         yield links()
 
@@ -140,15 +148,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     keyed = sets.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
     stars = keyed.join(shared, "key").where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    clusters = components(stars)
-    members = clusters.join(sets.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    tasks = slim.join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "text")
-    tasks = tasks.repartition(n_partitions(docs), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "doc_id")
-    links = tasks.mapInArrow(lambda batches: _verified(batches, width, percent, m), "a long, b long")
+    members = components(stars).join(sets.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    blocks = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), _blocks().alias("blocks"))
+    placed = materialise(members.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size", "blocks", "n_shingles", _dealt("doc_id", F.col("blocks")).alias("block")))
+
+    def verified(tasks: DataFrame) -> DataFrame:
+        """Links in tasks(doc_id, cluster, lo, hi, side, group)."""
+        rows = slim.join(tasks, "doc_id").select("cluster", "lo", "hi", "side", "group", "doc_id", "text")
+        rows = rows.repartition(n_partitions(docs), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "doc_id")
+        return rows.mapInArrow(lambda batches: _verified(batches, width, percent, m), "a long, b long")
+
+    # step 3: every member in its own block, pivots in all
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pivot = (F.col("blocks") > 1) & (F.xxhash64("doc_id", F.lit(9)) / 2.0**64 + 0.5 < PIVOTS / F.col("size"))
+    spread = placed.withColumn("lo", F.explode(F.when(pivot, everywhere).otherwise(F.array("block"))))
+    links = verified(spread.select("doc_id", "cluster", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), F.col("doc_id").alias("group")))
     joined = components(links)
+    # step 4: leftovers of the clusters that took several blocks
+    split = placed.where("blocks > 1").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
+    if not split.isEmpty():
+        split = materialise(split)
+        largest = split.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "group"))["group"].alias("most"))
+        left = split.join(largest, "cluster").where("group <> most")
+        parts = left.groupBy("cluster").agg(_blocks().alias("parts"))
+        left = left.join(parts, "cluster").withColumn("lo", _dealt("doc_id", F.col("parts")))
+        keys = keyed.select(F.col("rep").alias("doc_id"), "key")
+        asked = keys.join(left.select("doc_id"), "doc_id", "left_semi").select("key").distinct()
+        partners = split.join(keys.join(asked, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi").join(parts, "cluster")
+        hit = partners.groupBy("cluster").agg(F.collect_set("block").alias("hit"))
+        one = left.join(hit, "cluster").withColumn("hi", F.explode("hit")).select("doc_id", "cluster", "lo", "hi", F.lit(1).alias("side"), "group")
+        two = partners.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doc_id", "cluster", "lo", F.col("block").alias("hi"), F.lit(2).alias("side"), "group")
+        more = materialise(verified(one.unionByName(two)))
+        if not more.isEmpty():
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     lead = sets.select("f1", "f2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     # the keys of the join are null where a document stands alone, so such rows meet nothing
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -157,6 +189,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _blocks():
+    """Number of blocks that a group's documents need."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(node: str, blocks):
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """Pipeline form: the rows of `docs`, one document of each group (the least id); columns stay."""
     kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()

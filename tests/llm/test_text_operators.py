@@ -99,6 +99,30 @@ def test_near_duplicates_over_blocks(spark, monkeypatch):
     assert got == linked(rows, 3, 85)[0]
 
 
+@pytest.mark.parametrize("pivots", [0, 2])
+def test_leftovers_of_clusters_are_compared(spark, monkeypatch, pivots):
+    """Families around a few bases that share most of their words: blocks that pivots don't link up,
+    and members that only a document of another block is near to."""
+    rng = random.Random(4)
+    base = prose(rng, 110).split()
+    rows = []
+    for family in range(4):
+        own = list(base)
+        for _ in range(5 * family):
+            own[rng.randrange(len(own))] = rng.choice(WORDS)
+        for _ in range(18):
+            w = list(own)
+            for _ in range(rng.randint(0, 7)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(w), None, None, 0))
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    for width, percent in ((3, 85), (5, 80)):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), width, percent).collect()}
+        want = linked(rows, width, percent)[0]
+        assert got == want and 1 < len(set(want.values())) < len(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark, none):
     assert neardup.near_duplicates(none).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", None, None, 0)] * 2 + [(None, "a b c d e f", None, None, 0), (None, None, None, None, 0)], DOCS)
