@@ -1,21 +1,23 @@
 """Exact top-k by integer inner product: ball-tree branch and bound in every shard.
 
-Vectors are dealt into shards of bounded size by a hash of their id; each shard's task builds one
-ball tree and streams queries through it in blocks. A node is visited only by the queries whose
-upper bound q.c + |q| r reaches their current k-th score, larger bounds first. Every query first
-searches its own shard; the k-th score found there goes with it to all others, so these return
-only what can still count.
+Vectors are dealt into cells around centres that are fitted on a bounded sample, and cells into
+shards of about SHARD_ROWS. Each shard's task builds one ball tree and streams queries through it
+in blocks. A node is visited only by the queries whose upper bound q.c + |q| r reaches their
+current k-th score, larger bounds first. Every query first searches its own shard; the k-th score
+found there goes with it, and only to cells whose own ball can still hold a better row.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, as
 queries or candidates; nor does an empty one or a row without an id. Vectors of different lengths
 aren't compared. An id that occurs more than once is one row: its least vector. Ties go to the
-smaller id. With fewer than k other rows a query returns them all.
+smaller id. With fewer than k other rows a query returns them all. An empty table gives no rows.
+A component or a score that doesn't fit 64 bits is an error.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,18 @@ from terrazzo.llm.common import materialise, n_partitions
 SHARD_ROWS = 16_384
 LEAF = 256
 SCALE = 64
+#: Bounds of what the driver fits and every task holds: cells, rows a cell in the sample, numbers in it.
+CELLS = 4096
+SAMPLE_PER_CELL = 16
+SAMPLE_NUMBERS = 4_000_000
 NONE = np.iinfo(np.int64).min
 
 
+def ball_slack(norms, centre_norm, radius):
+    """What a score in a ball can have above q.c; the small part covers rounding, so no row is ever cut wrongly."""
+    return norms * radius + 1e-9 * norms * (centre_norm + radius) + 1e-3
+
+
 class BallTree:
     """Nodes as (centre, radius, children or rows); balls hold all rows below them."""
 
@@ -52,8 +63,7 @@ class BallTree:
 
     def bound(self, node: int, queries: np.ndarray, norms: np.ndarray) -> np.ndarray:
         centre, radius = self.nodes[node][:2]
-        # the slack covers rounding, so no row is ever cut wrongly
-        return (queries @ centre + norms * radius) * (1 + 1e-9 * np.sign(queries @ centre + norms * radius)) + 1e-3
+        return queries @ centre + ball_slack(norms, np.sqrt(centre @ centre), radius)
 
 
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, kth: np.ndarray, k: int):
@@ -62,7 +72,10 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     kth = kth.copy()
     best_q, best_i, best_s = (np.zeros(0, np.int64) for _ in range(3))
     stack = [(0, np.arange(len(queries)))]
-    exact = float(np.abs(tree.rows).max(initial=0)) * float(np.abs(points).max(initial=0)) * tree.rows.shape[1] < 2**53
+    most = float(np.abs(tree.rows).max(initial=0)) * float(np.abs(points).max(initial=0)) * tree.rows.shape[1]
+    if most >= 2**62:
+        raise ValueError("inner products may not fit 64 bits")
+    exact = most < 2**53
     while stack:
         node, active = stack.pop()
         active = active[tree.bound(node, points[active], norms[active]) >= kth[active]]
@@ -96,34 +109,109 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     return best_q, best_i, best_s
 
 
-def _usable(batches):
-    """(vec_id, v): floor(64 x) of the vectors that take part."""
+def _usable(batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, floor(64 x)) of the vectors of each length that take part."""
+    keys, lists = batch.column(0), batch.column(1)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = np.floor(SCALE * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    owner = np.repeat(np.arange(len(size)), size)
+    whole = np.bincount(owner, ~np.isfinite(x), len(size)) == 0
+    start = np.cumsum(size) - size
+    ok = whole & (size > 0) & ~keys.is_null().to_numpy(zero_copy_only=False)
+    if (np.abs(x[ok[owner]]) >= 2.0**63).any():
+        raise ValueError("a component doesn't fit 64 bits")
+    ids = pc.fill_null(keys, 0).to_numpy(zero_copy_only=False)
+    rows = [(np.flatnonzero(ok & (size == n)), n) for n in np.unique(size[ok])]
+    return [(ids[at], x[start[at][:, None] + np.arange(n)].astype(np.int64)) for at, n in rows]
+
+
+def _fitted(points: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
+    """Centres of `cells` clusters of the points, by Lloyd's rounds."""
+    centres = points[np.linspace(0, len(points) - 1, cells).astype(int)]
+    for _ in range(rounds):
+        cell = _nearest(points, centres)
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, points)
+        size = np.bincount(cell, minlength=cells)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+    return centres
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres**2).sum(axis=1) / 2
+    return np.concatenate([(points[i : i + 4096] @ centres.T - half).argmax(axis=1) for i in range(0, len(points), 4096)] or [np.zeros(0, np.int64)])
+
+
+def _centres(slim: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """For each vector length, the centres of its cells, from a sample; none where one shard holds all."""
+    cells = min(CELLS, -(-count // SHARD_ROWS))
+    if cells < 2:
+        return {}
+    wanted = cells * SAMPLE_PER_CELL
+    dealt = F.xxhash64("vec_id", F.lit(11))
+    sample = slim.where(dealt / 2.0**64 + 0.5 < 2 * wanted / count).where(F.size("e") <= SAMPLE_NUMBERS // wanted).orderBy(dealt, "vec_id").limit(wanted).toArrow()
+    parts = [part for batch in sample.to_batches() for part in _usable(batch)]
+    whole = sum(len(ids) for ids, _ in parts)
+    found = {}
+    for n in {rows.shape[1] for _, rows in parts}:
+        points = np.concatenate([rows for _, rows in parts if rows.shape[1] == n]).astype(np.float64)
+        found[n] = _fitted(points, max(1, cells * len(points) // whole))
+    return found
+
+
+def _placed(batches, centres: dict[int, np.ndarray]):
+    """vec_id, v, dim, cell and the distance from the cell's centre (from 0 where a length has no centres)."""
     for batch in batches:
-        keys, rows = [], []
-        for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if key is None or not vector or any(x is None for x in vector):
-                continue
-            x = np.array(vector, np.float64)
-            if np.isfinite(x).all():
-                keys.append(key)
-                rows.append(np.floor(SCALE * x).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["vec_id", "v"])
+        for ids, rows in _usable(batch):
+            points, own = rows.astype(np.float64), centres.get(rows.shape[1], np.zeros((1, rows.shape[1])))
+            cell = _nearest(points, own)
+            away = np.sqrt(((points - own[cell]) ** 2).sum(axis=1))
+            packed = rows.astype("<i8").tobytes()
+            width = 8 * rows.shape[1]
+            v = [packed[i : i + width] for i in range(0, len(packed), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(v, pa.binary()), pa.array(np.full(len(ids), rows.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "v", "dim", "cell", "away"])
+
+
+def _sent(batches, cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+    """Queries (dim, cell, sub, vec_id, v, kth) of a shard -> the same for every other shard whose
+    cell's ball may hold a row that scores at least kth. cells: by length, numbers, centres, radii
+    and shards of the cells."""
+    for batch in batches:
+        dims, home, sub, ids, v, kth = (batch.column(i) for i in range(6))
+        dims = dims.to_numpy()
+        for n in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == n)
+            number, centre, radius, shards = cells[n]
+            own, part, least = (c.to_numpy()[at] for c in (home, sub, kth))
+            rows = np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), "<i8").reshape(-1, n)
+            points = rows.astype(np.float64)
+            norms = np.sqrt((points**2).sum(axis=1))
+            bound = points @ centre.T + ball_slack(norms[:, None], np.sqrt((centre**2).sum(axis=1)), radius)
+            q, c = np.nonzero(bound >= least[:, None])
+            many = shards[c]
+            q, c = np.repeat(q, many), np.repeat(c, many)
+            inside = np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
+            other = (number[c] != own[q]) | (inside != part[q])
+            q, c, inside = q[other], c[other], inside[other]
+            for i in range(0, len(q), 4096):
+                k, row = slice(i, i + 4096), at[q[i : i + 4096]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), n, np.int32)), pa.array(number[c[k]].astype(np.int32)), pa.array(inside[k].astype(np.int32)), ids.take(pa.array(row)), v.take(pa.array(row)), kth.take(pa.array(row))], names=["dim", "cell", "sub", "vec_id", "v", "kth"])
 
 
 def _search_shards(batches, k: int):
-    """Rows sorted by (dim, shard, kind): a shard's candidates, then the queries sent to it."""
+    """Rows (dim, cell, sub, kind, vec_id, v, kth) sorted by shard and kind: a shard's candidates,
+    then the queries sent to it."""
     here, ids, vectors, tree = None, [], [], None
-
     for batch in batches:
-        dims, shards, kinds = (batch.column(i).to_numpy() for i in range(3))
-        cut = np.flatnonzero((dims[1:] != dims[:-1]) | (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        marks = np.stack([batch.column(i).to_numpy() for i in range(4)])
+        cut = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
         for start, stop in zip([0, *cut], [*cut, batch.num_rows]):
-            part = batch.slice(start, stop - start)
-            if (dims[start], shards[start]) != here:
-                here, ids, vectors, tree = (dims[start], shards[start]), [], [], None
-            block = np.frombuffer(b"".join(part.column(4).to_pylist()), "<i8").reshape(-1, dims[start])
-            key = part.column(3).to_numpy()
-            if kinds[start] == 0:
+            part, shard = batch.slice(start, stop - start), tuple(marks[:3, start].tolist())
+            if shard != here:
+                here, ids, vectors, tree = shard, [], [], None
+            block = np.frombuffer(b"".join(part.column(5).to_pylist()), "<i8").reshape(-1, shard[0])
+            key = part.column(4).to_numpy()
+            if marks[3, start] == 0:
                 ids.append(key)
                 vectors.append(block)
                 continue
@@ -131,32 +219,50 @@ def _search_shards(batches, k: int):
                 continue
             if tree is None:
                 all_ids, tree = np.concatenate(ids), BallTree(np.concatenate(vectors))
-            q, i, s = search(tree, all_ids, block, key, part.column(5).to_numpy(), k)
+            q, i, s = search(tree, all_ids, block, key, part.column(6).to_numpy(), k)
             yield pa.RecordBatch.from_arrays([pa.array(key[q]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, against all others."""
-    usable = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e")).mapInArrow(_usable, "vec_id long, v binary")
-    rows = usable.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", (F.length("v") / 8).cast("int"))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int"))
-    columns = ["dim", "shard", "kind", "vec_id", "v", "kth"]
-    candidates = rows.withColumns({"kind": F.lit(0), "kth": F.lit(int(NONE))}).select(columns)
+    slim = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
+    count = slim.count()
+    centres = vectors.sparkSession.sparkContext.broadcast(_centres(slim, count))
+    rows = slim.mapInArrow(lambda batches: _placed(batches, centres.value), "vec_id long, v binary, dim int, cell int, away double")
+    if not slim.where("vec_id is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        rows = rows.groupBy("vec_id").agg(F.min(F.struct("v", "dim", "cell", "away")).alias("r")).select("vec_id", "r.*")
+    rows = materialise(rows)
+    held = rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("c"), F.max("away").alias("radius"))
+    # a row a cell: at most CELLS for each length of vectors
+    found = sorted(map(tuple, held.collect()))
+    cells = {}
+    for n in {f[0] for f in found}:
+        number, size, radius = (np.array([f[i] for f in found if f[0] == n]) for i in (1, 2, 3))
+        cells[n] = number, centres.value.get(n, np.zeros((1, n)))[number], radius, -(-size // SHARD_ROWS)
+    shards = max(1, sum(int(c[3].sum()) for c in cells.values()))
+    if shards > 1:
+        split = [(n, int(c), int(m)) for n, (number, _, _, many) in cells.items() for c, m in zip(number, many)]
+        split = F.broadcast(vectors.sparkSession.createDataFrame(split, "dim int, cell int, parts int"))  # a row a cell
+        rows = rows.join(split, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts")).cast("int"))
+    else:
+        rows = rows.withColumn("sub", F.lit(0))
+    columns = ["dim", "cell", "sub", "kind", "vec_id", "v", "kth"]
+    nothing = F.lit(int(NONE))
+    candidates = rows.withColumns({"kind": F.lit(0), "kth": nothing}).select(columns)
     queries = rows.where(F.col("vec_id") % every == 0)
     parts = max(n_partitions(vectors), shards)
 
     def searched(asked: DataFrame) -> DataFrame:
-        both = candidates.unionByName(asked.select(columns)).repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "vec_id")
+        both = candidates.unionByName(asked.withColumn("kind", F.lit(1)).select(columns)).repartition(parts, "dim", "cell", "sub").sortWithinPartitions("dim", "cell", "sub", "kind", "vec_id")
         return both.mapInArrow(lambda batches: _search_shards(batches, k), "query_id long, vec_id long, score long")
 
-    home = searched(queries.withColumns({"kind": F.lit(1), "kth": F.lit(int(NONE))}))
-    found = home
+    result = searched(queries.withColumn("kth", nothing))
     if shards > 1:
-        found = home = materialise(home)
+        result = home = materialise(result)
         reached = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-        bounded = queries.join(reached, F.col("vec_id") == F.col("query_id"), "left").withColumns({"kind": F.lit(1), "kth": F.coalesce("least", F.lit(int(NONE))), "home": F.col("shard")})
-        away = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home")
-        found = home.unionByName(searched(away))
+        bounded = queries.join(reached, F.col("vec_id") == F.col("query_id"), "left").select("dim", "cell", "sub", "vec_id", "v", F.coalesce("least", nothing).alias("kth"))
+        known = vectors.sparkSession.sparkContext.broadcast(cells)
+        away = bounded.mapInArrow(lambda batches: _sent(batches, known.value), "dim int, cell int, sub int, vec_id long, v binary, kth long")
+        result = home.unionByName(searched(away))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return result.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
