@@ -6,9 +6,11 @@ id (of smaller text hash, where ids are equal), or further up in the same one. M
 1. Anchors. Each string of SPAN bytes owns the least of its GRAM-byte hashes (the leftmost, if
    tied), so equal strings own equal grams at equal places. The strings of consecutive starts that
    own one gram make a context. Anchors go to shards by the gram's hash, packed into arrays.
-2. In its shard, a gram that occurs once is dropped: no string over it repeats. Contexts that are
-   equal as a whole (by 128 bits of two hashes) are one: all but the first are removed at once. What is left are grams with
-   several different contexts, at the borders of what repeats.
+2. Contexts that are equal as a whole (96 bits of two hashes of all their bytes, besides the gram) are one: all but the
+   first are removed at once, in the chunk of anchors that a task reads and then in the gram's
+   shard, so a passage that very many documents share costs its shard one row a chunk. A gram that
+   is left with one context is settled. What is left are grams with several different contexts, at
+   the borders of what repeats.
 3. The texts of those contexts meet by gram, in blocks of bounded size. Each block's suffix array is
    induced, and permuted common prefixes of SPAN or more join its suffixes into classes; in each
    class the earliest start stays and every other start removes its string.
@@ -44,8 +46,10 @@ GRAM = 40
 SHARD_BYTES = 24_000_000
 BLOCK_BYTES = 1_000_000
 CHUNK_BYTES = 1_000_000
+#: Anchors that a task settles among themselves before it sends them.
+CHUNK_RECORDS = 500_000
 #: More different contexts than this don't go into one suffix array.
-HOT_CONTEXTS = 4096
+HOT_CONTEXTS = 1024
 _LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -106,7 +110,10 @@ def _chunks(raw: bytes):
 
 
 #: A record an anchor; a text has under 2^31 bytes. Records of one batch and shard travel as one value.
-PACKED = np.dtype([("doc", "<i8"), ("th", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1"), ("gram", "<u8"), ("whole", "<u8"), ("digest", "<u8")])
+PACKED = np.dtype([("doc", "<i8"), ("th", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1"), ("gram", "<u8"), ("whole", "<u8"), ("digest", "<u4")])
+
+#: Bytes of a document that go.
+RANGES = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 
 
 def _records(kind: np.dtype, **fields) -> np.ndarray:
@@ -125,7 +132,15 @@ def _by_shard(records: np.ndarray, shard: np.ndarray):
 
 
 def _anchored(batches, shards: int):
-    """One row per batch and shard: the shard and its records of PACKED, as bytes."""
+    """Rows (shard, records): records of PACKED, as bytes, once a chunk and shard; and RANGES that the
+    chunk's own repeats remove, with a shard below 0."""
+    held, count = [], 0
+
+    def settled():
+        records, gone = _settled(np.concatenate(held))
+        shard, packed = _by_shard(records, (records["gram"] % np.uint64(shards)).astype(np.int64))
+        return _batch(shard, packed, gone, shards)
+
     for batch in batches:
         docs, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         parts = [(d, at, b, th) for d, th, t in zip(docs, hashes, texts) if t for raw in [t.encode()] if len(raw) >= SPAN for at, b in _chunks(raw)]
@@ -136,55 +151,96 @@ def _anchored(batches, shards: int):
             size = np.array([len(p[2]) for p in some])
             ends = np.cumsum(size)
             place, first, last, gram, whole = anchors(data, ends)
-            digest = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), (last + SPAN).tolist())], np.uint64)
+            digest = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) & 0xFFFFFFFF for i, j in zip(first.tolist(), (last + SPAN).tolist())], np.uint32)
             part = np.searchsorted(ends, place, side="right")
             shift = np.array([p[1] for p in some]) - (ends - size)
-            records = _records(PACKED, doc=np.array([p[0] for p in some])[part], th=np.array([p[3] for p in some])[part], place=place + shift[part], before=place - first, after=last - first, gram=gram, whole=whole, digest=digest)
-            shard, packed = _by_shard(records, (gram % np.uint64(shards)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "records"])
+            held.append(_records(PACKED, doc=np.array([p[0] for p in some])[part], th=np.array([p[3] for p in some])[part], place=place + shift[part], before=place - first, after=last - first, gram=gram, whole=whole, digest=digest))
+            count += len(place)
+            if count >= CHUNK_RECORDS:
+                yield settled()
+                held, count = [], 0
+    if held:
+        yield settled()
+
+
+SAME = ["gram", "before", "after", "whole", "digest"]
+PLACE = ["doc", "th", "place"]
+
+
+def _settled(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records without those whose context is equal as a whole to an earlier one's, and the RANGES
+    that these remove; of repeated rows one is left."""
+    order = np.argsort(records["whole"])
+    mark = records["whole"][order]
+    same = mark[1:] == mark[:-1]
+    several = np.zeros(len(order), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    alone, f = records[order[~several]], records[order[several]]
+    f = f[np.lexsort([f[k] for k in PLACE[::-1] + SAME[::-1]])]
+    new = _fresh(f, SAME)
+    gone = f[~new & _elsewhere(f, new)]
+    start = gone["place"].astype(np.int64) - gone["before"]
+    doc, th, start, stop = _merged(gone["doc"], gone["th"], start, start + gone["after"] + SPAN)
+    return np.concatenate([alone, f[new]]), _records(RANGES, doc=doc, th=th, start=start, stop=stop)
+
+
+def _fresh(f: np.ndarray, names: list[str]) -> np.ndarray:
+    """Where sorted records differ from the one before in any of these fields."""
+    new = np.ones(len(f), bool)
+    new[1:] = False
+    for name in names:
+        new[1:] |= f[name][1:] != f[name][:-1]
+    return new
+
+
+def _elsewhere(f: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Where a record's place isn't that of the first of its kind."""
+    head = f[np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))] if len(f) else f
+    return (f["doc"] != head["doc"]) | (f["th"] != head["th"]) | (f["place"] != head["place"])
+
+
+def _batch(shard: np.ndarray, packed: list[bytes], gone: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rows (shard, records), and one of RANGES, if any, with a shard below 0."""
+    shard = shard.tolist()
+    if len(gone):
+        shard.append(-1 - int(gone["th"][0]) % shards)
+        packed = [*packed, gone.tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "records"])
 
 
 def _met(batches, hot_contexts: int):
     """Rows sorted by shard. Yields (doc, th, start, stop, gram, hot): a removed range where gram is
     null, else a context whose text is wanted in step 3; hot if its gram has too many."""
 
-    def settled(packed):
+    def rows(doc, th, start, stop, gram=None, hot=None):
+        for i in range(0, len(doc), 100_000):
+            k = slice(i, i + 100_000)
+            n = len(doc[k])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c[k], np.int64)) for c in (doc, th, start, stop)), pa.nulls(n, pa.int64()) if gram is None else pa.array(gram[k].view(np.int64)), pa.array(np.zeros(n, bool) if hot is None else hot[k])], names=["doc", "th", "start", "stop", "gram", "hot"])
+
+    for shard, packed in _shards(batches):
+        if shard < 0:
+            gone = np.frombuffer(b"".join(packed), RANGES)
+            yield from rows(*(gone[k] for k in RANGES.names))
+            continue
         records = np.frombuffer(b"".join(packed), PACKED)
         order = np.argsort(records["gram"])
         gram = records["gram"][order]
         same = gram[1:] == gram[:-1]
-        multiple = np.zeros(len(order), bool)
-        multiple[1:] |= same
-        multiple[:-1] |= same
-        records = records[order[multiple]]
-        field = {k: records[k].copy() for k in PACKED.names}
-        order = np.lexsort((field["place"], field["th"], field["doc"], field["digest"], field["whole"], field["after"], field["before"], field["gram"]))
-        field = {k: v[order] for k, v in field.items()}
-        n = len(order)
-        if not n:
-            return
-        new_gram = np.concatenate([[True], field["gram"][1:] != field["gram"][:-1]])
-        new = new_gram.copy()
-        for k in ("before", "after", "whole", "digest"):
-            new[1:] |= field[k][1:] != field[k][:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        twin = ~new & (field["doc"] == field["doc"][head]) & (field["th"] == field["th"][head]) & (field["place"] == field["place"][head])
-        start = field["place"].astype(np.int64) - field["before"].astype(np.int64)
-        stop = start + field["after"].astype(np.int64) + SPAN
+        several = np.zeros(len(order), bool)
+        several[1:] |= same
+        several[:-1] |= same
         # a gram with one context is settled; one with several goes on with the first of each
-        number = np.cumsum(new_gram) - 1
-        contexts = np.bincount(number, new)
-        wanted = new & (contexts > 1)[number]
-        hot = (contexts > hot_contexts)[number]
-        gone = ~new & ~twin
-        for mask, with_gram in ((gone, False), (wanted, True)):
-            at = np.flatnonzero(mask)
-            for i in range(0, len(at), 100_000):
-                k = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(field["doc"][k]), pa.array(field["th"][k]), pa.array(start[k]), pa.array(stop[k]), pa.array(field["gram"][k].view(np.int64), mask=None if with_gram else np.ones(len(k), bool)), pa.array(hot[k])], names=["doc", "th", "start", "stop", "gram", "hot"])
-
-    for _, packed in _shards(batches):
-        yield from settled(packed)
+        left, gone = _settled(records[order[several]])
+        yield from rows(*(gone[k] for k in RANGES.names))
+        left = left[np.argsort(left["gram"])]
+        new = _fresh(left, ["gram"])
+        number = np.cumsum(new) - 1
+        contexts = np.bincount(number)[number] if len(left) else number
+        left, contexts = left[contexts > 1], contexts[contexts > 1]
+        start = left["place"].astype(np.int64) - left["before"]
+        yield from rows(left["doc"], left["th"], start, start + left["after"] + SPAN, np.ascontiguousarray(left["gram"]), contexts > hot_contexts)
 
 
 def _shards(batches):
@@ -211,7 +267,6 @@ def _contexts(batches):
 
 #: A string of a hot gram.
 HASHED = np.dtype([("key", "<u8"), ("gram", "<i8"), ("doc", "<i8"), ("th", "<i8"), ("start", "<i8")])
-RANGES = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i8"), ("stop", "<i8")])
 
 
 def _firsts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +281,7 @@ def _firsts(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _covered(strings: np.ndarray) -> np.ndarray:
     """RANGES that strings cover."""
-    doc, th, start, stop = _ranges(strings["doc"], strings["th"], strings["start"])
+    doc, th, start, stop = _merged(strings["doc"], strings["th"], strings["start"], strings["start"] + SPAN)
     return _records(RANGES, doc=doc, th=th, start=start, stop=stop)
 
 
@@ -246,12 +301,7 @@ def _hot_hashed(batches, shards: int):
                 parts.append(_records(HASHED, key=key, gram=w["gram"], doc=doc, th=th, start=w["start"] + np.arange(n)))
         if parts:
             first, again = _firsts(np.concatenate(parts))
-            shard, packed = _by_shard(first, (first["key"] % np.uint64(shards)).astype(np.int64))
-            shard = shard.tolist()
-            if len(again):
-                shard.append(-1 - int(again["th"][0]) % shards)
-                packed.append(_covered(again).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "records"])
+            yield _batch(*_by_shard(first, (first["key"] % np.uint64(shards)).astype(np.int64)), _covered(again), shards)
 
 
 def _hot_met(batches):
@@ -290,14 +340,15 @@ def repeated_starts(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
     return doc[gone], start[gone]
 
 
-def _joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of bytes that strings at these starts cover, runs of starts in one."""
+def _joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that lie in or next to each other made one."""
     order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)]) if len(doc) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:] - 1, [len(doc) - 1]]) if len(doc) else first
-    return doc[first], start[first], start[last] + SPAN
+    doc, start, stop = doc[order], start[order], stop[order]
+    shift = doc << 32  # documents lie one after the other
+    reach = np.maximum.accumulate(stop + shift) if len(doc) else stop
+    first = np.flatnonzero(np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]])[: len(doc)])
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], start[first], reach[last] - shift[last]
 
 
 def _numbered(doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,10 +361,10 @@ def _numbered(doc: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return number, doc[order][new], th[order][new]
 
 
-def _ranges(doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+def _merged(doc: np.ndarray, th: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
     """_joined, of documents by two columns."""
     number, docs, hashes = _numbered(doc, th)
-    at, start, stop = _joined(number, start)
+    at, start, stop = _joined(number, start, stop)
     return docs[at], hashes[at], start, stop
 
 
@@ -323,7 +374,8 @@ def _induced(batches):
 
     def ranges():
         number, docs, hashes = _numbered(np.array([r[1] for r in held]), np.array([r[2] for r in held]))
-        at, start, stop = _joined(*repeated_starts([r[4] for r in held], number, np.array([r[3] for r in held])))
+        at, start = repeated_starts([r[4] for r in held], number, np.array([r[3] for r in held]))
+        at, start, stop = _joined(at, start, start + SPAN)
         return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(hashes[at]), pa.array(start), pa.array(stop)], names=["doc", "th", "start", "stop"])
 
     for batch in batches:
