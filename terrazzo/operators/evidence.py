@@ -6,6 +6,8 @@ A mask is named by the columns MASK together with its frame.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,44 +165,43 @@ def track_proposals(strengths: DataFrame, known: DataFrame, crowd: int = 100) ->
     return pairs.join(known.select("id", "id2"), ["id", "id2"], "left_anti")
 
 
-#: Pairs of two numbers that the mixture may bring to the driver (8 MB).
+#: Different (k, n) that the mixture may bring to the driver (12 MB).
 IN_DRIVER = 500_000
 
 
 def mixture(pairs: DataFrame, rounds: int = 50, in_driver: int = IN_DRIVER) -> tuple[float, float, float]:
     """(p_same, p_diff, share) of a binomial mixture over (k, n), by a fixed number of EM rounds.
 
-    Up to `in_driver` pairs, counted first, the rounds run on the driver's copy of the two columns;
-    beyond, each round is one aggregate over the cached pairs and five numbers come to the driver.
+    Equal pairs are counted once, with their number. Up to `in_driver` different ones, the rounds
+    run on the driver's copy; beyond, each round is one aggregate and five numbers come to it.
     """
     p_s, p_d, share = 0.5, 0.02, 0.1
-    pairs = pairs.select(F.col("k").cast("double"), F.col("n").cast("double")).persist()
+    counted = pairs.groupBy(F.col("k").cast("double").alias("k"), F.col("n").cast("double").alias("n")).agg(F.count(F.lit(1)).cast("double").alias("c")).persist()
     try:
-        count = pairs.count()
-        local = pairs.toPandas() if count <= in_driver else None
-        for _ in range(rounds if count else 0):
+        different = counted.count()
+        local = counted.toPandas() if different <= in_driver else None
+        for _ in range(rounds if different else 0):
             if local is not None:
-                sums = _mixture_sums(local.k.to_numpy(), local.n.to_numpy(), p_s, p_d, share)
+                k, n, c = (local[x].to_numpy() for x in ("k", "n", "c"))
+                same = np.log(share) + k * np.log(p_s) + (n - k) * np.log(1 - p_s)
+                diff = np.log(1 - share) + k * np.log(p_d) + (n - k) * np.log(1 - p_d)
+                g = c / (1 + np.exp(np.clip(diff - same, -50, 50)))
+                sums = g.sum() / c.sum(), (g * k).sum(), (g * n).sum(), ((c - g) * k).sum(), ((c - g) * n).sum()
             else:
-                same = F.log(F.lit(share)) + F.col("k") * F.log(F.lit(p_s)) + (F.col("n") - F.col("k")) * F.log(F.lit(1 - p_s))
-                diff = F.log(F.lit(1 - share)) + F.col("k") * F.log(F.lit(p_d)) + (F.col("n") - F.col("k")) * F.log(F.lit(1 - p_d))
-                g = 1 / (1 + F.exp(F.least(F.greatest(diff - same, F.lit(-50.0)), F.lit(50.0))))
-                sums = pairs.select("k", "n", g.alias("g")).agg(F.avg("g"), F.sum(F.col("g") * F.col("k")), F.sum(F.col("g") * F.col("n")), F.sum((1 - F.col("g")) * F.col("k")), F.sum((1 - F.col("g")) * F.col("n"))).first()
+                k, n, c = F.col("k"), F.col("n"), F.col("c")
+                same = math.log(share) + k * math.log(p_s) + (n - k) * math.log(1 - p_s)
+                diff = math.log(1 - share) + k * math.log(p_d) + (n - k) * math.log(1 - p_d)
+                weighed = counted.withColumn("g", c / (1 + F.exp(F.least(F.greatest(diff - same, F.lit(-50.0)), F.lit(50.0)))))
+                g = F.col("g")
+                sums = weighed.agg(F.sum(g) / F.sum(c), F.sum(g * k), F.sum(g * n), F.sum((c - g) * k), F.sum((c - g) * n)).first()
             share = min(max(sums[0], 1e-12), 1 - 1e-12)
             p_s = min(max(sums[1] / max(sums[2], 1e-9), 1e-3), 1 - 1e-3)
             p_d = min(max(sums[3] / max(sums[4], 1e-9), 1e-4), 1 - 1e-4)
     finally:
-        pairs.unpersist()
+        counted.unpersist()
     return max(p_s, p_d), min(p_s, p_d), share
 
 
-def _mixture_sums(k: np.ndarray, n: np.ndarray, p_s: float, p_d: float, share: float) -> tuple[float, ...]:
-    same = np.log(share) + k * np.log(p_s) + (n - k) * np.log(1 - p_s)
-    diff = np.log(1 - share) + k * np.log(p_d) + (n - k) * np.log(1 - p_d)
-    g = 1 / (1 + np.exp(np.clip(diff - same, -50, 50)))
-    return g.mean(), (g * k).sum(), (g * n).sum(), ((1 - g) * k).sum(), ((1 - g) * n).sum()
-
-
 def log_likelihood_ratio(p_s: float, p_d: float) -> Column:
     """Cost of an edge with k joins in n chances: same object over different ones."""
     return F.col("k") * F.log(F.lit(p_s / p_d)) + (F.col("n") - F.col("k")) * F.log(F.lit((1 - p_s) / (1 - p_d)))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrazzo.operators.common import settled
+
 
 def neighbourhood_edges(frames: DataFrame, key: str, reach: int) -> DataFrame:
     """key, i, j with 0 < |i - j| <= reach, both directions; frames(key, i).
@@ -27,35 +29,25 @@ def proximity_order(pairs: DataFrame, n: int, quantum: float = 1e-3) -> list:
     return [F.rint(F.col("dist") / quantum), F.col("i") * n + F.col("j")]
 
 
-def proximity_edges(pairs: pd.DataFrame, n: int, forced: int, threshold: float, nms: int, budget: int) -> pd.DataFrame:
-    """i, j: edges within `forced` of each other, then the nearest others under the threshold.
+def proximity_edges(pairs: pd.DataFrame, n: int, rad: int, threshold: float, nms: int, budget: int, present: tuple[tuple[int, int], ...] = ()) -> pd.DataFrame:
+    """i, j: edges to the rad + 1 frames before each frame, then the nearest others under the threshold.
 
-    Each edge taken suppresses those within `nms` of it in both indices; both directions are made
-    until the budget is spent.
+    Others reach back at least `rad` frames. Edges present already and edges taken here keep an
+    area free around themselves: of distance `nms` (in both indices together), less for frames that
+    are close. Both directions are made, until more than `budget` edges are.
     """
-    distance = np.full((n, n), np.inf)
-    distance[pairs.i, pairs.j] = pairs.dist
-    out: list[tuple[int, int]] = []
-
-    def suppress(i: int, j: int):
-        for a in range(-nms, nms + 1):
-            for b in range(-nms, nms + 1):
-                if abs(a) + abs(b) <= max(min(abs(i - j) - 2, nms), 0) and 0 <= i + a < n and 0 <= j + b < n:
-                    distance[i + a, j + b] = np.inf
-
-    for i in range(n):
-        for j in range(max(0, i - forced), i):
-            out += [(i, j), (j, i)]
-            distance[i, j] = distance[j, i] = np.inf
-    order = pairs.assign(q=np.rint(pairs.dist / 1e-3), e=pairs.i * n + pairs.j).sort_values(["q", "e"])
-    for i, j in zip(order.i.tolist(), order.j.tolist()):
-        if len(out) >= budget:
+    forced = [(i, j) for i in range(n) for j in range(max(0, i - rad - 1), i)]
+    wanted = pairs[(pairs.j <= pairs.i - rad) & (pairs.dist <= threshold)]
+    wanted = wanted.assign(q=np.rint(wanted.dist / 1e-3), e=wanted.i * n + wanted.j).sort_values(["q", "e"])
+    taken, closed = list(forced), set(forced)
+    areas = [(a, b, min(abs(a - b) - 2, nms)) for a, b in present]
+    for i, j in zip(wanted.i.tolist(), wanted.j.tolist()):
+        if 2 * len(taken) > budget:
             break
-        if distance[i, j] <= threshold:
-            out += [(i, j), (j, i)]
-            suppress(i, j)
-            suppress(j, i)
-    return pd.DataFrame(sorted(set(out)), columns=["i", "j"])
+        if (i, j) not in closed and not any(abs(a - i) + abs(b - j) <= max(reach, 0) for a, b, reach in areas):
+            taken.append((i, j))
+            areas.append((i, j, min(abs(i - j) - 2, nms)))
+    return pd.DataFrame(sorted({e for i, j in taken for e in ((i, j), (j, i))}), columns=["i", "j"])
 
 
 def coalesce_blocks(blocks: DataFrame) -> DataFrame:
@@ -125,28 +117,46 @@ def inverse_diagonal(a: DataFrame) -> DataFrame:
     return a.where("i = j").select("i", "j", (1 / F.when(F.col("value") != 0, F.col("value"))).alias("value"))
 
 
-def schur_solve(h: DataFrame, e: DataFrame, c: DataFrame, v: DataFrame, w: DataFrame) -> tuple[dict[int, float], DataFrame]:
-    """Solve [H E; E^T C] [x; z] = [v; w] with a diagonal C: the reduced system on the driver
-    (it has a row per pose), the many z by back-substitution in relations (i, value)."""
-    ci = inverse_diagonal(c).select("i", F.col("value").alias("inv"))
-    et = transpose(e)  # rows are the eliminated variables
-    scaled = et.join(ci, "i").select("i", "j", (F.col("value") * F.col("inv")).alias("value"))
-    reduced = add(h, transposed_product(scaled, et), -1.0).collect()
-    down = transposed_vector(scaled, w).collect()
-    ids = sorted({r["i"] for r in reduced} | {r["j"] for r in reduced})
-    at = {k: n for n, k in enumerate(ids)}
-    a, b = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
-    for r in reduced:
-        a[at[r["i"]], at[r["j"]]] += r["value"]
-    for r in v.collect():
-        b[at[r["i"]]] += r["value"]
-    for r in down:
-        b[at[r["i"]]] -= r["value"]
-    x = dict(zip(ids, np.linalg.solve(a, b).tolist()))
-    solved = h.sparkSession.createDataFrame([(k, val) for k, val in x.items()], "j long, x double")
-    used = et.join(F.broadcast(solved), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("x")).alias("used"))  # one row a pose
-    z = w.join(used, "i", "left").join(ci, "i").select("i", ((F.col("value") - F.coalesce("used", F.lit(0.0))) * F.col("inv")).alias("value"))
-    return x, z
+#: A dense system of more variables than this is refused (32 MB).
+MOST_VARIABLES = 2000
+
+
+def schur_solve(h: DataFrame, e: DataFrame, c: DataFrame, v: DataFrame, w: DataFrame, scene: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """x and z, as (i, value), of [H E; E^T C] [x; z] = [v; w] with a diagonal C.
+
+    The reduced system has a row per pose; each scene's is solved in a task of its own (one scene,
+    if no column names it), and the many z by back-substitution in relations. A scene of more than
+    MOST_VARIABLES poses is an error.
+    """
+    keys = [scene] if scene else ["scene"]
+    named = lambda df: df if scene else df.withColumn("scene", F.lit(0))
+    h, e, c, v, w = (named(df) for df in (h, e, c, v, w))
+    inverse = c.where("i = j").select(*keys, "i", (1 / F.when(F.col("value") != 0, F.col("value"))).alias("inv"))
+    # rows are the eliminated variables, columns the poses
+    below = e.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "value")
+    scaled = below.join(inverse, [*keys, "i"]).select(*keys, "i", "j", (F.col("value") * F.col("inv")).alias("scaled"))
+    product = below.withColumnRenamed("j", "k").join(scaled, [*keys, "i"]).groupBy(*keys, F.col("j").alias("i"), F.col("k").alias("j")).agg((-F.sum(F.col("value") * F.col("scaled"))).alias("value"))
+    down = scaled.join(w, [*keys, "i"]).groupBy(*keys, F.col("j").alias("i")).agg((-F.sum(F.col("value") * F.col("scaled"))).alias("value"))
+    system = h.select(*keys, "i", "j", "value").unionByName(product)
+    system = system.unionByName(v.select(*keys, "i", "value").unionByName(down).withColumn("j", F.lit(None).cast("long")))
+    system = system.groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
+
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        right = cells.j.isna()
+        ids = np.unique(cells.i)
+        if len(ids) > MOST_VARIABLES:
+            raise ValueError(f"{len(ids)} variables, more than {MOST_VARIABLES}")
+        a, b = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
+        left = cells[~right]
+        a[np.searchsorted(ids, left.i), np.searchsorted(ids, left.j.astype("int64"))] = left.value
+        b[np.searchsorted(ids, cells.i[right])] = cells.value[right]
+        return pd.DataFrame({keys[0]: cells[keys[0]].iloc[0], "i": ids, "value": np.linalg.solve(a, b)})
+
+    kind = system.schema[keys[0]].dataType.simpleString()
+    x = settled(system.groupBy(*keys).applyInPandas(solve, f"{keys[0]} {kind}, i long, value double"))
+    used = below.join(x.select(*keys, F.col("i").alias("j"), F.col("value").alias("x")), [*keys, "j"]).groupBy(*keys, "i").agg(F.sum(F.col("value") * F.col("x")).alias("used"))
+    z = w.join(used, [*keys, "i"], "left").join(inverse, [*keys, "i"]).select(*keys, "i", ((F.col("value") - F.coalesce("used", F.lit(0.0))) * F.col("inv")).alias("value"))
+    return (x, z) if scene else (x.drop("scene"), z.drop("scene"))
 
 
 def frame_distances(flows: DataFrame, beta: float = 0.3, least: float = 0.75, far: float = 1000.0) -> DataFrame:

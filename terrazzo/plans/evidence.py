@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.operators import evidence as ev
 from terrazzo.operators import graph
+from terrazzo.operators.common import settled
 from terrazzo.plans import proxies as px
 
 NODE, MASK = ev.NODE, ev.MASK
@@ -69,7 +70,7 @@ def must_link_atoms(spark, d):
 
 def beta_prior_gain(spark, d):
     regions = px.members(spark, d).where("lvl = 3").select("atom", F.col("node").alias("region"))
-    return ev.border_gain(_affinity(spark, d), regions).select("ra", "rb", r("gain"))
+    return ev.border_gain(settled(_affinity(spark, d)), regions).select("ra", "rb", r("gain"))
 
 
 def tree_rollup_evidence(spark, d):

@@ -109,16 +109,18 @@ def kabsch_alignment(spark, d):
 
 
 def contact_coloring(spark, d):
-    """Instances are the labels; they touch where a point's near neighbour has another label."""
+    """Instances are the labels; they touch where a point's near neighbour has another label. A scene
+    is a block of 64 labels."""
     points = px.points(spark, d)
     owner = points.select("id", "label")
+    scene = lambda c: F.floor(F.col(c) / 64)
     touching = spatial.knn(points, points, 16, 0.15, False).join(owner, "id").join(owner.select(F.col("id").alias("id2"), F.col("label").alias("label2")), "id2").where("label <> label2").select(F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")).distinct()
-    rows = owner.select("label").distinct().select(F.col("label").alias("a"), F.lit(-1).alias("b")).union(touching).withColumn("scene", F.lit("all"))
+    rows = owner.select("label").distinct().select(F.col("label").alias("a"), F.lit(-1).alias("b")).union(touching.where(scene("a") == scene("b"))).withColumn("scene", scene("a"))
 
     def color(pdf):
         import pandas as pd
 
-        found = contact_colors(sorted(pdf.a[pdf.b < 0].tolist()), {(a, b) for a, b in zip(pdf.a, pdf.b) if b >= 0})
+        found = contact_colors(pdf.a[pdf.b < 0].tolist(), {(a, b) for a, b in zip(pdf.a, pdf.b) if b >= 0})
         return pd.DataFrame({"instance": list(found), "color": list(found.values())})
 
     return per_scene(rows, color, "instance long, color long")

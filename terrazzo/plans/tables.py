@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as geo
 from terrazzo.operators import evidence as ev
-from terrazzo.operators import metrics, selection, slam
-from terrazzo.operators.common import first_in
+from terrazzo.operators import graph, metrics, selection, slam
+from terrazzo.operators.common import first_in, settled
 from terrazzo.plans import proxies as px
 from terrazzo.plans.evidence import _affinity, _intervals, _kn, _rows, _tracks, r
 
@@ -70,12 +70,12 @@ def class_name_normalize(spark, d):
 
 
 def default_lookup(spark, d):
-    classes = px.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("class"))
+    classes = px.table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("class"))
     return px.table(spark, d, "orders").join(classes, "o_custkey", "left").groupBy(F.coalesce("class", F.lit(-1)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = px.table(spark, d, "orders").join(px.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 7 <> c_nationkey % 7")
+    rows = px.table(spark, d, "orders").join(px.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     old = F.year("o_orderdate") < 1997
     one = lambda df: df.groupBy("c_nationkey").agg(F.avg("o_totalprice").alias("value"))
     return one(rows.where(old & (F.col("c_nationkey") > 2))), one(rows.where(~old & (F.col("c_nationkey") < 22)))
@@ -153,7 +153,7 @@ def schur_solution(spark, d):
     v = h.groupBy("i").agg(F.avg("value").alias("value"))
     w = rows.groupBy("i").agg(F.sum("value").alias("value"))
     x, z = slam.schur_solve(h, e, c, v, w)
-    return spark.createDataFrame(list(x.items()), "i long, value double").withColumn("kind", F.lit("pose")).unionByName(z.select("i", "value").withColumn("kind", F.lit("disparity"))).select("kind", "i", r("value", 6))
+    return x.withColumn("kind", F.lit("pose")).unionByName(z.select("i", "value").withColumn("kind", F.lit("disparity"))).select("kind", "i", r("value", 6))
 
 
 def image_sizes(spark, d):
@@ -171,16 +171,20 @@ def depth_codes(spark, d):
 
 
 def constrained_components(spark, d):
+    """Grouped by the components of all links: a union never leaves one, so the result is that of one pass."""
     tracks = _tracks(spark, d)
-    links = ev.mutual_best(ev.set_overlaps(tracks), tracks.select("track", "chunk").distinct())
-    pairs = links.select(F.lit("all").alias("scene"), "iou", F.col("track").alias("a"), F.col("track2").alias("b"), F.floor(F.col("track") / 10**9).alias("chunk_a"), F.floor(F.col("track2") / 10**9).alias("chunk_b"))
-    return selection.per_scene(pairs, selection.constrained_components, "track long, component long")
+    links = settled(ev.mutual_best(ev.set_overlaps(tracks), tracks.select("track", "chunk").distinct()))
+    groups = graph.components(links, "track", "track2")
+    pairs = links.join(groups.select(F.col("node").alias("track"), F.col("component").alias("scene")), "track")
+    pairs = pairs.select("scene", "iou", F.col("track").alias("a"), F.col("track2").alias("b"), F.floor(F.col("track") / 10**9).alias("chunk_a"), F.floor(F.col("track2") / 10**9).alias("chunk_b"))
+    return selection.per_scene(pairs, selection.constrained_components, "track long, component long").drop("scene")
 
 
 def agglomerate_tree(spark, d):
     """A merge tree per scene of 64 parts."""
     scene = F.floor(F.col("a") / 64)
-    edges = _affinity(spark, d).where(F.floor(F.col("a") / 64) == F.floor(F.col("b") / 64)).crossJoin(F.broadcast(ev.beta_prior(_affinity(spark, d)))).withColumn("scene", scene)
+    affinity = settled(_affinity(spark, d))
+    edges = affinity.where(F.floor(F.col("a") / 64) == F.floor(F.col("b") / 64)).crossJoin(F.broadcast(ev.beta_prior(affinity))).withColumn("scene", scene)  # one row
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         atoms = sorted({*rows.a, *rows.b})
@@ -192,12 +196,15 @@ def agglomerate_tree(spark, d):
 
 
 def gaec_candidates(spark, d):
-    pairs = _kn(spark, d)
+    """Grouped by the components of edges of positive cost: a contraction never leaves one."""
+    pairs = settled(_kn(spark, d))
     p_s, p_d, _ = ev.mixture(pairs)
     costs = pairs.select("id", "id2", ev.log_likelihood_ratio(p_s, p_d).alias("cost"))
+    groups = graph.components(costs.where("cost > 0"), "id", "id2").select(F.col("node").alias("id"), F.col("component").alias("scene"))
+    inside = costs.join(groups, "id").join(groups.select(F.col("id").alias("id2"), F.col("scene").alias("scene2")), "id2").where("scene = scene2")
     width = lambda c: F.pow(F.lit(2.0), F.floor(F.col(c) / 10**12)).cast("long")
     place = lambda c: F.col(c) % 10**12
-    rows = costs.select(F.lit("all").alias("scene"), "id", "id2", "cost", *[e.alias(n) for c, s in (("id", ""), ("id2", "2")) for e, n in ((place(c) * width(c), f"lo{s}"), ((place(c) + 1) * width(c) - 1, f"hi{s}"))])
+    rows = inside.select("scene", "id", "id2", "cost", *[e.alias(n) for c, s in (("id", ""), ("id2", "2")) for e, n in ((place(c) * width(c), f"lo{s}"), ((place(c) + 1) * width(c) - 1, f"hi{s}"))])
 
     def contract(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = {k: (lo, hi, hi - lo + 1) for k, lo, hi in [*zip(rows.id, rows.lo, rows.hi), *zip(rows.id2, rows.lo2, rows.hi2)]}
@@ -245,7 +252,7 @@ QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v
 M = px.MEMBERSHIPS + ", m AS (SELECT CAST(f AS BIGINT) * 1000000 + seg AS hyp, id FROM memb), hs AS (SELECT hyp, CAST(count(*) AS BIGINT) AS size FROM m GROUP BY 1)"
 IOU = M + """, gt AS (SELECT p_partkey AS id, CASE WHEN CAST(floor((p_partkey + 5) / 20.0::DOUBLE) AS BIGINT) % 10 <> 9 THEN CAST(floor((p_partkey + 5) / 20.0::DOUBLE) AS BIGINT) END AS gt FROM part), gs AS (SELECT gt, count(*) AS total FROM gt WHERE gt IS NOT NULL GROUP BY 1),
 it AS (SELECT gt, hyp, count(*) AS inter FROM m JOIN gt USING (id) WHERE gt IS NOT NULL GROUP BY 1, 2), ious AS (SELECT gt, hyp, CAST(inter AS DOUBLE) / (size + total - inter) AS iou FROM it JOIN hs USING (hyp) JOIN gs USING (gt))"""
-HALVES = """r AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> c_nationkey % 7), b AS (SELECT c_nationkey, avg(o_totalprice) AS before FROM r WHERE year(o_orderdate) < 1997 AND c_nationkey > 2 GROUP BY 1),
+HALVES = """r AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT c_nationkey, avg(o_totalprice) AS before FROM r WHERE year(o_orderdate) < 1997 AND c_nationkey > 2 GROUP BY 1),
 a AS (SELECT c_nationkey, avg(o_totalprice) AS after FROM r WHERE year(o_orderdate) >= 1997 AND c_nationkey < 22 GROUP BY 1), j AS (SELECT c_nationkey, before, after, after - coalesce(before, 0) AS delta FROM b FULL JOIN a USING (c_nationkey))"""
 BLOCKS = "bl AS (SELECT l_orderkey AS i, l_suppkey % 10 AS j, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 SQL = {
@@ -258,7 +265,7 @@ SELECT round((SELECT avg(r) FROM rec), 9) AS ar, round(avg(CAST(iou >= 0.5 AS IN
     "gt_match_hypotheses": f"WITH {IOU}, b AS (SELECT * FROM ious QUALIFY row_number() OVER (PARTITION BY gt ORDER BY iou DESC, hyp) = 1) SELECT DISTINCT hyp FROM b WHERE iou >= 0.3",
     "seed_topk": "SELECT CAST(year(l_shipdate) AS INTEGER) AS f, CAST(row_number() OVER w AS INTEGER) AS place, l_orderkey, l_linenumber FROM lineitem WINDOW w AS (PARTITION BY year(l_shipdate) ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) QUALIFY place <= 100",
     "class_name_normalize": r"SELECT lower(trim(regexp_replace(p_type, '\s+', ' ', 'g'))) AS name, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT p_type) AS BIGINT) AS spellings FROM part GROUP BY 1",
-    "default_lookup": "SELECT coalesce(c_nationkey, -1) AS class, CAST(count(*) AS BIGINT) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1",
+    "default_lookup": "SELECT coalesce(c_nationkey, -1) AS class, CAST(count(*) AS BIGINT) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey GROUP BY 1",
     "before_after_dashboard": f"WITH {HALVES} SELECT c_nationkey, round(before, 4) AS before, round(after, 4) AS after, round(delta, 4) AS delta, CASE WHEN after IS NULL THEN 'missing' WHEN before IS NULL THEN 'new' WHEN after > before THEN 'up' WHEN after < before THEN 'down' ELSE 'same' END AS status FROM j",
     "comparable_mean": f"WITH {HALVES} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(delta), 4) AS mean_delta FROM j WHERE before IS NOT NULL AND after IS NOT NULL",
     "timing_mean_of_ratios": "SELECT o_orderpriority, round(avg(o_totalprice / (o_custkey + 1)), 4) AS mean_ratio, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 4) AS weighted, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1",

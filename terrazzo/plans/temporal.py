@@ -165,11 +165,12 @@ def proximity_order(spark, d):
 
 
 def factor_edges(spark, d):
-    """Per user's first 30 events: values as places, proximity edges with suppression and a budget."""
-    rows = temporal.chunks(px.stream(spark, d), "u", 1).where("chunk < 30").select(F.col("u").alias("scene"), F.col("chunk").alias("i"), "v")
+    """Scenes of 32 successive events of a user: values as places, proximity edges with suppression and a budget."""
+    rows = temporal.chunks(px.stream(spark, d), "u", 1).select((F.col("u") * 2**20 + F.floor(F.col("chunk") / 32)).alias("scene"), (F.col("chunk") % 32).alias("i"), "v")
     other = rows.select("scene", F.col("i").alias("j"), F.col("v").alias("v2"))
+    # at most 32 rows a scene
     pairs = rows.join(other, "scene").where("i <> j").select("scene", "i", "j", F.abs(F.col("v") - F.col("v2")).alias("dist"))
-    return per_scene(pairs, lambda p: slam.proximity_edges(p, int(max(p.i.max(), p.j.max())) + 1, 2, 20.0, 1, 200), "i long, j long")
+    return per_scene(pairs, lambda p: slam.proximity_edges(p, int(p.i.max()) + 1, 1, 20.0, 2, 200), "i long, j long")
 
 
 def merge_last_wins(spark, d):

@@ -300,10 +300,35 @@ def test_schur_solve_equals_the_dense_system(spark):
     block = lambda a: frame(spark, [(i, j, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])], "i long, j long, value double")
     x, z = slam.schur_solve(block(h0), block(e0), block(np.diag(c0)).where("i = j"), frame(spark, list(enumerate(map(float, v0))), "i long, value double"), frame(spark, list(enumerate(map(float, w0))), "i long, value double"))
     full = np.linalg.solve(np.block([[h0, e0], [e0.T, np.diag(c0)]]), np.concatenate([v0, w0]))
-    assert np.allclose([x[i] for i in range(3)], full[:3])
+    assert np.allclose([r["value"] for r in x.orderBy("i").collect()], full[:3])
     assert np.allclose([r["value"] for r in z.orderBy("i").collect()], full[3:])
 
 
+def test_schur_solves_each_scene(spark, monkeypatch):
+    blocks = lambda rows: frame(spark, rows, "s string, i long, j long, value double")
+    h, e, c = blocks([("a", 0, 0, 4.0), ("b", 0, 0, 2.0)]), blocks([("a", 0, 0, 1.0), ("b", 0, 0, 0.5)]), blocks([("a", 0, 0, 2.0), ("b", 0, 0, 1.0)])
+    v, w = (frame(spark, rows, "s string, i long, value double") for rows in ([("a", 0, 9.0), ("b", 0, 5.0)], [("a", 0, 4.0), ("b", 0, 3.0)]))
+    x, z = slam.schur_solve(h, e, c, v, w, "s")
+    assert {r["s"]: r["value"] for r in x.collect()} == pytest.approx({"a": 2.0, "b": 2.0})
+    assert {r["s"]: r["value"] for r in z.collect()} == pytest.approx({"a": 1.0, "b": 2.0})
+    monkeypatch.setattr(slam, "MOST_VARIABLES", 0)
+    with pytest.raises(Exception, match="more than 0"):
+        slam.schur_solve(h, e, c, v, w, "s")
+
+
+def test_proximity_edges_by_hand():
+    import pandas as pd
+
+    pairs = pd.DataFrame([(i, j, 0.1 * abs(i - j) if i - j != 5 else 0.05) for i in range(9) for j in range(9) if i != j], columns=["i", "j", "dist"])
+    forced = {(i, j) for i in range(9) for j in range(9) if 0 < abs(i - j) <= 2}
+    found = lambda **how: {tuple(r) for r in slam.proximity_edges(pairs, 9, 1, 0.06, 2, **how).to_numpy().tolist()}
+    # of 5-0, 6-1, 7-2, 8-3 (distance 0.05) each suppresses the next, which is 2 away in both indices together
+    assert found(budget=100) == forced | {(5, 0), (0, 5), (7, 2), (2, 7)}
+    assert found(budget=len(forced)) == forced | {(5, 0), (0, 5)}  # stops at more than the budget
+    assert found(budget=0) == forced
+    assert found(budget=100, present=((5, 0),)) == forced | {(7, 2), (2, 7)} - {(6, 1)}
+
+
 def test_surface_of_a_plane(spark):
     voxels = frame(spark, [(i, j, k, k - 1.25) for i in range(3) for j in range(3) for k in range(4)], "gx long, gy long, gz long, tsdf double")
     rows = surface.surface_points(voxels, 1.0).collect()
