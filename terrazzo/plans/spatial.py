@@ -268,4 +268,22 @@ SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, round(front, 9) AS
     "overlap_field": f"WITH {MEMB} SELECT id, dim, round(avg(value), 6) AS value FROM memb JOIN pooled USING (hyp) GROUP BY 1, 2",
     "text_scores": f"WITH {COS}, rest AS (SELECT id, sum(exp(cos / 0.5)) AS rest FROM cosn GROUP BY 1) SELECT id, query, round(exp(cos / 0.5) / (exp(cos / 0.5) + rest), 6) AS score FROM cosq JOIN rest USING (id)",
     "semantic_top1": f"WITH {COS}, best AS (SELECT id, query FROM cosq QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, query) = 1) SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(query = label AS INTEGER)) AS BIGINT) AS n_correct FROM best JOIN points USING (id) GROUP BY 1",
+    "kabsch_alignment": f"""WITH {px.POINTS}, a AS (SELECT x, y, z, unnest([1, 2, 3]) AS i, unnest([-y + 2, x - 3, z + 4]) AS w FROM points),
+m AS (SELECT i, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(w) AS mw, covar_pop(x, w) AS b1, covar_pop(y, w) AS b2, covar_pop(z, w) AS b3, var_pop(x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) AS d, covar_pop(y, z) AS e, var_pop(z) AS f FROM a GROUP BY 1),
+n AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+fit AS (SELECT *, (b1 * (d * f - e * e) + b2 * (c * e - b * f) + b3 * (b * e - c * d)) / det AS r1, (b1 * (c * e - b * f) + b2 * (a * f - c * c) + b3 * (b * c - a * e)) / det AS r2, (b1 * (b * e - c * d) + b2 * (b * c - a * e) + b3 * (a * d - b * b)) / det AS r3 FROM n),
+k AS (SELECT p.r1 * (q.r2 * s.r3 - q.r3 * s.r2) - p.r2 * (q.r1 * s.r3 - q.r3 * s.r1) + p.r3 * (q.r1 * s.r2 - q.r2 * s.r1) AS cube FROM fit p, fit q, fit s WHERE p.i = 1 AND q.i = 2 AND s.i = 3),
+found AS (SELECT 'r' || (i - 1) || j AS name, [r1, r2, r3][j + 1] / cbrt(cube) AS value FROM fit, k, range(3) t(j) UNION ALL SELECT 't' || (i - 1), mw - r1 * mx - r2 * my - r3 * mz FROM fit UNION ALL SELECT 'scale', cbrt(cube) FROM k)
+SELECT name, round(value, 6) + 0.0 AS value FROM found""",
+    "tsdf_fusion": f"""WITH {VIEWS}, cells AS (SELECT CAST(floor(x / 0.1) AS BIGINT) AS gx, CAST(floor(y / 0.1) AS BIGINT) AS gy, CAST(floor(z / 0.1) AS BIGINT) + dz AS gz, z, zc, u, v FROM views, range(-2, 3) r(dz) WHERE zc > 0.1),
+seen AS (SELECT *, zc + ((gz + 0.5::DOUBLE) * 0.1::DOUBLE - z) AS cz FROM cells WHERE u BETWEEN 0.0001 AND 31.9999 AND v BETWEEN 0.0001 AND 31.9999),
+far AS (SELECT gx, gy, gz, (zc - cz) * sqrt((u - 16) / 60 * ((u - 16) / 60) + (v - 16) / 60 * ((v - 16) / 60) + 1) AS sdf FROM seen WHERE cz > 0)
+SELECT gx, gy, gz, round(avg(least(1.0::DOUBLE, sdf / 0.15::DOUBLE)), 9) AS tsdf, CAST(count(*) AS DOUBLE) AS weight FROM far WHERE sdf > -0.15::DOUBLE GROUP BY 1, 2, 3""",
+    "nearest_seed_assignment": f"""WITH RECURSIVE {KNN}, nr AS (SELECT id, a / sqrt(a * a + b * b + c * c) AS nx, b / sqrt(a * a + b * b + c * c) AS ny, c / sqrt(a * a + b * b + c * c) AS nz FROM points),
+costs AS (SELECT lo, hi, dist * (1 + 4.0::DOUBLE * (1 - abs(i.nx * j.nx + i.ny * j.ny + i.nz * j.nz))) AS cost FROM edges JOIN nr i ON i.id = lo JOIN nr j ON j.id = hi), ways AS MATERIALIZED (SELECT lo AS a, hi AS b, cost FROM costs UNION ALL SELECT hi, lo, cost FROM costs),
+{SEEDS.removeprefix(px.POINTS + ', ').replace(' / 0.1)', ' / 0.2)')},
+found(id, seed, total) USING KEY (id) AS (SELECT id, id, 0.0::DOUBLE FROM seeds UNION
+  SELECT step.id, step.best.seed, step.best.total FROM (SELECT b AS id, min(struct_pack(total := total + cost, seed := seed)) AS best FROM found JOIN ways ON found.id = a GROUP BY b) step LEFT JOIN recurring.found known ON known.id = step.id
+  WHERE known.id IS NULL OR step.best.total < known.total OR step.best.total = known.total AND step.best.seed < known.seed)
+SELECT points.id, coalesce(seed, points.id) AS seed, round(coalesce(total, 0.0::DOUBLE), 9) AS cost FROM points LEFT JOIN found ON found.id = points.id""",
 }

@@ -279,4 +279,13 @@ SELECT round((SELECT avg(r) FROM rec), 9) AS ar, round(avg(CAST(iou >= 0.5 AS IN
     "image_sizes": """WITH p AS (SELECT p_partkey, p_size * 40 + 100 AS w, CAST(p_partkey % 900 + 64 AS INTEGER) AS h FROM part), s AS (SELECT *, CAST(greatest(1, round_even(w * (512.0::DOUBLE / greatest(w, h)), 0)) AS INTEGER) AS lw, CAST(greatest(1, round_even(h * (512.0::DOUBLE / greatest(w, h)), 0)) AS INTEGER) AS lh FROM p)
 SELECT p_partkey, lw, lh, round(500.0::DOUBLE * (lw / w), 6) AS fx, round(510.0::DOUBLE * (lh / h), 6) AS fy, round(w / 2 * (lw / w), 6) AS cx, round(h / 2 * (lh / h), 6) AS cy, CAST(least(trunc(3 / (lw / w)), w - 1) AS INTEGER) AS src FROM s""",
     "depth_codes": "WITH p AS (SELECT p_partkey, p_retailprice / 33 AS m FROM part), q AS (SELECT p_partkey, CAST(CASE WHEN m > 0 AND m <= 65.535 THEN round_even(m * 1000, 0) ELSE 0 END AS INTEGER) AS mm FROM p) SELECT p_partkey, mm, round(CASE WHEN mm > 0 THEN mm / 1000.0::DOUBLE ELSE 0 END, 6) AS back FROM q",
+    "schur_solution": """WITH RECURSIVE a AS (SELECT l_partkey % 50 AS i, l_suppkey % 8 AS j, sum(l_quantity / 100) AS value FROM lineitem GROUP BY 1, 2),
+h AS (SELECT p.j AS i, q.j AS j, sum(p.value * q.value) AS value FROM a p JOIN a q USING (i) GROUP BY 1, 2), hd AS (SELECT i, j, CASE WHEN i = j THEN value * 2 + 50 ELSE value END AS value FROM h),
+cells AS (SELECT 'pose' AS k1, i AS n1, 'pose' AS k2, j AS n2, value FROM hd UNION ALL SELECT 'pose', j, 'disparity', i, value FROM a UNION ALL SELECT 'disparity', i, 'pose', j, value FROM a UNION ALL SELECT 'disparity', i, 'disparity', i, sum(value * value) + 5 FROM a GROUP BY i
+  UNION ALL SELECT 'pose', i, 'right', 0, avg(value) FROM hd GROUP BY i UNION ALL SELECT 'disparity', i, 'right', 0, sum(value) FROM a GROUP BY i),
+names AS (SELECT kind, i, row_number() OVER (ORDER BY kind, i) AS pos FROM (SELECT DISTINCT k1 AS kind, n1 AS i FROM cells)), places AS (SELECT * FROM names UNION ALL SELECT 'right', 0, (SELECT max(pos) + 1 FROM names)),
+grid AS (SELECT p.pos AS r, q.pos AS c, coalesce(any_value(value), 0) AS value FROM names p CROSS JOIN places q LEFT JOIN cells ON k1 = p.kind AND n1 = p.i AND k2 = q.kind AND n2 = q.i GROUP BY 1, 2),
+run AS (SELECT 1::BIGINT AS k, list(line ORDER BY r) AS m FROM (SELECT r, list(CAST(value AS DOUBLE) ORDER BY c) AS line FROM grid GROUP BY r) UNION ALL
+  SELECT k + 1, list_transform(m, lambda line, r: CASE WHEN r = k THEN line ELSE list_transform(line, lambda x, c: x - line[k] / m[k][k] * m[k][c]) END) FROM run WHERE k <= len(m)),
+last AS (SELECT m FROM run ORDER BY k DESC LIMIT 1) SELECT kind, i, round(m[pos][len(m) + 1] / m[pos][pos], 6) AS value FROM names, last""",
 }

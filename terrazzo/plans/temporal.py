@@ -246,4 +246,19 @@ SELECT i, j, CAST(row_number() OVER (PARTITION BY i % 16 ORDER BY round_even(dis
 SELECT id, round(60 * (x / q) + 32, 6) AS u2, round(60 * (y / q) + 24, 6) AS v2, round(d / q, 6) AS d2, z > 0.1 AS valid FROM s""",
     "frame_distance": f"""WITH {px.STREAM}, f AS (SELECT u % 20 AS i, (u // 20) % 20 AS j, event_type <> 'error' AS ok, 0.3::DOUBLE * v + 0.7::DOUBLE * (v / 2) AS flow FROM stream),
 g AS (SELECT i, j, CASE WHEN avg(CAST(ok AS DOUBLE)) < 0.75 THEN 1000.0 ELSE avg(CASE WHEN ok THEN flow END) END AS d FROM f GROUP BY 1, 2) SELECT g.i, g.j, round((g.d + coalesce(h.d, g.d)) / 2, 6) AS dist FROM g LEFT JOIN g h ON h.i = g.j AND h.j = g.i""",
+    "subsample_timestamp": f"""WITH RECURSIVE {px.STREAM}, s AS (SELECT DISTINCT u, t * 1000 AS ns FROM stream), gaps AS (SELECT u, ns - lag(ns) OVER (PARTITION BY u ORDER BY ns) AS gap FROM s),
+g AS (SELECT u, list(ns ORDER BY ns) AS ts, 1e9::DOUBLE / (0.5e9::DOUBLE / any_value(mid)) AS period FROM s JOIN (SELECT u, median(gap) AS mid FROM gaps GROUP BY u) USING (u) GROUP BY u),
+run AS (SELECT u, 0 AS pos, 1 AS nxt, ts[1] + period AS tick FROM g UNION ALL
+  SELECT u, pick, pick + 1, tick + period FROM (SELECT u, tick, period, CASE WHEN tick - ts[n] <= ts[n + 1] - tick AND n - 1 > pos THEN n - 1 ELSE n END AS pick
+    FROM (SELECT *, greatest(nxt, len(list_filter(ts, lambda x: x < tick))) AS n FROM run JOIN g USING (u) WHERE tick <= ts[len(ts)] + 1e-6) WHERE n < len(ts)))
+SELECT u, ts[pos + 1] AS ns FROM run JOIN g USING (u)""",
+    "factor_edges": f"""WITH RECURSIVE {px.STREAM}, c AS (SELECT u, row_number() OVER (PARTITION BY u ORDER BY t, id) - 1 AS c, v FROM stream), f AS (SELECT u * 1048576 + c // 32 AS scene, c % 32 AS i, v FROM c), n AS (SELECT scene, max(i) + 1 AS n FROM f GROUP BY 1 HAVING n > 1),
+forced AS (SELECT p.scene, p.i, q.i AS j FROM f p JOIN f q ON q.scene = p.scene AND q.i < p.i AND q.i >= p.i - 2),
+cand AS (SELECT p.scene, p.i, q.i AS j, row_number() OVER (PARTITION BY p.scene ORDER BY round_even(abs(p.v - q.v) / 0.001::DOUBLE, 0), p.i * n + q.i) AS place FROM f p JOIN f q ON q.scene = p.scene AND q.i <= p.i - 1 JOIN n ON n.scene = p.scene WHERE abs(p.v - q.v) <= 20),
+run AS (SELECT scene, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(i BIGINT, j BIGINT)[]) AS taken, (SELECT count(*) FROM forced WHERE forced.scene = n.scene) AS edges FROM n UNION ALL
+  SELECT scene, place, CASE WHEN free THEN list_append(taken, struct_pack(i := i, j := j)) ELSE taken END, edges + CAST(free AS BIGINT)
+  FROM (SELECT run.scene, cand.place, taken, edges, i, j, i - j > 2 AND len(list_filter(taken, lambda x: abs(x.i - i) + abs(x.j - j) <= greatest(least(abs(x.i - x.j) - 2, 2), 0))) = 0 AS free
+    FROM run JOIN cand ON cand.scene = run.scene AND cand.place = run.place + 1 WHERE 2 * edges <= 200)),
+final AS (SELECT scene, taken FROM run QUALIFY row_number() OVER (PARTITION BY scene ORDER BY place DESC) = 1), kept AS (SELECT * FROM forced UNION ALL SELECT scene, x.i, x.j FROM (SELECT scene, unnest(taken) AS x FROM final))
+SELECT scene, i, j FROM kept UNION ALL SELECT scene, j, i FROM kept""",
 }
