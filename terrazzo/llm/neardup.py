@@ -36,8 +36,10 @@ from terrazzo.llm.sketch import WordIds, bands, joint_estimate, shingles, sketch
 
 N_BANDS = 40
 MISSED = 1e-5
-#: A verification task holds one or two blocks of about so many documents and shingles.
+#: A verification task holds a block, or two that are compared with each other, of about so many
+#: documents and shingles.
 BLOCK_DOCS = 256
+PAIR_DOCS = 1000
 PIVOTS = 16
 BLOCK_SHINGLES = 2_000_000
 
@@ -149,35 +151,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
     stars = keyed.join(shared, "key").where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     members = components(stars).join(sets.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    blocks = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), _blocks().alias("blocks"))
-    placed = materialise(members.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size", "blocks", "n_shingles", _dealt("doc_id", F.col("blocks")).alias("block")))
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), _blocks(BLOCK_DOCS).alias("blocks"))
+    placed = members.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size", "blocks", "n_shingles")
+    # the texts are shuffled once; from here on only those of members are carried
+    held = materialise(slim.join(placed, "doc_id"))
 
     def verified(tasks: DataFrame) -> DataFrame:
-        """Links in tasks(doc_id, cluster, lo, hi, side, group)."""
-        rows = slim.join(tasks, "doc_id").select("cluster", "lo", "hi", "side", "group", "doc_id", "text")
-        rows = rows.repartition(n_partitions(docs), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "doc_id")
-        return rows.mapInArrow(lambda batches: _verified(batches, width, percent, m), "a long, b long")
+        """Links in tasks(cluster, lo, hi, side, group, doc_id, text)."""
+        rows = tasks.select("cluster", "lo", "hi", "side", "group", "doc_id", "text").repartition(n_partitions(docs), "cluster", "lo", "hi")
+        return rows.sortWithinPartitions("cluster", "lo", "hi", "side", "doc_id").mapInArrow(lambda batches: _verified(batches, width, percent, m), "a long, b long")
 
     # step 3: every member in its own block, pivots in all
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     pivot = (F.col("blocks") > 1) & (F.xxhash64("doc_id", F.lit(9)) / 2.0**64 + 0.5 < PIVOTS / F.col("size"))
-    spread = placed.withColumn("lo", F.explode(F.when(pivot, everywhere).otherwise(F.array("block"))))
-    links = verified(spread.select("doc_id", "cluster", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), F.col("doc_id").alias("group")))
-    joined = components(links)
+    block = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt("doc_id", F.col("blocks")))))
+    joined = components(verified(held.withColumn("lo", block).withColumns({"hi": F.col("lo"), "side": F.lit(0), "group": F.col("doc_id")})))
     # step 4: leftovers of the clusters that took several blocks
-    split = placed.where("blocks > 1").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
+    split = held.where("blocks > 1")
     if not split.isEmpty():
-        split = materialise(split)
-        largest = split.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "group"))["group"].alias("most"))
-        left = split.join(largest, "cluster").where("group <> most")
-        parts = left.groupBy("cluster").agg(_blocks().alias("parts"))
-        left = left.join(parts, "cluster").withColumn("lo", _dealt("doc_id", F.col("parts")))
+        split = materialise(split.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component", "blocks"))
+        groups = split.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "group"))["group"].alias("most"))
+        left = split.join(groups, "cluster").where("group <> most").drop("most")
         keys = keyed.select(F.col("rep").alias("doc_id"), "key")
         asked = keys.join(left.select("doc_id"), "doc_id", "left_semi").select("key").distinct()
-        partners = split.join(keys.join(asked, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi").join(parts, "cluster")
-        hit = partners.groupBy("cluster").agg(F.collect_set("block").alias("hit"))
-        one = left.join(hit, "cluster").withColumn("hi", F.explode("hit")).select("doc_id", "cluster", "lo", "hi", F.lit(1).alias("side"), "group")
-        two = partners.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("doc_id", "cluster", "lo", F.col("block").alias("hi"), F.lit(2).alias("side"), "group")
+        near = split.join(keys.join(asked, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+        parts = left.groupBy("cluster").agg(_blocks(PAIR_DOCS).alias("parts")).join(near.groupBy("cluster").agg(_blocks(PAIR_DOCS).alias("others")), "cluster")
+        left, near = (df.join(parts, "cluster") for df in (left, near))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = left.withColumns({"lo": _dealt("doc_id", F.col("parts")), "side": F.lit(1)}).withColumn("hi", every("others"))
+        two = near.withColumns({"hi": _dealt("doc_id", F.col("others")), "side": F.lit(2)}).withColumn("lo", every("parts"))
         more = materialise(verified(one.unionByName(two)))
         if not more.isEmpty():
             joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -189,9 +190,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _blocks():
+def _blocks(most: int):
     """Number of blocks that a group's documents need."""
-    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    return F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
 
 
 def _dealt(node: str, blocks):

@@ -116,6 +116,7 @@ def test_leftovers_of_clusters_are_compared(spark, monkeypatch, pivots):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             rows.append((len(rows), " ".join(w), None, None, 0))
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(neardup, "PAIR_DOCS", 7)
     monkeypatch.setattr(neardup, "PIVOTS", pivots)
     for width, percent in ((3, 85), (5, 80)):
         got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), width, percent).collect()}
