@@ -91,7 +91,7 @@ def color_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.nd
 
 def poses(spark: SparkSession, path: str) -> DataFrame:
     """frame, pose (row-major 16) of text files; a pose with a number that isn't finite is null."""
-    rows = spark.read.option("wholetext", "true").text(path).select(frame_of(F.input_file_name()).alias("frame"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("w"))
+    rows = spark.read.text(path, wholetext=True).select(frame_of(F.input_file_name()).alias("frame"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("w"))
     rows = checked(rows, a_pose_has_16_numbers=F.size("w") == 16).select("frame", F.transform("w", lambda x: x.cast("double")).alias("pose"))
     bad = F.exists("pose", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return rows.select("frame", F.when(~bad, F.col("pose")).alias("pose"))
@@ -99,7 +99,7 @@ def poses(spark: SparkSession, path: str) -> DataFrame:
 
 def pose_lines(spark: SparkSession, path: str) -> DataFrame:
     """frame, pose of a file with one pose of 16 numbers a line, numbered from 0."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("frame", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("frame", "line"))
     rows = text.select(F.col("frame").cast("long").alias("frame"), F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double")).alias("pose"))
     return checked(rows, a_pose_has_16_numbers=F.size("pose") == 16)
 
@@ -256,33 +256,17 @@ class SensSource(DataSource):
 def metric_rows(spark: SparkSession, path: str) -> DataFrame:
     """scene, name, value of metric files {scene: {name: number}}; the key mean is no scene, and a
     file that can't be read gives its text in `corrupt`."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "map<string, map<string, double>>").alias("m"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, double>>").alias("m"), "value")
     rows = raw.select(F.when(F.col("m").isNull(), F.col("value")).alias("corrupt"), F.explode_outer("m").alias("scene", "metrics"))
     return rows.select("corrupt", "scene", F.explode_outer("metrics").alias("name", "value")).where("scene is null or scene <> 'mean'")
 
 
-def pack(membership: DataFrame) -> DataFrame:
-    """hyp_id, indices (sorted), offset_end: the ragged form of hypotheses of one scene."""
-    rows = membership.groupBy("hyp_id").agg(F.sort_array(F.collect_set("point_id")).alias("indices"))
-    return rows.withColumn("offset_end", F.sum(F.size("indices")).over(Window.orderBy("hyp_id").rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def write_scene_json(meta: DataFrame, path: str) -> None:
-    """One line of metadata a scene, in the layout that metadata() reads."""
-    meta.select(F.to_json(F.struct(*[f.name for f in schemas.SCENE_JSON])).alias("value")).write.mode("overwrite").text(path)
-
-
-def write_ply(points: DataFrame, path: str, order: list[str], columns: dict[str, str]) -> None:
-    """Rows in `order` as binary PLY files, one a partition, to a folder; columns: name -> type."""
-    ordered = points.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
-
-    def run(batches):
-        parts = [b for b in batches if len(b)]
-        if parts:
-            whole = pd.concat(parts)
-            yield pd.DataFrame({"content": [formats.write_ply({c: whole[c].to_numpy(t) for c, t in columns.items()})]})
-
-    ordered.mapInPandas(run, "content binary").write.mode("overwrite").parquet(path)
+def pack(membership: DataFrame, scene: str | None = None) -> DataFrame:
+    """hyp_id, indices (sorted), offset_end: the ragged form of hypotheses; `scene` names a column of
+    scenes that are packed apart, without it all rows are one scene's (one task runs over its sizes)."""
+    keys = [scene] if scene else []
+    rows = membership.groupBy(*keys, "hyp_id").agg(F.sort_array(F.collect_set("point_id")).alias("indices"))
+    return rows.withColumn("offset_end", F.sum(F.size("indices")).over(Window.partitionBy(*keys).orderBy("hyp_id").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def manifest(artefacts: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ import zlib
 import numpy as np
 import pytest
 
-from terrazzo.sources import formats, scenes
+from pyspark.sql import functions as F
+
+from terrazzo.sources import formats, scenes, sinks
 
 
 def test_png_round_trip():
@@ -144,8 +146,74 @@ def test_metric_files_and_manifest(spark, tmp_path):
     assert scenes.complete(one, one).count() == 1
 
 
-def test_ply_sink(spark, tmp_path):
-    rows = spark.createDataFrame([(2, 0.5), (1, 0.25)], "gx long, x double").selectExpr("gx", "x", "x as y", "x as z")
-    scenes.write_ply(rows, str(tmp_path / "out"), ["gx"], {"x": "f4", "y": "f4", "z": "f4"})
-    (content,) = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()][:1]
-    assert formats.read_ply(bytes(content))["vertex"]["x"][0] == 0.25
+EYE = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i}/a/{i}.bin", bytes([i])) for i in range(6)], sinks.CONTENT).repartition(3)
+    sinks.write_files(rows, str(tmp_path))
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*.bin")} == {f"s{i}/a/{i}.bin": bytes([i]) for i in range(6)}
+    sinks.write_files(rows.limit(0).union(spark.createDataFrame([("s0/a/0.bin", b"new")], sinks.CONTENT)), str(tmp_path))
+    assert (tmp_path / "s0" / "a" / "0.bin").read_bytes() == b"new" and len(list(tmp_path.rglob("*.bin"))) == 6
+    for bad in ([("x", b"1"), ("x", b"2")], [("../x", b"1")]):
+        with pytest.raises(Exception, match="name of another|outside its folder"):
+            sinks.write_files(spark.createDataFrame(bad, sinks.CONTENT), str(tmp_path / "bad"))
+    assert not [p for p in tmp_path.rglob("*") if p.name in ("x",) or p.name.startswith("_staged")]
+    sinks.write_files(spark.createDataFrame([("only", b"1")], sinks.CONTENT), str(tmp_path), "overwrite")
+    assert [p.name for p in tmp_path.rglob("*") if p.is_file()] == ["only"]
+
+
+def test_scene_files_round_trip(spark, tmp_path):
+    """What the writers make, the readers take."""
+    meta = spark.createDataFrame([("a", "any_rgbd_v1", "a", 3, 2, 5.0, [{"k": "0"}, {"k": "1"}], {})], "scene string, format string, name string, width int, height int, fps double, frames array<map<string,string>>, source map<string,string>")
+    camera = spark.createDataFrame([("a", "any_pinhole_intrinsics_v1", "pinhole", 3, 2, 1.0, 1.0, 0.0, 0.0)], "scene string, format string, camera_model string, width int, height int, fx double, fy double, cx double, cy double")
+    path = spark.createDataFrame([("a", i, EYE if i else None) for i in range(2)], "scene string, frame long, pose array<double>")
+    depth = spark.createDataFrame([("a", 0, 0, 1, 1.5), ("a", 0, 2, 0, 0.001), ("a", 1, 1, 1, 2.0)], "scene string, frame long, u int, v int, depth double")
+    color = spark.createDataFrame([("a", 0, u, v, 1.0, u / 2, v / 1) for u in range(3) for v in range(2)], "scene string, frame long, u int, v int, r double, g double, b double")
+    sizes = meta.select("scene", "width", "height")
+    for rows in (sinks.json_files(meta, "metadata.json"), sinks.json_files(camera, "intrinsics.json"), sinks.pose_texts(path), sinks.pose_files(path.where("pose is not null").withColumn("frame", F.col("frame") - 1)), sinks.image_files(depth, sizes, "depth"), sinks.image_files(color, sizes, "color")):
+        sinks.write_files(rows, str(tmp_path))
+    folder = str(tmp_path / "a")
+    assert scenes.metadata(spark, f"{folder}/metadata.json").first()["n_frames"] == 2
+    assert scenes.intrinsics(spark, f"{folder}/intrinsics.json").first()["fx"] == 1.0
+    assert {r["frame"]: r["pose"] for r in scenes.poses(spark, f"{folder}/pose").collect()} == {0: None, 1: EYE}
+    assert [r["pose"] for r in scenes.pose_file(spark, folder).collect()] == [EYE]
+    assert sorted(tuple(r) for r in scenes.depth_pixels(spark, f"{folder}/depth").collect()) == [(0, 0, 1, 1.5), (0, 2, 0, 0.001), (1, 1, 1, 2.0)]
+    assert {tuple(r)[1:] for r in scenes.color_pixels(spark, f"{folder}/color").collect()} == {(u, v, 1.0, round(u / 2 * 255) / 255, float(v)) for u in range(3) for v in range(2)}
+
+
+def test_instances_and_surfaces_round_trip(spark, tmp_path):
+    points = spark.createDataFrame([("s", i, float(i), 0.0, 1.0, [1.0, float(i)], None if i == 3 else i // 2) for i in (3, 1, 0, 2)], "scene string, point_id long, x double, y double, z double, e array<float>, instance long")
+    members = spark.createDataFrame([("s", h, p) for h, p in ((7, 1), (7, 0), (9, 1), (9, 2))], "scene string, hyp_id long, point_id long")
+    contacts = spark.createDataFrame([("s", 0, 1)], "scene string, a long, b long")
+    sinks.write_files(sinks.instance_files(points, members, 2), str(tmp_path))
+    memb, found = scenes.instances(spark, str(tmp_path / "s"))
+    assert sorted((r["hyp_id"], r["point_id"]) for r in memb.collect()) == [(0, 0), (0, 1), (1, 1), (1, 2)] and found.count() == 4
+    with pytest.raises(Exception, match="more than K"):
+        sinks.instance_files(points, members, 1).collect()
+    sinks.write_files(sinks.ply_files(points, "surface.ply", {"x": "f4", "y": "f4", "z": "f4", "point_id": "i4"}, ["point_id"]).union(sinks.labelled_ply_files(points, contacts, "instances.ply")), str(tmp_path))
+    assert formats.read_ply((tmp_path / "s" / "surface.ply").read_bytes())["vertex"]["x"].tolist() == [0, 1, 2, 3]
+    vertex = formats.read_ply((tmp_path / "s" / "instances.ply").read_bytes())["vertex"]
+    assert vertex["instance"].tolist() == [0, 0, 1, -1] and (vertex["red"][3], vertex["green"][3], vertex["blue"][3]) == sinks.UNCLAIMED
+    assert vertex["red"][0] == vertex["red"][1] and [vertex[c][0] for c in ("red", "green", "blue")] != [vertex[c][2] for c in ("red", "green", "blue")]
+
+
+def test_listed_files_and_failures(spark, tmp_path):
+    from terrazzo.operators import selection
+
+    pairs = spark.createDataFrame([("s", 2, 20, -5), ("s", 1, 10, 3)], "scene string, seq int, stamp long, dt long")
+    sinks.write_files(sinks.listed_files(pairs, "sync_meta.json", "seq", {"topic": "/color"}), str(tmp_path))
+    assert json.loads((tmp_path / "s" / "sync_meta.json").read_text()) == {"topic": "/color", "count": 2, "items": [{"seq": 1, "stamp": 10, "dt": 3}, {"seq": 2, "stamp": 20, "dt": -5}]}
+
+    def halves(rows):
+        if rows.dt.min() < 0:
+            raise ValueError("negative")
+        return rows[["seq"]]
+
+    both = pairs.union(spark.createDataFrame([("t", 4, 1, 1)], pairs.schema))
+    done = selection.per_scene(both, halves, "seq int", error="error")
+    assert sorted(map(tuple, done.collect()), key=str) == [("s", None, "ValueError: negative"), ("t", 4, None)]
+    sinks.write_files(sinks.json_files(selection.failures(done), "failure.json"), str(tmp_path))
+    assert json.loads((tmp_path / "s" / "failure.json").read_text()) == {"error": "ValueError: negative"}
+    with pytest.raises(Exception, match="scene s: negative"):
+        selection.per_scene(both, halves, "seq int").collect()
