@@ -21,8 +21,14 @@ def micros(ts: str | Column) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names; local sessions get one of their own."""
+    """Reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
+
+    Only a local session may name none; it gets a folder of its own.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="terrazzo-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrazzo-"))
     return df.checkpoint(eager=True)
