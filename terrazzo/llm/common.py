@@ -30,13 +30,15 @@ def tokenizer_file(name: str, directory: str | None = None) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder that the session names.
+    """Cut lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
 
-    Only where spark.checkpoint.dir is unset (local tests) does this set a folder of its own.
+    Only a local session (as in tests) may name none; it gets a folder of its own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or f"/tmp/terrazzo-checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 

@@ -103,5 +103,23 @@ FROM d LEFT JOIN cut USING (doc_id)
 """
 
 
+
+#: Units, spans and their first places as the operator defines them; for scripts with white space.
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents), cut AS (SELECT doc_id, text, unnest(p) AS part, generate_subscripts(p, 1) AS n FROM (SELECT *, regexp_extract_all(text, '(?s).*?(?:[.!?,;:]+\s+|\n\s*|\z)') AS p FROM d)),
+said AS (SELECT *, sum(CASE WHEN n = 1 OR trim(part, E' \t\n\r\f\x0B') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, text ORDER BY n) AS i FROM cut WHERE part <> ''),
+unit AS (SELECT doc_id, text, i, string_agg(part, '' ORDER BY n) AS part FROM said GROUP BY doc_id, text, i),
+word AS (SELECT *, list_filter(regexp_split_to_array(lower(part), '[\s\x0B]+'), lambda w: w <> '') AS w FROM unit),
+led AS (SELECT doc_id, text, i, array_to_string(w, ' ') AS line, sum(len(w)) OVER o AS upto, sum(len(w)) OVER o - len(w) AS before FROM word WINDOW o AS (PARTITION BY doc_id, text ORDER BY i)),
+pair AS (SELECT a.doc_id, a.text, a.i AS first, b.i AS last FROM led a JOIN led b ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.text = a.text AND b.i >= a.i AND b.upto - a.before >= 20 WHERE b.before - a.before < 20 OR b.upto - a.upto < 20),
+span AS (SELECT p.doc_id, p.text, p.first, p.last, md5(string_agg(line, chr(10) ORDER BY i)) AS h FROM pair p JOIN led l ON l.doc_id IS NOT DISTINCT FROM p.doc_id AND l.text = p.text AND l.i BETWEEN p.first AND p.last GROUP BY ALL),
+gone AS (SELECT doc_id, text, first, last FROM span QUALIFY rank() OVER (PARTITION BY h ORDER BY doc_id, first) > 1),
+drops AS (SELECT DISTINCT doc_id, text, unnest(range(CAST(first AS BIGINT), CAST(last AS BIGINT) + 1)) AS i FROM gone),
+left_over AS (SELECT u.doc_id, u.text, string_agg(CASE WHEN g.i IS NULL THEN part ELSE '' END, '' ORDER BY u.i) AS kept, count(*) AS n_units, count(g.i) AS n_removed FROM unit u LEFT JOIN drops g ON g.doc_id = u.doc_id AND g.text = u.text AND g.i = u.i GROUP BY u.doc_id, u.text)
+SELECT d.doc_id, CASE WHEN n_removed > 0 THEN kept ELSE d.text END AS text, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(length(CASE WHEN n_removed > 0 THEN kept ELSE d.text END) AS INTEGER) AS n_chars
+FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id AND l.text = d.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
+    return {"op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}

@@ -92,6 +92,21 @@ def test_boosted_trees_learn_a_product():
     assert ((model.logit(x[1500:]) > 0) == y[1500:]).mean() > 0.9
 
 
+def test_trees_split_where_the_gain_is_greatest():
+    """The first tree of depth 1 against every cut of every feature; leaves by Newton's step."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
+    y[x[:, 1] > 4] = 1
+    model = boost.BoostedTrees(trees=1, depth=1, rate=1.0, l2=1.0).fit(x, y)
+    mean = y.mean()
+    g, h = mean - y, np.full(200, mean * (1 - mean))
+    value = lambda side: g[side].sum() ** 2 / (h[side].sum() + 1)
+    best = max((value(x[:, j] <= cut) + value(x[:, j] > cut), j, cut) for j in range(3) for cut in range(8))
+    side = x[:, best[1]] <= best[2]
+    leaf = lambda s: -g[s].sum() / (h[s].sum() + 1)
+    assert model.logit(x) == pytest.approx(np.log(mean / (1 - mean)) + np.where(side, leaf(side), leaf(~side)))
+
+
 def test_dom_tolerates_broken_pages():
     cases = {
         "<p>a<p>b <b>c</b>d": "a b cd",
@@ -238,7 +253,9 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, data, tmp_path)
 def test_pipeline_decisions_equal_brute_force(spark, data):
     """Each stage against its definition on what the stage before kept."""
     import corpus_pipeline
-    from test_text_operators import contained, linked
+    import public_tokenizers
+    from test_text_operators import contained, linked, without_repeats
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     listed = lambda df: [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
@@ -248,9 +265,21 @@ def test_pipeline_decisions_equal_brute_force(spark, data):
     assert {r[0] for r in before} == {r[0] for r in listed(docs) if any(c.isalpha() for c in r[1] or "")}
     lone = listed(stages["near_dedup"](spark, known, data))
     assert {r[0] for r in lone} == set(linked(before, 5, 80)[0].values())
+    schema = docs.select("doc_id", "text", "lang", "source", "n_chars").schema
+    cut = listed(stages["substring_dedup"](spark, spark.createDataFrame(lone, schema), data))
+    want = without_repeats([(r[0], r[1] or "") for r in lone])
+    assert sorted(cut) == sorted((r[0], want[r[0], r[1] or ""][0] if r[1] else r[1], r[2], r[3], len(want[r[0], r[1]][0]) if r[1] and want[r[0], r[1]][2] else r[4]) for r in lone)
+    assert any(r[1] != s[1] for r, s in zip(sorted(lone), sorted(cut)))
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
-    clean = stages["decontamination"](spark, spark.createDataFrame(lone, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), data)
-    assert {r["doc_id"] for r in clean.select("doc_id").collect()} == {r[0] for r in lone} - {k for k, *_ in contained(lone, items)}
+    clean = listed(stages["decontamination"](spark, spark.createDataFrame(cut, schema), data))
+    assert {r[0] for r in clean} == {r[0] for r in cut} - {k for k, *_ in contained(cut, items)}
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = {}, {}
+    for r in stages["packing"](spark, spark.createDataFrame(clean, schema), data).collect():
+        pieces.setdefault(r["doc_id"], {})[r["start"]] = list(r["ids"])
+        sequences.setdefault(r["sequence_id"], {})[r["offset"]] = r["length"]
+    assert {k: [i for s in sorted(p) for i in p[s]] for k, p in pieces.items()} == {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in clean}
+    assert all(sum(s.values()) <= 2048 and all(sum(n for o, n in s.items() if o < at) == at for at in s) for s in sequences.values())
 
 
 def test_llm_is_not_imported_elsewhere():

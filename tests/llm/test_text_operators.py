@@ -398,6 +398,73 @@ def test_language_of_held_out_texts(spark, data):
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in zip(found.doc_id, found.held_out))
 
 
+def language_scores(rows):
+    """(language, score) of every text by the definition, learned from the labelled rows."""
+    import math
+
+    import regex
+
+    split = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    learned = [(split(t), lang) for key, t, lang in rows if key is not None and lang is not None and t is not None and zlib.crc32(str(key).encode()) % 5]
+    langs = sorted({lang for _, lang in learned})
+    counts = {(lang, n): collections.Counter() for lang in langs for n in range(6)}
+    for words, lang in learned:
+        for w in words:
+            counts[lang, 0][w] += 1
+            for n in range(1, 6):
+                counts[lang, n].update(grams(w, n))
+
+    def unit(u, n):
+        return [math.log10(counts[k, n][u] / sum(counts[k, n].values())) if counts[k, n][u] else -7.0 for k in langs] if any(counts[k, n][u] for k in langs) else None
+
+    def word(w):
+        if known := unit(w, 0):
+            return known
+        for n in range(5, 0, -1):
+            if found := [x for g in grams(w, n) if (x := unit(g, n))]:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [-7.0] * len(langs)
+
+    out = []
+    for _, text, _ in rows:
+        scored = [word(w) for w in split(text)]
+        if not scored or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(x) / len(scored) for x in zip(*scored)]
+        best = max(range(len(langs)), key=lambda k: (mean[k], -k))
+        out.append((langs[best], 1 / sum(10 ** ((m - mean[best]) * min(len(scored), 20)) for m in mean)))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(13)
+    stems = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["ka", "re", "so", "nü"], "cc": ["ve", "re", "dé", "tu"]}
+    say = lambda k, n: " ".join("".join(rng.choice(stems[k]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, say(k, rng.randint(3, 40)), k) for i, k in enumerate(rng.choices(sorted(stems), k=60))]
+    rows += [(100 + i, say(rng.choice(sorted(stems)), 12) + " xqz zz KA", None) for i in range(20)]
+    rows += [(None, say("aa", 9), "bb"), (200, None, "aa"), (201, "", "bb"), (202, "12 !", None), (203, "ЖШ", None), rows[3]]
+    found = langid.identify(spark.createDataFrame([(k, t, lang, None, 0) for k, t, lang in rows], DOCS)).collect()
+    want = collections.defaultdict(list)
+    for (key, _, _), x in zip(rows, language_scores(rows)):
+        want[key].append(x)
+    got = collections.defaultdict(list)
+    for r in found:
+        got[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    for key in want:
+        assert [k for k, _ in sorted(want[key])] == [k for k, _ in sorted(got[key])]
+        assert [x for _, x in sorted(want[key])] == pytest.approx([x for _, x in sorted(got[key])], abs=1e-4)
+
+
+def test_units_kept_for_one_language_count_in_all(spark):
+    """With room for few units, a word that one language keeps is still known to occur in the other."""
+    rows = [(i, " ".join(["both"] * (50 if k == "aa" else 3) + [f"{k}w{j}" for j in range(40) for _ in range(4)]), k, None, 0) for i, k in enumerate(("aa", "bb") * 6)]
+    model = langid.train(spark.createDataFrame(rows, DOCS), model_units=1200)
+    share = {k: 10.0 ** float(x) for k, x in zip(model["langs"], model["rows"][model["words"]["both"]])}
+    assert share == pytest.approx({"aa": 50 / 210, "bb": 3 / 163}, rel=1e-3)
+
+
 def test_language_backs_off_and_rejects(spark, docs, none):
     rows = [(i, t, k, "s", 0) for i, (t, k) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 40)]
     model = langid.train(spark.createDataFrame(rows, DOCS))
@@ -437,6 +504,43 @@ def test_toxic_words_are_learned(spark):
     assert toxicity.toxicity(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The scores of a table against a dense version: words by their test, the risk's slope, Adam."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 25) + (" rotten swine" if i % 6 == 0 else " fine " if i % 5 == 0 else ""), None, None, 0) for i in range(240)]
+    toxic = {i: int(i % 6 == 0) for i in range(240) if i % 2 == 0}
+    labels = spark.createDataFrame([(k, 1, v) for k, v in toxic.items()], "doc_id long, quality int, toxic int")
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    words = [set(r[1].lower().replace(".", "").split()) for r in rows]
+    p = [i for i in toxic if learn(i) and toxic[i]]
+    u = [i for i in range(240) if learn(i)]
+    prior = len(p) / sum(map(learn, toxic))
+    chosen = []
+    for w in sorted(set().union(*words)):
+        a, b = sum(w in words[i] for i in p), sum(w in words[i] for i in u)
+        pooled = (a + b) / (len(p) + len(u))
+        if a + b >= 4 and abs(a / len(p) - b / len(u)) / np.sqrt(pooled * (1 - pooled + 1e-9) * (1 / len(p) + 1 / len(u))) > toxicity.MIN_Z:
+            chosen.append(w)
+    assert {"rotten", "swine"} <= set(chosen)
+    dense = lambda some: np.array([[w in words[i] for w in chosen] for i in some], float)
+    xp, xu, weight, bias = dense(p), dense(u), np.zeros(len(chosen)), np.log(prior / (1 - prior))
+    mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for t in range(1, 1001):
+        zp, zu = xp @ weight + bias, xu @ weight + bias
+        gain = lambda x, slope: np.append(x.T @ slope, slope.sum())
+        negative = gain(xu, sigmoid(zu) / len(u)) - gain(xp, prior * sigmoid(zp) / len(p))
+        below = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean() < 0
+        slope = -negative if below else gain(xp, prior * (sigmoid(zp) - 1) / len(p)) + negative
+        slope[:-1] += 2e-5 * weight
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        step = 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
+        weight, bias = weight - step[:-1], bias - step[-1]
+    want = sigmoid(dense(range(240)) @ weight + bias)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert [got[i] for i in range(240)] == pytest.approx(want.tolist(), abs=1e-5)
+
+
 def test_non_negative_risk_learns_from_unlabelled():
     rng = np.random.default_rng(0)
     p = [np.array([0, 2 + rng.integers(20)]) for _ in range(200)]
@@ -476,9 +580,9 @@ def test_packing_holds_every_token_once(docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    want = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in rows}
-    found = packing.pack_documents(docs, with_ids=True).collect()
+    added = [(len(rows) + i, x) for i, x in enumerate(("a <|endoftext|> b " * 900, "<|endoftext|>", "x<|endoftext|><|endofText|> é"))]
+    want = {k: t.encode(text or "", add_special_tokens=False).ids + [1] for k, text in [*(r[:2] for r in rows), *added]}
+    found = packing.pack_documents(docs.union(docs.sparkSession.createDataFrame([(k, x, None, None, 0) for k, x in added], DOCS)), with_ids=True).collect()
     pieces, bins = collections.defaultdict(dict), collections.defaultdict(dict)
     for r in found:
         pieces[r["doc_id"]][r["start"]] = r["ids"]
