@@ -286,4 +286,16 @@ found(id, seed, total) USING KEY (id) AS (SELECT id, id, 0.0::DOUBLE FROM seeds
   SELECT step.id, step.best.seed, step.best.total FROM (SELECT b AS id, min(struct_pack(total := total + cost, seed := seed)) AS best FROM found JOIN ways ON found.id = a GROUP BY b) step LEFT JOIN recurring.found known ON known.id = step.id
   WHERE known.id IS NULL OR step.best.total < known.total OR step.best.total = known.total AND step.best.seed < known.seed)
 SELECT points.id, coalesce(seed, points.id) AS seed, round(coalesce(total, 0.0::DOUBLE), 9) AS cost FROM points LEFT JOIN found ON found.id = points.id""",
+    "contact_coloring": f"""WITH RECURSIVE {px.POINTS}, near AS (SELECT p.id, q.id AS id2, p.label, q.label AS label2 FROM points p JOIN points q ON p.id <> q.id WHERE {DIST} <= 0.15 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {DIST}, q.id) <= 16),
+touch AS (SELECT DISTINCT label AS a, label2 AS b FROM near WHERE label // 64 = label2 // 64 AND label <> label2), ways AS (SELECT a, b FROM touch UNION SELECT b, a FROM touch),
+inst AS (SELECT label // 64 AS scene, label, coalesce(n, []) AS around, row_number() OVER (PARTITION BY label // 64 ORDER BY len(coalesce(n, [])) DESC, label) AS place FROM (SELECT DISTINCT label FROM points) LEFT JOIN (SELECT a AS label, list(b) AS n FROM ways GROUP BY a) USING (label)),
+hue AS (SELECT k, (k % 12) / 12.0::DOUBLE * 6.0 AS h, CASE WHEN k < 12 THEN 0.92::DOUBLE ELSE 0.68::DOUBLE END AS s, CASE WHEN k < 12 THEN 1.0::DOUBLE ELSE 0.78::DOUBLE END AS v FROM range(24) r(k)),
+hsv AS (SELECT k, CAST(floor(h) AS INTEGER) % 6 AS i, v, v * (1 - s) AS p, v * (1 - s * (h - floor(h))) AS q, v * (1 - s * (1 - (h - floor(h)))) AS t FROM hue),
+rgb AS (SELECT k, list_transform([[v, t, p], [q, v, p], [p, v, t], [p, q, v], [t, p, v], [v, p, q]][i + 1], lambda x: floor(x * 255)) AS c FROM hsv),
+apart AS (SELECT a.k, list((a.c[1] - b.c[1]) ** 2 + (a.c[2] - b.c[2]) ** 2 + (a.c[3] - b.c[3]) ** 2 ORDER BY b.k) AS d FROM rgb a, rgb b GROUP BY a.k),
+run AS (SELECT scene, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(label BIGINT, k BIGINT)[]) AS done FROM inst GROUP BY scene UNION ALL
+  SELECT scene, place, list_append(done, struct_pack(label := label, k := k)) FROM (SELECT inst.scene, inst.place, done, label, k, row_number() OVER (PARTITION BY inst.scene
+    ORDER BY coalesce(list_min(list_transform(list_filter(done, lambda x: list_contains(around, x.label)), lambda x: d[x.k + 1])), 1e9) DESC, len(list_filter(done, lambda x: x.k = apart.k)), k) AS n
+    FROM run JOIN inst ON inst.scene = run.scene AND inst.place = run.place + 1 CROSS JOIN apart) WHERE n = 1)
+SELECT CAST(scene AS BIGINT) AS scene, CAST(x.label AS BIGINT) AS instance, x.k AS color FROM (SELECT scene, unnest(done) AS x FROM run QUALIFY row_number() OVER (PARTITION BY scene ORDER BY place DESC) = 1)""",
 }

@@ -12,7 +12,7 @@ from terrazzo.operators import evidence as ev
 from terrazzo.operators import graph, metrics, selection, slam
 from terrazzo.operators.common import first_in, settled
 from terrazzo.plans import proxies as px
-from terrazzo.plans.evidence import _affinity, _intervals, _kn, _rows, _tracks, r
+from terrazzo.plans.evidence import IDS, TRACKS, _affinity, _intervals, _kn, _rows, _tracks, r
 
 def _members(spark, d) -> DataFrame:
     return px.memberships(spark, d).select((F.col("f").cast("long") * 1_000_000 + F.col("seg")).alias("hyp"), "id")
@@ -254,6 +254,17 @@ IOU = M + """, gt AS (SELECT p_partkey AS id, CASE WHEN CAST(floor((p_partkey +
 it AS (SELECT gt, hyp, count(*) AS inter FROM m JOIN gt USING (id) WHERE gt IS NOT NULL GROUP BY 1, 2), ious AS (SELECT gt, hyp, CAST(inter AS DOUBLE) / (size + total - inter) AS iou FROM it JOIN hs USING (hyp) JOIN gs USING (gt))"""
 HALVES = """r AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT c_nationkey, avg(o_totalprice) AS before FROM r WHERE year(o_orderdate) < 1997 AND c_nationkey > 2 GROUP BY 1),
 a AS (SELECT c_nationkey, avg(o_totalprice) AS after FROM r WHERE year(o_orderdate) >= 1997 AND c_nationkey < 22 GROUP BY 1), j AS (SELECT c_nationkey, before, after, after - coalesce(before, 0) AS delta FROM b FULL JOIN a USING (c_nationkey))"""
+#: The phi of nodes in scenes of 64 parts, and the greedy cover of each scene, a pick a step.
+COVER = px.EVIDENCE + f""", scored AS (SELECT lo // 64 AS scene, id, lo, hi, CAST(g AS BIGINT) * 1000000000 + seg AS track, CAST(f AS BIGINT) * 10000000000 + CAST(g AS BIGINT) * 1000000000 + seg AS mask, phi FROM (SELECT *, {IDS} FROM phis)),
+val AS (SELECT scene, id, lo, hi, track, avg(phi) AS v FROM scored GROUP BY ALL),
+cand AS (SELECT scene, id, lo - scene * 64 AS lo, hi - scene * 64 AS hi, map_from_entries(list(struct_pack(k := track, v := v) ORDER BY track)) AS m, row_number() OVER (PARTITION BY scene ORDER BY hi - lo DESC, id) AS place FROM val GROUP BY scene, id, lo, hi),
+run AS (SELECT scene, 0 AS step, 1 AS budget, list(struct_pack(id := id, lo := lo, hi := hi, m := m, budget := 1, gain := CAST(0 AS DOUBLE))) FILTER (WHERE false) AS picks FROM cand GROUP BY scene UNION ALL
+  SELECT scene, step + 1, CASE WHEN ok THEN budget ELSE budget + 1 END, CASE WHEN ok THEN list_append(coalesce(picks, []), struct_pack(id := id, lo := lo, hi := hi, m := m, budget := budget, gain := gain)) ELSE picks END
+  FROM (SELECT *, gain >= 0.5 AND open AS ok, row_number() OVER (PARTITION BY scene ORDER BY gain >= 0.5 AND open DESC, round(gain, 12) DESC, place) AS n FROM (
+    SELECT run.scene, step, budget, picks, id, lo, hi, m, place, list_sum(list_transform(map_keys(m), lambda t: greatest(m[t] - coalesce(list_max(list_transform(coalesce(picks, []), lambda x: x.m[t])), 0), 0))) AS gain,
+      len(list_filter(coalesce(picks, []), lambda x: x.id = cand.id)) = 0 AND list_max(list_transform(range(lo, hi + 1), lambda a: len(list_filter(coalesce(picks, []), lambda x: x.lo <= a AND a <= x.hi)))) < budget AS open
+    FROM run JOIN cand ON cand.scene = run.scene WHERE budget <= 3)) WHERE n = 1),
+cover AS (SELECT scene, picks FROM run WHERE picks IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scene ORDER BY step DESC) = 1)"""
 BLOCKS = "bl AS (SELECT l_orderkey AS i, l_suppkey % 10 AS j, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
 SQL = {
     "owner_smallest_wins": f"WITH {M} SELECT id, hyp, size FROM m JOIN hs USING (hyp) QUALIFY row_number() OVER (PARTITION BY id ORDER BY size, hyp) = 1",
@@ -288,4 +299,24 @@ grid AS (SELECT p.pos AS r, q.pos AS c, coalesce(any_value(value), 0) AS value F
 run AS (SELECT 1::BIGINT AS k, list(line ORDER BY r) AS m FROM (SELECT r, list(CAST(value AS DOUBLE) ORDER BY c) AS line FROM grid GROUP BY r) UNION ALL
   SELECT k + 1, list_transform(m, lambda line, r: CASE WHEN r = k THEN line ELSE list_transform(line, lambda x, c: x - line[k] / m[k][k] * m[k][c]) END) FROM run WHERE k <= len(m)),
 last AS (SELECT m FROM run ORDER BY k DESC LIMIT 1) SELECT kind, i, round(m[pos][len(m) + 1] / m[pos][pos], 6) AS value FROM names, last""",
+    "constrained_components": f"""WITH RECURSIVE {TRACKS}, both_ways AS (SELECT track, track2, iou, chunk2 FROM ious WHERE iou >= 0.8 AND chunk <> chunk2 UNION ALL SELECT track2, track, iou, chunk FROM ious WHERE iou >= 0.8 AND chunk <> chunk2),
+best AS (SELECT *, row_number() OVER w AS r, lead(iou, 1, 0.0) OVER w AS nxt FROM both_ways WINDOW w AS (PARTITION BY track, chunk2 ORDER BY iou DESC, track2) QUALIFY r = 1),
+links AS (SELECT a.track, a.track2, row_number() OVER (ORDER BY a.iou DESC, a.track DESC, a.track2 DESC) AS n FROM best a JOIN best b ON a.track = b.track2 AND a.track2 = b.track WHERE a.track < a.track2 AND a.iou >= 1.2 * a.nxt AND a.iou >= 1.2 * b.nxt),
+ends AS (SELECT track AS t FROM links UNION SELECT track2 FROM links),
+run AS (SELECT CAST(0 AS BIGINT) AS n, list(struct_pack(t := t, chunk := t // 1000000000, comp := t)) AS s FROM ends UNION ALL
+  SELECT n, CASE WHEN ca = cb OR list_has_any(list_transform(list_filter(s, lambda x: x.comp = ca), lambda x: x.chunk), list_transform(list_filter(s, lambda x: x.comp = cb), lambda x: x.chunk)) THEN s
+    ELSE list_transform(s, lambda x: struct_pack(t := x.t, chunk := x.chunk, comp := CASE WHEN x.comp = greatest(ca, cb) THEN least(ca, cb) ELSE x.comp END)) END
+  FROM (SELECT links.n, s, list_filter(s, lambda x: x.t = links.track)[1].comp AS ca, list_filter(s, lambda x: x.t = links.track2)[1].comp AS cb FROM run JOIN links ON links.n = run.n + 1))
+SELECT x.t AS track, x.comp AS component FROM (SELECT unnest(s) AS x FROM (SELECT s FROM run ORDER BY n DESC LIMIT 1))""",
+    "lazy_greedy_cover": f"WITH RECURSIVE {COVER} SELECT scene, n - 1 AS place, x.id AS node, CAST(x.budget AS BIGINT) AS budget, round(x.gain, 9) AS gain FROM (SELECT scene, unnest(picks) AS x, generate_subscripts(picks, 1) AS n FROM cover)",
+    "ancestor_exchange": f"""WITH RECURSIVE {COVER}, held AS (SELECT scene, id, lo - scene * 64 AS lo, hi - scene * 64 AS hi, map_from_entries(list(struct_pack(k := mask, v := phi) ORDER BY mask)) AS m, row_number() OVER (PARTITION BY scene ORDER BY lo - hi, id) AS place, count(*) OVER (PARTITION BY scene) AS many FROM scored GROUP BY scene, id, lo, hi),
+swap AS (SELECT c.scene, CAST(0 AS BIGINT) AS step, list(struct_pack(id := h.id, lo := h.lo, hi := h.hi, m := h.m, mem := [h.id])) AS s FROM (SELECT scene, unnest(picks).id AS id FROM cover) c JOIN held h ON h.scene = c.scene AND h.id = c.id GROUP BY c.scene UNION ALL
+  SELECT scene, step, CASE WHEN len(below) >= 2 AND list_max(list_transform(range(lo, hi + 1), lambda a: len(list_filter(beside, lambda x: x.lo <= a AND a <= x.hi)))) + 1 <= 3
+    AND list_sum(list_transform(masks, lambda k: greatest(coalesce(list_max(list_transform(s, lambda x: x.m[k])), 0), 0) - greatest(coalesce(list_max(list_transform(beside, lambda x: x.m[k])), 0), coalesce(m[k], 0)))) <= 1e-12
+    THEN list_append(beside, struct_pack(id := id, lo := lo, hi := hi, m := m, mem := flatten(list_transform(below, lambda x: x.mem)))) ELSE s END
+  FROM (SELECT *, list_distinct(list_concat(map_keys(m), flatten(list_transform(below, lambda x: map_keys(x.m))))) AS masks FROM (
+    SELECT h.scene, swap.step + 1 AS step, s, h.id, h.lo, h.hi, h.m, list_filter(s, lambda x: h.lo <= x.lo AND x.hi <= h.hi) AS below, list_filter(s, lambda x: NOT (h.lo <= x.lo AND x.hi <= h.hi)) AS beside
+    FROM swap JOIN held h ON h.scene = swap.scene AND h.place = swap.step % h.many + 1 WHERE swap.step < 3 * h.many))),
+last AS (SELECT scene, s FROM swap QUALIFY row_number() OVER (PARTITION BY scene ORDER BY step DESC) = 1)
+SELECT scene, unnest(x.mem) AS node, x.id AS stand FROM (SELECT scene, unnest(s) AS x FROM last)""",
 }
