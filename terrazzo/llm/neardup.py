@@ -146,13 +146,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     m = N_BANDS * rows_per_band(percent)
     slim = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = materialise(slim.mapInArrow(lambda batches: _sketched(batches, width, m), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
-    sets = known.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    sets = materialise(known.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     keyed = sets.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "pivot")
     stars = keyed.join(shared, "key").where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    members = components(stars).join(sets.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    members = components(stars).join(sets.select(F.col("rep").alias("node"), "n_shingles", "bands"), "node")
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), _blocks(BLOCK_DOCS).alias("blocks"))
-    placed = members.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size", "blocks", "n_shingles")
+    placed = members.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "size", "blocks", "n_shingles", "bands")
     # the texts are shuffled once; from here on only those of members are carried
     held = materialise(slim.join(placed, "doc_id"))
 
@@ -171,9 +171,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         split = materialise(split.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component", "blocks"))
         groups = split.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "group"))["group"].alias("most"))
         left = split.join(groups, "cluster").where("group <> most").drop("most")
-        keys = keyed.select(F.col("rep").alias("doc_id"), "key")
-        asked = keys.join(left.select("doc_id"), "doc_id", "left_semi").select("key").distinct()
-        near = split.join(keys.join(asked, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+        asked = left.select(F.explode("bands").alias("key")).distinct()
+        hit = split.select("doc_id", F.explode("bands").alias("key")).join(asked, "key", "left_semi").select("doc_id").distinct()
+        left, near = left.drop("bands"), split.drop("bands").join(hit, "doc_id", "left_semi")
         parts = left.groupBy("cluster").agg(_blocks(PAIR_DOCS).alias("parts")).join(near.groupBy("cluster").agg(_blocks(PAIR_DOCS).alias("others")), "cluster")
         left, near = (df.join(parts, "cluster") for df in (left, near))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

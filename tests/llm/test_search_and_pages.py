@@ -36,11 +36,26 @@ def test_truncated_suffix_arrays_sort_the_depth():
     assert keys == sorted(keys) and sorted(sa) == list(range(len(s)))
 
 
-def test_components_of_a_star_and_a_path(spark):
+@pytest.mark.parametrize("in_task", [0, 10**6])
+def test_components_of_a_star_and_a_path(spark, in_task):
     edges = [(0, i) for i in range(1, 50)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (None, 3), (0, 1)]
-    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), in_task=in_task).collect()}
     assert got == {i: 0 for i in range(50)} | {i: 100 for i in range(100, 141)}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), in_task=in_task).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(8)
+    for trial in range(3):
+        edges = rng.integers(0, 80, (60, 2)).tolist()
+        label = list(range(80))
+        for _ in range(80):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        want = {x: label[x] for e in edges if e[0] != e[1] for x in e}
+        for in_task in (0, 10**6):
+            got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4), in_task=in_task).collect()
+            assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
 
 
 VECTORS = "vec_id long, embedding array<float>"
