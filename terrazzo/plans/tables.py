@@ -180,11 +180,15 @@ def constrained_components(spark, d):
     return selection.per_scene(pairs, selection.constrained_components, "track long, component long").drop("scene")
 
 
+def _tree_edges(spark, d) -> DataFrame:
+    """scene, a, b, num, w, a0, b0: affinity edges inside scenes of 64 parts, with the prior of all."""
+    affinity = settled(_affinity(spark, d))
+    inside = affinity.where(F.floor(F.col("a") / 64) == F.floor(F.col("b") / 64))
+    return inside.crossJoin(F.broadcast(ev.beta_prior(affinity))).withColumn("scene", F.floor(F.col("a") / 64))  # one row
+
+
 def agglomerate_tree(spark, d):
     """A merge tree per scene of 64 parts."""
-    scene = F.floor(F.col("a") / 64)
-    affinity = settled(_affinity(spark, d))
-    edges = affinity.where(F.floor(F.col("a") / 64) == F.floor(F.col("b") / 64)).crossJoin(F.broadcast(ev.beta_prior(affinity))).withColumn("scene", scene)  # one row
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         atoms = sorted({*rows.a, *rows.b})
@@ -192,11 +196,11 @@ def agglomerate_tree(spark, d):
         listed = [(at[a], at[b], n, float(w)) for a, b, n, w in sorted(zip(rows.a, rows.b, rows.num, rows.w))]
         return selection.agglomerate({i: 1 for i in range(len(atoms))}, listed, float(rows.a0.iloc[0]), float(rows.b0.iloc[0]))
 
-    return selection.per_scene(edges, build, "node long, parent long, left long, right long, lo long, hi long, size long")
+    return selection.per_scene(_tree_edges(spark, d), build, "node long, parent long, left long, right long, lo long, hi long, size long")
 
 
-def gaec_candidates(spark, d):
-    """Grouped by the components of edges of positive cost: a contraction never leaves one."""
+def _contraction_rows(spark, d) -> DataFrame:
+    """scene, id, id2, cost and both intervals; a scene is a component of the edges of positive cost."""
     pairs = settled(_kn(spark, d))
     p_s, p_d, _ = ev.mixture(pairs)
     costs = pairs.select("id", "id2", ev.log_likelihood_ratio(p_s, p_d).alias("cost"))
@@ -204,14 +208,18 @@ def gaec_candidates(spark, d):
     inside = costs.join(groups, "id").join(groups.select(F.col("id").alias("id2"), F.col("scene").alias("scene2")), "id2").where("scene = scene2")
     width = lambda c: F.pow(F.lit(2.0), F.floor(F.col(c) / 10**12)).cast("long")
     place = lambda c: F.col(c) % 10**12
-    rows = inside.select("scene", "id", "id2", "cost", *[e.alias(n) for c, s in (("id", ""), ("id2", "2")) for e, n in ((place(c) * width(c), f"lo{s}"), ((place(c) + 1) * width(c) - 1, f"hi{s}"))])
+    return inside.select("scene", "id", "id2", "cost", *[e.alias(n) for c, s in (("id", ""), ("id2", "2")) for e, n in ((place(c) * width(c), f"lo{s}"), ((place(c) + 1) * width(c) - 1, f"hi{s}"))])
+
+
+def gaec_candidates(spark, d):
+    """Contractions of each component of edges of positive cost: none ever leaves one."""
 
     def contract(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = {k: (lo, hi, hi - lo + 1) for k, lo, hi in [*zip(rows.id, rows.lo, rows.hi), *zip(rows.id2, rows.lo2, rows.hi2)]}
         found = selection.additive_contraction(nodes, sorted(zip(rows.id, rows.id2, rows.cost)), 400)
         return pd.DataFrame({"candidate": range(len(found)), "members": [sorted(m) for m in found]}, columns=["candidate", "members"])
 
-    return selection.per_scene(rows, contract, "candidate long, members array<long>")
+    return selection.per_scene(_contraction_rows(spark, d), contract, "candidate long, members array<long>")
 
 
 def _cover_rows(spark, d) -> DataFrame:
