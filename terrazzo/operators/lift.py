@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as geo
 from terrazzo.operators.common import settled
 
 
-def visible_points(points: DataFrame, frames: DataFrame, depth: DataFrame, tolerance: float = 0.05) -> DataFrame:
+def in_view(blocks: DataFrame, frames: DataFrame, size: float) -> DataFrame:
+    """Pairs of a block of space and a frame whose view it may reach into: blocks(bx, by, bz), frames
+    with `far`, the depth beyond which a frame sees nothing. A block is judged by the ball around it
+    against the view's four sides and its depth, so none that can be seen is left out."""
+    pairs = blocks.crossJoin(frames)  # blocks, not points
+    middle = [(F.col(f"b{c}") + 0.5) * size for c in "xyz"]
+    x, y, z = geo.world_to_camera(*middle, "pose")
+    pairs = pairs.withColumns({"__x": x, "__y": y, "__z": z})
+    reach = size * 3**0.5 / 2 * (1 + 1e-9)
+
+    def inside(across: str, focal: str, centre: str, extent: str) -> Column:
+        """Not beyond the side at pixel 0, nor beyond the one at the image's other end."""
+        low = F.col(focal) * F.col(across) + F.col(centre) * F.col("__z")
+        rest = F.col(extent) - F.col(centre)
+        high = rest * F.col("__z") - F.col(focal) * F.col(across)
+        return (low >= -reach * F.sqrt(F.col(focal) ** 2 + F.col(centre) ** 2)) & (high >= -reach * F.sqrt(F.col(focal) ** 2 + rest**2))
+
+    near = (F.col("__z") > -reach) & (F.col("__z") <= F.col("far") + reach)
+    return pairs.where(near & inside("__x", "fx", "cx", "width") & inside("__y", "fy", "cy", "height")).drop("__x", "__y", "__z")
+
+
+def visible_points(points: DataFrame, frames: DataFrame, depth: DataFrame, tolerance: float = 0.05, block: float = 0.5) -> DataFrame:
     """f, id, pu, pv of the points that a frame sees.
 
     points(id, x, y, z), frames(f, pose, fx, fy, cx, cy, width, height), depth(f, pu, pv, measured).
-    Each point meets each frame, as it must be projected to be judged; what survives the image's
-    borders meets the depth pixels in an equi-join.
+    Points go with their block of space, and only blocks in a frame's view are joined to it; what
+    survives the image's borders meets the depth pixels in an equi-join.
     """
-    seen = points.crossJoin(frames)  # the output of projection itself: points x kept frames
+    key = ["bx", "by", "bz"]
+    placed = points.select("id", "x", "y", "z", *[geo.voxel(c, block).alias(f"b{c}") for c in "xyz"])
+    far = depth.groupBy("f").agg((F.max("measured") + tolerance).alias("far"))
+    seen = placed.join(in_view(placed.select(*key).distinct(), frames.join(far, "f"), block), key)
     x, y, z = geo.world_to_camera("x", "y", "z", "pose")
     u, v = geo.project(x, y, z, "fx", "fy", "cx", "cy")
-    placed = seen.select("f", "id", z.alias("zc"), u.alias("u"), v.alias("v"), "width", "height").where((F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height")))
-    placed = placed.withColumns({"pu": F.col("u").cast("int"), "pv": F.col("v").cast("int")})
-    return placed.join(depth, ["f", "pu", "pv"]).where(geo.visible("u", "v", "zc", "measured", "width", "height", tolerance)).select("f", "id", "pu", "pv")
+    pixels = seen.select("f", "id", z.alias("zc"), u.alias("u"), v.alias("v"), "width", "height").where((F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height")))
+    pixels = pixels.withColumns({"pu": F.col("u").cast("int"), "pv": F.col("v").cast("int")})
+    return pixels.join(depth, ["f", "pu", "pv"]).where(geo.visible("u", "v", "zc", "measured", "width", "height", tolerance)).select("f", "id", "pu", "pv")
 
 
 def lift(visible: DataFrame, masks: DataFrame, atoms: DataFrame, least: int = 5) -> dict[str, DataFrame]:

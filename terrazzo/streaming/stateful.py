@@ -1,7 +1,9 @@
 """Frame-at-a-time decisions with state per scene, and time windows over streams.
 
 The stateful operators take micro-batches in any size and give what the batch operators give on
-the whole; a row with `last` set ends a scene and flushes its state.
+the whole. State doesn't outlive its scene: a row with `last` set ends a scene, flushes its state
+and removes it; where no row says so, a scene that is idle for `idle` seconds is forgotten (never, if
+none are given).
 """
 
 from __future__ import annotations
@@ -14,10 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def moved_frames(frames: DataFrame, threshold: float) -> DataFrame:
+def _timeout(idle: float | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _kept(state: GroupState, values: tuple, idle: float | None) -> None:
+    state.update(values)
+    if idle is not None:
+        state.setTimeoutDuration(int(idle * 1000))
+
+
+def moved_frames(frames: DataFrame, threshold: float, idle: float | None = None) -> DataFrame:
     """scene, frame, v of the frames that lie more than `threshold` from the last one kept."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
         kept = []
@@ -26,46 +41,57 @@ def moved_frames(frames: DataFrame, threshold: float) -> DataFrame:
                 kept.append((key[0], frame, v))
                 last = float(v)
         if last is not None:
-            state.update((last,))
+            _kept(state, (last,), idle)
         yield pd.DataFrame(kept, columns=["scene", "frame", "v"])
 
-    return frames.select("scene", "frame", "v").groupBy("scene").applyInPandasWithState(decide, "scene long, frame long, v double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return frames.select("scene", "frame", "v").groupBy("scene").applyInPandasWithState(decide, "scene long, frame long, v double", "last double", "append", _timeout(idle))
 
 
-def frame_chunks(frames: DataFrame, size: int = 8) -> DataFrame:
+def frame_chunks(frames: DataFrame, size: int = 8, idle: float | None = None) -> DataFrame:
     """scene, chunk, frames, first_id: full chunks of retained frames, the rest when a scene ends.
 
-    first_id counts the frames of earlier chunks, so identities are never given out twice.
+    first_id counts the frames of earlier chunks, so identities are never given out twice. What an
+    idle scene still holds is flushed when it is forgotten.
     """
 
     def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, chunk, given = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
-        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
-        out = []
-        for frame, last in zip(rows.frame, rows["last"]):
-            held.append(int(frame))
-            if len(held) == size or last:
-                out.append((key[0], chunk, held, given))
-                held, chunk, given = [], chunk + 1, given + len(held)
-        state.update((held, chunk, given))
+        out, ended = [], state.hasTimedOut
+        if ended:
+            out += [(key[0], chunk, held, given)] if held else []
+        else:
+            rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
+            for frame, last in zip(rows.frame, rows["last"]):
+                held.append(int(frame))
+                if len(held) == size or last:
+                    out.append((key[0], chunk, held, given))
+                    held, chunk, given = [], chunk + 1, given + len(held)
+                ended = bool(last)
+        if ended:
+            state.remove()
+        else:
+            _kept(state, (held, chunk, given), idle)
         yield pd.DataFrame(out, columns=["scene", "chunk", "frames", "first_id"])
 
-    return frames.select("scene", "frame", "last").groupBy("scene").applyInPandasWithState(collect, "scene long, chunk long, frames array<long>, first_id long", "held array<long>, chunk long, given long", "append", GroupStateTimeout.NoTimeout)
+    return frames.select("scene", "frame", "last").groupBy("scene").applyInPandasWithState(collect, "scene long, chunk long, frames array<long>, first_id long", "held array<long>, chunk long, given long", "append", _timeout(idle))
 
 
-def aged_edges(updates: DataFrame, most: int = 25) -> DataFrame:
+def aged_edges(updates: DataFrame, most: int = 25, idle: float | None = None) -> DataFrame:
     """scene, edges after each batch of updates(scene, edge): an edge's age grows by one with every
     batch of its scene that doesn't name it, and edges older than `most` go."""
 
     def age(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ages = dict(zip(*state.get)) if state.exists else {}
         named = set(pd.concat(list(batches)).edge.tolist())
         ages = {e: 0 if e in named else a + 1 for e, a in ages.items()} | {e: 0 for e in named}
         ages = {e: a for e, a in sorted(ages.items()) if a <= most}
-        state.update((list(ages), list(ages.values())))
+        _kept(state, (list(ages), list(ages.values())), idle)
         yield pd.DataFrame({"scene": [key[0]], "edges": [list(ages)]})
 
-    return updates.select("scene", "edge").groupBy("scene").applyInPandasWithState(age, "scene long, edges array<long>", "edge array<long>, age array<long>", "update", GroupStateTimeout.NoTimeout)
+    return updates.select("scene", "edge").groupBy("scene").applyInPandasWithState(age, "scene long, edges array<long>", "edge array<long>, age array<long>", "update", _timeout(idle))
 
 
 def running_means(samples: DataFrame, *keys: str, value: str = "v") -> DataFrame:

@@ -39,6 +39,43 @@ def test_lift_of_one_frame(spark):
     assert [r["track"] for r in lift.lift(visible, masks, atoms, 3)["masks"].collect()] == [5]
 
 
+def test_views_leave_no_point_out(spark):
+    """Random points and turned cameras: the same as projecting every point into every frame."""
+    rng = np.random.default_rng(4)
+    xyz = rng.uniform(-4, 4, (400, 3))
+    frames, depth, want = [], [], set()
+    for f in range(5):
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        turn[:, 0] *= np.sign(np.linalg.det(turn))
+        at = rng.uniform(-1, 1, 3)
+        pose = np.eye(4)
+        pose[:3, :3], pose[:3, 3] = turn, at
+        frames.append((f, pose.ravel().tolist(), 20.0, 18.0, 11.5, 7.0, 24, 16))
+        local = (xyz - at) @ turn
+        for i, (x, y, z) in enumerate(local.tolist()):
+            if z > 1e-3:
+                u, v = 20 * x / z + 11.5, 18 * y / z + 7
+                if 0 <= u < 24 and 0 <= v < 16:
+                    depth.append((f, int(u), int(v), z))
+        front = {}
+        for g, pu, pv, z in depth:
+            if g == f:
+                front[pu, pv] = min(z, front.get((pu, pv), np.inf))
+        depth = [d for d in depth if d[0] != f] + [(f, pu, pv, z) for (pu, pv), z in front.items()]
+        for i, (x, y, z) in enumerate(local.tolist()):
+            if z > 1e-3:
+                u, v = 20 * x / z + 11.5, 18 * y / z + 7
+                if 0 <= u < 24 and 0 <= v < 16 and abs(front[int(u), int(v)] - z) <= 0.05:
+                    want.add((f, i, int(u), int(v)))
+    points = frame(spark, [(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    cameras = frame(spark, frames, "f int, pose array<double>, fx double, fy double, cx double, cy double, width int, height int")
+    pixels = frame(spark, depth, "f int, pu int, pv int, measured double")
+    for block in (0.3, 1.0, 20.0):
+        assert {tuple(r) for r in lift.visible_points(points, cameras, pixels, block=block).collect()} == want
+    blocks = frame(spark, [(i, j, k) for i in range(-4, 4) for j in range(-4, 4) for k in range(-4, 4)], "bx int, by int, bz int")
+    assert lift.in_view(blocks, cameras.withColumn("far", F.lit(3.0)), 1.0).count() < 5 * 512 / 2 and len(want) > 50
+
+
 def test_numbers_are_dense_over_partitions(spark):
     rows = lift.numbered(spark.range(100).select((F.col("id") * 7 % 101).alias("k")), ["k"], "n").orderBy("k").collect()
     assert [r["n"] for r in rows] == list(range(100))

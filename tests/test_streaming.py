@@ -39,6 +39,38 @@ def test_chunks_flush_at_the_end(spark, tmp_path):
     assert [(r["chunk"], r["frames"], r["first_id"]) for r in sorted(got, key=lambda r: r["chunk"])] == [(0, [0, 1, 2, 3], 0), (1, [4, 5, 6, 7], 4), (2, [8, 9, 10], 8)]
 
 
+def test_state_of_an_ended_scene_is_removed(spark, tmp_path):
+    """After its last row a scene's number may come again, as a scene of its own."""
+    batches = [[(0, 0, False), (0, 1, True), (1, 0, False)], [(0, 2, False), (0, 3, True)], [(1, 1, True)]]
+    got = play(spark, tmp_path, batches, "scene long, frame long, last boolean", lambda df: stateful.frame_chunks(df, 4))
+    assert sorted((r["scene"], r["chunk"], r["frames"], r["first_id"]) for r in got) == [(0, 0, [0, 1], 0), (0, 0, [2, 3], 0), (1, 0, [0, 1], 0)]
+
+
+def test_idle_scenes_are_forgotten(spark, tmp_path):
+    """An idle scene flushes what it holds, and starts anew when it comes back."""
+    import time
+
+    folder, schema, name = tmp_path / "in", "scene long, frame long, last boolean", f"t{uuid.uuid4().hex}"
+    folder.mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(folder))
+    query = stateful.frame_chunks(stream, 4, 1.0).writeStream.format("memory").queryName(name).trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "cp")).start()
+
+    def wait(count):
+        until = time.time() + 60
+        while time.time() < until and spark.table(name).count() < count:
+            time.sleep(0.3)
+
+    try:
+        spark.createDataFrame([(0, 0, False), (0, 1, False)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        wait(1)
+        spark.createDataFrame([(0, 2, True)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        wait(2)
+        got = spark.table(name).collect()
+    finally:
+        query.stop()
+    assert [(r["chunk"], r["frames"]) for r in sorted(got, key=lambda r: r["frames"])] == [(0, [0, 1]), (0, [2])]
+
+
 def test_edges_age_and_go(spark, tmp_path):
     got = play(spark, tmp_path, [[(0, 1), (0, 2)], [(0, 2)], [(0, 3)]], "scene long, edge long", lambda df: stateful.aged_edges(df, 1), "update")
     assert [sorted(r["edges"]) for r in got] == [[1, 2], [1, 2], [2, 3]]
