@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrazzo import schemas
-from terrazzo.sources import formats
+from terrazzo.sources import formats, jpeg
 
 
 def stem(index: str | Column = "frame") -> Column:
@@ -75,13 +75,20 @@ def depth_pixels(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*.png").select(frame_of("path").alias("frame"), "content").mapInPandas(decode, "frame long, u int, v int, depth double")
 
 
-def color_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] = formats.read_png, pattern: str = "*.png") -> DataFrame:
-    """frame, u, v, r, g, b in 0..1; another codec comes as `decode`."""
+def read_image(content: bytes) -> np.ndarray:
+    """Pixels of a PNG or JPEG, by its first bytes."""
+    return formats.read_png(content) if content.startswith(formats.PNG_MAGIC) else jpeg.read_jpeg(content)
+
+
+def color_pixels(spark: SparkSession, path: str, decode: Callable[[bytes], np.ndarray] = read_image, pattern: str = "*.{png,jpg,jpeg}") -> DataFrame:
+    """frame, u, v, r, g, b in 0..1 of PNG and sequential JPEG files, grey ones in equal parts;
+    another codec comes as `decode`."""
 
     def run(batches):
         for batch in batches:
             for frame, content in zip(batch.frame, batch.content):
-                image = decode(content)
+                image = decode(bytes(content))
+                image = image if image.ndim == 3 else np.repeat(image[:, :, None], 3, axis=2)
                 v, u = np.indices(image.shape[:2])
                 c = image.reshape(-1, 3) / 255.0
                 yield pd.DataFrame({"frame": np.full(len(c), frame), "u": u.ravel().astype("int32"), "v": v.ravel().astype("int32"), "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
