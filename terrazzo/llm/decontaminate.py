@@ -16,8 +16,13 @@ compared as text with those of the item.
 The items' side is broadcast only up to BROADCAST_ROWS rows, counted first; beyond that both joins
 shuffle by hash, and a shingle of very many documents is split by adaptive execution.
 
+A document has no sketch of its own and no containment is estimated: the sketch of the item decides
+which documents are verified, and verification is exact.
+
 Defined cases: null or empty texts, and items without a word, match nothing. Repeated documents
-are told apart by id alone; repeated item ids pool their shingles. Empty tables give no rows.
+are told apart by id alone; repeated item ids pool their shingles; rows without an id match
+nothing. Equal hashes of an item are ordered by the shingle's text. Very long texts are shingled
+whole. Empty tables give no rows.
 """
 
 from __future__ import annotations

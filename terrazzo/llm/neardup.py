@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrazzo.llm.common import materialise, n_partitions, slices, small_batches
@@ -200,7 +200,12 @@ def _dealt(node: str, blocks):
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """Pipeline form: the rows of `docs`, one document of each group (the least id); columns stay."""
+    """Pipeline form: one row of each group of near-duplicates, that of the least id; columns stay.
+
+    Of rows that repeat an id with its text one stays (of differing other columns, those of least
+    hash). Rows with a null id take no part and stay.
+    """
     kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
     rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
-    return rows.unionByName(docs.where("doc_id is null"))
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return rows.withColumn("__again", again).where("__again = 1").drop("__again").unionByName(docs.where("doc_id is null"))

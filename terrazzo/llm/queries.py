@@ -12,42 +12,52 @@ from terrazzo.llm.common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents contain which benchmark items. A null or empty text or item matches nothing."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies (three words, 0.85). A null or empty text is linked with nothing and kept."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of repeated strings of 100 bytes. A null text is empty; a text under 100 bytes loses nothing."""
     return bytededup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents. A null or empty text scores as one without any known word."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy piece counts. A null or empty text has 0 words and 0 tokens."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens. A null or empty text is a document of the end token alone."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest inner products of every 20th vector. Null, empty and non-finite vectors take no part."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages. A null or empty page gives an empty text."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated passages. A null or empty text stays as it is."""
     return substring.remove_repeats(table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents. A null text or one without a letter is und with score 0."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 

@@ -131,6 +131,14 @@ def test_near_duplicates_of_odd_tables(spark, none):
     assert got == sorted([(1, 2, 1, True)] * 2 + [(None, 2, None, True), (None, 0, None, True)], key=str)
 
 
+def test_pipeline_form_keeps_one_row_of_each_group(spark):
+    text = prose(random.Random(2), 40)
+    rows = [(4, text, "a", "s", 1), (4, text, "a", "s", 1), (4, text, "b", "s", 2), (2, text + " end", "a", "s", 1), (9, "", "a", "s", 0), (9, "", "a", "s", 0), (None, text, "a", "s", 1), (None, text, "a", "s", 1), (7, None, None, None, None)]
+    kept = neardup.keep_first(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[3], rows[4], rows[6], rows[7], rows[8]], key=str)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
