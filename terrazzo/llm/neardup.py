@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     split = held.where("blocks > 1")
     if not split.isEmpty():
         split = materialise(split.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component", "blocks"))
-        groups = split.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "group"))["group"].alias("most"))
+        # a group lies in one cluster; by the group alone, so that a large cluster is dealt over tasks
+        groups = split.groupBy("group").agg(F.first("cluster").alias("cluster"), F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "group"))["group"].alias("most"))
         left = split.join(groups, "cluster").where("group <> most").drop("most")
         asked = left.select(F.explode("bands").alias("key")).distinct()
         hit = split.select("doc_id", F.explode("bands").alias("key")).join(asked, "key", "left_semi").select("doc_id").distinct()
