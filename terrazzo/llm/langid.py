@@ -16,6 +16,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,9 @@ MAX_GRAM = 5
 #: Bounds of the model: texts learned from per language, and units kept in all.
 SAMPLE_PER_LANG = 1000
 MODEL_UNITS = 600_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Characters whose words are looked up together.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -160,9 +161,9 @@ class Scorer:
         return found, score
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def predict(docs: DataFrame, model: dict | Broadcast, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score of every row, from the whole text and nothing else."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         scorer = Scorer(shared.value)
@@ -190,14 +191,15 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def least_score(docs: DataFrame, model: dict) -> float:
+def least_score(docs: DataFrame, shared: Broadcast) -> float:
     """Half-way from an even score to the least one of labelled rows told right, over a sample as
     large as the one learned from; 0 where there is nothing to tell apart."""
+    model = shared.value
     if len(model["langs"]) < 2:
         return 0.0
     share = F.create_map(*[F.lit(x) for kv in model["share"].items() for x in kv])
     chosen = docs.where("text is not null and lang is not null").where(_dealt("doc_id", 18) < share[F.col("lang")])
-    told = predict(chosen.select(F.col("lang").alias("doc_id"), "text"), model).where("lang_pred = doc_id")
+    told = predict(chosen.select(F.col("lang").alias("doc_id"), "text"), shared).where("lang_pred = doc_id")
     least, even = told.agg(F.min("score")).first()[0], 1 / len(model["langs"])
     return (even + max(even, least)) / 2 if least is not None else 0.0
 
@@ -209,10 +211,9 @@ def reject_unknown(docs: DataFrame, at_least: float | None = None) -> DataFrame:
     The decision is taken in the same pass as the score, so no join is needed and repeated ids
     are judged row by row. Columns stay as they are.
     """
-    model = train(learnable(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(train(learnable(docs)))
     if at_least is None:
-        at_least = least_score(learnable(docs), model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        at_least = least_score(learnable(docs), shared)
     at = docs.columns.index("text")
 
     def keep(batches):

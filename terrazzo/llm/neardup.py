@@ -42,6 +42,8 @@ BLOCK_DOCS = 256
 PAIR_DOCS = 1000
 PIVOTS = 16
 BLOCK_SHINGLES = 2_000_000
+#: Characters whose sets are sketched together.
+SLICE_CHARS = 500_000
 
 
 def rows_per_band(percent: int) -> int:
@@ -56,7 +58,7 @@ def _sketched(batches, width: int, m: int):
     ids = WordIds()
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1).to_pylist()
-        for start, stop in slices([len(t or "") for t in texts], 2_000_000):
+        for start, stop in slices([len(t or "") for t in texts], SLICE_CHARS):
             sets = [shingles(t, width, ids) for t in texts[start:stop]]
             full = [i for i, s in enumerate(sets) if len(s)]
             found = bands(sketch([sets[i] for i in full], m), N_BANDS) if full else None
