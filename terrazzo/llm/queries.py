@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bytededup, decontaminate, htmltext, langid, neardup, packing, substring, tokencount, topk, toxicity
+from terrazzo.llm import bytededup, decontaminate, htmltext, langid, neardup, packing, secretscan, substring, tokencount, topk, toxicity
 from terrazzo.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents. A null or empty text has none."""
+    return secretscan.digests(secretscan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -131,5 +136,33 @@ FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id AND l.text = d.tex
 """
 
 
+#: Patterns of the kinds, with the letters of `assign` in both cases, as RE2 would fold others too.
+_ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_RUNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{24,}"} | {k: f"[{c.chars}]{{{c.window},}}" for k, c in secretscan.CLASSES.items()}
+_CUTS = " UNION ALL ".join(f"SELECT doc_id, {i} AS r, '{k}' AS kind, text, regexp_extract_all(text, '{p}') AS runs, regexp_split_to_array(text, '{p}') AS gaps FROM d" for i, (k, p) in enumerate(_RUNS.items()))
+_HELD = {"d": "[0-9]", "a": "[A-Za-z]", "u": "[A-Z]", "l": "[a-z]"}
+_DENSE = " OR ".join(f"kind = '{k}' AND list_entropy(string_split(w, '')) >= {c.bits} AND " + " AND ".join(f"regexp_matches(w, '{_HELD[s]}')" for s in c.sorts) for k, c in secretscan.CLASSES.items())
+_SIZE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {c.window}" for k, c in secretscan.CLASSES.items()) + " END"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SECRET_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS ({_CUTS}),
+run AS (SELECT doc_id, r, kind, text, unnest(runs) AS run, unnest(list_transform(range(1, len(runs) + 1), lambda i: CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(runs[1:i - 1], lambda g: length(g))), 0) AS BIGINT))) AS a FROM cut WHERE len(runs) > 0),
+base AS (SELECT doc_id, r, kind, a, a + length(run) AS b FROM run WHERE kind = 'assign' AND length(regexp_extract(run, '{_ASSIGN}', 2)) >= 6 OR kind = 'access' AND length(run) >= 20 OR kind = 'hex' AND length(run) >= 24),
+cand AS (SELECT doc_id, r, kind, run, a, {_SIZE} AS size FROM run WHERE r > 2 AND length(run) >= {_SIZE}
+  AND NOT regexp_matches({_LOWERED.format("run")}, '{secretscan.ALLOWED}') AND NOT regexp_matches({_LOWERED.format(f"substr(text, greatest(a - {secretscan.CONTEXT}, 0) + 1, least(a, {secretscan.CONTEXT}))")}, '(?:{secretscan.ALLOWED_BEFORE.replace("'", "''")})\z')),
+win AS (SELECT doc_id, r, kind, a, size, i, substr(run, i + 1, size) AS w FROM (SELECT *, unnest(range(0, length(run) - size + 1)) AS i FROM cand)),
+hit AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, r, a ORDER BY i) + size THEN 0 ELSE 1 END AS fresh FROM win WHERE {_DENSE}),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, r, a ORDER BY i) AS g FROM hit),
+dense AS (SELECT doc_id, r, kind, a + min(i) AS a, a + max(i) + size AS b FROM isle GROUP BY doc_id, r, kind, size, isle.a, g),
+either AS (SELECT * FROM base UNION ALL SELECT * FROM dense),
+kept AS (SELECT * FROM base UNION ALL SELECT * FROM dense e WHERE NOT EXISTS (SELECT 1 FROM either o WHERE o.doc_id = e.doc_id AND o.r < e.r AND o.a <= e.a AND o.b >= e.b)),
+told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (r > 2) AS n_entropy,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, r) FILTER (r <= 2), '') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, r) AS spans FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
+    return {"op11_secret_scan": SECRET_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
