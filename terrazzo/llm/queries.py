@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bytededup, decontaminate, htmltext, langid, neardup, packing, secretscan, substring, tokencount, topk, toxicity
+from terrazzo.llm import bytededup, decontaminate, htmltext, langid, neardup, packing, phrases, secretscan, substring, tokencount, topk, toxicity
 from terrazzo.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(secretscan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language. A null or empty text has no words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -164,5 +169,21 @@ FROM documents LEFT JOIN told USING (doc_id)
 """
 
 
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+words AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1),
+k AS (SELECT lang, phrase, m, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score FROM k
+  JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:k.m], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+part AS (SELECT DISTINCT lang, a, array_to_string(w[i:i + z - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2))),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.lang = low.lang AND part.phrase = low.phrase AND 100 * CAST(part.a AS HUGEINT) >= 80 * CAST(low.a AS HUGEINT)))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_secret_scan": SECRET_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
+    return {"op12_phrase_collocations": COLLOCATION_SQL, "op11_secret_scan": SECRET_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
