@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm import bytededup, decontaminate, htmltext, langid, neardup, packing, phrases, secretscan, substring, tokencount, topk, toxicity
+from terrazzo.llm import bytededup, decontaminate, htmltext, langid, neardup, packing, phrases, secretscan, spelling, substring, tokencount, topk, toxicity
 from terrazzo.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, their near words and forms. A null or empty text has no words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -185,5 +190,24 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 """
 
 
+#: crc32 bit by bit over the bytes of UTF-8, which the letters of runs have one or two of.
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM t WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes FROM c),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) AS h FROM b),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS z FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, z, i, left(word, i) || substr(word, i + 2) AS less, word[i + 1] AS letter FROM (SELECT *, unnest(range(0, z)) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, b.word AS other FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.letter <> b.letter
+  UNION SELECT a.word, b.word FROM v a JOIN x b ON a.word = b.less UNION SELECT b.word, a.word FROM v a JOIN x b ON a.word = b.less),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, encode(other)) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * CAST(v.n AS HUGEINT) THEN form END AS form, CASE WHEN form_n >= 5 * CAST(v.n AS HUGEINT) THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN f ON f.word = root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_phrase_collocations": COLLOCATION_SQL, "op11_secret_scan": SECRET_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
+    return {"op13_spelling_variants": SPELLING_SQL, "op12_phrase_collocations": COLLOCATION_SQL, "op11_secret_scan": SECRET_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op2_minhash_near_dedup": NEAR_DEDUP_SQL, "op3_suffix_array_dedup": BYTE_DEDUP_SQL, "op1_decontamination": DECONTAMINATION_SQL, "op7_exact_top_k": TOP_K_SQL}
