@@ -33,16 +33,20 @@ def act(a: np.ndarray, p: np.ndarray) -> np.ndarray:
     return a[..., :3] + quat_rotate(a[..., 3:], p)
 
 
+#: Angle below which series stand for closed forms that cancel.
+SMALL = 0.02
+
+
 def _left(theta: np.ndarray, w: np.ndarray, inverse: bool) -> np.ndarray:
     """Left Jacobian of SO3, or its inverse."""
     t2, k = theta**2, _hat(w)
-    small = theta < 1e-6
+    small = theta < SMALL
     safe = np.where(small, 1.0, theta)
     if inverse:
-        b = np.where(small, 1 / 12, (1 / safe**2) * (1 - safe * np.sin(safe) / (2 * np.where(small, 1.0, 1 - np.cos(safe)))))
+        b = np.where(small, 1 / 12 + t2 / 720 + t2**2 / 30240, (1 - safe / 2 / np.tan(safe / 2)) / safe**2)
         return np.eye(3) - 0.5 * k + b[..., None, None] * (k @ k)
-    a = np.where(small, 0.5 - t2 / 24, (1 - np.cos(safe)) / safe**2)
-    b = np.where(small, 1 / 6 - t2 / 120, (safe - np.sin(safe)) / safe**3)
+    a = np.where(small, 0.5 - t2 / 24 + t2**2 / 720, (1 - np.cos(safe)) / safe**2)
+    b = np.where(small, 1 / 6 - t2 / 120 + t2**2 / 5040, (safe - np.sin(safe)) / safe**3)
     return np.eye(3) + a[..., None, None] * k + b[..., None, None] * (k @ k)
 
 

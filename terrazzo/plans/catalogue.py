@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terrazzo.plans import evidence, spatial, tables, temporal
+from terrazzo.plans import evidence, motion, spatial, tables, temporal
 
-FAMILIES = (evidence, spatial, temporal, tables)
+FAMILIES = (evidence, spatial, temporal, tables, motion)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
