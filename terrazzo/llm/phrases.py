@@ -1,17 +1,17 @@
 """Collocations: phrases of two to four words that occur together more than their parts explain.
 
-Texts are gathered in chunks of one language. A sketch bounds the counts of phrases from above: each
-chunk adds up its phrases by a hash, and the sums of all chunks meet by cell. Only cells that reach
-the least count go on, each back to the chunks that met it, so that no task and no driver holds more
-of the sketch than its own part. One and two words are counted first; three and four words only where
-their pairs stay.
+Texts are gathered in chunks of one language, as numbers of their words. A sketch bounds the counts
+of phrases from above: each chunk adds up its phrases by a hash, and the sums of all chunks meet by
+cell. Only cells that reach the least count go on, each back to the chunks that met it, so that no
+task and no driver holds more of the sketch than its own part. One and two words are counted first;
+three and four words only where their pairs stay.
 
 What a chunk holds of phrases in such cells are its candidates. They compile into an Aho-Corasick
 automaton, each guarded by a blank at either end, so that only whole words match; pieces of a text
 are set apart by a line end that no phrase holds. A scan of the chunk counts all matches, also those
-that overlap. The counts are added up over the chunks and only then held against the least count: a
-phrase that reaches it is a candidate wherever it occurs, so its count is exact, while hashes that
-collide only make candidates that the sums then drop.
+that overlap; it skips stretches in which no pair stays. The counts are added up over the chunks and
+only then held against the least count: a phrase that reaches it is a candidate wherever it occurs, so
+its count is exact, while hashes that collide only make candidates that the sums then drop.
 
 Defined cases: a null or empty text has no words, a null language is `und`. Repeated rows count as
 often as they occur, ids don't matter. A text longer than a chunk is cut between its pieces; one piece
@@ -25,6 +25,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -47,7 +48,7 @@ LEVELS = ((1, 2), (3, 4))
 # What ends a piece, and the blanks between words.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(_ENDS + _BLANKS, b"\n" * len(_ENDS) + b" " * len(_BLANKS))
-_FACTOR, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def plain(text: str) -> bytes:
@@ -55,9 +56,13 @@ def plain(text: str) -> bytes:
     return text.encode().lower().translate(_PLAIN)
 
 
-def spaced(lines: bytes) -> bytes:
-    """Words and line ends of plain text with one blank before, between and after them."""
-    return b" " + b" ".join(filter(None, lines.replace(b"\n", b" \n ").split(b" "))) + b" "
+def numbered(lines: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The different words of plain text and the number of each word in turn; 0 is a line end."""
+    words = list(filter(None, lines.replace(b"\n", b" \n ").split(b" ")))
+    number = {b"\n": 0}
+    for word in dict.fromkeys(words):
+        number.setdefault(word, len(number))
+    return list(number), np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
 
 
 def _cut(lines: bytes, most: int):
@@ -69,23 +74,27 @@ def _cut(lines: bytes, most: int):
     yield lines
 
 
+#: A chunk: a number of its own, its language, its words, and (compressed) the different words and their numbers.
+CHUNK = {"chunk": pa.int64(), "lang": pa.string(), "n": pa.int64(), "names": pa.binary(), "ids": pa.binary()}
+
+
 def _chunks(chunk_bytes: int):
     def gather(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=3).compress
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
         def row(lang: str):
-            body = spaced(b"\n".join(held.pop(lang)))
+            names, ids = numbered(b"\n".join(held.pop(lang)))
             del size[lang]
-            n = body.count(b" ") - 1 - body.count(b"\n")
-            columns = [[int.from_bytes(os.urandom(8), "little", signed=True)], [lang], [n], [pack.compress(body)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=["chunk", "lang", "n", "body"])
+            # bytes of equal weight lie together
+            values = [int.from_bytes(os.urandom(8), "little", signed=True), lang, int(np.count_nonzero(ids)), pack(b" ".join(names)), pack(ids.view(np.uint8).reshape(-1, 4).T.tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, CHUNK.values())], names=list(CHUNK))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for part in _cut(plain(text), chunk_bytes):
-                    if size.get(lang, 0) + len(part) > chunk_bytes and lang in held:
+                    if lang in held and size[lang] + len(part) > chunk_bytes:
                         yield row(lang)
                     held.setdefault(lang, []).append(part)
                     size[lang] = size.get(lang, 0) + len(part) + 1
@@ -97,27 +106,32 @@ def _chunks(chunk_bytes: int):
     return gather
 
 
-def _words(body: bytes, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of each word or line end of a spaced text; a line end has the hash 0."""
-    buf = np.frombuffer(body, np.uint8)
-    blank = np.flatnonzero(buf == 32)
-    start, end = blank[:-1] + 1, blank[1:]
-    found = np.empty(len(start), np.uint64)
-    up = down = np.empty(0, np.uint64)
-    first = 0
-    while first < len(start):
-        last = max(first + 1, int(np.searchsorted(end, start[first] + block, side="right")))
-        low, high = int(start[first]), int(end[last - 1])
-        if high - low >= len(up):
-            up = np.cumprod(np.full(high - low + 1, np.uint64(_FACTOR)))
-            down = np.cumprod(np.full(high - low + 1, np.uint64(pow(_FACTOR, -1, 2**64))))
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((buf[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-        a, b = start[first:last] - low, end[first:last] - low
-        found[first:last] = mix64((sums[b] - sums[a]) * down[a]) | np.uint64(1)
-        first = last
-    found[buf[start] == 10] = 0
-    return start, end, found
+def _read(table) -> tuple[int, str, list[bytes], np.ndarray]:
+    """Number, language, different words and words of a chunk."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids = np.frombuffer(unpack(table["ids"][0].as_py()), np.uint8).reshape(4, -1).T
+    return table["chunk"][0].as_py(), table["lang"][0].as_py(), unpack(table["names"][0].as_py()).split(b" "), np.ascontiguousarray(ids).view(np.uint32).ravel().astype(np.int64)
+
+
+class Cells:
+    """A set of codes of cells, with a table of bits before the search."""
+
+    BITS = 22
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(codes)
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[self._place(codes)] = True
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return (codes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def hold(self, codes: np.ndarray) -> np.ndarray:
+        stays = self.seen[self._place(codes)]
+        some = codes[stays]
+        place = np.searchsorted(self.codes, some)
+        stays[stays] = self.codes[np.minimum(place, len(self.codes) - 1)] == some
+        return stays
 
 
 def _code(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -125,49 +139,47 @@ def _code(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
 
 
-def _grams(words: np.ndarray, lang: str, parts: int, most: int, known: np.ndarray | None = None, counted: int = 0):
+def _grams(lang: str, names: list[bytes], ids: np.ndarray, parts: int, most: int, known: Cells | None = None, counted: int = 0):
     """(number of words, first words, codes) of the phrases up to `most` words that may reach the least count.
 
-    known: sorted codes of the cells that do, for phrases of up to `counted` words.
+    known: the cells that do, for phrases of up to `counted` words.
     """
-    alive = words != 0
-    held = np.full(len(words), np.uint64(xxhash.xxh3_64_intdigest(lang)))
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[ids]
+    alive = ids != 0
+    held = np.full(len(ids), np.uint64(xxhash.xxh3_64_intdigest(lang)))
     for m in range(1, most + 1):
         at = np.flatnonzero(alive)
         held[at] = mix64(held[at] * _STEP + words[at + m - 1])
         codes = _code(held[at], parts)
         if m <= counted:
-            place = np.searchsorted(known, codes)
-            stays = place < len(known)
-            stays[stays] = known[place[stays]] == codes[stays]
+            stays = known.hold(codes)
             at, codes = at[stays], codes[stays]
         yield m, at, codes
-        alive = np.zeros(len(words), bool)
+        alive = np.zeros(len(ids), bool)
         alive[at] = True
         alive[:-1] &= alive[1:]
         alive[-1:] = False
 
 
-def _body(table) -> tuple[str, bytes]:
-    return table["lang"][0].as_py(), zstandard.ZstdDecompressor().decompress(table["body"][0].as_py())
+def _known(table) -> Cells:
+    """Codes of a chunk's rows (part, cells)."""
+    codes = [np.uint64(part << 32) | np.frombuffer(cells, np.uint32).astype(np.uint64) for part, cells in zip(table["part"].to_pylist(), table["cells"].to_pylist())]
+    return Cells(np.concatenate([*codes, np.array([2**64 - 1], np.uint64)]))
 
 
-def _known(table) -> np.ndarray:
-    """Sorted codes of a chunk's rows (part, cells)."""
-    codes = [np.uint64(part << 32) | np.frombuffer(cells, np.uint32).astype(np.uint64) for part, cells in zip(table["part"].to_pylist(), table["cells"].to_pylist())]
-    return np.sort(np.concatenate(codes)) if codes else np.empty(0, np.uint64)
+def _dealt(codes: np.ndarray, parts: int):
+    """(part, first, after last) of sorted codes."""
+    edges = np.searchsorted(codes >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)).tolist()
+    return [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
 
 
-def _cells(table, parts: int, level: tuple[int, ...], known: np.ndarray | None, counted: int):
+def _cells(table, parts: int, level: tuple[int, ...], known: Cells | None, counted: int):
     """Rows of ENTRIES: how often a chunk meets each cell of a part of the sketch."""
-    chunk = table["chunk"][0].as_py()
-    lang, body = _body(table)
-    codes = np.concatenate([c for m, _, c in _grams(_words(body)[2], lang, parts, max(level), known, counted) if m in level])
+    chunk, lang, names, ids = _read(table)
+    codes = np.concatenate([c for m, _, c in _grams(lang, names, ids, parts, max(level), known, counted) if m in level])
     codes, counts = np.unique(codes, return_counts=True)
-    part = (codes >> np.uint64(32)).astype(np.int64)
-    edges = np.searchsorted(part, np.arange(parts + 1))
     cells, counts = codes.astype(np.uint32), counts.astype(np.uint32)
-    rows = [(p, chunk, cells[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+    rows = [(p, chunk, cells[a:b].tobytes(), counts[a:b].tobytes()) for p, a, b in _dealt(codes, parts)]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "cells", "counts"])
 
 
@@ -199,37 +211,72 @@ def _reaching(least: int):
     return add
 
 
+def matches(phrases: list[bytes], text: bytes) -> np.ndarray:
+    """How often each phrase occurs in a text of words with one blank before, between and after them."""
+    import ahocorasick
+
+    if not phrases:
+        return np.zeros(0, np.int64)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, phrase in enumerate(phrases):
+        automaton.add_word(f" {phrase.decode('latin-1')} ", i)  # a character a byte
+    automaton.make_automaton()
+    return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text.decode("latin-1"))), np.int64), minlength=len(phrases))
+
+
 def _scan(parts: int, most: int):
-    """Counts of the candidate phrases of a chunk by an automaton over its text."""
-
-    def scan(chunk, table, cells):
-        import ahocorasick
-
-        lang, body = _body(table)
-        start, end, words = _words(body)
-        keys: set[bytes] = set()
-        for m, at, _ in _grams(words, lang, parts, most, _known(cells), most):
-            keys.update(body[a - 1 : b + 1] for a, b in zip(start[at].tolist(), end[at + m - 1].tolist()))
-        found = list(keys)
-        counts = np.zeros(0, np.int64)
-        if found:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, key in enumerate(found):
-                automaton.add_word(key.decode("latin-1"), i)
-            automaton.make_automaton()
-            hits = np.fromiter(map(itemgetter(1), automaton.iter(body.decode("latin-1"))), np.int64)
-            counts = np.bincount(hits, minlength=len(found))
-        phrases = [key[1:-1].decode() for key in found]
-        return pa.table([pa.array([lang] * len(found), pa.string()), pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 for p in phrases], pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "m", "f"])
+    """Counts of the candidates of a chunk, as lists by part: words as they are numbered, phrases by an automaton."""
+
+    def scan(table, cells):
+        _, lang, names, ids = _read(table)
+        found, codes, counts = [], [], []
+        rank = ids.copy()  # of the phrase that starts at a word, among the different ones
+        for m, at, code in _grams(lang, names, ids, parts, most, _known(cells), most):
+            key = rank[at] if m == 1 else rank[at] * len(names) + ids[at + m - 1]
+            _, first, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            if m > 1:
+                rank[at] = inverse
+            codes.append(code[first])
+            found.append([b" ".join([names[w] for w in ids[i : i + m].tolist()]) for i in at[first].tolist()])
+            if m == 1:
+                counts.append(times)
+            elif m == 2:
+                near = np.zeros(len(ids) + 1, bool)
+                near[at] = near[at + 1] = True
+        read = near[:-1] | np.concatenate([[False], near[:-2]])  # the word after a stretch stands for a line end
+        text = b" ".join([b"", *[names[w] for w in np.where(near[:-1], ids, 0)[read].tolist()], b""])
+        phrases = [p for group in found[1:] for p in group]
+        counts = np.concatenate([*counts, matches(phrases, text)])
+        codes = np.concatenate(codes)
+        order = np.argsort(codes, kind="stable")
+        phrases = found[0] + phrases
+        rows = [(p, lang, [phrases[i].decode() for i in order[a:b].tolist()], counts[order[a:b]]) for p, a, b in _dealt(codes[order], parts)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["part", "lang", "phrases", "counts"])
 
     return scan
 
 
+def _summed(least: int):
+    """(lang, phrase, m, f) of one part: sums over all chunks that reach `least`."""
+
+    def add(table):
+        lists = table.combine_chunks()
+        sizes = pc.list_value_length(lists["phrases"]).to_numpy()
+        lang = lists["lang"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        flat = pa.table([lang, pc.list_flatten(lists["phrases"]), pc.list_flatten(lists["counts"])], names=["lang", "phrase", "f"])
+        sums = flat.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["f_sum"], least))
+        m = pc.add(pc.count_substring(sums["phrase"], " "), 1).cast(pa.int32())
+        return pa.table([sums["lang"], sums["phrase"], m, sums["f_sum"]], names=["lang", "phrase", "m", "f"])
+
+    return add
+
+
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, most: int = MOST_WORDS, chunk_bytes: int = CHUNK_BYTES, part_entries: int = PART_ENTRIES) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, m, f) of all phrases of up to `most` words that occur `least` times or more, and
-    (lang, n) with the number of words of each language."""
+    """(lang, phrase, m, f) of all phrases of up to `most` words (2 at least) that occur `least` times or
+    more, and (lang, n) with the number of words of each language."""
     source = small_batches(docs).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).where("text is not null")
-    chunks = materialise(source.mapInArrow(_chunks(chunk_bytes), "chunk long, lang string, n long, body binary"))
+    chunks = materialise(source.mapInArrow(_chunks(chunk_bytes), "chunk long, lang string, n long, names binary, ids binary"))
     words = chunks.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
     total = chunks.agg(F.sum("n")).first()[0] or 0
     parts = max(3 * n_partitions(docs), -(-2 * total // part_entries))
@@ -250,8 +297,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
             met = chunks.groupBy("chunk").cogroup(cells.groupBy("chunk")).applyInArrow(_next_cells(parts, level), ENTRIES)
         reach = materialise(met.groupBy("part").applyInArrow(_reaching(least), "chunk long, part int, cells binary"))
         cells = reach if cells is None else cells.union(reach)
-    counts = chunks.groupBy("chunk").cogroup(cells.groupBy("chunk")).applyInArrow(_scan(parts, most), "lang string, phrase string, m int, f long")
-    return materialise(counts.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).where(F.col("f") >= least)), words
+    counts = chunks.groupBy("chunk").cogroup(cells.groupBy("chunk")).applyInArrow(_scan(parts, most), "part int, lang string, phrases array<string>, counts array<long>")
+    return materialise(counts.groupBy("part").applyInArrow(_summed(least), "lang string, phrase string, m int, f long")), words
 
 
 def _exact(column: str) -> Column:

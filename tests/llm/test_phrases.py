@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 
@@ -71,28 +72,40 @@ def test_ties_of_cuts_take_the_least_k_and_covered_phrases_go(spark):
     assert {r.phrase for r in phrases.uncovered(phrases.scores(counts)).collect()} == {"a b c", "b c d", "c d"}
 
 
-def test_hashes_of_words_don_t_depend_on_their_place():
-    body = phrases.spaced(phrases.plain("One two. ONE\ttwo  é one, " + "w" * 3000 + " one"))
-    for block in (1, 40, 1 << 19):
-        start, end, hashes = phrases._words(body, block)
-        by = collections.defaultdict(set)
-        for a, b, h in zip(start.tolist(), end.tolist(), hashes.tolist()):
-            by[body[a:b]].add(h)
-        assert all(len(v) == 1 for v in by.values()) and len({h for v in by.values() for h in v}) == len(by) and by[b"\n"] == {0}
-    assert np.array_equal(phrases._words(body, 1)[2], phrases._words(body)[2])
+def gram(ids, i, m):
+    return tuple(ids[i : i + m].tolist())
+
+
+def test_words_are_numbered_and_read_again():
+    lines = phrases.plain("One two. ONE\ttwo  é one, " + "w" * 3000 + " one")
+    names, ids = phrases.numbered(lines)
+    assert [names[i] for i in ids.tolist()] == b"one two \n one two \xc3\xa9 one \n".split(b" ") + [b"w" * 3000, b"one"] and len(set(names)) == len(names)
+    docs = ["a b. c", "d " * 500, "", "e. " * 300]
+    rows = list(phrases._chunks(200)([pa.RecordBatch.from_arrays([pa.array(["x"] * 4), pa.array(docs)], names=["lang", "text"])]))
+    read = [phrases._read(r) for r in rows]
+    again = [names[i] for _, _, names, ids in read for i in ids.tolist() if i]
+    assert again == [w for t in docs for w in phrases.plain(t).replace(b"\n", b" ").split(b" ") if w] and sum(r["n"][0].as_py() for r in rows) == len(again) and len(rows) > 3
+
+
+def test_matches_overlap_and_keep_to_whole_words():
+    text = b" the the the \n the cat the \n cat \xc3\xa9 "
+    assert phrases.matches([b"the the", b"the cat", b"cat the", b"cat \xc3\xa9", b"he cat", b"the the the"], text).tolist() == [2, 1, 1, 1, 0, 1]
 
 
 def test_sketch_bounds_counts_from_above():
     rng = random.Random(1)
-    words = phrases._words(phrases.spaced(" ".join(rng.choice("abcdef") for _ in range(400)).encode()))[2]
-    for m, at, codes in phrases._grams(words, "en", 3, 4):
-        exact = collections.Counter(tuple(words[i : i + m].tolist()) for i in range(len(words) - m + 1))
+    names, ids = phrases.numbered(" ".join(rng.choice("abcdef\n") for _ in range(600)).encode())
+    ids = ids.astype(np.int64)
+    for m, at, codes in phrases._grams("en", names, ids, 3, 4):
+        exact = collections.Counter(gram(ids, i, m) for i in range(len(ids) - m + 1))
         cells = collections.Counter(codes.tolist())
-        assert all(cells[c] >= exact[tuple(words[i : i + m].tolist())] for i, c in zip(at.tolist(), codes.tolist()))
-    known = np.sort(np.array([c for c, f in collections.Counter(np.concatenate([c for m, _, c in phrases._grams(words, "en", 3, 2)]).tolist()).items() if f >= 10], np.uint64))
-    for m, at, _ in phrases._grams(words, "en", 3, 4, known, 2):
-        exact = collections.Counter(tuple(words[i : i + m].tolist()) for i in range(len(words) - m + 1))
-        assert {tuple(words[i : i + m].tolist()) for i in at.tolist()} >= {g for g, f in exact.items() if f >= 10}
+        assert all(cells[c] >= exact[gram(ids, i, m)] for i, c in zip(at.tolist(), codes.tolist()))
+        assert set(at.tolist()) == {i for i in range(len(ids) - m + 1) if 0 not in gram(ids, i, m)}
+    small = collections.Counter(np.concatenate([c for m, _, c in phrases._grams("en", names, ids, 3, 2)]).tolist())
+    known = phrases.Cells(np.array([c for c, f in small.items() if f >= 10], np.uint64))
+    for m, at, _ in phrases._grams("en", names, ids, 3, 4, known, 2):
+        exact = collections.Counter(gram(ids, i, m) for i in range(len(ids) - m + 1))
+        assert {gram(ids, i, m) for i in at.tolist()} >= {g for g, f in exact.items() if f >= 10 and 0 not in g}
 
 
 def test_empty_tables(spark):
