@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +21,30 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
-
-    Only a local session may name none; it gets a folder of its own.
-    """
+def _folder(df: DataFrame) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only a local session may name none, and gets its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrazzo-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder for checkpoints."""
+    _folder(df)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the folder for checkpoints and read again.
+
+    A checkpoint keeps the size that its plan estimates, for a join the product of both sides. In a
+    loop that joins its own results that number gets twice as many digits in each round, until planning
+    takes minutes; a written table has its real size.
+    """
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrazzo.operators import motion
+from terrazzo.functions import se3
+from terrazzo.operators import adjust, motion
 from terrazzo.plans import proxies as px
 
 AXES = ((1, 2, 2), (2, -1, 2), (2, 2, -1))  # over 3
@@ -38,6 +39,45 @@ def pose_extrapolation(spark, d):
     return _numbers(motion.extrapolated(posed(spark, d), "u"))
 
 
+#: Tangents of the true poses of a scene's four frames, and what the start of the last two is off by.
+MOTION = ((0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (0.2, 0.02, 0.01, 0.01, -0.03, 0.02), (0.38, -0.05, 0.04, -0.02, -0.05, 0.01), (0.55, 0.03, -0.06, 0.03, -0.06, -0.02))
+OFF = ((0.02, -0.01, 0.015, 0.004, -0.006, 0.008), (-0.015, 0.02, 0.01, -0.008, 0.005, -0.006))
+FOCAL, CENTRE = (60.0, 62.0), (20.0, 16.0)
+
+
+def _tangent(values):
+    return F.array(*[F.lit(float(x)) for x in values])
+
+
+def seen_scene(spark, d):
+    """poses, points and factors of a scene a label: each embedding is a pixel of frame id % 4, with an inverse
+    depth of 0.4 + 0.3 z that is given one tenth too large or small, and is seen in the other three frames."""
+    given = px.points(spark, d).where("label is not null").select(F.col("label").alias("scene"), (F.col("id") % 4).alias("frame"), F.col("id").alias("pixel"), (CENTRE[0] + FOCAL[0] * F.col("x")).alias("u"), (CENTRE[1] + FOCAL[1] * F.col("y")).alias("v"), (0.4 + 0.3 * F.col("z")).alias("true"))
+    none = F.lit(None).cast("double")
+    points = given.select("scene", "frame", "pixel", "u", "v", (F.col("true") * (1 + F.when(F.col("pixel") % 8 < 4, 0.1).otherwise(-0.1))).alias("disparity"), none.alias("sensor"), none.alias("sensor_weight"), "true")
+    table = F.array(*[se3.exp(_tangent(m)) for m in MOTION])
+    other = given.withColumn("j", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)]))).where("j <> frame")
+    between = se3.product(table[F.col("j").cast("int")], se3.inverse(table[F.col("frame").cast("int")]))
+    ray = F.array((F.col("u") - CENTRE[0]) / FOCAL[0] / F.col("true"), (F.col("v") - CENTRE[1]) / FOCAL[1] / F.col("true"), 1 / F.col("true"))
+    at = other.select("scene", F.col("frame").alias("i"), "j", "pixel", se3.act(between, ray).alias("p")).where(F.col("p")[2] > 0.1)
+    factors = at.select("scene", "i", "j", "pixel", (FOCAL[0] * F.col("p")[0] / F.col("p")[2] + CENTRE[0]).alias("tu"), (FOCAL[1] * F.col("p")[1] / F.col("p")[2] + CENTRE[1]).alias("tv"), F.lit(1.0).alias("wu"), F.lit(1.0).alias("wv"))
+    starts = F.array(*[se3.exp(_tangent(m)) if k < 2 else se3.product(se3.exp(_tangent(OFF[k - 2])), se3.exp(_tangent(m))) for k, m in enumerate(MOTION)])
+    scenes = given.select("scene").distinct()
+    poses = scenes.select("scene", F.posexplode(starts).alias("frame", "pose")).select("scene", F.col("frame").cast("long").alias("frame"), "pose", (F.col("frame") < 2).alias("fixed"))
+    cameras = scenes.select("scene", *[F.lit(x).alias(n) for n, x in zip(("fx", "fy", "cx", "cy"), FOCAL + CENTRE)])
+    return poses, points, factors, cameras
+
+
+def bundle_adjustment(spark, d):
+    """Each frame's pose as a tangent, and how many of its pixels have come to their true inverse depth."""
+    poses, points, factors, cameras = seen_scene(spark, d)
+    done = adjust.bundle_adjustment(poses, points.drop("true"), factors, cameras, rounds=12, stop=1e-9, damping=adjust.Damping(1e-8, 1e-10, 1e-8, 1e-10))
+    close = (F.abs(F.col("disparity") - F.col("true")) < 1e-3).cast("long")
+    right = done.points.join(points.select("scene", "frame", "pixel", "true"), ["scene", "frame", "pixel"]).groupBy("scene", "frame").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum(close).alias("n_close"))
+    turned = done.poses.select("scene", "frame", se3.log(F.col("pose")).alias("x"))
+    return turned.join(right, ["scene", "frame"]).select("scene", "frame", *[(F.round(F.col("x")[k], 3) + 0.0).alias(f"x{k}") for k in range(6)], "n_pixels", "n_close")
+
+
 def _turned(q, v):
     """SQL of v turned by q, as lists of names."""
     x, y, z, w = q
@@ -84,11 +124,14 @@ POSED = f"{px.STREAM}, posed AS (SELECT u, id, row_number() OVER (PARTITION BY u
 _BOTH = ", ".join(f"l.v{k} AS l{k}, r.v{k} AS r{k}" for k in range(7))
 _OUT = ", ".join(f"round(p{k}, 6) AS p{k}" for k in range(7))
 
-QUERIES = {f.__name__: f for f in (pose_infill, pose_extrapolation)}
+QUERIES = {f.__name__: f for f in (pose_infill, pose_extrapolation, bundle_adjustment)}
 SQL = {
     "pose_infill": f"""WITH {POSED}, b AS (SELECT o.u, o.id, o.n, (SELECT max(n) FROM posed k WHERE key AND k.u = o.u AND k.n < o.n) AS ln, (SELECT min(n) FROM posed k WHERE key AND k.u = o.u AND k.n > o.n) AS rn FROM posed o WHERE NOT key),
 pair AS (SELECT b.id, CAST(b.n - l.n AS DOUBLE) / (r.n - l.n + 1e-3::DOUBLE) AS share, {_BOTH} FROM b JOIN posed l ON l.u = b.u AND l.n = coalesce(ln, rn) JOIN posed r ON r.u = b.u AND r.n = coalesce(rn, ln)), {_moved("pair", "share")}
 SELECT id, {_OUT} FROM moved UNION ALL SELECT id, {", ".join(f"round(v{k}, 6) AS p{k}" for k in range(7))} FROM posed WHERE key""",
+    # without noise, what is seen fixes every pose and inverse depth
+    "bundle_adjustment": "WITH m(frame, x0, x1, x2, x3, x4, x5) AS (VALUES " + ", ".join(f"({k}, " + ", ".join(f"{x}::DOUBLE" for x in m) + ")" for k, m in enumerate(MOTION)) + """)
+SELECT label AS scene, CAST(frame AS BIGINT) AS frame, x0, x1, x2, x3, x4, x5, count(*) AS n_pixels, count(*) AS n_close FROM embeddings JOIN m ON frame = vec_id % 4 WHERE label IS NOT NULL GROUP BY ALL""",
     # the last step moved on by half of itself is one and a half of it from the pose before
     "pose_extrapolation": f"""WITH {POSED}, pair AS (SELECT o.id, {_BOTH} FROM posed o JOIN posed l ON l.u = o.u AND l.n = o.n - 2 JOIN posed r ON r.u = o.u AND r.n = o.n - 1), {_moved("pair", "1.5::DOUBLE")}
 SELECT id, {_OUT} FROM moved""",
