@@ -185,6 +185,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         more = materialise(verified(one.unionByName(two)))
         if not more.isEmpty():
             joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    # the sets of one id are one document
+    of_id = known.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+    twice = of_id.agg(F.min(F.struct("f1", "f2")).alias("least"), F.max(F.struct("f1", "f2")).alias("most")).where("least <> most").select("doc_id")
+    if not twice.isEmpty():
+        reps = known.join(twice, "doc_id", "left_semi").where("n_shingles > 0").select("doc_id", "f1", "f2").distinct().join(sets.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep")
+        own = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(own))
     lead = sets.select("f1", "f2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("component"))
     # the keys of the join are null where a document stands alone, so such rows meet nothing
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -206,9 +213,10 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     """Pipeline form: one row of each group of near-duplicates, that of the least id; columns stay.
 
     Of rows that repeat an id with its text one stays (of differing other columns, those of least
-    hash). Rows with a null id take no part and stay.
+    hash). Rows with a null id take no part and stay. Maps are hashed as JSON.
     """
     kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
     rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*plain)))
     return rows.withColumn("__again", again).where("__again = 1").drop("__again").unionByName(docs.where("doc_id is null"))
