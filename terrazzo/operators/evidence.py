@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrazzo.operators.common import first_in
+from terrazzo.operators.common import first_in, settled
 
 MASK = ["g", "seg"]
 NODE = ["lvl", "node"]
@@ -224,6 +224,55 @@ def set_overlaps(sets: DataFrame, key: str = "track", element: str = "atom", mos
     return joined.withColumn("iou", F.col("inter").cast("double") / (F.col("size") + F.col("size2") - F.col("inter")))
 
 
+def _prefixes(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """classes(rep, n, items, members) of equal sets, and the first items (element, rep, n, at) of each.
+
+    Items are sorted by rarity. Two sets whose overlap is `least` of their union share an element among
+    the first n - ceil(least * n) + 1 of either, so the rest needs no join.
+    """
+    often = sets.groupBy("e").agg(F.count(F.lit(1)).alias("f"))
+    items = F.array_sort(F.collect_list(F.struct("f", "e")))
+    whole = sets.join(often, "e").groupBy("s").agg(items.alias("items"))
+    named = whole.select("s", F.col("items.e").alias("items"), F.size("items").alias("n"), F.sha2(F.to_json("items"), 256).alias("print"))
+    classes = named.groupBy("n", "print").agg(F.min("s").alias("rep"), F.first("items").alias("items"), F.collect_list("s").alias("members")).select("rep", "n", "items", "members")
+    classes = settled(classes)
+    long = F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1
+    return classes, classes.select("rep", "n", F.posexplode(F.slice("items", F.lit(1), long)).alias("at", "e"))
+
+
+def _candidates(prefixes: DataFrame, least: float) -> DataFrame:
+    """rep, rep2 of sets that share a prefix element and whose sizes and places of it allow the overlap."""
+    other = prefixes.select("e", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    needed = F.ceil(least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9)
+    possible = 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("n2") - 1 - F.col("at2")) + F.least("at", "at2")
+    sized = (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9) & (possible >= needed)
+    return prefixes.join(other, "e").where((F.col("rep") < F.col("rep2")) & sized).select("rep", "rep2").distinct()
+
+
+def similar_sets(sets: DataFrame, least: float = 0.8, key: str = "track", element: str = "atom") -> DataFrame:
+    """key, key2, inter, size, size2, iou of the pairs of sets whose overlap is `least` of their union.
+
+    Equal sets are one class; classes meet by their rarest elements only, so an element that very many
+    sets hold brings none of them together, and are then compared whole. A class of many equal sets
+    has as many pairs as it has: those are all results.
+    """
+    plain = sets.select(F.col(key).alias("s"), F.col(element).alias("e")).where("s is not null and e is not null").distinct()
+    classes, prefixes = _prefixes(plain, least)
+    one = classes.select("rep", F.col("items").alias("i1"), F.col("n").alias("n1"), F.col("members").alias("m1"))
+    two = classes.select(F.col("rep").alias("rep2"), F.col("items").alias("i2"), F.col("n").alias("n2"), F.col("members").alias("m2"))
+    met = _candidates(prefixes, least).join(one, "rep").join(two, "rep2").withColumn("inter", F.size(F.array_intersect("i1", "i2")).cast("long"))
+    near = met.where(F.col("inter").cast("double") / (F.col("n1") + F.col("n2") - F.col("inter")) >= least)
+    pairs = near.select("inter", "n1", "n2", "m2", F.explode("m1").alias("a")).select("inter", "n1", "n2", "a", F.explode("m2").alias("b"))
+    # of a class, each member with those after it
+    sorted_members = classes.where(F.size("members") > 1).select("n", F.array_sort("members").alias("m"))
+    equal = sorted_members.select("n", "m", F.posexplode("m").alias("at", "a")).select("n", "a", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("b"))
+    size = F.col("n").cast("long")
+    pairs = pairs.select("a", "b", "inter", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2")).unionByName(equal.select("a", "b", size.alias("inter"), size.alias("n1"), size.alias("n2")))
+    first = F.col("a") < F.col("b")
+    turned = pairs.select(F.least("a", "b").alias(key), F.greatest("a", "b").alias(f"{key}2"), "inter", F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("size"), F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("size2"))
+    return turned.withColumn("iou", F.col("inter").cast("double") / (F.col("size") + F.col("size2") - F.col("inter")))
+
+
 def mutual_best(overlaps: DataFrame, chunks: DataFrame, least: float = 0.8, margin: float = 1.2) -> DataFrame:
     """track, track2, iou: pairs that are each other's best in the other's chunk, by a margin.
 

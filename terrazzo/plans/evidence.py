@@ -151,7 +151,7 @@ def set_iou_pairs(spark, d):
 
 def mutual_best_links(spark, d):
     tracks = _tracks(spark, d)
-    return ev.mutual_best(ev.set_overlaps(tracks), tracks.select("track", "chunk").distinct()).select("track", "track2", r("iou"))
+    return ev.mutual_best(ev.similar_sets(tracks), tracks.select("track", "chunk").distinct()).select("track", "track2", r("iou"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "r"}

@@ -173,7 +173,7 @@ def depth_codes(spark, d):
 def constrained_components(spark, d):
     """Grouped by the components of all links: a union never leaves one, so the result is that of one pass."""
     tracks = _tracks(spark, d)
-    links = settled(ev.mutual_best(ev.set_overlaps(tracks), tracks.select("track", "chunk").distinct()))
+    links = settled(ev.mutual_best(ev.similar_sets(tracks), tracks.select("track", "chunk").distinct()))
     groups = graph.components(links, "track", "track2")
     pairs = links.join(groups.select(F.col("node").alias("track"), F.col("component").alias("scene")), "track")
     pairs = pairs.select("scene", "iou", F.col("track").alias("a"), F.col("track2").alias("b"), F.floor(F.col("track") / 10**9).alias("chunk_a"), F.floor(F.col("track2") / 10**9).alias("chunk_b"))
