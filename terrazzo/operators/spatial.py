@@ -6,11 +6,15 @@ cells, so they cost the points in reach and never a cross join.
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions.geometry import voxel
-from terrazzo.operators.common import first_in, settled
+from terrazzo.operators.common import first_in, settled, stored
 
 XYZ = ("x", "y", "z")
 
@@ -77,6 +81,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 0.1,
         if todo.isEmpty():
             break
         radius *= 2
+    else:
+        raise RuntimeError("the nearest points were not found: a cloud spans too many radii")
     return done
 
 
@@ -109,24 +115,96 @@ def seeds(points: DataFrame, size: float, digits: int = 9) -> DataFrame:
     return scored.groupBy("gx", "gy", "gz").agg(F.min(F.struct("d", "id"))["id"].alias("id"))
 
 
-def shortest_to_seeds(costs: DataFrame, seed_ids: DataFrame, points: DataFrame, rounds: int = 200) -> DataFrame:
+#: Points of a block without coordinates.
+BLOCK_POINTS = 100_000
+
+
+def _settled_block(kind: str):
+    """One block's part of a round: labels that have come in go along its edges to the end (Dijkstra), and
+    what they improve goes out along the edges that leave it.
+
+    edges(block, a, b, cost, to): those that start in the block; labels(block, id, seed, total, new).
+    Gives labels (to = null) and messages (to = the block they are for).
+    """
+    names = ["block", "id", "seed", "total", "to"]
+
+    def run(edges: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        if not len(labels):
+            return pd.DataFrame([], columns=names)
+        block = labels.block.iloc[0]
+        best: dict[int, tuple[float, int]] = {}
+        for i, total, seed in zip(labels.id[~labels.new], labels.total[~labels.new], labels.seed[~labels.new]):
+            best[i] = (total, seed)
+        queue = []
+        for i, total, seed in zip(labels.id[labels.new], labels.total[labels.new], labels.seed[labels.new]):
+            if i not in best or (total, seed) < best[i]:
+                best[i] = (total, seed)
+                queue.append((total, seed, i))
+        heapq.heapify(queue)
+        edges = edges.sort_values("a", kind="stable")
+        starts = {int(x): k for x, k in zip(*np.unique(edges.a, return_index=True))} if len(edges) else {}
+        ends, costs, to = edges.b.to_numpy(), edges.cost.to_numpy(), edges.to.to_numpy()
+        sources = edges.a.to_numpy()
+        out: dict[int, tuple[float, int, object]] = {}
+        while queue:
+            total, seed, i = heapq.heappop(queue)
+            if best[i] != (total, seed):
+                continue
+            k = starts.get(i, len(ends))
+            while k < len(ends) and sources[k] == i:
+                j, label = int(ends[k]), (total + costs[k], seed)
+                if to[k] == block:
+                    if j not in best or label < best[j]:
+                        best[j] = label
+                        heapq.heappush(queue, (*label, j))
+                elif j not in out or label < out[j][:2]:
+                    out[j] = (*label, to[k])
+                k += 1
+        rows = [(block, i, seed, total, None) for i, (total, seed) in best.items()] + [(block, j, seed, total, where) for j, (total, seed, where) in out.items()]
+        return pd.DataFrame(rows, columns=names)
+
+    return run, f"block {kind}, id long, seed long, total double, to {kind}"
+
+
+def shortest_to_seeds(costs: DataFrame, seed_ids: DataFrame, points: DataFrame, rounds: int = 2000, width: float | None = None) -> DataFrame:
     """id, seed, cost: the seed nearest along the edges; an unreachable point is its own.
 
-    Rounds of relaxation by joins, until a round changes nothing; ties go to the lower seed.
+    Points lie in blocks: cells of the grid of `width` if points(id, x, y, z) have places, else dealt by
+    id, BLOCK_POINTS each. A round settles each block into which labels came with one search of its
+    own, and sends what improved over the edges between blocks; so rounds follow the blocks that a path
+    crosses and not its edges. A block is one task. Ties go to the lower seed. Ends when no label moves;
+    if some still do after `rounds` it raises.
     """
-    both = settled(costs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "cost").union(costs.select("hi", "lo", "cost")))
-    state = settled(seed_ids.select("id", F.col("id").alias("seed"), F.lit(0.0).alias("total")))
-    moved = state
+    if width is not None:
+        block = F.concat_ws("/", *[voxel(c, width).cast("string") for c in XYZ])
+    else:
+        dealt = max(1, -(-points.count() // BLOCK_POINTS))
+        block = F.pmod(F.xxhash64("id"), F.lit(dealt)).cast("string")
+    place = settled(points.select("id", block.alias("block")).distinct())
+    both = costs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "cost").union(costs.select("hi", "lo", "cost"))
+    edges = both.join(place.select(F.col("id").alias("a"), "block"), "a").join(place.select(F.col("id").alias("b"), F.col("block").alias("to")), "b")
+    edges = stored(edges.select("block", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cost").cast("double").alias("cost"), "to"))
+    run, schema = _settled_block("string")
+    labels = None
+    sent = stored(seed_ids.join(place, "id").select("block", F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("seed"), F.lit(0.0).alias("total")))
     for _ in range(rounds):
-        step = moved.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "seed", (F.col("total") + F.col("cost")).alias("total"))
-        best = step.groupBy("id").agg(F.min(F.struct("total", "seed")).alias("m")).select("id", "m.*")
-        old = state.select("id", F.col("seed").alias("s0"), F.col("total").alias("t0"))
-        moved = settled(best.join(old, "id", "left").where("t0 is null or total < t0 or (total = t0 and seed < s0)").select("id", "seed", "total"))
-        if moved.isEmpty():
+        live = sent.select("block").distinct()
+        held = sent.withColumn("new", F.lit(True))
+        if labels is not None:
+            held = held.unionByName(labels.join(live, "block", "left_semi").withColumn("new", F.lit(False)))
+        out = stored(edges.join(live, "block", "left_semi").groupBy("block").cogroup(held.groupBy("block")).applyInPandas(run, schema))
+        now = out.where("to is null").drop("to")
+        labels = now if labels is None else stored(labels.join(live, "block", "left_anti").unionByName(now))
+        better = out.where("to is not null").groupBy(F.col("to").alias("block"), "id").agg(F.min(F.struct("total", "seed")).alias("m")).select("block", "id", "m.seed", "m.total")
+        old = labels.select("block", "id", F.col("seed").alias("s0"), F.col("total").alias("t0"))
+        sent = stored(better.join(old, ["block", "id"], "left").where("t0 is null or total < t0 or (total = t0 and seed < s0)").select("block", "id", "seed", "total"))
+        if sent.isEmpty():
             break
-        state = settled(state.join(moved.select("id"), "id", "left_anti").unionByName(moved))
-    rest = points.select("id").join(state, "id", "left_anti").select("id", F.col("id").alias("seed"), F.lit(0.0).alias("total"))
-    return state.unionByName(rest).select("id", "seed", F.col("total").alias("cost"))
+    else:
+        raise RuntimeError(f"paths to seeds did not settle in {rounds} rounds")
+    found = labels.select("id", "seed", "total")
+    rest = points.select("id").join(found, "id", "left_anti").select("id", F.col("id").alias("seed"), F.lit(0.0).alias("total"))
+    return found.unionByName(rest).select("id", "seed", F.col("total").alias("cost"))
 
 
 def adjacency(edges: DataFrame, atoms: DataFrame) -> DataFrame:

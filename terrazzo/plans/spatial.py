@@ -51,7 +51,7 @@ def edge_costs(spark, d):
 
 def nearest_seed_assignment(spark, d):
     points = px.points(spark, d)
-    return spatial.shortest_to_seeds(spatial.edge_costs(_edges(spark, d), points), spatial.seeds(points, 2 * VOXEL), points).select("id", "seed", r("cost"))
+    return spatial.shortest_to_seeds(spatial.edge_costs(_edges(spark, d), points), spatial.seeds(points, 2 * VOXEL), points, width=4 * VOXEL).select("id", "seed", r("cost"))
 
 
 def atom_adjacency(spark, d):
