@@ -1,7 +1,7 @@
 """Points on grids: voxels, nearest neighbours, seeds, adjacency, splats.
 
-Neighbour searches bucket both sides on a grid as wide as the radius and equi-join a point's 27
-cells, so they cost the points in reach and never a cross join.
+Neighbour searches within a radius bucket both sides on a grid as wide as it and equi-join a point's
+27 cells, so they cost the points in reach and never a cross join; those without one split space.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions.geometry import voxel
+from terrazzo.operators import kdsplit
 from terrazzo.operators.common import first_in, settled, stored
 
 XYZ = ("x", "y", "z")
@@ -54,36 +55,12 @@ def knn(left: DataFrame, right: DataFrame, k: int, radius: float, with_self: boo
     return first_in(pairs if with_self else pairs.where("id <> id2"), ["id"], ["dist", "id2"], k, "rank")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 0.1, rounds: int = 12) -> DataFrame:
-    """id, id2, dist, rank of the k nearest without a cap on the distance.
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 0.1) -> DataFrame:
+    """id, id2, dist, rank of the k nearest without a cap on the distance; see kdsplit.
 
-    Searches within a radius; the points that found fewer than k look again at twice the radius.
-    Once the radius spans both clouds, what is left has fewer than k partners anywhere.
+    `radius` is left from the search by growing radii and says nothing now.
     """
-    left, right = left.select("id", *XYZ), right.select("id", *XYZ)
-    box = left.union(right).agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    if box[0] is None:
-        return within(left, right, radius).withColumn("rank", F.lit(1))
-    span = sum(v * v for v in box) ** 0.5
-    done, todo = None, left
-    for _ in range(rounds + 40):
-        last = radius > span
-        found = settled(knn(todo, right, k, radius))
-        if not last:
-            enough = found.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select("id")
-            part = found.join(enough, "id", "left_semi")
-        else:
-            part = found
-        done = part if done is None else done.unionByName(part)
-        if last:
-            break
-        todo = settled(todo.join(enough, "id", "left_anti"))
-        if todo.isEmpty():
-            break
-        radius *= 2
-    else:
-        raise RuntimeError("the nearest points were not found: a cloud spans too many radii")
-    return done
+    return kdsplit.nearest(left, right, k)
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
