@@ -28,13 +28,30 @@ def usable_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.where("p is not null and g is not null")
 
 
-def pose_errors(pairs: DataFrame) -> DataFrame:
+#: Frames of a block; a tile of pairs holds two blocks.
+TILE = 256
+
+
+def frame_pairs(pairs: DataFrame, tile: int = TILE) -> DataFrame:
+    """scene, p, g, p2, g2 of every two frames of a scene, the earlier one first.
+
+    A scene's frames are dealt into blocks, and each two blocks meet in a tile of their own, so no key
+    holds more than about two blocks of frames, however long the scene is.
+    """
+    size = pairs.groupBy("scene").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    placed = pairs.join(size, "scene").withColumn("block", F.pmod(F.xxhash64("frame"), F.col("blocks")).cast("int"))
+    one = placed.select("scene", F.col("block").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"), F.struct(F.col("frame").alias("f"), "p", "g").alias("s"))
+    two = placed.select("scene", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"), F.struct(F.col("frame").alias("f"), "p", "g").alias("t"))
+    both = one.join(two, ["scene", "a", "b"]).where("s.f <> t.f and (a < b or s.f < t.f)")
+    first = F.col("s.f") < F.col("t.f")
+    sides = both.select("scene", F.when(first, F.col("s")).otherwise(F.col("t")).alias("i"), F.when(first, F.col("t")).otherwise(F.col("s")).alias("j"))
+    return sides.select("scene", F.col("i.p").alias("p"), F.col("i.g").alias("g"), F.col("j.p").alias("p2"), F.col("j.g").alias("g2"))
+
+
+def pose_errors(pairs: DataFrame, tile: int = TILE) -> DataFrame:
     """scene, e: for every pair of frames of a scene the larger of the angle between the relative
     rotations and that between the relative translations, in degrees."""
-    one = pairs.select("scene", F.col("frame").alias("i"), "p", "g")
-    two = pairs.select("scene", F.col("frame").alias("j"), F.col("p").alias("p2"), F.col("g").alias("g2"))
-    both = one.join(two, "scene").where("i < j")
-    both = both.withColumns({"a": geo.compose(geo.invert_pose("p"), "p2"), "b": geo.compose(geo.invert_pose("g"), "g2")})
+    both = frame_pairs(pairs, tile).withColumns({"a": geo.compose(geo.invert_pose("p"), "p2"), "b": geo.compose(geo.invert_pose("g"), "g2")})
     trace = sum((F.col("a")[i * 4 + k] * F.col("b")[i * 4 + k] for i in range(3) for k in range(3)), F.lit(0.0))
     turn = geo.rotation_degrees(trace)
     shift = geo.translation_degrees(*[F.col("a")[k] for k in (3, 7, 11)], *[F.col("b")[k] for k in (3, 7, 11)])

@@ -106,9 +106,9 @@ def scatter_reductions(spark, d):
 
 
 def _errors(spark, d) -> DataFrame:
-    rows = px.stream(spark, d).select("u", "id", "v")
-    other = rows.select("u", F.col("id").alias("id2"), F.col("v").alias("v2"))
-    return rows.join(other, "u").where("id < id2").select(F.abs(F.col("v") - F.col("v2")).alias("e"))
+    """Every two events of a user as two frames of a scene: how far their values are apart."""
+    rows = px.stream(spark, d).select(F.col("u").alias("scene"), F.col("id").alias("frame"), F.col("v").alias("p"), F.lit(0).alias("g"))
+    return poses.frame_pairs(rows).select(F.abs(F.col("p") - F.col("p2")).alias("e"))
 
 
 def pose_auc_hist(spark, d):

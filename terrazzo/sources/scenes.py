@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrazzo import schemas
 from terrazzo.sources import formats, jpeg
+from terrazzo.sources import mcap as indexed
 
 
 def stem(index: str | Column = "frame") -> Column:
@@ -205,16 +206,8 @@ def pose_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mcap(spark: SparkSession, path: str, topics: list[str] | None = None) -> DataFrame:
-    """path, topic, stamp (header's, else the bag's), payload."""
-    wanted = set(topics) if topics else None
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.path, batch.content):
-                rows = [(name, t, formats.header_stamp(p, ns), p) for t, ns, p in formats.mcap_messages(content, wanted)]
-                yield pd.DataFrame(rows, columns=["path", "topic", "stamp", "payload"])
-
-    return files(spark, path, "*.mcap").select("path", "content").mapInPandas(run, "path string, topic string, stamp long, payload binary")
+    """path, topic, stamp (header's, else the bag's), payload; by the files' index, see sources.mcap."""
+    return indexed.messages(spark, path, topics).drop("logged")
 
 
 def zipped(spark: SparkSession, path: str) -> DataFrame:

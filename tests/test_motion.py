@@ -80,3 +80,13 @@ def test_extrapolation_takes_the_last_two_poses(spark):
     got = {r.id: np.array(r.pose) for r in motion.extrapolated(frames, "u").collect()}
     assert set(got) == set(range(2, 12))
     assert all(np.abs(got[i] - lie.extrapolate(poses[i - 2], poses[i - 1])).max() < 1e-9 for i in got)
+
+
+@pytest.mark.parametrize("tile", [3, 1000])
+def test_tiles_hold_every_pair_of_frames_once(spark, tile):
+    from terrazzo.operators import poses as op
+
+    rows = [(s, f, [float(f)], [0.0]) for s, n in (("a", 17), ("b", 2), ("c", 1)) for f in range(n)]
+    pairs = spark.createDataFrame(rows, "scene string, frame long, p array<double>, g array<double>")
+    got = sorted((r.scene, r.p[0], r.p2[0]) for r in op.frame_pairs(pairs.withColumn("g", F.array(F.lit(0.0))), tile).collect())
+    assert got == sorted((s, float(i), float(j)) for s, n in (("a", 17), ("b", 2), ("c", 1)) for i in range(n) for j in range(i + 1, n))
