@@ -47,8 +47,8 @@ def opened(path: str):
     return system.open_input_file(inner)
 
 
-def found_files(path: str) -> list[str]:
-    """The files with the ending .mcap under a folder, or those that a list names."""
+def found_files(path: str, ending: str = ".mcap") -> list[str]:
+    """The files with an ending under a folder, or those that a list names."""
     names = []
     for part in filter(None, (p.strip() for p in path.split(","))):
         uri = "://" in part or part.startswith("file:")
@@ -56,7 +56,7 @@ def found_files(path: str) -> list[str]:
         info = system.get_file_info(inner)
         if info.type == pafs.FileType.Directory:
             root = part.rstrip("/")
-            names += sorted(root + i.path[len(inner.rstrip("/")) :] for i in system.get_file_info(pafs.FileSelector(inner, recursive=True)) if i.path.endswith(".mcap"))
+            names += sorted(root + i.path[len(inner.rstrip("/")) :] for i in system.get_file_info(pafs.FileSelector(inner, recursive=True)) if i.path.endswith(ending))
         elif info.type == pafs.FileType.File:
             names.append(part)
         else:

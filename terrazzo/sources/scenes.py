@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrazzo import schemas
-from terrazzo.sources import formats, jpeg
+from terrazzo.sources import formats, jpeg, ply
 from terrazzo.sources import mcap as indexed
 
 
@@ -123,31 +123,12 @@ def same_frames(*sides: DataFrame) -> DataFrame:
 
 def ply_points(spark: SparkSession, path: str) -> DataFrame:
     """path, point_id and the vertex columns x, y, z, nx, ny, nz (null where the file has none)."""
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.path, batch.content):
-                v = formats.read_ply(content)["vertex"]
-                n = len(v["x"])
-                yield pd.DataFrame({"path": name, "point_id": np.arange(n), **{c: np.asarray(v[c], float) if c in v else np.full(n, np.nan) for c in ("x", "y", "z", "nx", "ny", "nz")}})
-
-    rows = files(spark, path, "*.ply").select("path", "content").mapInPandas(run, "path string, point_id long, x double, y double, z double, nx double, ny double, nz double")
-    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("nx", "ny", "nz")})
+    return ply.points(spark, path)
 
 
 def ply_triangles(spark: SparkSession, path: str) -> DataFrame:
     """path, face, object_id, a, b, c: polygons as fans."""
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.path, batch.content):
-                face = formats.read_ply(content)["face"]
-                corners = face.get("vertex_indices", face.get("vertex_index"))
-                t = formats.triangles(corners)
-                owner = np.asarray(face["object_id"])[t[:, 0]] if "object_id" in face else np.full(len(t), -1)
-                yield pd.DataFrame({"path": name, "face": t[:, 0], "object_id": owner.astype("int64"), "a": t[:, 1], "b": t[:, 2], "c": t[:, 3]})
-
-    return files(spark, path, "*.ply").select("path", "content").mapInPandas(run, "path string, face long, object_id long, a long, b long, c long")
+    return ply.triangles(spark, path)
 
 
 def semantic_samples(points: DataFrame, faces: DataFrame) -> DataFrame:
