@@ -239,7 +239,7 @@ def test_queries_and_pipeline_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {int(k[2:].split("_")[0]) for k in names if k.startswith("op") and k[2].isdigit()} == set(range(1, 11)) and "pipeline" in names
+    assert {int(k[2:].split("_")[0]) for k in names if k.startswith("op") and k[2].isdigit()} == set(range(1, 14)) and "pipeline" in names
 
 
 STAGE_DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep long, at string, th int, gone string, n_removed long, kept_id long, bad_id long, h long, row string"
