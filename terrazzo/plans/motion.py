@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrazzo.functions import se3
-from terrazzo.operators import adjust, motion
+from terrazzo.operators import adjust, correlation, motion
 from terrazzo.plans import proxies as px
 
 AXES = ((1, 2, 2), (2, -1, 2), (2, 2, -1))  # over 3
@@ -78,6 +78,15 @@ def bundle_adjustment(spark, d):
     return turned.join(right, ["scene", "frame"]).select("scene", "frame", *[(F.round(F.col("x")[k], 3) + 0.0).alias(f"x{k}") for k in range(6)], "n_pixels", "n_close")
 
 
+def correlation_lookup(spark, d):
+    """Each label's embeddings as a feature map eight cells wide, looked up in the next label's at two levels."""
+    n = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
+    features = px.points(spark, d).where("label is not null").select(F.lit(0).alias("scene"), F.col("label").cast("long").alias("frame"), n.alias("n"), F.col("e").cast("array<double>").alias("f")).select("scene", "frame", F.floor(F.col("n") / 8).alias("y"), (F.col("n") % 8).cast("long").alias("x"), "f")
+    asked = features.select("scene", F.col("frame").alias("i"), (F.col("frame") + 1).alias("j"), "y", "x", (F.col("x") + 0.25).alias("u"), (F.col("y") - 0.5).alias("v"))
+    found = correlation.lookup(features, asked, levels=2, radius=1)
+    return found.select("i", "y", "x", "level", *[(F.round(F.col("window")[k], 6) + 0.0).alias(f"w{k}") for k in range(9)])
+
+
 def _turned(q, v):
     """SQL of v turned by q, as lists of names."""
     x, y, z, w = q
@@ -124,11 +133,20 @@ POSED = f"{px.STREAM}, posed AS (SELECT u, id, row_number() OVER (PARTITION BY u
 _BOTH = ", ".join(f"l.v{k} AS l{k}, r.v{k} AS r{k}" for k in range(7))
 _OUT = ", ".join(f"round(p{k}, 6) AS p{k}" for k in range(7))
 
-QUERIES = {f.__name__: f for f in (pose_infill, pose_extrapolation, bundle_adjustment)}
+QUERIES = {f.__name__: f for f in (pose_infill, pose_extrapolation, bundle_adjustment, correlation_lookup)}
 SQL = {
     "pose_infill": f"""WITH {POSED}, b AS (SELECT o.u, o.id, o.n, (SELECT max(n) FROM posed k WHERE key AND k.u = o.u AND k.n < o.n) AS ln, (SELECT min(n) FROM posed k WHERE key AND k.u = o.u AND k.n > o.n) AS rn FROM posed o WHERE NOT key),
 pair AS (SELECT b.id, CAST(b.n - l.n AS DOUBLE) / (r.n - l.n + 1e-3::DOUBLE) AS share, {_BOTH} FROM b JOIN posed l ON l.u = b.u AND l.n = coalesce(ln, rn) JOIN posed r ON r.u = b.u AND r.n = coalesce(rn, ln)), {_moved("pair", "share")}
 SELECT id, {_OUT} FROM moved UNION ALL SELECT id, {", ".join(f"round(v{k}, 6) AS p{k}" for k in range(7))} FROM posed WHERE key""",
+    "correlation_lookup": f"""WITH n AS (SELECT label AS i, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS f FROM embeddings WHERE label IS NOT NULL),
+f0 AS (SELECT i, n // 8 AS y, n % 8 AS x, f FROM n), parts AS (SELECT i, y // 2 AS y, x // 2 AS x, k, avg(f[k]) AS v FROM f0, range(1, 65) r(k) GROUP BY ALL HAVING count(*) = 4),
+cells AS (SELECT i, 0 AS level, y, x, f FROM f0 UNION ALL SELECT i, 1, y, x, list(v ORDER BY k) FROM parts GROUP BY i, y, x),
+asked AS (SELECT i, y, x, f, level, (x + 0.25::DOUBLE) / pow(2, level) AS u, (y - 0.5::DOUBLE) / pow(2, level) AS v FROM f0, range(2) r(level)),
+taps AS (SELECT a.i, a.y, a.x, a.level, a.f, di, dj, CAST(floor(u) AS BIGINT) + di + p AS cx, CAST(floor(v) AS BIGINT) + dj + q AS cy, CASE p WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE q WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END AS weight
+  FROM asked a, range(-1, 2) a1(di), range(-1, 2) a2(dj), range(2) a3(p), range(2) a4(q)),
+looked AS (SELECT t.i, t.y, t.x, t.level, di, dj, sum(weight * coalesce(list_dot_product(t.f, c.f), 0) / 16) AS v FROM taps t LEFT JOIN cells c ON c.i = t.i + 1 AND c.level = t.level AND c.x = cx AND c.y = cy GROUP BY ALL),
+w AS (SELECT i, y, x, level, list(v ORDER BY di, dj) AS w FROM looked GROUP BY ALL)
+SELECT CAST(i AS BIGINT) AS i, y, x, CAST(level AS INTEGER) AS level, {", ".join(f"round(w[{k + 1}], 6) + 0.0 AS w{k}" for k in range(9))} FROM w""",
     # without noise, what is seen fixes every pose and inverse depth
     "bundle_adjustment": "WITH m(frame, x0, x1, x2, x3, x4, x5) AS (VALUES " + ", ".join(f"({k}, " + ", ".join(f"{x}::DOUBLE" for x in m) + ")" for k, m in enumerate(MOTION)) + """)
 SELECT label AS scene, CAST(frame AS BIGINT) AS frame, x0, x1, x2, x3, x4, x5, count(*) AS n_pixels, count(*) AS n_close FROM embeddings JOIN m ON frame = vec_id % 4 WHERE label IS NOT NULL GROUP BY ALL""",
