@@ -6,6 +6,8 @@ before its shuffle whatever the vectors' length.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +56,58 @@ def top_label(scores: DataFrame) -> DataFrame:
     return first_in(scores, ["id"], [F.desc("cos"), "query"]).select("id", "query")
 
 
+def moments(field: DataFrame, vector: str = "e") -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, mean and covariance of vectors of one length.
+
+    Each task adds up products of its rows; what is shuffled is a row of the matrix for each task, and
+    only the matrix comes to the driver.
+    """
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            lists = batch.column(0)
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64) if len(lists) else None
+            if x is None:
+                continue
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(list(total), pa.list_(pa.float64()))], names=["k", "sums"])
+
+    def together(table: pa.Table) -> pa.Table:
+        sums = np.stack(table["sums"].to_pylist()).sum(axis=0)
+        return pa.table({"k": pa.array([table["k"][0].as_py()], pa.int64()), "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    parts = field.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(add, "k long, sums array<double>")
+    rows = parts.groupBy("k").applyInArrow(together, "k long, sums array<double>").orderBy("k").collect()  # a row a dimension
+    if not rows:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    whole = np.array([r.sums for r in rows])
+    n, mean = int(whole[0, 0]), whole[0, 1:] / whole[0, 0]
+    return n, mean, whole[1:, 1:] / n - np.outer(mean, mean)
+
+
 def principal_colors(field: DataFrame, vector: str = "e", most: int = 100_000, seed: int = 0) -> DataFrame:
     """id, c0, c1, c2: three principal components, scaled to 0..1 by their 1st and 99th percentile.
 
-    The components come from a sample of at most about `most` vectors; every row is projected.
+    The components and percentiles come from a sample of at most about `most` vectors, which stays on
+    the executors; every row is projected. Unobserved rows have none.
     """
-    import numpy as np
-
     rows = field.where(observed(F.col(vector)))
     share = min(1.0, most / max(1, rows.count()))
     chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
-    sample = np.array([r[0] for r in chosen.orderBy("id").select(vector).toLocalIterator()], float)
-    mean = sample.mean(axis=0)
-    _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
-    axes = axes[:3] * np.sign(axes[:3][np.arange(len(axes[:3])), np.abs(axes[:3]).argmax(axis=1)])[:, None]
-    low, high = np.percentile((sample - mean) @ axes.T, [1, 99], axis=0)
-    out = {}
-    for k, axis in enumerate(axes):
+    n, mean, covariance = moments(chosen, vector)
+    if not n:
+        return rows.select("id", *[F.lit(None).cast("double").alias(f"c{k}") for k in range(3)])
+    axes = np.linalg.eigh(covariance)[1].T[::-1][:3]
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+
+    def along(axis: np.ndarray) -> Column:
         weights = F.array(*[F.lit(float(x)) for x in axis])
-        dot = F.aggregate(F.zip_with(F.col(vector), weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) - float(mean @ axis)
-        out[f"c{k}"] = F.least(F.greatest((dot - float(low[k])) / max(float(high[k] - low[k]), 1e-12), F.lit(0.0)), F.lit(1.0))
-    return rows.select("id", *[c.alias(n) for n, c in out.items()])
+        return F.aggregate(F.zip_with(F.col(vector), weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) - float(mean @ axis)
+
+    # of the sample, so the buffers are bounded
+    ends = chosen.select(*[along(axis).alias(f"c{k}") for k, axis in enumerate(axes)]).agg(*[F.percentile(f"c{k}", F.array(F.lit(0.01), F.lit(0.99))) for k in range(len(axes))]).first()
+    scaled = [(along(axis) - float(low)) / max(float(high - low), 1e-12) for axis, (low, high) in zip(axes, ends)]
+    return rows.select("id", *[F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias(f"c{k}") for k, c in enumerate(scaled)])
