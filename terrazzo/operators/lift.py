@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from terrazzo.functions import geometry as geo
 from terrazzo.operators.common import settled
 
+#: Blocks along the side of a cell in which frames and blocks meet.
+COARSE = 8
+
 
 def in_view(blocks: DataFrame, frames: DataFrame, size: float) -> DataFrame:
     """Pairs of a block of space and a frame whose view it may reach into: blocks(bx, by, bz), frames
     with `far`, the depth beyond which a frame sees nothing. A block is judged by the ball around it
-    against the view's four sides and its depth, so none that can be seen is left out."""
-    pairs = blocks.crossJoin(frames)  # blocks, not points
+    against the view's four sides and its depth, so none that can be seen is left out.
+
+    Frames and blocks meet by cells of COARSE blocks: those of the box around the frame's view, which
+    ends at `far`, so a frame meets what is near it however far the scene goes on."""
+    step = COARSE * size
+    reach = size * 3**0.5 / 2 * (1 + 1e-9)
+    corners = [geo.apply_pose((u - F.col("cx")) / F.col("fx") * depth, (v - F.col("cy")) / F.col("fy") * depth, depth, "pose") for u, v, depth in ((F.lit(0.0), F.lit(0.0), F.lit(0.0)), *[(u, v, F.col("far") + 2 * reach) for u in (F.lit(0.0), F.col("width").cast("double")) for v in (F.lit(0.0), F.col("height").cast("double"))])]
+    boxed = frames
+    for k, c in enumerate("xyz"):
+        low, high = F.least(*[p[k] for p in corners]), F.greatest(*[p[k] for p in corners])
+        # a middle within the reach of all sides lies within twice the reach of this hull
+        boxed = boxed.withColumn(f"__c{c}", F.explode(F.sequence(F.floor((low - 2 * reach) / step), F.floor((high + 2 * reach) / step))))
+    cells = blocks.withColumns({f"__c{c}": F.floor((F.col(f"b{c}") + 0.5) * size / step) for c in "xyz"})
+    pairs = cells.join(boxed, ["__cx", "__cy", "__cz"]).drop("__cx", "__cy", "__cz")
     middle = [(F.col(f"b{c}") + 0.5) * size for c in "xyz"]
     x, y, z = geo.world_to_camera(*middle, "pose")
     pairs = pairs.withColumns({"__x": x, "__y": y, "__z": z})
-    reach = size * 3**0.5 / 2 * (1 + 1e-9)
 
     def inside(across: str, focal: str, centre: str, extent: str) -> Column:
         """Not beyond the side at pixel 0, nor beyond the one at the image's other end."""
@@ -39,7 +53,7 @@ def visible_points(points: DataFrame, frames: DataFrame, depth: DataFrame, toler
     """
     key = ["bx", "by", "bz"]
     placed = points.select("id", "x", "y", "z", *[geo.voxel(c, block).alias(f"b{c}") for c in "xyz"])
-    far = depth.groupBy("f").agg((F.max("measured") + tolerance).alias("far"))
+    far = depth.groupBy("f").agg((F.max(F.when(geo.finite("measured"), F.col("measured"))) + tolerance).alias("far"))
     seen = placed.join(in_view(placed.select(*key).distinct(), frames.join(far, "f"), block), key)
     x, y, z = geo.world_to_camera("x", "y", "z", "pose")
     u, v = geo.project(x, y, z, "fx", "fy", "cx", "cy")

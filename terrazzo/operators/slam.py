@@ -102,7 +102,7 @@ def raveled(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     one = at.select(F.col("grp").alias("gi"), F.col("offset").alias("oi"), F.col("rows_per_block").alias("ri"))
     two = at.select(F.col("grp").alias("gj"), F.col("offset").alias("oj"), F.col("rows_per_block").alias("rj"))
     cells = blocks.select("gi", "gj", "bi", "bj", F.posexplode("rows").alias("r", "line")).select("gi", "gj", "bi", "bj", "r", F.posexplode("line").alias("c", "value"))
-    placed = cells.join(F.broadcast(one), "gi").join(F.broadcast(two), "gj")  # a row a group
+    placed = cells.join(one, "gi").join(two, "gj")  # Spark broadcasts them while they are few
     return placed.select((F.col("oi") + F.col("bi") * F.col("ri") + F.col("r")).alias("i"), (F.col("oj") + F.col("bj") * F.col("rj") + F.col("c")).alias("j"), "value")
 
 

@@ -210,7 +210,7 @@ class SensReader(DataSourceReader):
         return [InputPartition(p.strip()) for p in self.path.split(",")]
 
     def read(self, partition):
-        with open(partition.value, "rb") as stream:
+        with indexed.opened(partition.value) as stream:
             head, rows = formats.read_sens(stream)
             for i, pose, color_stamp, depth_stamp, color, depth in rows:
                 ok = all(np.isfinite(pose))
