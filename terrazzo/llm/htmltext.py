@@ -11,7 +11,10 @@ of words labels a text. A text is main text if its page puts it into an <article
 isn't if it lies in an element for navigation, forms, asides and the like, is hidden, or recurs on
 REPEATED_PAGES pages of the sample outside of any main part. Attribute tokens that mark such texts,
 and hardly ever main text, are marks of what isn't main text inside an article too. The texts so
-known are laid out anew in the skeletons below, so that parts are also known by place and shape.
+known are laid out anew in the skeletons below (of each LAID_OUT_CHARS characters at most), so that
+parts are also known by place and shape. Main text there holds lists, tables, quotes, captions and code
+too, and some pages are nothing but main text. The skeletons' parts carry words that are features (such
+as sidebar), so what those words mostly mark is taught by hand to that extent.
 
 Defined cases: null and empty pages give an empty text. A table that says nothing of its pages is
 read by what the skeletons teach, filled with the pages' texts or, without any, with made-up words.
@@ -27,11 +30,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.llm.boost import BoostedTrees
-from terrazzo.llm.common import small_batches
+from terrazzo.llm.common import slices, small_batches
 from terrazzo.llm.dom import Node, parse, render, walk
 
 TRAIN_PAGES = 300
@@ -41,6 +45,10 @@ REPEATED_PAGES = 3
 MARK_PAGES = 5
 #: Pages laid out anew, where the sample has fewer.
 LEAST_LAID_OUT = 100
+#: Characters of pages that are read together (a longer page alone).
+SLICE_CHARS = 1_500_000
+#: Characters of a text that is laid out anew, for training alone.
+LAID_OUT_CHARS = 2000
 
 #: Attribute tokens by what they usually mark.
 TOKENS = {
@@ -75,7 +83,11 @@ SKELETONS = (
     "<body><article class='{1}'>{h}{p}<div class='ad {0}'>{b}</div>{p}<div class='promo {0}'>{b}</div></article><footer class='{0}'>{b}</footer></body>",
 )
 #: Pages that are nothing but main text.
-BARE = ("<html><body>{h}{p}</body></html>", "{p}", "<div>{p}</div>", "{t}", "<body>{t}</body>")
+BARE = ("<html><body>{h}{p}</body></html>", "{p}", "<div>{p}</div>", "{t}", "<body>{t}</body>", "<div>{d}</div>", "<body><div>{d}{l}</div></body>", "<body><section>{h}{d}</section><section>{l}{p}</section></body>")
+#: What main text holds besides paragraphs: lists, tables, quotes, captions, code and headings; {} is a text, {s} a short one.
+RICH = ("<ul>{li}</ul>", "<ol>{li}</ol>", "<dl><dt>{s}</dt><dd>{}</dd></dl>", "<table><tr><td>{s}</td><td>{s}</td></tr><tr><td>{s}</td><td>{s}</td></tr></table>", "<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<figure><img src='#'><figcaption>{s}</figcaption></figure>", "<pre>{s}</pre>", "<pre><code>{s}\n{s}</code></pre>", "<h2>{s}</h2><p>{}</p>", "<div>{}</div>", "<div>{s}</div>")
+#: Share of runs of paragraphs with some of these among them.
+RICH_SHARE = 0.4
 #: Tokens that no feature looks at; they carry the labels of the skeletons.
 DROP, KEEP = "zzdrop", "zzkeep"
 
@@ -191,6 +203,11 @@ def _made_up(rng: random.Random, words: int) -> str:
     return f"{text.capitalize()}."
 
 
+def _clean(text: str) -> str:
+    """Text without the brackets of the skeletons."""
+    return text.replace("{", "(").replace("}", ")")
+
+
 def _laid_out(pages: list[list[Node]], known: Known, count: int, seed: int, skeletons: tuple[str, ...] = SKELETONS) -> list[str]:
     """`count` pages with the parts of the given ones in other skeletons: their known main and other
     texts; without any, their longer and shorter texts; without any, made-up words."""
@@ -199,7 +216,7 @@ def _laid_out(pages: list[list[Node]], known: Known, count: int, seed: int, skel
     main, rest = ([t for t, y in runs if y == want] for want in (1, 0))
     main = main or [t for t, _ in runs if len(t) >= 80] or [" ".join(_made_up(rng, rng.randint(4, 25)) for _ in range(rng.randint(1, 6))) for _ in range(60)]
     rest = rest or [t for t, _ in runs if len(t) < 80] or [_made_up(rng, rng.randint(1, 8)) for _ in range(60)]
-    main, rest = ([entities.escape(t, quote=False)[:2000] for t in side] for side in (main, rest))
+    main, rest = ([entities.escape(t, quote=False)[:LAID_OUT_CHARS] for t in side] for side in (main, rest))
 
     def some(source, low, high, wrap):
         return "".join(wrap.format(rng.choice(source)) for _ in range(rng.randint(low, high)))
@@ -208,15 +225,31 @@ def _laid_out(pages: list[list[Node]], known: Known, count: int, seed: int, skel
         return [" ".join(x.split()[: rng.randint(2, 25)]) for x in source]
 
     made, brief = [], short(rng.sample(main, min(len(main), 400)))
+
+    def rich(block: str) -> str:
+        block = block.replace("{li}", "<li>{s}</li>" * rng.randint(1, 5) + "<li>{}</li>" * rng.randint(0, 2))
+        while "{s}" in block:
+            block = block.replace("{s}", _clean(" ".join(rng.choice(brief).split()[: rng.randint(1, 9)])), 1)
+        while "{}" in block:
+            block = block.replace("{}", _clean(rng.choice(main)), 1)
+        return block
+
+    def prose() -> str:
+        parts = [f"<p>{rng.choice(main)}</p>" for _ in range(rng.randint(1, 9))]
+        if rng.random() < RICH_SHARE:
+            for _ in range(rng.randint(1, 3)):
+                parts.insert(rng.randint(0, len(parts)), rich(rng.choice(RICH)))
+        return "".join(parts)
+
     for _ in range(count):
         skeleton = rng.choice(skeletons)
         while "{" in skeleton:
             for key, text in (("{0}", DROP), ("{1}", KEEP)):
                 skeleton = skeleton.replace(key, text)
-            for key in ("{h}", "{p}", "{b}", "{li}", "{c}", "{t}", "{t2}"):
+            for key in ("{h}", "{p}", "{d}", "{l}", "{b}", "{li}", "{c}", "{t}", "{t2}"):
                 if key in skeleton:
-                    part = {"{t}": lambda: rng.choice(main), "{t2}": lambda: " ".join(rng.choice(rest).split()[:3]), "{h}": lambda: some(brief, 1, 1, "<h1>{}</h1>"), "{p}": lambda: some(main, 1, 9, "<p>{}</p>"), "{b}": lambda: some(rest + brief[:40], 1, 3, rng.choice(["<p>{}</p>", "<div>{}</div>", "{} "])), "{li}": lambda: some(short(rest[:200]), 3, 9, "<li><a href='#'>{}</a></li>"), "{c}": lambda: some(brief, 1, 6, rng.choice(["<div class='comment'><p>{}</p></div>", "<p>{}</p>", "<li>{}</li>"]))}[key]()
-                    skeleton = skeleton.replace(key, part.replace("{", "(").replace("}", ")"), 1)
+                    part = {"{t}": lambda: rng.choice(main), "{t2}": lambda: " ".join(rng.choice(rest).split()[:3]), "{h}": lambda: some(brief, 1, 1, "<h1>{}</h1>"), "{p}": prose, "{d}": lambda: some(main, 1, 4, "<div>{}</div>") + some(brief, 0, 3, "<div>{}</div>"), "{l}": lambda: rich(rng.choice(RICH[:2])), "{b}": lambda: some(rest + brief[:40], 1, 3, rng.choice(["<p>{}</p>", "<div>{}</div>", "{} "])), "{li}": lambda: some(short(rest[:200]), 3, 9, "<li><a href='#'>{}</a></li>"), "{c}": lambda: some(brief, 1, 6, rng.choice(["<div class='comment'><p>{}</p></div>", "<p>{}</p>", "<li>{}</li>"]))}[key]()
+                    skeleton = skeleton.replace(key, _clean(part), 1)
         made.append(skeleton)
     return made
 
@@ -298,9 +331,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         model = shared.value
         for batch in batches:
             texts: list[str] = []
-            for start in range(0, batch.num_rows, 64):
-                part = batch.column(2).slice(start, 64).to_pylist()
-                texts += main_texts(part, model)
+            lengths = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
+            for first, last in slices(lengths, SLICE_CHARS):
+                texts += main_texts(batch.column(2).slice(first, last - first).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()
