@@ -8,8 +8,9 @@ found there goes with it, and only to cells whose own ball can still hold a bett
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, as
 queries or candidates; nor does an empty one or a row without an id. Vectors of different lengths
-aren't compared. An id that occurs more than once is one row: its least vector. Ties go to the
-smaller id. With fewer than k other rows a query returns them all. An empty table gives no rows.
+aren't compared. Where an id occurs more than once, each of its rows asks and each is a candidate of
+other ids' queries; the answer of an id is the best of what its rows find, rows of its own id left
+out. Ties go to the smaller id. With fewer than k other rows a query returns them all. An empty table gives no rows.
 A component or a score that doesn't fit 64 bits is an error.
 """
 
@@ -229,8 +230,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
     count = slim.count()
     centres = vectors.sparkSession.sparkContext.broadcast(_centres(slim, count))
     rows = slim.mapInArrow(lambda batches: _placed(batches, centres.value), "vec_id long, v binary, dim int, cell int, away double")
+    dealt = F.xxhash64("vec_id", F.lit(7))
     if not slim.where("vec_id is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
-        rows = rows.groupBy("vec_id").agg(F.min(F.struct("v", "dim", "cell", "away")).alias("r")).select("vec_id", "r.*")
+        # of equal rows k say as much as all; an id with very many rows is dealt by row
+        equal = rows.groupBy("vec_id", "v", "dim", "cell").agg(F.first("away").alias("away"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+        rows = equal.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+        dealt = F.xxhash64("vec_id", "v", "copy")
     rows = materialise(rows)
     held = rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("c"), F.max("away").alias("radius"))
     # a row a cell: at most CELLS for each length of vectors
@@ -243,7 +248,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
     if shards > 1:
         split = [(n, int(c), int(m)) for n, (number, _, _, many) in cells.items() for c, m in zip(number, many)]
         split = F.broadcast(vectors.sparkSession.createDataFrame(split, "dim int, cell int, parts int"))  # a row a cell
-        rows = rows.join(split, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("parts")).cast("int"))
+        rows = rows.join(split, ["dim", "cell"]).withColumn("sub", F.pmod(dealt, F.col("parts")).cast("int"))
     else:
         rows = rows.withColumn("sub", F.lit(0))
     columns = ["dim", "cell", "sub", "kind", "vec_id", "v", "kth"]

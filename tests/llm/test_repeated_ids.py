@@ -1,10 +1,14 @@
-"""Near-duplicates of tables in which an id has several texts."""
+"""Near-duplicates and searches of tables in which an id has several rows."""
 
 from __future__ import annotations
 
 import random
 
-from terrazzo.llm import neardup
+import numpy as np
+import pytest
+from conftest import rows_of
+
+from terrazzo.llm import neardup, queries, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +33,17 @@ def test_one_row_of_each_group_stays_also_with_maps(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
     kept = neardup.keep_first(docs).collect()
     assert [(r.doc_id, r.text) for r in kept] == [(3, a)]
+
+
+@pytest.mark.parametrize("shard_rows", [16_384, 40])
+def test_every_row_of_an_id_asks_and_is_a_candidate(spark, monkeypatch, shard_rows):
+    import duckdb
+
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), (rng.integers(-40, 40, 3) / 8).tolist()) for i in rng.integers(0, 60, 240)]
+    rows += [(7, [1.0, 1.0, 1.0])] * 130 + [(20, [2.0, 0.5, 1.0])] * 30 + [(9, (rng.integers(-40, 40, 3) / 8).tolist()) for _ in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    own = duckdb.connect()
+    own.register("embeddings", df.toPandas())
+    assert rows_of(topk.top_k(df).toPandas()) == rows_of(own.execute(queries.TOP_K_SQL).df())

@@ -88,7 +88,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
 def test_top_k_of_few_rows(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     rows = topk.top_k(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (3, [2.0])], VECTORS)).collect()
-    assert [tuple(r) for r in rows] == [(0, 1, 3, 64 * 128)]
+    assert sorted(tuple(r) for r in rows) == [(0, 1, 3, 64 * 128), (0, 2, 3, 64 * 128)]  # either row of id 0 asks
 
 
 def test_balls_hold_their_rows():
