@@ -1,7 +1,8 @@
-"""Reading of sequential JPEG images in numpy, after ITU-T T.81; colours by JFIF.
+"""Reading of sequential and progressive JPEG images in numpy, after ITU-T T.81; colours by JFIF.
 
-Entropy-coded values are read one by one, all transforms run over whole images. Chroma is enlarged
-by repetition. Progressive, lossless and arithmetic-coded images are refused.
+Entropy-coded values are read one by one, all transforms run over whole images. A progressive image
+fills its coefficients scan by scan: bands of them, and then bit after bit. Chroma is enlarged by
+repetition. Lossless, hierarchical and arithmetic-coded images are refused.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ ZIGZAG = sorted(range(SIZE * SIZE), key=lambda p: (p // 8 + p % 8, p // 8 if (p
 COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 8**-0.5) for x in range(SIZE)] for u in range(SIZE)])
 
 # fixed values of the format
-START_SEQUENTIAL = (0xC0, 0xC1)
-OTHER_STARTS = tuple(m for m in range(0xC2, 0xD0) if m not in (0xC4, 0xC8, 0xCC))
+START_SEQUENTIAL, START_PROGRESSIVE = (0xC0, 0xC1), 0xC2
+OTHER_STARTS = tuple(m for m in range(0xC3, 0xD0) if m not in (0xC4, 0xC8, 0xCC))
 
 
 def _codes(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
@@ -60,12 +61,17 @@ class _Bits:
         """A number of `size` bits, whose first bit tells its sign."""
         if not size:
             return 0
+        x = self.plain(size)
+        return x if x >> size - 1 else x - (1 << size) + 1
+
+    def plain(self, size: int) -> int:
+        """The next `size` bits as they are."""
         if self.count < size:
             self._fill()
         self.count -= size
         x = self.held >> self.count
         self.held &= (1 << self.count) - 1
-        return x if x >> size - 1 else x - (1 << size) + 1
+        return x
 
 
 def _block(bits: _Bits, out: np.ndarray, before: int, dc: list, ac: list) -> int:
@@ -89,6 +95,85 @@ def _block(bits: _Bits, out: np.ndarray, before: int, dc: list, ac: list) -> int
     return first
 
 
+class _Band:
+    """Progressive scans: the coefficients first to last of each block, down to bit `low`; the bits above
+    `high` (0: none yet) are there from earlier scans."""
+
+    def __init__(self, first: int, last: int, high: int, low: int):
+        if first == 0 and last or first > last or last > 63:
+            raise ValueError("a band as only a sequential image has it")
+        self.first, self.last, self.high, self.low = first, last, high, low
+        self.blank = 0  # blocks to come in which nothing new begins
+
+    def read(self, bits: _Bits, out: np.ndarray, before: int, dc: list | None, ac: list | None) -> int:
+        if self.first == 0:
+            if self.high:
+                out[0] |= bits.plain(1) << self.low
+                return 0
+            value = before + bits.value(bits.symbol(dc))
+            out[0] = value << self.low
+            return value
+        if self.high:
+            self._refine(bits, out, ac)
+        else:
+            self._begin(bits, out, ac)
+        return 0
+
+    def _blanks(self, bits: _Bits, power: int) -> int:
+        return (1 << power) + (bits.plain(power) if power else 0)
+
+    def _begin(self, bits: _Bits, out: np.ndarray, ac: list) -> None:
+        if self.blank:
+            self.blank -= 1
+            return
+        k = self.first
+        while k <= self.last:
+            symbol = bits.symbol(ac)
+            run, size = symbol >> 4, symbol & 15
+            if not size and run < 15:
+                self.blank = self._blanks(bits, run) - 1
+                return
+            k += run
+            if size:
+                if k > self.last:
+                    raise ValueError("a block runs over its end")
+                out[ZIGZAG[k]] = bits.value(size) * (1 << self.low)
+            k += 1
+
+    def _correct(self, bits: _Bits, out: np.ndarray, place: int) -> None:
+        """One bit more of a coefficient that isn't 0."""
+        if bits.plain(1) and not abs(int(out[place])) >> self.low & 1:
+            out[place] += (1 if out[place] > 0 else -1) << self.low
+
+    def _refine(self, bits: _Bits, out: np.ndarray, ac: list) -> None:
+        k = self.first
+        while not self.blank and k <= self.last:
+            symbol = bits.symbol(ac)
+            zeros, size = symbol >> 4, symbol & 15
+            if not size and zeros < 15:
+                self.blank = self._blanks(bits, zeros)
+                break
+            new = (1 if bits.plain(1) else -1) * (1 << self.low) if size else 0
+            while k <= self.last:
+                if out[ZIGZAG[k]]:
+                    self._correct(bits, out, ZIGZAG[k])
+                elif zeros:
+                    zeros -= 1
+                else:
+                    break
+                k += 1
+            if new:
+                if k > self.last:
+                    raise ValueError("a block runs over its end")
+                out[ZIGZAG[k]] = new
+            k += 1
+        if self.blank:
+            for place in ZIGZAG[k : self.last + 1]:
+                if out[place]:
+                    self._correct(bits, out, place)
+            self.blank -= 1
+
+
 def read_jpeg(data: bytes) -> np.ndarray:
     """Pixels as uint8: height x width of a grey image, height x width x 3 (RGB) of one in colour."""
     if not data.startswith(b"\xff\xd8"):
@@ -97,7 +182,7 @@ def read_jpeg(data: bytes) -> np.ndarray:
     tables: dict[tuple[int, int], list] = {}
     parts: list[dict] = []
     height = width = every = 0
-    plain = False
+    plain = progressive = False
     at = 2
     while at + 4 <= len(data):
         marker = data[at + 1]
@@ -109,7 +194,7 @@ def read_jpeg(data: bytes) -> np.ndarray:
         (size,) = struct.unpack_from(">H", data, at + 2)
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
         if marker in OTHER_STARTS:
-            raise ValueError(f"a JPEG of kind {marker:#x} isn't sequential")
+            raise ValueError(f"a JPEG of kind {marker:#x} isn't sequential or progressive")
         if marker == 0xDB:
             while body:
                 wide, number = body[0] >> 4, body[0] & 15
@@ -126,7 +211,8 @@ def read_jpeg(data: bytes) -> np.ndarray:
             (every,) = struct.unpack(">H", body)
         elif marker == 0xEE and body.startswith(b"Adobe") and len(body) >= 12:
             plain = body[11] == 0  # colours that were not transformed
-        elif marker in START_SEQUENTIAL:
+        elif marker in (*START_SEQUENTIAL, START_PROGRESSIVE):
+            progressive = marker == START_PROGRESSIVE
             depth, height, width, count = struct.unpack_from(">BHHB", body)
             if depth != 8 or not height or not width:
                 raise ValueError("a JPEG of 8 bits and known size is needed")
@@ -141,10 +227,11 @@ def read_jpeg(data: bytes) -> np.ndarray:
             chosen = []
             for k in range(body[0]):
                 part = next(p for p in parts if p["id"] == body[1 + 2 * k])
-                part["dc"], part["ac"] = tables[0, body[2 + 2 * k] >> 4], tables[1, body[2 + 2 * k] & 15]
+                part["dc"], part["ac"] = tables.get((0, body[2 + 2 * k] >> 4)), tables.get((1, body[2 + 2 * k] & 15))
                 chosen.append(part)
             stretches, at = _stretches(data, at)
-            _scan(chosen, stretches, every, across, down)
+            first, last, bit = body[1 + 2 * body[0] :][:3]
+            _scan(chosen, stretches, every, across, down, (first, last, bit >> 4, bit & 15) if progressive else None)
     if not parts:
         raise ValueError("a JPEG without an image")
     planes = []
@@ -183,8 +270,8 @@ def _stretches(data: bytes, at: int) -> tuple[list[bytes], int]:
             return [*found, data[start:at]], at
 
 
-def _scan(parts: list[dict], stretches: list[bytes], every: int, across: int, down: int) -> None:
-    """Read the blocks of a scan, unit by unit; `every` units (0: never) the reading starts anew."""
+def _scan(parts: list[dict], stretches: list[bytes], every: int, across: int, down: int, band: tuple[int, int, int, int] | None = None) -> None:
+    """Read the blocks of a scan (or a band of theirs), unit by unit; `every` units (0: never) the reading starts anew."""
     if len(parts) == 1:
         rows, columns = parts[0]["own"]
         units = [[(parts[0], r, c)] for r in range(rows) for c in range(columns)]
@@ -195,6 +282,7 @@ def _scan(parts: list[dict], stretches: list[bytes], every: int, across: int, do
         if number >= len(stretches):
             raise ValueError("a JPEG that ends early")
         bits, before = _Bits(stretches[number]), {id(p): 0 for p in parts}
+        read = _Band(*band).read if band else _block
         for unit in units[start : start + step]:
             for p, row, column in unit:
-                before[id(p)] = _block(bits, p["blocks"][row, column], before[id(p)], p["dc"], p["ac"])
+                before[id(p)] = read(bits, p["blocks"][row, column], before[id(p)], p["dc"], p["ac"])
