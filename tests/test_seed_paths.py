@@ -66,3 +66,11 @@ def test_points_dealt_by_id(spark, monkeypatch):
 def test_no_seeds_no_edges(spark):
     got = spatial.shortest_to_seeds(spark.createDataFrame([], EDGES), spark.createDataFrame([], "id long"), spark.createDataFrame([(1, 0.0, 0.0, 0.0)], POINTS), width=1.0)
     assert [tuple(r) for r in got.collect()] == [(1, 1, 0.0)]
+
+
+def test_a_component_too_large_for_a_task_is_refused(monkeypatch):
+    from terrazzo.operators import selection
+
+    monkeypatch.setattr(selection, "MOST_EDGES", 2)
+    with pytest.raises(ValueError, match="3 edges in one component"):
+        selection.agglomerate({i: 1 for i in range(4)}, [(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.0), (2, 3, 1.0, 1.0)], 1.0, 1.0)
