@@ -268,6 +268,7 @@ def similar_sets(sets: DataFrame, least: float = 0.8, key: str = "track", elemen
     equal = sorted_members.select("n", "m", F.posexplode("m").alias("at", "a")).select("n", "a", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("b"))
     size = F.col("n").cast("long")
     pairs = pairs.select("a", "b", "inter", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2")).unionByName(equal.select("a", "b", size.alias("inter"), size.alias("n1"), size.alias("n2")))
+    pairs = settled(pairs)  # results, which callers turn and rank more than once
     first = F.col("a") < F.col("b")
     turned = pairs.select(F.least("a", "b").alias(key), F.greatest("a", "b").alias(f"{key}2"), "inter", F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("size"), F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("size2"))
     return turned.withColumn("iou", F.col("inter").cast("double") / (F.col("size") + F.col("size2") - F.col("inter")))
