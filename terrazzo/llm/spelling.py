@@ -219,7 +219,11 @@ def neighbours(words: DataFrame, shard_letters: int = SHARD_LETTERS, round_bytes
                         rows.append((word, number, best[1].decode("latin-1"), -best[0]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["word", "n_near", "form", "form_n"])
 
-        parts.append(spread.mapInArrow(meet, "word string, n_near long, form string, form_n long"))
+        part = spread.mapInArrow(meet, "word string, n_near long, form string, form_n long")
+        if len(rounds) > 1:  # one round's tries at a time, in the driver and in every worker
+            part = materialise(part)
+            sent.destroy()
+        parts.append(part)
     if not parts:
         return words.sparkSession.createDataFrame([], "word string, n_near long, form string, form_n long")
     both = parts[0]
