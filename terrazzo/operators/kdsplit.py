@@ -1,4 +1,4 @@
-"""Nearest points without a radius: space split at sampled quantiles, leaves searched only where needed.
+"""Nearest points: space split at sampled quantiles, leaves searched only where needed.
 
 A k-d tree over a bounded sample of the right points splits space so that each leaf holds about
 LEAF_POINTS of them, wherever they lie: dense places get small leaves, and a far outlier lies in one
@@ -147,8 +147,8 @@ def _points(batch, first: int = 1) -> np.ndarray:
     return np.stack([batch.column(first + i).to_numpy() for i in range(3)], 1)
 
 
-def _compared(k: int):
-    """The k nearest of a leaf's points to each of the left points sent to it."""
+def _compared(k: int, with_self: bool = True):
+    """The k nearest of a leaf's points (those of another id, if not `with_self`) to each of the left points sent to it."""
 
     def run(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -159,28 +159,36 @@ def _compared(k: int):
                 p = left[list(XYZ)].to_numpy()[i : i + 256]
                 square = sum((p[:, None, c] - r[None, :, c]) ** 2 for c in range(3))
                 dist = np.sqrt(square)
+                if not with_self:
+                    dist[left["id"].to_numpy()[i : i + 256, None] == ids] = np.inf
                 if k < len(r):
                     kth = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
                     row, at = np.nonzero(dist <= kth)
                 else:
                     row, at = np.divmod(np.arange(dist.size), len(r))
                 part = pd.DataFrame({"id": left["id"].to_numpy()[i : i + 256][row], "id2": ids[at], "dist": dist[row, at]}).sort_values(["id", "dist", "id2"])
+                if not with_self:
+                    part = part[part.id != part.id2]
                 out.append(part[part.groupby("id").cumcount() < k])
         return pd.concat(out) if out else pd.DataFrame({"id": [], "id2": [], "dist": []}).astype({"id": "int64", "id2": "int64"})
 
     return run
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, leaf_points: int = LEAF_POINTS, asked: int = ASKED) -> DataFrame:
-    """id, id2, dist, rank of the k right points nearest to each left point; ties go to the lower id2.
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, leaf_points: int = LEAF_POINTS, asked: int = ASKED, radius: float = float("inf"), with_self: bool = True) -> DataFrame:
+    """id, id2, dist, rank of the k right points nearest to each left point and at most `radius` away; ties
+    go to the lower id2. Points of the left point's own id don't count if not `with_self`.
 
     Points without an id or with a null or non-finite place take no part. Fewer than k right points are
-    all given. Ids are unique on either side.
+    all given. Of right points in one place those of the k + 1 least ids are enough, so copies of a
+    point fill no leaf.
     """
     spark = left.sparkSession
     finite = " and ".join(f"{c} is not null and abs({c}) < double('Infinity')" for c in XYZ)
     plain = lambda df: df.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in XYZ]).where(f"id is not null and {finite}")
     left, right = plain(left), plain(right)
+    same = F.dense_rank().over(Window.partitionBy(*XYZ).orderBy("id"))
+    right = right.withColumn("__same", same).where(F.col("__same") <= k + 1).drop("__same")
     count = right.count()
     leaves = min(MOST_LEAVES, max(1, -(-count // leaf_points)))
     wanted = leaves * PER_LEAF
@@ -208,7 +216,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, leaf_points: int = LE
             points, tree = _points(batch), known.value
             within = batch.column(5).to_numpy(zero_copy_only=False).astype(float)
             open_ = np.isnan(within)
-            within[open_] = tree.bound(points[open_], k)
+            within[open_] = tree.bound(points[open_], k) if with_self else np.inf
+            within = np.minimum(within, radius)
             at, leaf = tree.reached(points, within, batch.column(4).to_numpy())
             for i in range(0, len(at), 8192):
                 rows = pa.array(at[i : i + 8192])
@@ -219,12 +228,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, leaf_points: int = LE
         load = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("parts"))
         ask = queries.join(load, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         have = placed.join(load, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        return have.groupBy("leaf", "part").cogroup(ask.groupBy("leaf", "part")).applyInPandas(_compared(k), "id long, id2 long, dist double")
+        return have.groupBy("leaf", "part").cogroup(ask.groupBy("leaf", "part")).applyInPandas(_compared(k, with_self), "id long, id2 long, dist double")
 
     first = settled(left.mapInArrow(at_home, "id long, x double, y double, z double, leaf long"))
     home = settled(compared(first))
     reach = home.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).select("id", F.when(F.col("n") >= k, F.col("far")).alias("far"))
     away = first.join(reach, "id", "left").select("id", *XYZ, "leaf", "far").mapInArrow(further, "id long, x double, y double, z double, leaf long")
-    both = home.unionByName(compared(settled(away)))
+    both = home.unionByName(compared(settled(away))).where(F.col("dist") <= radius)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "id2"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,7 +1,8 @@
 """Points on grids: voxels, nearest neighbours, seeds, adjacency, splats.
 
-Neighbour searches within a radius bucket both sides on a grid as wide as it and equi-join a point's
-27 cells, so they cost the points in reach and never a cross join; those without one split space.
+All pairs within a radius bucket both sides on a grid as wide as it and equi-join a point's 27 cells, so
+they cost the points in reach and never a cross join. The k nearest split space (kdsplit), with or
+without a radius: their cost doesn't follow how many points lie in reach.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 def knn(left: DataFrame, right: DataFrame, k: int, radius: float, with_self: bool = True) -> DataFrame:
     """id, id2, dist, rank: the k nearest right points within `radius`; ties to the lower id."""
-    pairs = within(left, right, radius)
-    return first_in(pairs if with_self else pairs.where("id <> id2"), ["id"], ["dist", "id2"], k, "rank")
+    return kdsplit.nearest(left, right, k, radius=radius, with_self=with_self)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 0.1) -> DataFrame:
