@@ -88,5 +88,5 @@ def interpolate(left: np.ndarray, right: np.ndarray, share: np.ndarray) -> np.nd
 
 
 def extrapolate(before: np.ndarray, last: np.ndarray, share: float = 0.5) -> np.ndarray:
-    """The last pose moved on by a share of the last step."""
-    return mul(exp(share * log(mul(last, inv(before)))), last)
+    """The last pose moved on by a share of the last step; the quaternion's sign follows the pose before."""
+    return interpolate(before, last, np.array(1 + share))

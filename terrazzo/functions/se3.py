@@ -146,5 +146,9 @@ def interpolate(left: Column, right: Column, share: Column) -> Column:
 
 
 def extrapolate(before: Column, last: Column, share: float = 0.5) -> Column:
-    """The last pose moved on by a share of the last step."""
-    return let(last, lambda b: product(exp(scaled(log(product(b, inverse(before))), F.lit(share))), b))
+    """The last pose moved on by a share of the last step.
+
+    Taken from the pose before, so the quaternion's sign follows that pose's, as interpolate's does, also
+    where the last step turned the sign of its own.
+    """
+    return interpolate(before, last, F.lit(1 + share))

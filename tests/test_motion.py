@@ -82,6 +82,15 @@ def test_extrapolation_takes_the_last_two_poses(spark):
     assert all(np.abs(got[i] - lie.extrapolate(poses[i - 2], poses[i - 1])).max() < 1e-9 for i in got)
 
 
+def test_extrapolation_keeps_the_sign_of_the_pose_before(spark):
+    turn = lambda half: [0.0, 0.0, 0.0, 0.0, 0.0, float(np.sin(half)), float(np.cos(half))]
+    # half angles 0 and 1.75: the step's quaternion has a negative real part, so its least turn is the other way
+    step = 1.75 - np.pi
+    frames = spark.createDataFrame([("s", i, i, turn(h)) for i, h in enumerate((0.0, 1.75, 0.1))], "u string, id long, t long, v array<double>")
+    got = {r.id: np.array(r.pose) for r in motion.extrapolated(frames, "u").collect()}
+    assert np.abs(got[2] - turn(1.5 * step)).max() < 1e-9
+
+
 @pytest.mark.parametrize("tile", [3, 1000])
 def test_tiles_hold_every_pair_of_frames_once(spark, tile):
     from terrazzo.operators import poses as op
