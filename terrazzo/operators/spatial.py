@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrazzo.functions.geometry import voxel
-from terrazzo.operators import kdsplit
+from terrazzo.operators import graph, kdsplit
 from terrazzo.operators.common import first_in, settled, stored
 
 XYZ = ("x", "y", "z")
@@ -63,6 +63,88 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, radius: float = 0.1)
     return kdsplit.nearest(left, right, k)
 
 
+#: Pairs of points that two cells may bring to a comparison of all; above, the cells are halved.
+PAIRS_OF_CELLS = 1 << 16
+
+
+def _boxes(cells: DataFrame, *more: Column) -> DataFrame:
+    """cell, n, its least id, low and high corner of its points, and more; cells(cell, id, x, y, z)."""
+    corner = lambda f: F.array(*[f(c) for c in XYZ])
+    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), corner(F.min).alias("low"), corner(F.max).alias("high"), *more)
+
+
+def _length(d: list[Column]) -> Column:
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+def _apart(a: str, b: str) -> tuple[Column, Column]:
+    """Least and greatest distance of points of two boxes, rounded as the distance of two points is."""
+    low, high = ([F.col(f"{s}{e}")[k] for k in range(3)] for s, e in ((a, "low"), (a, "high")))
+    low2, high2 = ([F.col(f"{s}{e}")[k] for k in range(3)] for s, e in ((b, "low"), (b, "high")))
+    near = [F.greatest(low[k] - high2[k], low2[k] - high[k], F.lit(0.0)) for k in range(3)]
+    far = [F.greatest(high[k] - low2[k], high2[k] - low[k]) for k in range(3)]
+    return _length(near), _length(far)
+
+
+def _side(boxes: DataFrame, name: str) -> DataFrame:
+    return boxes.select(*[F.col(c).alias(f"{name}{c}") for c in boxes.columns])
+
+
+def links_within(points: DataFrame, radius: float, pairs_of_cells: int = PAIRS_OF_CELLS) -> DataFrame:
+    """a, b: links that have the components of all pairs of points at most `radius` apart, and no fewer nodes.
+
+    Points in a cell narrower than half the radius are all in reach of each other and are linked to the
+    cell's least id, so a dense place costs its points and not their pairs. Two cells are linked through
+    their outermost points if some of these are in reach. Only cells that are then still in different
+    components and may hold a pair in reach are compared: all their points if they are few, else cells
+    of half the width, and so on.
+    """
+    finite = " and ".join(f"abs({c}) < double('Infinity')" for c in XYZ)
+    plain = settled(points.select("id", *[F.col(c).cast("double").alias(c) for c in XYZ]).where(f"id is not null and {finite}"))
+    width = 0.51 * radius
+
+    def in_cells(size: float) -> DataFrame:
+        return plain.withColumn("cell", F.array(*[voxel(c, size) for c in XYZ]))
+
+    place = F.struct(*XYZ)
+    outer = F.array_distinct(F.array(*[f(place, c) for c in XYZ for f in (F.min_by, F.max_by)]))
+    at = in_cells(width)
+    boxes = settled(_boxes(at, outer.alias("outer")))
+    stars = at.join(boxes.select("cell", "least"), "cell").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    beside = F.explode(F.array(*[F.array(*[(F.col("acell")[k] + s[k]) for k in range(3)]) for s in steps]))
+    reach = lambda p, q: _length([p[c] - q[c] for c in XYZ]) <= radius
+    met = _side(boxes, "a").withColumn("bcell", beside).join(_side(boxes, "b"), "bcell").where(_apart("a", "b")[0] <= radius)
+    met = settled(met.select("acell", "bcell", "an", "bn", "aleast", "bleast", F.exists("aouter", lambda p: F.exists("bouter", lambda q: reach(p, q))).alias("linked")))
+    found = stars.unionByName(_linked(met.where("linked")))
+    # the least ids stand for their cells
+    group = graph.components(_linked(met.where("linked")))
+    of = lambda side: group.select(F.col("node").alias(f"{side}least"), F.col("component").alias(f"{side}group"))
+    open_ = met.where("not linked").join(of("a"), "aleast", "left").join(of("b"), "bleast", "left")
+    open_ = open_.where(F.coalesce("agroup", "aleast") != F.coalesce("bgroup", "bleast")).select("acell", "bcell", "an", "bn", "aleast", "bleast")
+    while True:
+        open_ = settled(open_)
+        few = F.col("an") * F.col("bn") <= pairs_of_cells
+        pairs = open_.where(few).join(_side(at.select("cell", *XYZ), "a"), "acell").join(_side(at.select("cell", *XYZ), "b"), "bcell")
+        found = found.unionByName(_linked(pairs.where(_length([F.col(f"a{c}") - F.col(f"b{c}") for c in XYZ]) <= radius).select("aleast", "bleast").distinct()))
+        many = open_.where(~few).select("acell", "bcell", "aleast", "bleast")
+        if many.isEmpty():
+            return found
+        width /= 2
+        at = in_cells(width)
+        parts = settled(_boxes(at)).drop("least").withColumn("up", F.transform("cell", lambda x: F.floor(x / 2)))
+        met = many.withColumnRenamed("acell", "aup").join(_side(parts, "a"), "aup").withColumnRenamed("bcell", "bup").join(_side(parts, "b"), "bup")
+        near, far = _apart("a", "b")
+        met = settled(met.where(near <= radius).withColumn("linked", far <= radius))
+        done = met.where("linked").select("aleast", "bleast").distinct()
+        found = found.unionByName(_linked(done))
+        open_ = met.where("not linked").join(done, ["aleast", "bleast"], "left_anti").select("acell", "bcell", "an", "bn", "aleast", "bleast")
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("aleast").alias("a"), F.col("bleast").alias("b"))
+
+
 def undirected(pairs: DataFrame) -> DataFrame:
     """lo, hi, dist: each edge once."""
     return pairs.where("id <> id2").groupBy(F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi")).agg(F.min("dist").alias("dist"))

@@ -61,9 +61,7 @@ def atom_adjacency(spark, d):
 
 
 def component_labels(spark, d):
-    points = px.points(spark, d)
-    edges = spatial.undirected(spatial.within(points, points, 0.08))
-    return graph.components(edges, "lo", "hi").select("node", "component")
+    return graph.components(spatial.links_within(px.points(spark, d), 0.08)).select("node", "component")
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
