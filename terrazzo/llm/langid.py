@@ -192,14 +192,13 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
 
 
 def least_score(docs: DataFrame, shared: Broadcast) -> float:
-    """Half-way from an even score to the least one of labelled rows told right, over a sample as
-    large as the one learned from; 0 where there is nothing to tell apart."""
+    """Half-way from an even score to the least one of all labelled rows told right; 0 where there is
+    nothing to tell apart."""
     model = shared.value
     if len(model["langs"]) < 2:
         return 0.0
-    share = F.create_map(*[F.lit(x) for kv in model["share"].items() for x in kv])
-    chosen = docs.where("text is not null and lang is not null").where(_dealt("doc_id", 18) < share[F.col("lang")])
-    told = predict(chosen.select(F.col("lang").alias("doc_id"), "text"), shared).where("lang_pred = doc_id")
+    labelled = docs.where("text is not null and lang is not null")
+    told = predict(labelled.select(F.col("lang").alias("doc_id"), "text"), shared).where("lang_pred = doc_id")
     least, even = told.agg(F.min("score")).first()[0], 1 / len(model["langs"])
     return (even + max(even, least)) / 2 if least is not None else 0.0
 
@@ -209,7 +208,8 @@ def reject_unknown(docs: DataFrame, at_least: float | None = None) -> DataFrame:
     letter, and those that score under `at_least`, or else under least_score() of the learnable rows.
 
     The decision is taken in the same pass as the score, so no join is needed and repeated ids
-    are judged row by row. Columns stay as they are.
+    are judged row by row. Without `at_least`, a pass over the labelled rows goes before. Columns stay
+    as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(learnable(docs)))
     if at_least is None:

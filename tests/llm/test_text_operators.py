@@ -492,6 +492,17 @@ def test_texts_of_no_learned_language_are_rejected(spark):
     assert {r["doc_id"] for r in kept} == {r[0] for r in rows} | {902}
 
 
+def test_least_score_is_that_of_all_labelled_rows(spark):
+    """Each row of the corpus counts, not only as many as were learned from."""
+    texts = {"en": ["the cat and the dog"] * 60 + ["the cat le chat the dog"], "fr": ["le chat et le chien"] * 60}
+    docs = spark.createDataFrame([(i, t, k, "s", 0) for i, (t, k) in enumerate((t, k) for k, ts in texts.items() for t in ts)], DOCS)
+    model = langid.train(docs)
+    model["share"] = {k: 0.0 for k in model["share"]}
+    found, scores = langid.Scorer(model).scores([r.text for r in docs.collect()])
+    least = min(s for f, s, r in zip(found, scores, docs.collect()) if f == r.lang)
+    assert langid.least_score(docs, spark.sparkContext.broadcast(model)) == pytest.approx((0.5 + max(0.5, least)) / 2)
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(2)
     rows, labels = [], []
