@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as geo
 from terrazzo.operators import metrics, poses, slam, temporal
-from terrazzo.operators.selection import per_scene
 from terrazzo.operators.spatial import distance2
 from terrazzo.plans import proxies as px
 from terrazzo.plans.evidence import r
@@ -166,11 +165,10 @@ def proximity_order(spark, d):
 
 def factor_edges(spark, d):
     """Scenes of 32 successive events of a user: values as places, proximity edges with suppression and a budget."""
-    rows = temporal.chunks(px.stream(spark, d), "u", 1).select((F.col("u") * 2**20 + F.floor(F.col("chunk") / 32)).alias("scene"), (F.col("chunk") % 32).alias("i"), "v")
-    other = rows.select("scene", F.col("i").alias("j"), F.col("v").alias("v2"))
-    # at most 32 rows a scene
-    pairs = rows.join(other, "scene").where("i <> j").select("scene", "i", "j", F.abs(F.col("v") - F.col("v2")).alias("dist"))
-    return per_scene(pairs, lambda p: slam.proximity_edges(p, int(p.i.max()) + 1, 1, 20.0, 2, 200), "i long, j long")
+    rows = temporal.chunks(px.stream(spark, d).where("u is not null"), "u", 1).select("u", F.floor(F.col("chunk") / 32).alias("part"), (F.col("chunk") % 32).alias("i"), "v")
+    # at most 32 rows a scene, which lie together by user already
+    scenes = rows.groupBy("u", "part").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("frames"))
+    return slam.sequence_edges(scenes.select((F.col("u") * 2**20 + F.col("part")).alias("scene"), F.col("frames.v").alias("values")), 1, 20.0, 2, 200)
 
 
 def merge_last_wins(spark, d):
