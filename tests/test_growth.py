@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from terrazzo.operators import evidence as ev
 from terrazzo.operators import slam
 from terrazzo.plans import catalogue
 
@@ -27,3 +29,19 @@ def test_factor_edges_of_many_scenes_share_a_batch(spark, data):
         edges = slam.proximity_edges(pd.DataFrame({"i": i, "j": j, "dist": np.abs(v[i] - v[j])}), len(v), 1, 20.0, 2, 200)
         want += [(s, *e) for e in edges.itertuples(index=False)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["coverage_rows", "phi_scores", "node_mean_iou", "node_evidence_best_mask", "lazy_greedy_cover", "ancestor_exchange"])
+def test_the_tree_is_not_broadcast(name, spark, data):
+    """Atoms meet their nodes by a shuffle, and lie by their coarsest node before they are laid out."""
+    text = plan(catalogue.QUERIES[name](spark, data))
+    assert "BroadcastHashJoin [atom" not in text and "REBALANCE_PARTITIONS_BY_COL" in text
+
+
+def test_sums_of_a_ragged_tree(spark):
+    """Repeated members count twice, and atoms of one node may end under different tops."""
+    members = spark.createDataFrame([(2, 0, 1), (2, 0, 2), (3, 5, 1), (3, 5, 1), (4, 9, 3)], "lvl int, node long, atom long")
+    leaf = spark.createDataFrame([(1, 7, 10), (2, 7, 100), (3, 8, 1), (4, 8, 5)], "atom long, f int, n long")
+    got = ev.sums_up(members, leaf, "f", value="n")
+    assert got.columns == ["lvl", "node", "f", "n"]
+    assert sorted(map(tuple, got.collect())) == [(2, 0, 7, 110), (3, 5, 7, 20), (4, 9, 8, 1)]
