@@ -28,12 +28,18 @@ def weighted_mean(points: DataFrame, key: str, weight: Column, vector: str = "e"
 
 def pool(points: DataFrame, membership: DataFrame, vector: str = "e") -> DataFrame:
     """hyp, dim, value: mean over a hypothesis' observed points; none observed, no row."""
-    return membership.join(long_form(points, vector), "id").groupBy("hyp", "dim").agg(F.avg("value").alias("value"))
+    held = membership.join(points.where(observed(F.col(vector))).select("id", vector), "id")  # whole vectors are shuffled, not their elements
+    return held.select("hyp", F.posexplode(vector).alias("dim", "value")).groupBy("hyp", "dim").agg(F.avg(F.col("value").cast("double")).alias("value"))
 
 
 def overlap(pooled: DataFrame, membership: DataFrame) -> DataFrame:
-    """id, dim, value: mean over the pooled hypotheses that hold a point; uncovered, no row."""
-    return membership.join(pooled, "hyp").groupBy("id", "dim").agg(F.avg("value").alias("value"))
+    """id, dim, value: mean over the pooled hypotheses that hold a point; uncovered, no row.
+
+    Points in the same hypotheses have the same mean, which is taken once for each such set and not for each point.
+    """
+    held = membership.groupBy("id").agg(F.sort_array(F.collect_list("hyp")).alias("hyps"))
+    means = held.select("hyps").distinct().withColumn("hyp", F.explode("hyps")).join(pooled, "hyp").groupBy("hyps", "dim").agg(F.avg("value").alias("value"))
+    return held.join(means, "hyps").select("id", "dim", "value")
 
 
 def cosines(field: DataFrame, queries: DataFrame, floor: float = 1e-8) -> DataFrame:

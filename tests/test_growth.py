@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from terrazzo.operators import evidence as ev
-from terrazzo.operators import slam
+from terrazzo.operators import semantic, slam
 from terrazzo.plans import catalogue
 
 
@@ -45,3 +47,12 @@ def test_sums_of_a_ragged_tree(spark):
     got = ev.sums_up(members, leaf, "f", value="n")
     assert got.columns == ["lvl", "node", "f", "n"]
     assert sorted(map(tuple, got.collect())) == [(2, 0, 7, 110), (3, 5, 7, 20), (4, 9, 8, 1)]
+
+
+def test_overlap_takes_a_mean_for_each_set(spark, data):
+    """No aggregate of every point's elements; a hypothesis that is named twice counts twice."""
+    assert not re.search(r"keys=\[id#\d+L?, dim#", plan(catalogue.QUERIES["overlap_field"](spark, data)))
+    pooled = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 4.0)], "hyp long, dim int, value double")
+    members = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (11, 1), (12, 1), (12, 1), (12, 2), (13, 3)], "id long, hyp long")
+    got = sorted(map(tuple, semantic.overlap(pooled, members).collect()))
+    assert got == [(10, 0, 2.5), (10, 1, 2.0), (11, 0, 2.5), (11, 1, 2.0), (12, 0, 2.0), (12, 1, 2.0)]
