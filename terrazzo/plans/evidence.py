@@ -91,7 +91,7 @@ def tree_interval_sums(spark, d):
 
 
 def chain_collapse(spark, d):
-    sizes = px.members(spark, d).join(px.leaf_n(spark, d), "atom").groupBy(*NODE).agg(F.sum("n").alias("size"))
+    sizes = ev.sums_up(px.members(spark, d), ev.sum_by(px.leaf_n(spark, d), "atom", value="n"), value="n").withColumnRenamed("n", "size")
     return graph.collapse_chains(_intervals(sizes), 0.53).select("id", "rep")
 
 
@@ -102,7 +102,7 @@ def phi_scores(spark, d):
 def client_phi_mean(spark, d):
     rows = _rows(spark, d)
     tracks = px.leaf_i(spark, d).select("f", *MASK).distinct().withColumn("track", F.col("g") * F.lit(10**9).cast("long") + F.col("seg"))
-    eligible = px.members(spark, d).join(px.leaf_n(spark, d), "atom").groupBy(*NODE, "f").agg(F.sum("n").alias("n"))
+    eligible = ev.sums_up(px.members(spark, d), px.leaf_n(spark, d), "f", value="n")
     size = eligible.groupBy(*NODE).agg(F.sum("n").alias("size"))
     eligible = eligible.join(size, NODE).where(F.col("n") >= F.greatest(F.lit(8.0), F.col("size") * 0.05))
     return ev.client_means(ev.phi(rows), tracks, eligible).select(*NODE, "track", r("value"))
