@@ -33,7 +33,7 @@ def test_factor_edges_of_many_scenes_share_a_batch(spark, data):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["coverage_rows", "phi_scores", "node_mean_iou", "node_evidence_best_mask", "lazy_greedy_cover", "ancestor_exchange", "chain_collapse"])
+@pytest.mark.parametrize("name", ["coverage_rows", "phi_scores", "node_mean_iou", "node_evidence_best_mask", "lazy_greedy_cover", "ancestor_exchange", "chain_collapse", "co_mask_pairs"])
 def test_the_tree_is_not_broadcast(name, spark, data):
     """Atoms meet their nodes by a shuffle, and lie by their coarsest node before they are laid out."""
     text = plan(catalogue.QUERIES[name](spark, data))
