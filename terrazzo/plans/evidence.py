@@ -127,11 +127,11 @@ def co_eligible_frames(spark, d):
 def _kn(spark, d) -> DataFrame:
     votes = ev.best_votes(_votes(spark, d))
     co = ev.co_eligible(votes, _eligible_ids(spark, d))
-    return votes.join(co, ["id", "id2"]).select("id", "id2", F.col("joins").alias("k"), (F.col("joins") + F.greatest(F.col("n_co") - F.col("frames"), F.lit(0))).alias("n"))
+    return votes.join(co.hint("merge"), ["id", "id2"]).select("id", "id2", F.col("joins").alias("k"), (F.col("joins") + F.greatest(F.col("n_co") - F.col("frames"), F.lit(0))).alias("n"))
 
 
 def join_llr_em(spark, d):
-    pairs = _kn(spark, d)
+    pairs = settled(_kn(spark, d))  # the mixture and the costs read it
     p_s, p_d, _ = ev.mixture(pairs)
     return pairs.select("id", "id2", F.round(ev.log_likelihood_ratio(p_s, p_d), 4).alias("cost"))
 

@@ -11,6 +11,7 @@ import pytest
 from terrazzo.operators import evidence as ev
 from terrazzo.operators import semantic, slam
 from terrazzo.plans import catalogue
+from terrazzo.plans import evidence as evidence_plans
 
 
 def plan(df) -> str:
@@ -40,6 +41,15 @@ def test_the_tree_is_not_broadcast(name, spark, data):
     assert "BroadcastHashJoin [atom" not in text and "REBALANCE_PARTITIONS_BY_COL" in text
 
 
+def test_votes_and_chances_meet_by_shuffles(spark, data):
+    """No side of a join goes through the driver, however small, and the costs don't run the votes again."""
+    pairs = evidence_plans._kn(spark, data)
+    assert pairs.collect()
+    text = plan(pairs)
+    assert "isFinalPlan=true" in text and "Broadcast" not in text
+    assert "Join" not in plan(catalogue.QUERIES["join_llr_em"](spark, data))
+
+
 def test_sums_of_a_ragged_tree(spark):
     """Repeated members count twice, and atoms of one node may end under different tops."""
     members = spark.createDataFrame([(2, 0, 1), (2, 0, 2), (3, 5, 1), (3, 5, 1), (4, 9, 3)], "lvl int, node long, atom long")
