@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as geo
 from terrazzo.operators import evidence as ev
-from terrazzo.operators import graph, metrics, selection, slam
+from terrazzo.operators import contraction, graph, metrics, selection, slam
 from terrazzo.operators.common import first_in, settled
 from terrazzo.plans import proxies as px
 from terrazzo.plans.evidence import IDS, TRACKS, _affinity, _intervals, _kn, _rows, _tracks, r
@@ -213,13 +213,7 @@ def _contraction_rows(spark, d) -> DataFrame:
 
 def gaec_candidates(spark, d):
     """Contractions of each component of edges of positive cost: none ever leaves one."""
-
-    def contract(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = {k: (lo, hi, hi - lo + 1) for k, lo, hi in [*zip(rows.id, rows.lo, rows.hi), *zip(rows.id2, rows.lo2, rows.hi2)]}
-        found = selection.additive_contraction(nodes, sorted(zip(rows.id, rows.id2, rows.cost)), 400)
-        return pd.DataFrame({"candidate": range(len(found)), "members": [sorted(m) for m in found]}, columns=["candidate", "members"])
-
-    return selection.per_scene(_contraction_rows(spark, d), contract, "candidate long, members array<long>")
+    return contraction.contracted(_contraction_rows(spark, d), 400)
 
 
 def _cover_rows(spark, d) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from terrazzo.operators import evidence as ev
-from terrazzo.operators import semantic, slam
+from terrazzo.operators import contraction, selection, semantic, slam
 from terrazzo.plans import catalogue
 from terrazzo.plans import evidence as evidence_plans
 
@@ -66,3 +66,53 @@ def test_overlap_takes_a_mean_for_each_set(spark, data):
     members = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (11, 1), (12, 1), (12, 1), (12, 2), (13, 3)], "id long, hyp long")
     got = sorted(map(tuple, semantic.overlap(pooled, members).collect()))
     assert got == [(10, 0, 2.5), (10, 1, 2.0), (11, 0, 2.5), (11, 1, 2.0), (12, 0, 2.0), (12, 1, 2.0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contraction_in_blocks_is_that_of_one_pass(spark, seed):
+    """Two scenes of tied whole costs, in blocks far smaller than a scene: the same contractions in the same order."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for scene in (1, 2):
+        lo = np.sort(rng.integers(0, 2000, 400))
+        hi = lo + rng.integers(0, 12, 400)
+        for i, j in {(i, i + int(k)) for i in range(400) for k in rng.integers(1, 9, 5) if i + k < 400}:
+            cost = float(rng.integers(-4, 9))
+            rows.append((scene, 1000 * scene + i, 1000 * scene + j, cost, int(lo[i]), int(hi[i]), int(lo[j]), int(hi[j])))
+    edges = spark.createDataFrame(rows, "scene long, id long, id2 long, cost double, lo long, hi long, lo2 long, hi2 long")
+    got = contraction.contracted(edges, 60, block_edges=150).orderBy("scene", "candidate").collect()
+    want = []
+    for scene in (1, 2):
+        own = [r for r in rows if r[0] == scene]
+        nodes = {k: (a, b, b - a + 1) for r in own for k, a, b in ((r[1], *r[4:6]), (r[2], *r[6:8]))}
+        want += [(scene, i, list(m)) for i, m in enumerate(selection.additive_contraction(nodes, sorted(r[1:4] for r in own), 60))]
+    assert [tuple(r) for r in got] == want and want
+    assert contraction.contracted(edges.where("false"), 60).collect() == []
+
+
+def test_contraction_query_groups_no_scene(spark, data, monkeypatch):
+    """The query gives the same rows when its one large component is dealt to many blocks."""
+    want = sorted(map(tuple, catalogue.QUERIES["gaec_candidates"](spark, data).collect()))
+    monkeypatch.setattr(contraction.contracted, "__defaults__", (100,))
+    found = catalogue.QUERIES["gaec_candidates"](spark, data)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "FlatMapGroupsInPandas" not in plan(found)
+
+
+def test_contraction_holds_no_scene_in_a_task(spark):
+    """One chain of 4,000 edges; a worker gets blocks of about 500."""
+    rows = spark.range(4000).selectExpr("0L as scene", "id", "id + 1 as id2", "double(id * 7919 % 101) as cost", "id * 2 as lo", "id * 2 + 1 as hi", "id * 2 + 2 as lo2", "id * 2 + 3 as hi2")
+    calls, large = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    run = contraction._run_block
+
+    def counted(block, most):
+        calls.add(1)
+        large.add(int(len(block) > 1000))
+        return run(block, most)
+
+    contraction._run_block = counted
+    try:
+        assert contraction.contracted(rows, 12, block_edges=500).count()
+    finally:
+        contraction._run_block = run
+    assert calls.value > 8 and large.value == 0
